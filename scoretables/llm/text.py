@@ -82,13 +82,14 @@ class Words:
         self.ends = np.flatnonzero(last) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word: a polynomial from prefix sums, mixed with the length."""
+    def hashes(self, first: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word, or of its ``first`` bytes: a polynomial from prefix sums, mixed with the length."""
+        ends = self.ends if first is None else np.minimum(self.ends, self.starts + first)
         up, down = _power_tables(len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(self.data.astype(np.uint64) * up[: len(self.data)], out=sums[1:])
-        value = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        return mix(value + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        value = (sums[ends] - sums[self.starts]) * down[self.starts]
+        return mix(value + (ends - self.starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
     def rows(self) -> np.ndarray:
         """The row of each word."""
