@@ -111,12 +111,12 @@ def _solved(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.linalg.solve(gram + RIDGE * np.eye(len(gram)), right)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, fit: int) -> DataFrame:
-    """About ``fit`` documents at most with their label ``y``: a hash sample of the labels, broadcast to the documents."""
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit: int) -> DataFrame:
+    """``key``, ``body`` and label ``y`` of about ``fit`` documents at most: a hash sample of the labels, broadcast."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.max(label_col).cast("double").alias("y"))
     sample = tables.bounded_sample(known, [F.col("key")], fit)
     # About `fit` rows of two numbers, so small enough to broadcast at any size of the input.
-    return docs.join(F.broadcast(sample), docs[id_col] == F.col("key"))
+    return docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body")).join(F.broadcast(sample), "key")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", bound: int = FIT) -> Model:
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     def stats():
         return lambda batch: {"key": batch.column("key"), "y": batch.column("y"), "x": pa.array(list(statistics(batch.column("body"))), pa.list_(pa.float64()))}
 
-    rows = labelled(docs, labels, id_col, label_col, bound).select("key", "y", F.col(text_col).alias("body"))
+    rows = labelled(docs, labels, id_col, text_col, label_col, bound).select("key", "y", "body")
     rows = tables.scratch(tables.map_text(rows, "key long, y double, x array<double>", stats, "body"), "statistics")
     summary = rows.agg(F.count("*").alias("n"), F.avg("y").alias("y")).first()
     if not summary.n or summary.y in (0.0, 1.0):

@@ -2,7 +2,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from scoretables.llm import graph, tables, text
@@ -10,6 +10,7 @@ from scoretables.llm import graph, tables, text
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+@settings(deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from("aBé \t\n.9Z_\x0b中"), max_size=12)), max_size=6))
 def test_words_are_those_of_the_patterns(texts):
     for kind, pattern in ((text.ALNUM, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), (text.NON_SPACE, r"[^\x20\x09-\x0D]+")):
@@ -19,7 +20,7 @@ def test_words_are_those_of_the_patterns(texts):
         hashes = found.hashes()
         words = [w for ws in own for w in ws]
         assert len(set(hashes.tolist())) == len(set(words))
-        assert dict(zip(words, hashes.tolist(), strict=True)) == {w: h for w, h in zip(words, hashes.tolist(), strict=True)}
+        assert len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words))
 
 
 def test_sliced_arrays_and_starts_of_words():
@@ -41,6 +42,7 @@ def test_slices_keep_all_rows():
     assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict() and max(p.num_rows for p in parts) > 1
 
 
+@settings(deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=20))
 def test_forest_is_brute_force_components(pairs):
     u, r = graph.forest(np.array([a for a, _ in pairs], np.int64), np.array([b for _, b in pairs], np.int64))
@@ -56,6 +58,5 @@ def test_components_of_chains_stars_and_bad_links(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3), (50, 41)]
     df = spark.createDataFrame(links, "a long, b long").repartition(3)
     found = {r.id: r.root for r in graph.connected(df).collect()}
-    assert found == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)} | {50: 41} | {} or found[50] == 41
-    assert found[40] == 0 and found[129] == 100 and 7 in found and len(found) == 40 + 29 + 1
+    assert found == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)} | {50: 41}
     assert graph.connected(df.where("false")).count() == 0
