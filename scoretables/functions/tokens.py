@@ -79,7 +79,7 @@ def rational(token: Column) -> Column:
     n = digits.try_cast("long")
     num = F.when(digits == "0", 8).when(digits == "00", 16).otherwise(4).cast("long")
     den = F.when(digits.isin("0", "00"), 1).otherwise(n)
-    up = F.shiftleft(F.lit(1).cast("long"), dots)
+    up = F.pow(F.lit(2), dots).cast("long")
     dotted = F.struct((num * (2 * up - 1)).alias("num"), (den * up).alias("den"))
     return F.when(token.rlike("[qQ]"), F.struct(F.lit(0).cast("long").alias("num"), F.lit(1).cast("long").alias("den"))).when(digits != "", dotted)
 
@@ -174,6 +174,6 @@ def nearest_power(n: Column) -> Column:
     """The power of two (1 to 128) whose length 1 / p is nearest to 1 / n; of two as near the longer."""
     low = F.least(F.lit(7), F.floor(F.log2(n) + 1e-12)).cast("int")
     high = F.least(F.lit(7), F.ceil(F.log2(n) - 1e-12)).cast("int")
-    p, q = F.shiftleft(F.lit(1).cast("long"), low), F.shiftleft(F.lit(1).cast("long"), high)
+    p, q = F.pow(F.lit(2), low).cast("long"), F.pow(F.lit(2), high).cast("long")
     # |1/p - 1/n| <= |1/n - 1/q|, in whole numbers.
     return F.when(F.abs(n - p) * q <= F.abs(q - n) * p, p).otherwise(q)

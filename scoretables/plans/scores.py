@@ -1,0 +1,248 @@
+"""Score text: measures, tokens, cleaning, vocabularies, repeats, over lines and tokens."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scoretables.functions import tokens as T
+from scoretables.operators import repeats as R
+from scoretables.operators import segments as S
+from scoretables.operators import tokens as K
+from scoretables.plans.registry import Family
+from scoretables.sources import standins
+
+query = Family()
+# Score-like tokens from notes: duration, dot, letters, accidental, marks.
+standins.VIEWS["kern"] = (("notes",), r"""
+SELECT piece_id, note_idx, concat(CASE WHEN note_idx % 13 = 0 THEN '[' ELSE '' END, CASE dur_ms % 7 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '4' WHEN 3 THEN '8' WHEN 4 THEN '16' WHEN 5 THEN '12' ELSE '24' END,
+    CASE WHEN velocity % 4 = 0 THEN '.' ELSE '' END, CASE WHEN pitch % 9 = 0 THEN 'r' ELSE repeat(CASE WHEN velocity % 2 = 0 THEN substr('CDEFGAB', CAST(pitch % 7 + 1 AS INT), 1) ELSE substr('cdefgab', CAST(pitch % 7 + 1 AS INT), 1) END, CAST(note_idx % 3 + 1 AS INT)) END,
+    CASE WHEN pitch % 9 = 0 THEN '' WHEN pitch % 5 = 0 THEN '#' WHEN pitch % 5 = 1 THEN '-' WHEN pitch % 5 = 2 THEN 'n' WHEN pitch % 5 = 3 THEN '##' ELSE '' END,
+    CASE note_idx % 6 WHEN 0 THEN '/' WHEN 1 THEN 'L' WHEN 2 THEN '~' WHEN 3 THEN 'J' WHEN 4 THEN '''' ELSE '' END, CASE WHEN note_idx % 13 = 1 THEN ']' ELSE '' END) AS token FROM notes
+""")
+
+
+@query("lines", sql="""WITH b AS (SELECT *, CASE WHEN kind = 'bar' AND line_no % 3 = 0 THEN line_no END AS number, count(*) FILTER (WHERE kind = 'bar') OVER (PARTITION BY doc_id ORDER BY line_no) AS bar FROM lines),
+    e AS (SELECT *, max(CASE WHEN number IS NOT NULL THEN bar END) OVER (PARTITION BY doc_id ORDER BY line_no) AS known FROM b),
+    n AS (SELECT e.*, x.number AS explicit FROM e LEFT JOIN (SELECT doc_id, bar, number FROM e WHERE number IS NOT NULL) x ON e.doc_id = x.doc_id AND e.known = x.bar),
+    g AS (SELECT doc_id, bar, max(CASE WHEN bar = 0 THEN 0 ELSE coalesce(explicit + bar - known, bar) END) AS measure, min(line_no) FILTER (WHERE kind = 'bar') AS line_barline, min(line_no) FILTER (WHERE kind NOT IN ('bar', 'interp')) AS line_start,
+          max(line_no) AS last_line, max(line_no) FILTER (WHERE kind = 'data') AS last_data FROM n GROUP BY doc_id, bar),
+    l AS (SELECT *, bar = max(bar) OVER (PARTITION BY doc_id) AS is_last FROM g)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY bar) - 1 AS m_idx, measure, line_start, CASE WHEN is_last THEN last_data ELSE last_line END AS line_end, CASE WHEN NOT is_last THEN line_barline END AS line_barline FROM l WHERE last_data IS NOT NULL""".join(("SELECT * FROM (", ")")))
+def score_measures(lines):
+    number = F.when((F.col("kind") == "bar") & (F.col("line_no") % 3 == 0), F.col("line_no"))
+    return S.measures(lines.withColumn("number", number))
+
+
+@query("tokens", sql="SELECT doc_id, line_no, longest, coalesce(sum(longest) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM (SELECT doc_id, line_no, max(dur) AS longest FROM tokens GROUP BY ALL)")
+def beat_offsets(tokens):
+    return S.beat_offsets(tokens)
+
+
+@query("lines", sql="SELECT doc_id, max(line_no) FILTER (WHERE kind = 'bar') AS last_final FROM lines GROUP BY doc_id")
+def last_final_bar(lines):
+    return S.last_final(lines, F.col("kind") == "bar")
+
+
+@query("lines", sql="SELECT doc_id, arg_min(line, line_no) FILTER (WHERE kind = 'interp') AS first_interp, arg_min(line, line_no) FILTER (WHERE kind = 'bar') AS first_bar, arg_min(line, line_no) FILTER (WHERE kind = 'comment') AS first_comment FROM lines GROUP BY doc_id")
+def score_headers(lines):
+    kind = F.col("kind")
+    return S.header(lines, {"first_interp": kind == "interp", "first_bar": kind == "bar", "first_comment": kind == "comment"})
+
+
+@query("lines", sql="SELECT doc_id, line_no, greatest(-6, least(7, s - f)) AS signature FROM (SELECT doc_id, line_no, CAST(line_no % 9 AS INTEGER) AS s, CAST(doc_id % 11 AS INTEGER) AS f FROM lines)")
+def key_signatures(lines):
+    text = F.concat(F.lit("*k["), F.repeat(F.lit("x#"), (F.col("line_no") % 9).cast("int")), F.repeat(F.lit("y-"), (F.col("doc_id") % 11).cast("int")), F.lit("]"))
+    return lines.select("doc_id", "line_no", S.key_signature(text).alias("signature"))
+
+
+@query("measures", sql="SELECT doc_id, m_idx, start_ms, span_end FROM (SELECT *, coalesce(lead(start_ms) OVER (PARTITION BY doc_id ORDER BY m_idx), start_ms) AS span_end FROM measures) WHERE m_idx % 3 <> 1")
+def marker_spans(measures):
+    return S.marker_spans(measures, F.col("m_idx") % 3 != 1).select("doc_id", "m_idx", "start_ms", "span_end")
+
+
+@query("measures", sql="""WITH t AS (SELECT doc_id, start_ms AS o, 60 + m_idx % 5 * 20 AS bpm FROM measures WHERE m_idx % 4 = 0), s AS (SELECT *, coalesce(sum((nxt - o) * 60 / bpm) OVER (PARTITION BY doc_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sec
+    FROM (SELECT *, lead(o) OVER (PARTITION BY doc_id ORDER BY o) AS nxt FROM t)) SELECT m.doc_id, m.m_idx AS point, m.start_ms AS "offset", round(s.sec + (m.start_ms - s.o) * 60 / s.bpm, 6) AS seconds FROM measures m ASOF JOIN s ON m.doc_id = s.doc_id AND m.start_ms >= s.o""".join(("SELECT * FROM (", ")")))
+def tempo_map_seconds(measures):
+    tempi = measures.where("m_idx % 4 = 0").select("doc_id", F.col("start_ms").alias("offset"), (60 + F.col("m_idx") % 5 * 20).cast("double").alias("bpm"))
+    return S.tempo_seconds(measures.select("doc_id", F.col("start_ms").alias("offset"), F.col("m_idx").alias("point")), tempi).withColumn("seconds", F.round("seconds", 6))
+
+
+@query("tokens", sql="SELECT doc_id, token, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS INTEGER) AS rank FROM (SELECT doc_id, token, count(*) AS n FROM tokens GROUP BY ALL)) WHERE rank <= 20")
+def token_frequencies(tokens):
+    return K.frequencies(tokens)
+
+
+_DIRTY = r"token NOT IN ('', '.', 'q') AND NOT regexp_matches(token, '^[0-9.]+[rA-Ga-g#\-n_\[\]]+$')"
+_CATEGORY = r"CASE WHEN regexp_matches(token, 'r[A-Ga-g]+') THEN 'rest position' WHEN regexp_matches(token, '[/\\]') THEN 'stem' WHEN regexp_matches(token, '['';~^:`]') THEN 'articulation' ELSE 'other' END"
+
+
+@query("kern", sql=f"SELECT token, n, {_CATEGORY} AS category FROM (SELECT token, count(*) AS n FROM kern WHERE {_DIRTY} GROUP BY token ORDER BY n DESC, token LIMIT 50)")
+def dirty_tokens(kern):
+    return K.dirty(kern, 50)
+
+
+@query("kern", sql=f"SELECT {_CATEGORY} AS category, count(*) AS n, count(DISTINCT token) AS n_tokens FROM kern WHERE {_DIRTY} GROUP BY 1")
+def dirty_categories(kern):
+    return K.dirty_categories(kern)
+
+
+# Without look-ahead: a dot after a digit is always the last one in these tokens.
+_CLEAN = r"""regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    CASE WHEN regexp_matches(token, '^\[?(24|12)\.') THEN concat(regexp_extract(token, '^(\[?)', 1), CASE WHEN token LIKE '%24.%' THEN '16' ELSE '8' END, regexp_extract(token, '^\[?[0-9]+\.(.*)$', 1)) ELSE token END,
+    '([0-9]+\.*r)[A-Ga-gy]+', '\1', 'g'), '[/\\XyzN*=?]', '', 'g'), 'n#|#n', '#', 'g'), 'n-|-n', '-', 'g'), 'nn', 'n'), '[TMSmstpP''~^><;:`Oxvuw&@ijZ+W$!|]', '', 'g'), '[LJkK]', '', 'g')"""
+
+
+@query("kern", sql=f"SELECT piece_id, note_idx, {_CLEAN} AS token FROM kern")
+def cleaned_tokens(kern):
+    return kern.select("piece_id", "note_idx", T.clean(F.col("token")).alias("token"))
+
+
+@query("kern", sql="SELECT piece_id, note_idx, CASE WHEN contains(token, '/') THEN 'up' END AS stem, length(regexp_replace(token, '[^L]', '', 'g'))::INTEGER AS beams_open, length(regexp_replace(token, '[^J]', '', 'g'))::INTEGER AS beams_close FROM kern")
+def layout_hints(kern):
+    return kern.select("piece_id", "note_idx", T.layout(F.col("token")).alias("l")).select("piece_id", "note_idx", "l.*")
+
+
+@query("kern", sql="""SELECT piece_id, note_idx, CASE WHEN d THEN 4 * 3 ELSE 4 END AS num, CASE WHEN d THEN 2 * n ELSE n END AS den FROM (SELECT piece_id, note_idx, contains(token, '.') AS d, CAST(regexp_extract(token, '([0-9]+)', 1) AS BIGINT) AS n FROM kern)""")
+def rational_durations(kern):
+    return kern.select("piece_id", "note_idx", T.rational(F.col("token")).alias("d")).select("piece_id", "note_idx", "d.num", "d.den")
+
+
+@query("notes", sql="""SELECT piece_id, note_idx, array_to_string(list_concat(""" + ", ".join(f"list_resize([]::VARCHAR[], t{i} // {n}, '{name}')" for i, (n, name) in enumerate(T.RESTS)) + """), ' ') AS rests FROM (SELECT piece_id, note_idx, dur_ms AS t0, """ + ", ".join(f"dur_ms % {n} AS t{i + 1}" if i == 0 else f"t{i} % {n} AS t{i + 1}" for i, (n, _) in enumerate(T.RESTS)) + " FROM notes)")
+def rest_tokens(notes):
+    return notes.select("piece_id", "note_idx", T.rests(F.col("dur_ms")).alias("rests"))
+
+
+@query("kern", sql=r"""SELECT piece_id, note_idx, coalesce(CASE WHEN regexp_matches(l, '^[A-G]') THEN 5 - length(l) ELSE 4 + length(l) END * 12 + CASE upper(substr(l, 1, 1)) WHEN 'C' THEN 0 WHEN 'D' THEN 2 WHEN 'E' THEN 4 WHEN 'F' THEN 5 WHEN 'G' THEN 7 WHEN 'A' THEN 9 WHEN 'B' THEN 11 END
+    + length(replace(a, '-', '')) - length(replace(a, '#', '')), -1)::INTEGER AS midi FROM (SELECT piece_id, note_idx, regexp_extract(p, '^([A-G]+|[a-g]+)([#-]*)$', 1) AS l, regexp_extract(p, '^([A-G]+|[a-g]+)([#-]*)$', 2) AS a FROM (SELECT *, regexp_extract(token, '([A-Ga-g]+[#-]*|r)', 1) AS p FROM kern))""")
+def midi_numbers(kern):
+    return kern.select("piece_id", "note_idx", T.midi(F.regexp_extract("token", r"([A-Ga-g]+[#\-]*|r)", 1)).alias("midi"))
+
+
+@query("kern", sql=r"SELECT piece_id, note_idx, CASE WHEN contains(token, 'n') THEN regexp_replace(token, '([A-Ga-g])n', '\1', 'g') ELSE token END AS token FROM kern")
+def stripped_naturals(kern):
+    return kern.select("piece_id", "note_idx", T.strip_naturals(F.col("token")).alias("token"))
+
+
+@query("kern", sql="""SELECT DISTINCT p AS pitch, CASE WHEN p LIKE '%##' THEN concat(repeat(CASE WHEN lower(substr(p, 1, 1)) = substr(p, 1, 1) THEN lower(substr(x, 1, 1)) ELSE substr(x, 1, 1) END, length(p) - 2), substr(x, 2, 1)) ELSE p END AS respelled
+    FROM (SELECT p, CASE upper(substr(p, 1, 1)) WHEN 'C' THEN 'D' WHEN 'D' THEN 'E' WHEN 'E' THEN 'F#' WHEN 'F' THEN 'G' WHEN 'G' THEN 'A' WHEN 'A' THEN 'B' WHEN 'B' THEN 'C#' END AS x FROM (SELECT regexp_extract(token, '([A-Ga-g]+[#-]*)', 1) AS p FROM kern)) WHERE p <> ''""")
+def respelled_pitches(kern):
+    p = F.regexp_extract("token", r"([A-Ga-g]+[#\-]*)", 1)
+    return kern.select(p.alias("pitch")).where("pitch <> ''").distinct().select("pitch", T.respelled(F.col("pitch")).alias("respelled"))
+
+
+@query("kern", sql=r"""SELECT piece_id, note_idx, concat(CASE WHEN token LIKE '[%' THEN '[ ' ELSE '' END, regexp_extract(token, '([0-9]+\.?)', 1), ' ', replace(regexp_extract(token, '([A-Ga-g]+[#n-]*|r)', 1), 'n', ''), CASE WHEN token LIKE '%]' THEN ' ]' ELSE '' END) AS parts FROM kern""")
+def token_factors(kern):
+    return kern.select("piece_id", "note_idx", F.array_join(T.factors(F.col("token")), " ").alias("parts"))
+
+
+@query("lines", sql=r"SELECT doc_id, line_no, concat('=', line_no, chr(9), '=') AS line FROM lines WHERE kind = 'bar'")
+def plain_barlines(lines):
+    marked = F.concat(F.lit("="), F.col("line_no").cast("string"), F.lit(":|!|:\t=!|"))
+    return lines.where("kind = 'bar'").select("doc_id", "line_no", T.plain_barline(marked).alias("line"))
+
+
+@query("notes", sql="""SELECT piece_id, note_idx, CASE note_idx % 4 WHEN 0 THEN 40 + pitch WHEN 1 THEN CASE WHEN dur_ms <= 300 THEN dur_ms ELSE 120 END WHEN 2 THEN 138 ELSE 120 END::INTEGER AS bpm FROM notes""")
+def tempo_texts(notes):
+    i = F.col("note_idx") % 4
+    text = F.when(i == 0, F.concat(F.lit("Allegro [quarter] = "), (40 + F.col("pitch")).cast("string"))).when(i == 1, F.concat(F.lit("about "), F.col("dur_ms").cast("string"))).when(i == 2, "Allegro molto").otherwise("unknown")
+    return notes.select("piece_id", "note_idx", T.tempo(text).alias("bpm"))
+
+
+@query("tokens", sql="SELECT doc_id, line_no, m.dur AS dur, m.token AS token FROM (SELECT doc_id, line_no, min({'dur': dur, 'spine': spine, 'token': token}) AS m FROM tokens GROUP BY ALL)")
+def shortest_per_line(tokens):
+    return K.shortest(tokens)
+
+
+_KNOWN = "(SELECT DISTINCT token FROM tokens WHERE doc_id % 10 = 0)"
+
+
+@query("tokens", sql=f"SELECT token, count(*) AS n FROM tokens WHERE token NOT IN {_KNOWN} GROUP BY token")
+def unknown_tokens(tokens):
+    return K.unknown(tokens, tokens.where("doc_id % 10 = 0").select("token").distinct())
+
+
+@query("tokens", sql=f"""SELECT t.doc_id, count(*) AS n_tokens, bool_or(v.id IS NULL) AS has_oov, array_to_string(list(coalesce(v.id, -1) ORDER BY t.line_no, t.spine), ',') AS ids FROM tokens t LEFT JOIN (SELECT token, length(token) * 100 AS id FROM {_KNOWN}) v USING (token) GROUP BY t.doc_id""")
+def encoded_documents(tokens):
+    vocab = tokens.where("doc_id % 10 = 0").select("token", (F.length("token") * 100).alias("id")).distinct()
+    return K.encoded(tokens, vocab).withColumn("ids", F.array_join(F.transform("ids", lambda x: F.coalesce(x, F.lit(-1)).cast("string")), ","))
+
+
+@query("tokens", sql="""WITH l AS (SELECT doc_id, line_no, kind, count(*) AS n FROM tokens WHERE kind IN ('data', 'bar') GROUP BY ALL), p AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM l),
+    s AS (SELECT doc_id, line_no, -1 AS spine, 0 AS sub, '<nl>' AS token FROM p WHERE kind = 'data' AND before = 'data' UNION ALL SELECT doc_id, line_no, 0, 0, '<bar>' FROM p WHERE kind = 'bar' UNION ALL SELECT doc_id, line_no, spine, 1, token FROM tokens WHERE kind = 'data'
+    UNION ALL SELECT doc_id, line_no, spine, 0, '<coc>' FROM tokens WHERE kind = 'data' AND spine > 0 UNION ALL SELECT doc_id, min(line_no) - 1, 0, 0, '<sos>' FROM l GROUP BY doc_id UNION ALL SELECT doc_id, max(line_no) + 1, 0, 0, '<eos>' FROM l GROUP BY doc_id)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no, spine, sub) - 1 AS INTEGER) AS pos, token FROM s""".join(("SELECT * FROM (", ")")))
+def token_sequences(tokens):
+    return K.sequence(tokens)
+
+
+@query("tokens", sql="""SELECT doc_id, bar_group, count(*) AS n FROM (SELECT doc_id, coalesce(count(*) FILTER (WHERE kind = 'bar' AND spine = 0) OVER (PARTITION BY doc_id ORDER BY line_no, spine ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bar_group FROM tokens) GROUP BY ALL""")
+def tokens_by_bar(tokens):
+    rows = tokens.withColumn("pos", F.col("line_no") * 1_000_000 + F.col("spine"))
+    return K.by_bar(rows, (F.col("kind") == "bar") & (F.col("spine") == 0)).groupBy("doc_id", "bar_group").agg(F.count("*").alias("n"))
+
+
+@query("lines", sql="""SELECT doc_id, line_no, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no), first_value(v IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS meter
+    FROM (SELECT *, CASE WHEN kind = 'interp' THEN length(line) END AS v FROM lines)""")
+def carried_meter(lines):
+    return K.carried(lines, F.when(F.col("kind") == "interp", F.length("line")), "meter").select("doc_id", "line_no", F.col("meter").cast("long").alias("meter"))
+
+
+@query("tokens", sql="""SELECT doc_id, spine, line_no, dur, group_no, in_group FROM (SELECT *, rk // 3 AS group_no, CAST(rk % 3 AS INTEGER) AS in_group, ct // 3 AS n_groups FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, spine, island, dur ORDER BY line_no) - 1 AS rk, count(*) OVER (PARTITION BY doc_id, spine, island, dur) AS ct
+    FROM (SELECT *, count(*) FILTER (WHERE kind = 'bar' OR dur > 9) OVER (PARTITION BY doc_id, spine ORDER BY line_no) AS island FROM tokens WHERE spine < 4) WHERE dur IN (2, 3, 5) AND kind <> 'bar')) WHERE group_no < n_groups""")
+def complete_tuplets(tokens):
+    found = K.complete_tuplets(tokens.where("spine < 4"), 3, F.col("dur").isin(2, 3, 5) & (F.col("kind") != "bar"), (F.col("kind") == "bar") | (F.col("dur") > 9))
+    return found.select("doc_id", "spine", "line_no", "dur", F.col("group_no").cast("long").alias("group_no"), F.col("in_group").cast("int").alias("in_group"))
+
+
+_PAIRS = ", ".join(f"({2**i}, {2 ** (i + 1)})" for i in range(7))
+
+
+@query("notes", sql=f"""WITH g AS (SELECT DISTINCT dur_ms % 128 + 1 AS d, note_idx % 12 + 1 AS n FROM notes), x AS (SELECT g.d, g.n, p.l, p.s, l * n * (s - d) AS over_, d * (s - l) AS under FROM g CROSS JOIN (VALUES {_PAIRS}) AS p(l, s)),
+    e AS (SELECT d, n, min({{'l': l, 's': s, 'x': over_ // under}}) AS b FROM x WHERE over_ % under = 0 AND over_ >= 0 AND over_ <= n * under GROUP BY d, n)
+    SELECT g.d, g.n, coalesce(b.x, g.n) AS n_long, coalesce(g.n - b.x, 0) AS n_short, b IS NOT NULL AS exact FROM g LEFT JOIN e USING (d, n)""".join(("SELECT * FROM (", ")")))
+def quantized_groups(notes):
+    groups = notes.select((F.col("dur_ms") % 128 + 1).alias("d"), (F.col("note_idx") % 12 + 1).alias("n")).distinct()
+    return K.quantized_groups(groups).select("d", "n", "n_long", "n_short", "exact")
+
+
+@query("conversations", sql="SELECT conv_id AS doc_id, turn AS order_pos, role AS section, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS INTEGER) AS occurrence, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) > 1 AS is_repeat FROM conversations")
+def section_occurrences(conversations):
+    return R.occurrences(conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("order_pos"), F.col("role").alias("section")))
+
+
+_ORDER = "SELECT doc_id, unnest(range(0, 4)) AS order_pos, unnest(['A', 'A', 'B1', 'B2']) AS section FROM (SELECT DISTINCT doc_id FROM lines)"
+_SECTIONS = "SELECT doc_id, unnest(['A', 'B1', 'B2']) AS section, unnest([1, n // 2 + 1, n]) AS first, unnest([greatest(1, n // 2), n, n]) AS last FROM (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id)"
+
+
+def _order(lines):
+    return lines.select("doc_id").distinct().select("doc_id", F.posexplode(F.array(*(F.lit(x) for x in ("A", "A", "B1", "B2")))).alias("order_pos", "section"))
+
+
+def _sections(lines):
+    n = F.floor(F.col("n") / 2)
+    part = lambda s, a, b: F.struct(F.lit(s).alias("section"), a.cast("long").alias("first"), b.cast("long").alias("last"))
+    parts = F.array(part("A", F.lit(1), F.greatest(F.lit(1), n)), part("B1", n + 1, F.col("n")), part("B2", F.col("n"), F.col("n")))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.*")
+
+
+@query("lines", sql=f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY order_pos, line_no) AS expanded_line, line_no, section, CAST(order_pos AS INTEGER) AS order_pos FROM ({_ORDER}) o JOIN ({_SECTIONS}) s USING (doc_id, section) JOIN lines l USING (doc_id) WHERE l.line_no BETWEEN s.first AND s.last""")
+def expanded_repeats(lines):
+    return R.expanded(_order(lines), _sections(lines), lines).select("doc_id", "expanded_line", "line_no", "section", "order_pos")
+
+
+@query("lines", sql=f"""SELECT doc_id, expanded_line, count(*) FILTER (WHERE kind = 'bar') OVER (PARTITION BY doc_id ORDER BY expanded_line) AS new_measure FROM (SELECT doc_id, kind, row_number() OVER (PARTITION BY doc_id ORDER BY order_pos, line_no) AS expanded_line FROM ({_ORDER}) o JOIN ({_SECTIONS}) s USING (doc_id, section) JOIN lines l USING (doc_id) WHERE l.line_no BETWEEN s.first AND s.last)""")
+def renumbered_barlines(lines):
+    return R.renumbered(R.expanded(_order(lines), _sections(lines), lines), "expanded_line").select("doc_id", "expanded_line", "new_measure")
+
+
+@query("lines", sql="SELECT doc_id, order_pos::INTEGER AS order_pos, section, CASE section WHEN 'B1' THEN 'first' WHEN 'B2' THEN 'second' END AS ending FROM (" + _ORDER + ")")
+def section_endings(lines):
+    return R.endings(_order(lines)).select("doc_id", "order_pos", "section", "ending")
+
+
+@query("lines", sql=f"SELECT doc_id, lines, expanded_lines, round(expanded_lines / lines, 9) AS ratio FROM (SELECT doc_id, sum(last - first + 1)::BIGINT AS lines, sum((last - first + 1) * CASE section WHEN 'A' THEN 2 ELSE 1 END)::BIGINT AS expanded_lines FROM ({_SECTIONS}) GROUP BY doc_id)")
+def expansion_ratios(lines):
+    return R.ratio(_order(lines), _sections(lines))
+
+
+QUERIES, ORACLE_SQL = query.queries, query.sql
