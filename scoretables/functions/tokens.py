@@ -152,7 +152,7 @@ def plain_barline(line: Column) -> Column:
 def expansion_order(text: Column) -> Column:
     """Section names in playback order, or null."""
     inside = F.regexp_extract(text, r"\*>\[([^\]]+)\]", 1)
-    return F.when(inside != "", F.transform(F.split(inside, ","), F.trim))
+    return F.when(inside != "", F.transform(F.split(inside, ","), lambda x: F.trim(x)))
 
 
 def key_name(signature: Column) -> Column:

@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("piece_id").orderBy("onset_ms", "note_idx")
+
+def in_order() -> Window:
+    """The notes of a piece by onset, then number."""
+    return Window.partitionBy("piece_id").orderBy("onset_ms", "note_idx")
 
 
 def features(notes: DataFrame) -> DataFrame:
     """Local mean duration (five notes either side) and the ratio to it, intervals to neighbours, place in the piece."""
-    near = ORDER.rowsBetween(-5, 5)
-    before, after = F.lag("pitch").over(ORDER), F.lead("pitch").over(ORDER)
+    near = in_order().rowsBetween(-5, 5)
+    before, after = F.lag("pitch").over(in_order()), F.lead("pitch").over(in_order())
     return notes.withColumns({
         "local_mean": F.avg("dur_ms").over(near), "relative": F.col("dur_ms") / F.avg("dur_ms").over(near),
         "from_previous": F.coalesce(F.col("pitch") - before, F.lit(0)), "to_next": F.coalesce(after - F.col("pitch"), F.lit(0)),
-        "repeated": F.coalesce(before == F.col("pitch"), F.lit(False)), "after_fermata": F.coalesce(F.lag("has_fermata").over(ORDER), F.lit(False)),
-        "place": (F.row_number().over(ORDER) - 1) / F.count("*").over(Window.partitionBy("piece_id")),
+        "repeated": F.coalesce(before == F.col("pitch"), F.lit(False)), "after_fermata": F.coalesce(F.lag("has_fermata").over(in_order()), F.lit(False)),
+        "place": (F.row_number().over(in_order()) - 1) / F.count("*").over(Window.partitionBy("piece_id")),
     })
 
 
@@ -49,7 +52,7 @@ def sounding_together(notes: DataFrame, slack_ms: int = 10, width: int = 2000) -
 
 def melodic_motion(notes: DataFrame) -> DataFrame:
     """Kind of motion through each note by its steps: passing, neighbour, appoggiatura, escape, or none."""
-    a, b = F.col("pitch") - F.lag("pitch").over(ORDER), F.lead("pitch").over(ORDER) - F.col("pitch")
+    a, b = F.col("pitch") - F.lag("pitch").over(in_order()), F.lead("pitch").over(in_order()) - F.col("pitch")
     step, leap = lambda x: F.abs(x).between(1, 2), lambda x: F.abs(x) > 2
     motion = F.when(step(a) & step(b) & (F.signum(a) == F.signum(b)), "passing").when(step(a) & step(b), "neighbour").when(leap(a) & step(b), "appoggiatura").when(step(a) & leap(b), "escape").otherwise("none")
     score = F.when(motion.isin("passing", "neighbour"), 0.4).when(motion == "appoggiatura", 0.35).when(motion == "escape", 0.3).otherwise(0.0)
@@ -89,7 +92,7 @@ def drift(notes: DataFrame, offset: Column) -> DataFrame:
 
 def shifted_after(notes: DataFrame, extra: Column) -> DataFrame:
     """``shift``: what the notes before this one add."""
-    return notes.withColumn("shift", F.coalesce(F.sum(extra).over(ORDER.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return notes.withColumn("shift", F.coalesce(F.sum(extra).over(in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
 def final_ritard(notes: DataFrame, measure_ms: int = 2000, beat_ms: int = 500, k: float = 0.5) -> DataFrame:
@@ -165,7 +168,7 @@ def mordents(notes: DataFrame, note_ms: int = 60, interval: int = -1) -> DataFra
 
 def tremolos(notes: DataFrame, hit_ms: int = 125) -> DataFrame:
     """Hits of equal length that fill each note, alternating with the next note's pitch."""
-    other = F.coalesce(F.lead("pitch").over(ORDER), F.col("pitch"))
+    other = F.coalesce(F.lead("pitch").over(in_order()), F.col("pitch"))
     n = F.greatest(F.lit(1), F.floor(F.col("dur_ms") / hit_ms)).cast("int")
     rows = notes.withColumn("other", other).withColumn("k", F.explode(F.sequence(F.lit(0), n - 1)))
     return rows.select("piece_id", "note_idx", "k", (F.col("onset_ms") + F.col("k") * hit_ms).alias("onset_ms"), F.when(F.col("k") % 2 == 0, F.col("pitch")).otherwise(F.col("other")).alias("pitch"))
@@ -173,7 +176,7 @@ def tremolos(notes: DataFrame, hit_ms: int = 125) -> DataFrame:
 
 def grace_notes(notes: DataFrame, is_grace: Column, length_ms: int = 80) -> DataFrame:
     """A grace note takes its time from the main note after it, which starts later and is shorter."""
-    after = F.coalesce(F.lag(is_grace).over(ORDER), F.lit(False))
+    after = F.coalesce(F.lag(is_grace).over(in_order()), F.lit(False))
     taken = F.when(after, F.least(F.lit(length_ms), F.floor(F.col("dur_ms") / 2))).otherwise(0)
     return notes.withColumns({"main_onset_ms": F.col("onset_ms") + taken, "main_dur_ms": F.col("dur_ms") - taken})
 

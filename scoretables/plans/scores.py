@@ -9,18 +9,8 @@ from scoretables.operators import repeats as R
 from scoretables.operators import segments as S
 from scoretables.operators import tokens as K
 from scoretables.plans.registry import Family
-from scoretables.sources import standins
 
 query = Family()
-# Score-like tokens from notes: duration, dot, letters, accidental, marks.
-standins.VIEWS["kern"] = (("notes",), r"""
-SELECT piece_id, note_idx, concat(CASE WHEN note_idx % 13 = 0 THEN '[' ELSE '' END, CASE dur_ms % 7 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '4' WHEN 3 THEN '8' WHEN 4 THEN '16' WHEN 5 THEN '12' ELSE '24' END,
-    CASE WHEN velocity % 4 = 0 THEN '.' ELSE '' END, CASE WHEN pitch % 9 = 0 THEN 'r' ELSE repeat(CASE WHEN velocity % 2 = 0 THEN substr('CDEFGAB', CAST(pitch % 7 + 1 AS INT), 1) ELSE substr('cdefgab', CAST(pitch % 7 + 1 AS INT), 1) END, CAST(note_idx % 3 + 1 AS INT)) END,
-    CASE WHEN pitch % 9 = 0 THEN '' WHEN pitch % 5 = 0 THEN '#' WHEN pitch % 5 = 1 THEN '-' WHEN pitch % 5 = 2 THEN 'n' WHEN pitch % 5 = 3 THEN '##' ELSE '' END,
-    CASE note_idx % 6 WHEN 0 THEN '/' WHEN 1 THEN 'L' WHEN 2 THEN '~' WHEN 3 THEN 'J' WHEN 4 THEN '''' ELSE '' END, CASE WHEN note_idx % 13 = 1 THEN ']' ELSE '' END) AS token FROM notes
-""")
-
-
 @query("lines", sql="""WITH b AS (SELECT *, CASE WHEN kind = 'bar' AND line_no % 3 = 0 THEN line_no END AS number, count(*) FILTER (WHERE kind = 'bar') OVER (PARTITION BY doc_id ORDER BY line_no) AS bar FROM lines),
     e AS (SELECT *, max(CASE WHEN number IS NOT NULL THEN bar END) OVER (PARTITION BY doc_id ORDER BY line_no) AS known FROM b),
     n AS (SELECT e.*, x.number AS explicit FROM e LEFT JOIN (SELECT doc_id, bar, number FROM e WHERE number IS NOT NULL) x ON e.doc_id = x.doc_id AND e.known = x.bar),

@@ -55,11 +55,20 @@ SELECT CASE WHEN d.doc_id % 2 = 0 THEN concat(substr(d.source, 4), '#', d.doc_id
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id % 5 < 2
 """
 
+# Score-like tokens from notes: tie, duration, dot, letters, accidental, marks.
+KERN = r"""
+SELECT piece_id, note_idx, concat(CASE WHEN note_idx % 13 = 0 THEN '[' ELSE '' END, CASE dur_ms % 7 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '4' WHEN 3 THEN '8' WHEN 4 THEN '16' WHEN 5 THEN '12' ELSE '24' END,
+    CASE WHEN velocity % 4 = 0 THEN '.' ELSE '' END, CASE WHEN pitch % 9 = 0 THEN 'r' ELSE repeat(CASE WHEN velocity % 2 = 0 THEN substr('CDEFGAB', CAST(pitch % 7 + 1 AS INT), 1) ELSE substr('cdefgab', CAST(pitch % 7 + 1 AS INT), 1) END, CAST(note_idx % 3 + 1 AS INT)) END,
+    CASE WHEN pitch % 9 = 0 THEN '' WHEN pitch % 5 = 0 THEN '#' WHEN pitch % 5 = 1 THEN '-' WHEN pitch % 5 = 2 THEN 'n' WHEN pitch % 5 = 3 THEN '##' ELSE '' END,
+    CASE note_idx % 6 WHEN 0 THEN '/' WHEN 1 THEN 'L' WHEN 2 THEN '~' WHEN 3 THEN 'J' WHEN 4 THEN '''' ELSE '' END, CASE WHEN note_idx % 13 = 1 THEN ']' ELSE '' END) AS token FROM notes
+"""
+
 #: View name to the tables it is made from and its text; in order of dependence.
 VIEWS = {
     "results": (("events",), RESULTS),
     "notes": (("events",), NOTES),
     "directions": (("notes",), DIRECTIONS),
+    "kern": (("notes",), KERN),
     "lines": (("documents",), LINES),
     "tokens": (("lines",), TOKENS),
     "measures": (("lines",), MEASURES),
