@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from scoretables.llm import tables
 
-FIT, WORDS, GRAMS = 20_000, 200_000, 200_000
+FIT, WORDS, GRAMS = 20_000, 150_000, 150_000
 ORDERS = (5, 4, 3, 2, 1)
 #: A text's evidence counts as that of so many words at most, which keeps scores away from exactly 1.
 EVIDENCE = 40
@@ -52,14 +52,14 @@ class Model:
     def __init__(self, languages: list[str], words: dict[str, int], word_table: np.ndarray, grams: dict[str, int], gram_table: np.ndarray):
         self.languages, self.words, self.grams = languages, words, grams
         self.word_table, self.gram_table = word_table, gram_table
-        self._unseen: dict[str, np.ndarray] = {}
+        self._unseen: dict[str, list[int]] = {}
 
-    def _backed_off(self, word: str) -> np.ndarray:
+    def _backed_off(self, word: str) -> list[int]:
+        """Rows of the n-gram table for an unseen word: those of the longest order of which any is known."""
         if (out := self._unseen.get(word)) is None:
-            out = np.zeros(len(self.languages))
+            out = []
             for order in ORDERS:
-                if rows := [r for g in grams_of(word, order) if (r := self.grams.get(g)) is not None]:
-                    out = self.gram_table[rows].mean(axis=0)
+                if out := [r for g in grams_of(word, order) if (r := self.grams.get(g)) is not None]:
                     break
             if len(self._unseen) > 100_000:
                 self._unseen.clear()
@@ -70,16 +70,16 @@ class Model:
         counts = words_of(body) if body else None
         if not counts or not self.languages:
             return UND, 0.0
-        total, rows, weights = np.zeros(len(self.languages)), [], []
+        rows, weights, grams, shares = [], [], [], []
         for word, n in counts.items():
             row = self.words.get(word)
-            if row is None:
-                total += n * self._backed_off(word)
-            else:
+            if row is not None:
                 rows.append(row)
                 weights.append(n)
-        if rows:
-            total += np.array(weights, float) @ self.word_table[rows]
+            elif found := self._backed_off(word):
+                grams += found
+                shares += [n / len(found)] * len(found)
+        total = np.array(weights, float) @ self.word_table[np.array(rows, int)] + np.array(shares, float) @ self.gram_table[np.array(grams, int)]
         n = sum(counts.values())
         total *= min(1.0, EVIDENCE / n)
         best = int(total.argmax())
@@ -93,14 +93,12 @@ def _normalised(counts: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out - top - np.log(np.exp(out - top).sum(axis=1, keepdims=True))
 
 
-def _table(rows: list, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
+def _table(rows: pa.Table, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
     place = {x: i for i, x in enumerate(languages)}
     index: dict[str, int] = {}
-    for r in rows:
-        index.setdefault(r.item, len(index))
+    at = [index.setdefault(x, len(index)) for x in rows.column("item").to_pylist()]
     counts = np.zeros((len(index), len(languages)))
-    for r in rows:
-        counts[index[r.item], place[r.lang]] += r.n
+    np.add.at(counts, (at, [place[x] for x in rows.column("lang").to_pylist()]), rows.column("n").to_numpy())
     return index, counts
 
 
@@ -130,9 +128,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     grams = grams.groupBy("lang", "item").agg(F.sum("n").alias("n"))
     languages = sorted(r.lang for r in words.select("lang").distinct().collect())
     size = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    index, counts = _table(words.orderBy(F.desc("n"), "item", "lang").limit(WORDS).collect(), languages)
+    index, counts = _table(words.orderBy(F.desc("n"), "item", "lang").limit(WORDS).toArrow(), languages)
     table = _normalised(counts, np.array([size[x] for x in languages], float))
-    gram_index, gram_counts = _table(grams.orderBy(F.desc("n"), "item", "lang").limit(GRAMS).collect(), languages)
+    gram_index, gram_counts = _table(grams.orderBy(F.desc("n"), "item", "lang").limit(GRAMS).toArrow(), languages)
     orders = np.array([len(g) for g in gram_index])
     gram_table = np.zeros_like(gram_counts)
     for order in ORDERS:
