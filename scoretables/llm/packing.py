@@ -16,7 +16,10 @@ gives no pieces.
 
 from __future__ import annotations
 
-import re
+import itertools
+import json
+import pathlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +31,52 @@ from scoretables.llm import tables
 LENGTH = 2048
 #: Sequences of a window, the run over which the mixture is kept.
 WINDOW = 64
+# Fixed value: the pattern by which byte-level BPE tokenizers of this family split a text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Rows of a block, and rounds of a block, whose sums are added up together.
-BLOCK_BITS, ROUNDS = 12, 4096
-_ODD_SPACE = re.compile(r"\s |^ | \s| $")
+BLOCK_BITS, ROUNDS = 10, 4096
+#: White space other than the blank, as any of the libraries understands it.
+_SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f"
+_WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def single_blanks(body: str) -> bool:
+    """Whether every blank stands between two characters that are not white space, and no wide space occurs."""
+    if body[0] == " " or body[-1] == " " or "  " in body:
+        return False
+    for c in _SPACES:
+        if c in body and (c + " " in body or " " + c in body):
+            return False
+    return body.isascii() or not any(c in body for c in _WIDE_SPACES)
+
+
+def _byte_letters() -> dict[str, int]:
+    """The printable character that byte-level BPE files write for each byte, back to the byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def fast_encoding(path: str):
+    """A tiktoken encoding with the ids of the tokenizer file, or None where the file's rules differ.
+
+    They agree if the file is a byte-level BPE without a leading blank, with the usual pattern, whose merges make the
+    ids in rising order, because then the order of merges is the order of ids.
+    """
+    import tiktoken
+
+    kind = json.loads(pathlib.Path(path).read_text(encoding="utf-8"))
+    model, split = kind["model"], kind.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and kind.get("normalizer") is None
+    if not plain or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    letters, vocab = _byte_letters(), model["vocab"]
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if made != sorted(set(made)) or len(made) + 256 + len({t["content"] for t in kind.get("added_tokens", ())} & set(vocab)) < len(vocab):
+        return None
+    extra = {t["content"] for t in kind.get("added_tokens", ())}
+    ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in extra}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class Encoder:
@@ -38,36 +84,44 @@ class Encoder:
 
     The tokenizer splits a text before any blank that stands between two other characters, so such parts are encoded
     one by one, each with its blank, and found again the next time. A text with other white space around a blank is
-    encoded whole. The memory is emptied when it holds ``most`` parts.
+    encoded whole. Of ``most`` parts held the later half is forgotten. Files whose rules fast_encoding() does not
+    cover are left to the tokenizers library.
     """
 
     def __init__(self, path: str, most: int = 300_000):
-        import tokenizers
+        self.fast, self.most = fast_encoding(path), most
+        self.known: dict[str, bytes] = {}
+        if self.fast is None:
+            import tokenizers
 
-        self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.most, self.known = most, {}
+            self.tokenizer = tokenizers.Tokenizer.from_file(path)
+            self.tokenizer.encode_special_tokens = True
 
-    def _fill(self, parts: list[str]) -> None:
-        new = [x for x in dict.fromkeys(parts) if x not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list(dict.fromkeys(parts))
-        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[part] = np.array(found.ids, "<u4").tobytes()
+    def _whole(self, body: str) -> bytes:
+        if self.fast is None:
+            return np.array(self.tokenizer.encode(body, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.fast.encode_ordinary(body)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = []
-        for x in texts:
-            if not x or _ODD_SPACE.search(x):
-                split.append([x] if x else [])
-            else:
-                first, *rest = x.split(" ")
-                split.append([first, *(" " + y for y in rest)])
-        self._fill([y for parts in split for y in parts])
-        known = self.known
-        return [b"".join([known[y] for y in parts]) for parts in split]
+        out, known = [], self.known
+        for body in texts:
+            if not body or self.fast is None or not single_blanks(body):
+                out.append(self._whole(body) if body else b"")
+                continue
+            first, *parts = body.split(" ")
+            found = [known.get(x) for x in parts]
+            if None in found:
+                for i, x in enumerate(found):
+                    if x is None:
+                        part = parts[i]
+                        found[i] = known[part] = self._whole(" " + part)
+                if len(known) > self.most:
+                    # Frequent parts were met first; the later half makes room.
+                    known = self.known = dict(itertools.islice(known.items(), self.most // 2))
+            out.append(self._whole(first) + b"".join(found))
+        return out
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
