@@ -17,9 +17,13 @@ def _each(text: str) -> str:
     return ", ".join(text.replace("{m}", m) for m in M)
 
 
-@query("results", sql=f"""SELECT system, count(*) AS n_total, count(*) FILTER (WHERE {OK}) AS n_success, round(count(*) FILTER (WHERE {OK}) / count(*), 9) AS success_rate,
+#: The overall summary, also of results that took other ways.
+OVERALL = f"""SELECT system, count(*) AS n_total, count(*) FILTER (WHERE {OK}) AS n_success, round(count(*) FILTER (WHERE {OK}) / count(*), 9) AS success_rate,
     {_each("round(avg({m}) FILTER (WHERE status = 'success'), 9) AS {m}_mean")}, {_each("round(coalesce(sum({m}) FILTER (WHERE status = 'success'), 0) / count(*), 9) AS {m}_strict")}
-    FROM results GROUP BY system""")
+    FROM results GROUP BY system"""
+
+
+@query("results", sql=OVERALL)
 def overall_summary(results):
     return summaries.overall(results)
 

@@ -15,7 +15,7 @@ from scoretables.streaming import results as stream
 query = Family()
 
 
-@query("results", sql=evaluation.query.sql["overall_summary"].split("SELECT system, count(*) AS n_total", 1)[1].join(("SELECT system, count(*) AS n_total", "")))
+@query("results", sql=evaluation.OVERALL)
 def results_file_round_trip(results):
     """A result log written in two appends, read as strings, repaired and summarised."""
     path = S.shared_path(results.sparkSession, "log")
@@ -62,7 +62,7 @@ def provenance_round_trip(manifest):
     return back.select("record.stem", F.col("record.k_values")["rubato"].alias("rubato"), F.col("record.k_values")["jitter"].alias("jitter"))
 
 
-@query("results", sql=evaluation.query.sql["overall_summary"].split("SELECT system, count(*) AS n_total", 1)[1].join(("SELECT system, count(*) AS n_total", "")))
+@query("results", sql=evaluation.OVERALL)
 def streamed_summary(results):
     """The overall summary of results that arrive as files, failures first and then every final row."""
     spark = results.sparkSession
