@@ -107,10 +107,13 @@ def candidates(reps: DataFrame) -> DataFrame:
         elif full.isEmpty():
             break
         else:
-            around = F.concat("sig", "sig")
-            deeper = full.select("id", "tree").join(reps, "id")
-            at = 4 * DEPTH * F.col("tree") + 1
-            open_rows = deeper.select("id", "tree", F.xxhash64(F.substring(around, at, F.lit(4 * DEPTHS[step + 1]))).alias("key"))
+            deeper = DEPTHS[step + 1 :]
+            if step == 0:
+                # One join gives the rows of full regions their prefixes of every greater depth.
+                around, at = F.concat("sig", "sig"), 4 * DEPTH * F.col("tree") + 1
+                keys = (F.xxhash64(F.substring(around, at, F.lit(4 * d))).alias(f"key{d}") for d in deeper)
+                full = full.select("id", "tree").join(reps, "id").select("id", "tree", *keys)
+            open_rows = full.select("id", "tree", F.col(f"key{deeper[0]}").alias("key"), *(f"key{d}" for d in deeper[1:]))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
