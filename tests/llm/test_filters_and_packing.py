@@ -128,3 +128,12 @@ def test_crc_of_pieces(spark):
     docs = spark.createDataFrame([(1, "the end", "s")], "doc_id long, text string, source string")
     r = packing.pack(docs, PATH).select(F.crc32("ids").alias("c"), "ids").first()
     assert r.c == zlib.crc32(bytes(r.ids))
+
+
+def test_other_tokenizer_files_are_left_to_their_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = packing.Encoder(path)
+    assert encoder.fast is None and packing.Encoder(PATH).fast is not None
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    assert encoder.encode(["Hello  World!", ""]) == [np.array(plain.encode("Hello  World!", add_special_tokens=False).ids, "<u4").tobytes(), b""]
