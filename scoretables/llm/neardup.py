@@ -3,8 +3,8 @@
 A signature holds ``TREES * DEPTH`` min-hashes of a document's word shingles. Each tree sorts the signatures, read from
 its own place on and around the end. Candidates are those that share the longest common prefix there: a region (all
 documents with the same prefix of LEAST min-hashes) of up to REGION documents pairs them all; a fuller one is read
-deeper, prefix by prefix, until its parts are that small. What still shares the deepest prefix is paired with the
-part's smallest id. Pairs whose signatures agree far too little are dropped, all others are confirmed on full sets.
+deeper, prefix by prefix, until its parts are that small. At every depth all members of a fuller region are paired with
+its smallest id too. Pairs whose signatures agree far too little are dropped, all others are confirmed on full sets.
 
 Documents with equal sets are one class and take part once. Confirmation has two rounds: first each document's most
 alike partners; then, of the rest, the pairs that the links found so far leave in different components.
@@ -102,11 +102,10 @@ def candidates(reps: DataFrame) -> DataFrame:
         small = small.select("ids", F.posexplode("ids").alias("i", "a"))
         found.append(small.select("a", F.explode(F.slice("ids", F.col("i") + 2, REGION)).alias("b")))
         full = shared.where(F.col("n") > REGION)
-        if step + 1 == len(DEPTHS):
-            found.append(full.select(F.col("leader").alias("a"), F.col("id").alias("b")))
-        elif full.isEmpty():
+        found.append(full.select(F.col("leader").alias("a"), F.col("id").alias("b")))
+        if full.isEmpty():
             break
-        else:
+        if step + 1 < len(DEPTHS):
             deeper = DEPTHS[step + 1 :]
             if step == 0:
                 # One join gives the rows of full regions their prefixes of every greater depth.
