@@ -6,8 +6,9 @@ documents with the same prefix of LEAST min-hashes) of up to REGION documents pa
 deeper, prefix by prefix, until its parts are that small. At every depth all members of a fuller region are paired with
 its smallest id too. Pairs whose signatures agree far too little are dropped, all others are confirmed on full sets.
 
-Documents with equal sets are one class and take part once. Confirmation has two rounds: first each document's most
-alike partners; then, of the rest, the pairs that the links found so far leave in different components.
+Documents with equal sets are one class and take part once. Confirmation has three rounds: first each document's most
+alike partners; then, of the rest, the pairs that the links found so far leave in different components; last, all pairs
+of a full region of LEAST min-hashes that are still in different components, compared tile by tile inside tasks.
 
 Defined results: null or empty texts, and texts without words, have no shingles, are linked with nothing and kept;
 texts of fewer words than a shingle are one shingle; rows that repeat an id are judged as one document; rows with a
@@ -31,6 +32,9 @@ LEAST = 3
 #: Prefix lengths at which a region's size is looked at.
 DEPTHS = (LEAST, 4, 5, 6, 8, 12, 24)
 REGION = 16
+#: Rows, and bytes of shingles, of a tile of a full region, on average.
+TILE = 256
+TILE_BYTES = 8 << 20
 #: Partners of each document in the first round of confirmation.
 FIRST = 3
 _PERMS = TREES * DEPTH
@@ -92,8 +96,9 @@ def _keys(reps: DataFrame, depth: int) -> DataFrame:
     return reps.select("id", F.posexplode(trees).alias("tree", "key"))
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of classes that are prefix neighbours in some tree. ``reps``: a written table of id, sig."""
+def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs a < b of classes that are prefix neighbours in some tree, and the rows ``tree``, ``key``, ``id`` of
+    full regions, of whose pairs they are a part. ``reps``: a written table of id, sig."""
     found, open_rows = [], _keys(reps, DEPTHS[0])
     for step, depth in enumerate(DEPTHS):
         sizes = tables.scratch(open_rows.groupBy("tree", "key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1"), "regions")
@@ -102,6 +107,8 @@ def candidates(reps: DataFrame) -> DataFrame:
         small = small.select("ids", F.posexplode("ids").alias("i", "a"))
         found.append(small.select("a", F.explode(F.slice("ids", F.col("i") + 2, REGION)).alias("b")))
         full = shared.where(F.col("n") > REGION)
+        if step == 0:
+            crowded = full.select("tree", "key", "id")
         found.append(full.select(F.col("leader").alias("a"), F.col("id").alias("b")))
         if full.isEmpty():
             break
@@ -116,7 +123,7 @@ def candidates(reps: DataFrame) -> DataFrame:
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    return pairs.where("a < b").distinct()
+    return pairs.where("a < b").distinct(), crowded
 
 
 def _agreement(pairs: DataFrame) -> DataFrame:
@@ -152,6 +159,104 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) ->
     return tables.map_text(joined, "a long, b long, common long, total long", make, "body_b")
 
 
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """``id``, ``sig`` and ``shingles`` (the set's hashes as bytes) of each text that has shingles."""
+
+    def make():
+        own = _permutations()
+
+        def work(batch):
+            sets = shingle_sets(batch.column("body"), width)
+            held = np.array([len(s) > 0 for s in sets], bool)
+            sets = [s for s in sets if len(s)]
+            return {
+                "id": batch.column("id").filter(pa.array(held)),
+                "sig": pa.array([signature(s, own).tobytes() for s in sets], pa.binary()),
+                "shingles": pa.array([s.astype(np.uint64).tobytes() for s in sets], pa.binary()),
+            }
+
+        return work
+
+    return tables.map_text(texts, "id long, sig binary, shingles binary", make, "body")
+
+
+def _tile(rows) -> tuple[np.ndarray, list[int], np.ndarray, list[np.ndarray], np.ndarray]:
+    sigs = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint32).reshape(-1, _PERMS)
+    sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
+    return np.array([r["id"] for r in rows], np.int64), [r["root"] for r in rows], sigs, sets, np.array([len(s) for s in sets])
+
+
+def _tile_links(one, two, same: bool, tree: int, threshold: int) -> list[tuple[int, int]]:
+    """Links between two tiles of a region of ``tree`` that join all components which any link between them joins."""
+    ids, roots, sigs, sets, sizes = one
+    ids2, roots2, sigs2, sets2, sizes2 = two
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(p, p)
+        return x
+
+    links, other = [], np.array(roots2, np.int64)
+    for i, own in enumerate(sets):
+        able = (other != roots[i]) & (100 * np.minimum(sizes[i], sizes2) >= threshold * np.maximum(sizes[i], sizes2))
+        if same:
+            able[: i + 1] = False
+        js = np.flatnonzero(able)
+        equal = sigs2[js] == sigs[i]
+        alike = equal.mean(axis=1)
+        # A pair that shares a region of an earlier tree was a candidate there or is compared there.
+        earlier = equal.reshape(len(js), TREES, DEPTH)[:, :tree, :LEAST].all(axis=2).any(axis=1)
+        kept = np.flatnonzero((alike >= threshold / 100 - SLACK) & ~earlier)
+        js, step = js[kept[np.argsort(-alike[kept], kind="stable")]], 4
+        while len(js := js[np.array([find(roots2[j]) != find(roots[i]) for j in js.tolist()], bool)]):
+            now, js = js[:step], js[step:]
+            step *= 2
+            many = np.concatenate([sets2[j] for j in now.tolist()])
+            hit = own[np.minimum(np.searchsorted(own, many), len(own) - 1)] == many
+            common = np.add.reduceat(hit, np.cumsum([0, *sizes2[now[:-1]]]), dtype=np.int64)
+            for j in now[100 * common >= threshold * (sizes[i] + sizes2[now] - common)].tolist():
+                a, b = find(roots[i]), find(roots2[j])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    links.append((int(ids[i]), int(ids2[j])))
+    return links
+
+
+def completed(crowded: DataFrame, roots: DataFrame, source: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Links ``a``, ``b`` that all pairs of full regions add to the components ``roots``; no pair is emitted unlinked."""
+    region = ["tree", "key"]
+    rows = crowded.distinct().join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rows = tables.scratch(rows, "crowded")
+    counts = tables.scratch(rows.groupBy(*region, "root").agg(F.count("*").alias("n")), "counts")
+    mixed = counts.groupBy(*region).agg(F.count("*").alias("kinds")).where("kinds > 1").select(*region)
+    # Members of a large component have tiles of their own, which are not compared with each other.
+    kinds = counts.join(mixed, region).withColumn("kind", F.when(F.col("n") >= TILE // 2, F.col("root").cast("string")).otherwise(""))
+    rows = tables.scratch(rows.join(kinds.select(*region, "root", "kind"), [*region, "root"]), "open")
+    texts = source.join(tables.scratch(rows.select("id").distinct(), "wanted"), "id", "left_semi")
+    sets = tables.scratch(_sets(texts, width).dropDuplicates(["id", "sig"]), "sets")
+    rows = tables.scratch(rows.join(sets, "id"), "placed")
+    parts = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.length("shingles")) / TILE_BYTES)).cast("int")
+    rows = rows.join(tables.scratch(rows.groupBy(*region, "kind").agg(parts.alias("parts")), "parts"), [*region, "kind"])
+    rows = rows.withColumn("tile", F.concat_ws(":", "kind", F.pmod(F.xxhash64("id"), "parts")))
+    tiles = tables.scratch(rows.groupBy(*region, "kind", "tile").agg(F.collect_list(F.struct("id", "root", "sig", "shingles")).alias("rows")), "tiles")
+    left = tiles.select(*region, F.col("kind").alias("kind1"), F.col("tile").alias("tile1"))
+    right = tiles.select(*region, F.col("kind").alias("kind2"), F.col("tile").alias("tile2"))
+    pairs = tables.scratch(left.join(right, region).where("tile1 <= tile2 and (kind1 <> kind2 or kind1 = '')"), "pairs")
+    for side, end in (("left", 1), ("right", 2)):
+        pairs = pairs.join(tiles.select(*region, F.col("tile").alias(f"tile{end}"), F.col("rows").alias(side)), [*region, f"tile{end}"])
+
+    def run(batches):
+        for batch in batches:
+            for same, tree, one, two in zip(*(batch.column(c) for c in ("same", "tree", "left", "right")), strict=True):
+                first = _tile(one.as_py())
+                found = _tile_links(first, first if same.as_py() else _tile(two.as_py()), same.as_py(), tree.as_py(), threshold)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    return pairs.select((F.col("tile1") == F.col("tile2")).alias("same"), "tree", "left", "right").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80) -> DataFrame:
     """Per row ``id``, ``n_shingles``, ``component_id`` (the smallest id reachable by links) and ``kept``.
 
@@ -163,7 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = tables.scratch(member.select("id", "n_shingles", "rep", F.when(F.col("rep") == F.col("id"), F.col("sig")).alias("sig")), "members")
     reps = members.where("sig is not null").select("id", "n_shingles", "sig")
 
-    pairs = candidates(reps.select("id", "sig"))
+    pairs, crowded = candidates(reps.select("id", "sig"))
     one = reps.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sig").alias("sig_a"))
     two = reps.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sig").alias("sig_b"))
     sized = pairs.join(one, "a").join(two, "b").where(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
@@ -180,7 +285,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for end in ("a", "b"):
         later = later.join(roots.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
     more = tables.scratch(confirmed(later.where("root_a <> root_b"), texts, width, threshold), "links")
-    roots = graph.connected(links.unionByName(more))
+    links = links.unionByName(more).select("a", "b")
+    roots = graph.connected(links)
+    last = tables.scratch(completed(crowded, roots, source, width, threshold), "links")
+    if not last.isEmpty():
+        roots = graph.connected(links.unionByName(last))
 
     return members.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select(
         "id", "n_shingles", F.coalesce("root", "rep", "id").alias("component_id"), (F.col("id") == F.coalesce("root", "rep", "id")).alias("kept")

@@ -55,6 +55,17 @@ def test_against_brute_force(spark):
         assert found == brute(docs, width)
 
 
+def test_full_regions_are_complete(spark):
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(100)]
+    docs = []
+    for i in range(1200):
+        own = set(rng.sample(range(100), rng.randint(5, 22)))
+        docs.append((i, " ".join(f"d{i}x{k}" if k in own else w for k, w in enumerate(base))))
+    found = {r.id: (r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), width=1).collect()}
+    assert found == brute(docs, 1)
+
+
 def test_kept_documents_keep_columns_and_odd_rows(spark):
     docs = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (4, ""), (5, "a b c d e f g"), (None, "zz yy"), (6, "zz yy xx"), (6, "zz yy xx")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"sig": F.lit(1), "rep": F.lit("r"), "id": F.lit(0), "root": F.lit(2)})
