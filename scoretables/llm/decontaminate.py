@@ -157,10 +157,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     if parts == 1:
         return scanned(packed, index)
     packed = tables.scratch(packed.withColumn("key", F.monotonically_increasing_id()), "scan")
-    found = scanned(packed, index)
+    marks = lambda df: df.where(F.size("hits") > 0).select("key", "hits", "items")  # noqa: E731  few and short beside the documents
+    first = tables.scratch(scanned(packed, index), "scanned")
+    found = marks(first)
     for _, index in blocks:
-        found = found.unionByName(scanned(packed, index))
-    found = found.groupBy("key").agg(F.first("row").alias("row"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = found.unionByName(marks(scanned(packed, index)))
+    found = found.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = first.select("row", "key", "n_words", F.slice("hits", 1, 0).alias("none"), F.slice("items", 1, 0).alias("nothing")).join(tables.scratch(found, "marks"), "key", "left")
+    found = found.select("row", "key", "n_words", F.coalesce("hits", "none").alias("hits"), F.coalesce("items", "nothing").alias("items"))
     united = """aggregate(hits, cast(array() as array<struct<start:int,stop:int>>), (acc, x) -> if(size(acc) > 0 and x.start <= element_at(acc, -1).stop,
         concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'stop', greatest(x.stop, element_at(acc, -1).stop)))), concat(acc, array(x))))"""
     return found.withColumn("hits", F.expr(united)).drop("key")

@@ -1,21 +1,27 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Each source is a queue of packets: its documents, in table order, cut every ``length`` tokens. A round gives every
-source its quantum (its target share of a window of WINDOW sequences) on top of what it has left over; it sends the
-packets that this covers and carries the deficit on. So a packet that ends at token c of its queue goes out in round
-ceil(c / quantum), whichever partition it is in, and a source's share of any run of windows is off its target by less
-than one packet. The rounds, one after the other, are cut into sequences of ``length`` tokens.
+source its quantum (its target share of a window of WINDOW sequences, in whole tokens) on top of what it has left over;
+it sends the packets that this covers and carries the deficit on. So a packet that ends at token c of its queue goes
+out in round ceil(c / quantum), whichever partition it is in, and a source's share of any run of windows is off its
+target by less than one packet. The rounds, one after the other, are cut into sequences of ``length`` tokens.
 
-Queues are never gathered: starts come from sums of blocks of rows, added up block by block. All sequences are full;
-the tokens left at the end fill sequences of falling powers of two, which need no padding.
+Queues are never gathered: starts come from sums of blocks of rows, added up block by block on two levels. All
+sequences are full; the tokens left at the end fill sequences of falling powers of two, which need no padding.
+
+Targets are given by source, or follow from a ``temperature`` t, as the sources' shares of all tokens to the power t:
+below 1 small sources are sent sooner than their size asks for. A queue that runs dry sends nothing more; from then on
+the others share the windows in the ratio of their targets.
 
 Defined results: a null text is empty and has the end token only; null sources form a queue of their own; repeated rows
-are packed each; a source without a target in ``targets`` gets the share that it has of all tokens. An empty table
-gives no pieces.
+are packed each; a source without a target in ``targets`` gets the share that it has of all tokens; one with a target of
+zero or less takes no part in the mixture and is packed after all others. Text that spells an added token of the
+tokenizer file is that token, as the tokenizers library has it. An empty table gives no pieces.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import pathlib
@@ -33,8 +39,8 @@ LENGTH = 2048
 WINDOW = 64
 # Fixed value: the pattern by which byte-level BPE tokenizers of this family split a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Rows of a block, and rounds of a block, whose sums are added up together.
-BLOCK_BITS, ROUNDS = 10, 4096
+#: Rows of a block, blocks of a block of blocks, and rounds of a block, whose sums are added up together.
+BLOCK_BITS, FAR_BITS, ROUNDS = 10, 10, 4096
 #: White space other than the blank, as any of the libraries understands it.
 _SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f"
 _WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -84,22 +90,24 @@ class Encoder:
 
     The tokenizer splits a text before any blank that stands between two other characters, so such parts are encoded
     one by one, each with its blank, and found again the next time. A text with other white space around a blank is
-    encoded whole. Of ``most`` parts held the later half is forgotten. Files whose rules fast_encoding() does not
-    cover are left to the tokenizers library.
+    encoded whole. Of ``most`` parts held the later half is forgotten. Texts that hold an added token, and files whose
+    rules fast_encoding() does not cover, are left to the tokenizers library.
     """
 
     def __init__(self, path: str, most: int = 300_000):
-        self.fast, self.most = fast_encoding(path), most
+        self.fast, self.most, self.path = fast_encoding(path), most, path
         self.known: dict[str, bytes] = {}
-        if self.fast is None:
-            import tokenizers
+        self.added = [t["content"] for t in json.loads(pathlib.Path(path).read_text(encoding="utf-8")).get("added_tokens") or ()]
+
+    @functools.cached_property
+    def library(self):
+        import tokenizers
 
-            self.tokenizer = tokenizers.Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True
+        return tokenizers.Tokenizer.from_file(self.path)
 
     def _whole(self, body: str) -> bytes:
-        if self.fast is None:
-            return np.array(self.tokenizer.encode(body, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.fast is None or any(t in body for t in self.added):
+            return np.array(self.library.encode(body, add_special_tokens=False).ids, "<u4").tobytes()
         ids = self.fast.encode_ordinary(body)
         return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -107,7 +115,7 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text."""
         out, known = [], self.known
         for body in texts:
-            if not body or self.fast is None or not single_blanks(body):
+            if not body or self.fast is None or not single_blanks(body) or any(t in body for t in self.added):
                 out.append(self._whole(body) if body else b"")
                 continue
             first, *parts = body.split(" ")
@@ -141,45 +149,64 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
     return tables.scratch(rows.withColumn("source", F.coalesce("source", F.lit(""))).withColumn("key", F.monotonically_increasing_id()), "tokens")
 
 
-def _running(df: DataFrame, groups: list[str], block: str, order: list[str], size: str, out: str) -> DataFrame:
-    """``out``: the sum of ``size`` over the rows of the group before this one, by sums of blocks of neighbouring rows."""
-    keys = [*groups, block]
-    sums = df.groupBy(*keys).agg(F.sum(size).alias("block_sum"))
-    before = Window.partitionBy(*groups).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*keys, F.coalesce(F.sum("block_sum").over(before), F.lit(0)).alias("block_start"))
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.join(starts, keys).withColumn(out, F.col("block_start") + F.coalesce(F.sum(size).over(inside), F.lit(0))).drop("block_start")
+def _before(*keys: str, order: str):
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _running(df: DataFrame, group: str, key: str, size: str, out: str) -> DataFrame:
+    """``out``: the sum of ``size`` over the rows of the group with a smaller ``key``, by sums of blocks of neighbouring rows.
+
+    A task adds up the rows of a block, the blocks of a block of blocks, or these: none of them holds a whole group.
+    """
+    df = df.withColumn("block", F.shiftright(key, BLOCK_BITS))
+    near = tables.scratch(df.groupBy(group, "block").agg(F.sum(size).alias("n")).withColumn("far", F.shiftright("block", FAR_BITS)), "blocks")
+    sum_before = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0))
+    far = near.groupBy(group, "far").agg(F.sum("n").alias("n")).select(group, "far", sum_before(_before(group, order="far")).alias("far_start"))
+    near = near.withColumn("block_start", sum_before(_before(group, "far", order="block"))).join(far, [group, "far"])
+    starts = near.select(group, "block", (F.col("far_start") + F.col("block_start")).alias("block_start"))
+    inside = F.coalesce(F.sum(size).over(_before(group, "block", order=key)), F.lit(0))
+    return df.join(tables.scratch(starts, "starts"), [group, "block"]).withColumn(out, F.col("block_start") + inside).drop("block", "block_start")
+
+
+def quanta(totals: DataFrame, total: int, targets: dict[str, float] | None, temperature: float, length: int, window: int) -> DataFrame:
+    """``source``, its ``quantum`` of tokens for a round, and ``late``: the rounds that go before its first one."""
+    weight = F.pow(F.col("tokens") / F.lit(max(total, 1)), F.lit(temperature))
+    whole = totals.agg(F.coalesce(F.sum(weight), F.lit(1.0)).alias("n")).first().n
+    share = weight / F.lit(whole)
+    if targets:
+        known = totals.sparkSession.createDataFrame(list(targets.items()), "source string, target double")
+        totals, share = totals.join(known, "source", "left"), F.coalesce("target", share)
+    positive = F.greatest(F.lit(1), F.round(share * length * window)).cast("long")
+    out = totals.select("source", "tokens", (share > 0).alias("mixed"), F.when(share > 0, positive).otherwise(F.lit(length * window)).cast("long").alias("quantum"))
+    late = out.where("mixed").agg(F.max(F.expr("(tokens + quantum - 1) div quantum")).alias("n")).first().n or 0
+    return tables.scratch(out.select("source", "quantum", F.when(F.col("mixed"), F.lit(0)).otherwise(F.lit(late)).cast("long").alias("late")), "quanta")
 
 
-def layout(lengths: DataFrame, targets: dict[str, float] | None = None, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+def layout(lengths: DataFrame, targets: dict[str, float] | None = None, length: int = LENGTH, window: int = WINDOW, temperature: float = 1.0) -> DataFrame:
     """Pieces of the rows of ``lengths`` (key, source, n_tokens): ``key``, ``start``, ``length``, ``sequence_id``, ``offset``."""
     totals = tables.scratch(lengths.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), "sources")
     total = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first().n
-    share = F.col("tokens") / F.lit(max(total, 1))
-    if targets:
-        known = totals.sparkSession.createDataFrame(list(targets.items()), "source string, target double")
-        totals = totals.join(known, "source", "left").withColumn("quantum", F.coalesce("target", share) * length * window)
-    else:
-        totals = totals.withColumn("quantum", share * length * window)
-    rows = lengths.withColumn("block", F.shiftright("key", BLOCK_BITS))
-    rows = _running(rows, ["source"], "block", ["key"], "n_tokens", "before")
-    # A source's quantum comes with the row; sources are few beside rows, and Spark broadcasts them if they are small.
-    rows = rows.join(F.broadcast(totals.select("source", "quantum")) if totals.count() <= 100_000 else totals.select("source", "quantum"), "source")
-    packets = F.expr(f"transform(sequence(0L, (n_tokens - 1) div {length}), k -> cast(ceil((before + least({length} * (k + 1), n_tokens)) / quantum) as bigint))")
-    runs = rows.withColumn("rounds", packets).withColumn("round", F.explode(F.array_distinct("rounds")))
-    first = F.array_position("rounds", F.col("round")) - 1
-    runs = runs.withColumn("start", first * length).withColumn("length", F.least(length * (first + F.size(F.filter("rounds", lambda r: r == F.col("round")))), F.col("n_tokens")) - F.col("start"))
+    rows = _running(lengths, "source", "key", "n_tokens", "before")
+    # A source's quantum comes with the row. As a written table its size is known, and it is broadcast only if it is small.
+    rows = rows.join(quanta(totals, total, targets, temperature, length, window), "source")
+    sent = f"(before + least({length} * (k + 1), n_tokens) + quantum - 1) div quantum"
+    rows = rows.withColumn("last", F.expr(f"(n_tokens - 1) div {length}"))
+    # The first packet of each round, of which the packets up to the next one make one piece.
+    firsts = F.expr(f"filter(sequence(0L, last), k -> k = 0 or {sent} <> {sent.replace('(k + 1)', 'k')})")
+    runs = rows.withColumn("firsts", firsts).select("*", F.posexplode("firsts").alias("i", "k"))
+    runs = runs.withColumn("round", F.col("late") + F.expr(sent)).withColumn("start", F.col("k") * length)
+    stop = F.coalesce(F.try_element_at("firsts", F.col("i") + 2) * length, F.col("n_tokens"))
+    runs = runs.withColumn("length", stop - F.col("start"))
     runs = tables.scratch(runs.select("key", "source", "round", "start", "length", (F.col("before") + F.col("start")).alias("at")), "runs")
     # Where each source's part of each round begins in the stream of all tokens.
     parts = runs.groupBy("round", "source").agg(F.sum("length").alias("tokens"), F.min("at").alias("from"))
-    parts = tables.scratch(parts.withColumn("far", F.floor(F.col("round") / ROUNDS)), "parts")
-    order = Window.partitionBy("round").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("in_round", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
-    rounds = runs.groupBy("round").agg(F.sum("length").alias("tokens")).withColumn("far", F.floor(F.col("round") / ROUNDS))
-    far = rounds.groupBy("far").agg(F.sum("tokens").alias("far_sum"))
-    far = far.select("far", F.coalesce(F.sum("far_sum").over(Window.orderBy("far").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("far_start"))
-    near = Window.partitionBy("far").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
-    rounds = rounds.join(far, "far").withColumn("begin", F.col("far_start") + F.coalesce(F.sum("tokens").over(near), F.lit(0)))
+    parts = tables.scratch(parts, "parts")
+    parts = parts.withColumn("in_round", F.coalesce(F.sum("tokens").over(_before("round", order="source")), F.lit(0)))
+    rounds = tables.scratch(runs.groupBy("round").agg(F.sum("length").alias("n")).withColumn("far", F.floor(F.col("round") / ROUNDS)), "rounds")
+    sum_before = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0))
+    # One row for each ROUNDS rounds, each of which is WINDOW sequences: a window over all of them stays small.
+    far = rounds.groupBy("far").agg(F.sum("n").alias("n")).select("far", sum_before(_before(order="far")).alias("far_start"))
+    rounds = rounds.withColumn("near", sum_before(_before("far", order="round"))).join(far, "far").withColumn("begin", F.col("far_start") + F.col("near"))
     parts = tables.scratch(parts.join(rounds.select("round", "begin"), "round").select("round", "source", (F.col("begin") + F.col("in_round") - F.col("from")).alias("shift")), "places")
     placed = runs.join(parts, ["round", "source"]).withColumn("pos", F.col("at") + F.col("shift"))
     cut = placed.withColumn("sequence_id", F.explode(F.expr(f"sequence(pos div {length}, (pos + length - 1) div {length})")))
@@ -205,9 +232,9 @@ def _tail(pieces: DataFrame, total: int, length: int) -> DataFrame:
     return cut.select("key", (F.col("start") + low - F.col("offset")).alias("start"), (high - low).alias("length"), F.col("span.s").alias("sequence_id"), (low - F.col("span.a")).alias("offset"))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str, float] | None = None, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str, float] | None = None, length: int = LENGTH, window: int = WINDOW, temperature: float = 1.0) -> DataFrame:
     """Per piece ``id``, ``source``, ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit), ``doc_tokens``, ``sequence_id``, ``offset``."""
     tokens = tokenized(docs, tokenizer_path, end_id, id_col, text_col, source_col)
-    pieces = layout(tokens.select("key", "source", "n_tokens"), targets, length, window)
+    pieces = layout(tokens.select("key", "source", "n_tokens"), targets, length, window, temperature)
     ids = F.substring(F.col("ids"), (4 * F.col("start") + 1).cast("int"), (4 * F.col("length")).cast("int"))
     return pieces.join(tokens, "key").select("id", "source", "start", "length", ids.alias("ids"), F.col("n_tokens").alias("doc_tokens"), "sequence_id", "offset")

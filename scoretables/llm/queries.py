@@ -10,6 +10,8 @@ from scoretables.llm import decontaminate, langid, licenses, neardup, packing, q
 from scoretables.llm.tables import fold, load, scratch, scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Of the mixture that op8 packs: large sources give way to small ones until these run dry.
+TEMPERATURE = 0.7
 
 
 def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +20,7 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write(warc.records(load(spark, sf_dir, "pages")), path)
     found = warc.assemble(warc.read(spark, path, payload=False))
     found = found.select(
-        F.regexp_extract("metadata.fields", r"page-id: (-?\d+)", 1).cast("long").alias("page_id"), "response.payload_bytes", "response.payload_digest",
+        F.regexp_extract("metadata.fields", r"page-id: (-?\d+)", 1).try_cast("long").alias("page_id"), "response.payload_bytes", "response.payload_digest",
         F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("refers_id"), F.col("response.uri").alias("uri"), "capture",
     )
     found = scratch(found, "captures")
@@ -68,8 +70,8 @@ def op7_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_deficit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens, in the corpus's mixture of sources."""
-    pieces = packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    """Pieces of all documents in sequences of 2048 tokens; sources are mixed by their shares to the power TEMPERATURE."""
+    pieces = packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), temperature=TEMPERATURE)
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 

@@ -61,6 +61,20 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return found[at[0] : at[-1]], at - at[0]
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Sums of a polynomial over the bytes, from which span_hashes() has the hash of any span."""
+    up, _ = _power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(data.astype(np.uint64) * up[: len(data)], out=sums[1:])
+    return sums
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, mixed with its length; the same wherever the span stands."""
+    _, down = _power_tables(len(sums))
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
 class Words:
     """All words of a slice: ``starts`` and ``ends`` in ``data``; words of row i are ``bounds[i]:bounds[i + 1]``."""
 
@@ -81,15 +95,13 @@ class Words:
         self.starts = np.flatnonzero(first)
         self.ends = np.flatnonzero(last) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
+        self._sums: np.ndarray | None = None
 
     def hashes(self, first: int | None = None) -> np.ndarray:
-        """A 64-bit hash of each word, or of its ``first`` bytes: a polynomial from prefix sums, mixed with the length."""
-        ends = self.ends if first is None else np.minimum(self.ends, self.starts + first)
-        up, down = _power_tables(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(self.data.astype(np.uint64) * up[: len(self.data)], out=sums[1:])
-        value = (sums[ends] - sums[self.starts]) * down[self.starts]
-        return mix(value + (ends - self.starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        """A 64-bit hash of each word, or of its ``first`` bytes."""
+        if self._sums is None:
+            self._sums = prefix_sums(self.data)
+        return span_hashes(self._sums, self.starts, self.ends if first is None else np.minimum(self.ends, self.starts + first))
 
     def rows(self) -> np.ndarray:
         """The row of each word."""

@@ -3,7 +3,8 @@
 Equal vectors of a label are one class and take part once, with their number as weight. Unit vectors are rotated so
 that leading dimensions hold most of the variance. Cosine of at least t means a distance of at most sqrt(2 - 2t), so
 also along each axis: a grid of that width over the leading dimensions leaves only adjacent cells to compare. Cells
-are cut into tiles of about TILE rows. For two tiles, products are accumulated over leading dimensions first; what the
+are cut into tiles of about TILE rows, and tiles whose boxes over BOX dimensions are further apart are left out before
+any rows are joined. Components of float columns travel as float32, which is what they are. For two tiles, products are accumulated over leading dimensions first; what the
 others can still add is at most the product of the suffix norms, and rows that cannot reach the threshold are dropped
 after each step. What is left is decided by the cosine of the original vectors in double precision.
 
@@ -11,8 +12,8 @@ A pair of tiles gives each of its rows a number of links and a link to the small
 within a group of many near copies is shared by tiles and no pair is ever emitted.
 
 Defined results: vectors that are null, empty, zero or hold a null, NaN or infinite component, and rows with a null
-label, link with nothing; so do vectors of different lengths. Rows with a null id link like others but get no smaller
-component than their own. An empty table gives an empty result.
+label, link with nothing; so do vectors of different lengths. A row with a null id cannot be named, links with nothing,
+has a null component and is kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from scoretables.llm import graph, tables
 
 #: Rows of a tile, on average.
-TILE = 256
-#: Leading dimensions that make the grid.
-GRID = 3
+TILE = 1024
+#: Leading dimensions that make the grid, and those of the boxes by which pairs of tiles are ruled out.
+GRID, BOX = 3, 8
 #: Vectors, at most, to which the rotation is fitted. It orders the work and has no part in the result.
 FIT = 20_000
 _STEPS = (4, 8, 16, 32)
@@ -53,27 +54,34 @@ def _turned(x: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
     return y @ axes[x.shape[1]] if x.shape[1] in axes else y
 
 
+def _kind(classes: DataFrame) -> type:
+    return np.float32 if classes.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64
+
+
 def _placed(classes: DataFrame, axes: dict[int, np.ndarray], width: float) -> DataFrame:
-    """Classes with ``size`` (length of the vector), grid ``cell`` and ``vec`` (the components as float64 bytes)."""
-    held = classes.sparkSession.sparkContext.broadcast(axes)
+    """Classes with ``size`` (length of the vector), grid ``cell``, ``lead`` (BOX turned components) and ``vec`` (the components as bytes)."""
+    held, kind = classes.sparkSession.sparkContext.broadcast(axes), _kind(classes)
 
     def run(batches):
         for batch in batches:
             column = batch.column("embedding")
             sizes = np.diff(column.offsets.to_numpy())
-            flat = column.flatten().to_numpy().astype(np.float64)
+            flat = column.flatten().to_numpy()
             at = column.offsets.to_numpy() - column.offsets[0].as_py()
-            cells, vecs = [None] * len(sizes), [None] * len(sizes)
+            cells, leads, vecs = [None] * len(sizes), [None] * len(sizes), [None] * len(sizes)
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
-                x = flat[at[rows][:, None] + np.arange(size)]
-                grid = np.floor(_turned(x, held.value)[:, :GRID] / width).astype(int)
+                x = flat[at[rows][:, None] + np.arange(size)].astype(kind)
+                turned = _turned(x.astype(np.float64), held.value)
+                turned = np.pad(turned[:, :BOX], ((0, 0), (0, max(0, BOX - size))))
+                grid, lead = np.floor(turned[:, :GRID] / width).astype(int).tolist(), turned.tolist()
                 for i, row in enumerate(rows):
-                    cells[row], vecs[row] = grid[i].tolist(), x[i].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("rep"), batch.column("n"), pa.array(sizes, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array(vecs, pa.binary())], names=["label", "rep", "n", "size", "cell", "vec"])
+                    cells[row], leads[row], vecs[row] = grid[i], lead[i], x[i].tobytes()
+            own = [pa.array(sizes, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array(leads, pa.list_(pa.float64())), pa.array(vecs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("rep"), batch.column("n"), *own], names=["label", "rep", "n", "size", "cell", "lead", "vec"])
 
-    kind = classes.schema["label"].dataType.simpleString()
-    return classes.select("label", "rep", "n", "embedding").mapInArrow(run, f"label {kind}, rep long, n long, size int, cell array<int>, vec binary")
+    label = classes.schema["label"].dataType.simpleString()
+    return classes.select("label", "rep", "n", "embedding").mapInArrow(run, f"label {label}, rep long, n long, size int, cell array<int>, lead array<double>, vec binary")
 
 
 def _near(x: np.ndarray, y: np.ndarray, axes: dict[int, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -94,14 +102,14 @@ def _near(x: np.ndarray, y: np.ndarray, axes: dict[int, np.ndarray], threshold:
     return rows[i], cols[j]
 
 
-def _compared(pairs: DataFrame, axes: dict[int, np.ndarray], threshold: float) -> DataFrame:
+def _compared(pairs: DataFrame, axes: dict[int, np.ndarray], threshold: float, kind: type) -> DataFrame:
     """For each pair of tiles, the rows that link: ``rep``, its ``links`` there and the smallest ``root`` of its group."""
     held = pairs.sparkSession.sparkContext.broadcast(axes)
 
     def members(rows):
         ids = np.frombuffer(b"".join(r["id"] for r in rows), ">i8").astype(np.int64)
         weight = np.frombuffer(b"".join(r["w"] for r in rows), ">i8").astype(np.int64)
-        return ids, weight, np.frombuffer(b"".join(r["vec"] for r in rows), np.float64).reshape(len(rows), -1)
+        return ids, weight, np.frombuffer(b"".join(r["vec"] for r in rows), kind).astype(np.float64).reshape(len(rows), -1)
 
     def run(batches):
         for batch in batches:
@@ -122,20 +130,24 @@ def _compared(pairs: DataFrame, axes: dict[int, np.ndarray], threshold: float) -
     return pairs.mapInArrow(run, "rep long, links long, root long")
 
 
-def tile_pairs(placed: DataFrame) -> DataFrame:
+def tile_pairs(placed: DataFrame, width: float) -> DataFrame:
     """Pairs of tiles of adjacent cells, each once: ``same``, ``left`` and ``right`` (arrays of the tiles' rows)."""
     where = ["label", "size", "cell"]
     parts = tables.scratch(placed.groupBy(*where).agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")), "cells")
     packed = F.struct(F.unhex(F.lpad(F.hex("rep"), 16, "0")).alias("id"), F.unhex(F.lpad(F.hex("n"), 16, "0")).alias("w"), "vec")
     tiles = placed.join(parts, where).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
-    tiles = tables.scratch(tiles.groupBy(*where, "part").agg(F.collect_list(packed).alias("rows")), "tiles")
-    known = tiles.select(*where, "part")
+    box = (F.array(*(f(F.col("lead")[i]) for i in range(BOX))).alias(name) for name, f in (("low", F.min), ("high", F.max)))
+    tiles = tables.scratch(tiles.groupBy(*where, "part").agg(F.collect_list(packed).alias("rows"), *box), "tiles")
+    known = tiles.select(*where, "part", "low", "high")
     steps = F.array(*(F.array(*(F.lit(x) for x in step)) for step in np.ndindex(*(3,) * GRID)))
-    left = known.select("label", "size", F.col("cell").alias("cell1"), F.col("part").alias("part1"), F.explode(steps).alias("step"))
-    left = left.select("label", "size", "cell1", "part1", F.zip_with("cell1", "step", lambda c, s: c + s - 1).alias("cell2"))
-    right = known.select("label", "size", F.col("cell").alias("cell2"), F.col("part").alias("part2"))
+    left = known.select("label", "size", F.col("cell").alias("cell1"), F.col("part").alias("part1"), F.col("low").alias("low1"), F.col("high").alias("high1"), F.explode(steps).alias("step"))
+    left = left.select("label", "size", "cell1", "part1", "low1", "high1", F.zip_with("cell1", "step", lambda c, s: c + s - 1).alias("cell2"))
+    right = known.select("label", "size", F.col("cell").alias("cell2"), F.col("part").alias("part2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     pairs = left.join(right, ["label", "size", "cell2"]).where("cell1 < cell2 or (cell1 = cell2 and part1 <= part2)")
-    pairs = tables.scratch(pairs, "pairs")
+    # Squared distance of the boxes.
+    gaps = f"transform(sequence(0, {BOX - 1}), i -> pow(greatest(low1[i] - high2[i], low2[i] - high1[i], 0), 2))"
+    near = F.expr(f"aggregate({gaps}, 0d, (acc, x) -> acc + x)") <= width * width
+    pairs = tables.scratch(pairs.where(near).drop("low1", "high1", "low2", "high2"), "pairs")
     for side, end in (("left", 1), ("right", 2)):
         rows = tiles.select("label", "size", F.col("cell").alias(f"cell{end}"), F.col("part").alias(f"part{end}"), F.col("rows").alias(side))
         pairs = pairs.join(rows, ["label", "size", f"cell{end}", f"part{end}"])
@@ -152,8 +164,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     usable = rows.where("usable and id is not null")
     classes = tables.scratch(usable.groupBy("label", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
     axes = rotation(classes)
-    placed = tables.scratch(_placed(classes, axes, float(np.sqrt(2 - 2 * threshold)) + 1e-9), "placed")
-    found = tables.scratch(_compared(tile_pairs(placed), axes, threshold), "found")
+    width = float(np.sqrt(2 - 2 * threshold)) + 1e-9
+    placed = tables.scratch(_placed(classes, axes, width), "placed")
+    found = tables.scratch(_compared(tile_pairs(placed, width), axes, threshold, _kind(classes)), "found")
     roots = graph.connected(found, "rep", "root")
     links = tables.scratch(found.groupBy("rep").agg(F.sum("links").alias("links")), "counts")
 
@@ -162,4 +175,4 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     member = tables.scratch(member, "members")
     member = member.join(links, "rep", "left").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
     component = F.coalesce("root", "rep", "id")
-    return member.select("id", (F.coalesce(F.col("n") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return member.select("id", (F.coalesce(F.col("n") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -8,10 +8,12 @@ Archives, also others' (of WARC 1.x, gzipped or not), are read by the text sourc
 task holds a record and not a file. A payload that itself holds that separator is put together again by the record's
 Content-Length. Transactions are assembled by joins on record ids; payloads take part only if they are asked for.
 
-Defined results: a null payload is empty; a null url is written without a target; line breaks in a url are written as
-%0D and %0A; rows that repeat id, url and payload are one capture; rows with a null id get none of the larger ids'
-revisits and are responses. A record cut short is read with what is there and ``whole`` false. Requests and metadata
-that lead to no response or revisit are captures of their own without one. No pages give an empty archive.
+Defined results: every row is a capture, also one that repeats id, url and payload: of such rows one keeps the name
+made of these, the others' names take in their number. A null payload is empty; a null url is written without a target;
+line breaks in a url are written as %0D and %0A; rows with a null id revisit nothing, are revisited by nothing and are
+responses. A record cut short is read with what is there and ``whole`` false, and reading goes on with the next header.
+Requests and metadata that lead to no response or revisit are captures of their own without one. No pages give an
+empty archive.
 """
 
 from __future__ import annotations
@@ -49,6 +51,35 @@ def _record(block: Column, **fields: Column) -> Column:
     return F.concat(F.lit(f"WARC/1.1{EOL}"), *(F.coalesce(x, F.lit("")) for x in head), F.lit(EOL), block)
 
 
+def _named(rows: DataFrame, least_bytes: int) -> DataFrame:
+    """``rows`` with ``own`` (the capture's record id), and ``first`` and ``first_own`` (id and record id of the capture that it revisits, or null).
+
+    Of equal payloads the row with the largest id, then the largest url, is the response. What is shuffled or joined has
+    no payloads; only rows that repeat another one whole are written, to be told apart.
+    """
+    rows = rows.withColumn("name", _uuid("capture", F.col("id"), F.col("url"), F.col("digest")))
+    names = rows.select("name", "id", "url", "digest", "size").groupBy("name", "id", "url", "digest", "size").agg(F.count("*").alias("n"))
+    names = tables.scratch(names, "names")
+    able = names.where((F.col("size") >= least_bytes) & F.col("id").isNotNull())
+    best = F.max(F.struct("id", "url", "name")).alias("best")
+    shared = able.groupBy("digest").agg(best, F.sum("n").alias("total")).where("total > 1").select("digest", F.col("best.id").alias("first"), F.col("best.name").alias("first_own"))
+    copies = able.join(tables.scratch(shared, "shared"), "digest").select("name", "first", "first_own", "n")
+    copies = copies.unionByName(names.where("n > 1").join(able.select("name"), "name", "left_anti").select("name", F.lit(None).cast("long").alias("first"), F.lit(None).cast("string").alias("first_own"), "n"))
+    # As a written table its size is known: it is broadcast only if it is small, else the pages are shuffled by name.
+    copies = tables.scratch(copies, "copies")
+    found = rows.join(copies, "name", "left")
+    if copies.where("n > 1").isEmpty():
+        found = found.withColumn("own", F.col("name"))
+    else:
+        again = tables.scratch(found.where("n > 1").withColumn("number", F.monotonically_increasing_id()), "repeated")
+        lead = tables.scratch(again.groupBy("name").agg(F.min("number").alias("lead")), "leads")
+        own = F.when(F.col("number") == F.col("lead"), F.col("name")).otherwise(_uuid("again", F.col("name"), F.col("number")))
+        again = again.join(lead, "name").withColumn("own", own).drop("number", "lead")
+        found = found.where("n is null or n = 1").withColumn("own", F.col("name")).unionByName(again)
+    is_first = F.col("own") == F.col("first_own")
+    return found.withColumns({c: F.when(~is_first, F.col(c)) for c in ("first", "first_own")})
+
+
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """One column ``value`` with three records for each page.
 
@@ -56,25 +87,21 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("size", F.octet_length("payload"))
-    digests = tables.scratch(rows.where((F.col("size") >= least_bytes) & F.col("id").isNotNull()).select("id", "digest"), "digests")
-    shared = digests.groupBy("digest").agg(F.max("id").alias("first"), F.min("id").alias("least")).where("first > least").select("digest", "first")
-    copies = digests.join(tables.scratch(shared, "shared"), "digest").where("id < first").distinct()
-    # As a written table its size is known: it is broadcast only if it is small, else the pages are shuffled by id.
-    rows = rows.join(tables.scratch(copies, "copies"), ["id", "digest"], "left")
+    rows = _named(rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("size", F.octet_length("payload")), least_bytes)
 
     uri = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    own = _uuid("capture", F.col("id"), F.col("digest"))
+    own = F.col("own")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=UTF-8{EOL}Content-Length: "), F.col("size").cast("string"), F.lit(EOL * 2))
-    asked = F.concat(F.lit("GET "), F.coalesce(F.nullif(F.regexp_extract(uri, r"^(?s:.*?)://[^/?#]*([^#]*)", 1), F.lit("")), F.lit("/")), F.lit(f" HTTP/1.1{EOL}Host: "), F.coalesce(F.regexp_extract(uri, r"^(?s:.*?)://([^/?#]*)", 1), F.lit("")), F.lit(EOL * 2))
+    target = F.coalesce(F.nullif(F.regexp_extract(uri, r"^(?s:.*?)://[^/?#]*([^#]*)", 1), F.lit("")), F.lit("/"))
+    asked = F.concat(F.lit("GET "), target, F.lit(f" HTTP/1.1{EOL}Host: "), F.coalesce(F.regexp_extract(uri, r"^(?s:.*?)://([^/?#]*)", 1), F.lit("")), F.lit(EOL * 2))
     notes = F.concat(F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(EOL))
     common = {"Target_URI": uri, "Date": F.lit(DATE)}
     digest = F.concat(F.lit("sha1:"), F.col("digest"))
-    request = _record(asked, Type=F.lit("request"), Record_ID=_uuid("request", F.col("id"), F.col("digest"), uri), Concurrent_To=own, **common, content_type=F.lit("application/http;msgtype=request"), content_length=F.octet_length(asked))
+    request = _record(asked, Type=F.lit("request"), Record_ID=_uuid("request", own), Concurrent_To=own, **common, content_type=F.lit("application/http;msgtype=request"), content_length=F.octet_length(asked))
     body = F.concat(http, F.col("payload").cast("string"))
     response = _record(body, Type=F.lit("response"), Record_ID=own, Payload_Digest=digest, **common, content_type=F.lit("application/http;msgtype=response"), content_length=F.octet_length(http) + F.col("size"))
-    revisit = _record(http, Type=F.lit("revisit"), Record_ID=own, Payload_Digest=digest, Refers_To=_uuid("capture", F.col("first"), F.col("digest")), Profile=F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), **common, content_type=F.lit("application/http;msgtype=response"), content_length=F.octet_length(http))
-    metadata = _record(notes, Type=F.lit("metadata"), Record_ID=_uuid("metadata", F.col("id"), F.col("digest"), uri), Concurrent_To=own, **common, content_type=F.lit("application/warc-fields"), content_length=F.octet_length(notes))
+    revisit = _record(http, Type=F.lit("revisit"), Record_ID=own, Payload_Digest=digest, Refers_To=F.col("first_own"), Profile=F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), **common, content_type=F.lit("application/http;msgtype=response"), content_length=F.octet_length(http))
+    metadata = _record(notes, Type=F.lit("metadata"), Record_ID=_uuid("metadata", own), Concurrent_To=own, **common, content_type=F.lit("application/warc-fields"), content_length=F.octet_length(notes))
     return rows.select(F.explode(F.array(request, F.when(F.col("first").isNull(), response).otherwise(revisit), metadata)).alias("value"))
 
 
@@ -105,36 +132,50 @@ def _parsed(head: bytes, block: bytes, whole: bool, with_payload: bool) -> dict:
     }
 
 
+def _length(head: bytes) -> int:
+    for line in head.split(b"\r\n"):
+        if line[:15].lower() == b"content-length:" and line[15:].strip().isdigit():
+            return int(line[15:])
+    return 0
+
+
 def _records_of(pieces, with_payload: bool):
-    """Records from pieces of archives cut at the separator; a piece that is too short takes in the ones after it."""
-
-    def length(head: bytes) -> int:
-        for line in head.split(b"\r\n"):
-            if line[:15].lower() == b"content-length:" and line[15:].strip().isdigit():
-                return int(line[15:])
-        return 0
-
-    held: list[bytes] | None = None
-    head, missing = b"", 0
-    for piece in pieces:
-        begins = piece.startswith(b"WARC/1.")
-        if held is not None and not begins:
-            held.append(_BREAK + piece)
-            missing -= len(held[-1])
-        else:
-            if held is not None:
-                yield _parsed(head, b"".join(held), False, with_payload)
-            head, _, body = piece.partition(b"\r\n\r\n")
-            if not body and b":" not in head:
-                held = None
-                continue
-            held, missing = [body], length(head) - len(body)
-        if missing <= 0:
-            block = b"".join(held)
-            yield _parsed(head, block[: len(block) + missing], True, with_payload)
-            held = None
-    if held is not None:
-        yield _parsed(head, b"".join(held), False, with_payload)
+    """Records from pieces of archives cut at the separator.
+
+    A record that is shorter than its declared length takes in the pieces after it, as long as the length is met where
+    a piece ends. If it isn't, the record was cut short, and those pieces are records of their own.
+    """
+    left: list[bytes] = []
+    source = iter(pieces)
+
+    def following():
+        return left.pop() if left else next(source, None)
+
+    while (piece := following()) is not None:
+        head, blank, body = piece.partition(b"\r\n\r\n")
+        if not blank and b":" not in head:
+            continue
+        size = _length(head)
+        parts, have = [body], len(body)
+        while have < size and (more := following()) is not None:
+            if more.startswith(b"WARC/1."):  # the first piece of another file
+                left.append(more)
+                break
+            parts.append(_BREAK + more)
+            have += len(parts[-1])
+        block = b"".join(parts)
+        if len(parts) > 1 and (have < size or block[size:].strip(b"\r\n")):
+            left += [p[len(_BREAK) :] for p in reversed(parts[1:])]
+            block = body
+        yield _parsed(head, block[:size], len(block) >= size, with_payload)
+
+
+def _each_file_whole(raw: DataFrame, path: str):
+    """Settings under which no plain archive is split, as a separator in a payload looks like one between records."""
+    spark = raw.sparkSession
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(~F.col("path").rlike(r"\.gz$"))
+    most = files.agg(F.max("length").alias("n")).first().n
+    return {"spark.sql.files.maxPartitionBytes": str(most), "spark.sql.files.minPartitionNum": "1"} if most else {}
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
@@ -156,7 +197,15 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     types = {"string": pa.string(), "array<string>": names, "binary": pa.binary(), "long": pa.int64(), "boolean": pa.bool_()}
     kind = pa.schema([(x.split()[0], types[x.split()[1]]) for x in RECORD.replace("\n", " ").split(",")])
     raw = spark.read.option("lineSep", _BREAK.decode()).text(path)
-    return tables.scratch(raw.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, RECORD), "records")
+    settings = _each_file_whole(raw, path)
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        return tables.scratch(raw.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, RECORD), "records")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def assemble(found: DataFrame) -> DataFrame:
@@ -166,25 +215,19 @@ def assemble(found: DataFrame) -> DataFrame:
     concurrent, or that a record which they are concurrent to belongs to. Of several requests (or metadata records) of
     a capture the nested one has the smallest id, and all are counted. ``found``: a written table, as read() gives it.
     """
-    first = ["response", "revisit"]
-    everything = F.struct(*found.columns)
-    # A record that is there twice is one record.
-    anchors = found.where(F.col("type").isin(first) & F.col("record_id").isNotNull()).groupBy("record_id").agg(F.min_by(everything, F.coalesce("uri", F.lit(""))).alias("response"))
-    others = found.where(F.col("type").isin("request", "metadata") & F.col("record_id").isNotNull())
-    ends = found.where(F.col("record_id").isNotNull()).select("type", "record_id", F.explode("concurrent_to").alias("to"))
-    is_first = F.col("type").isin(first)
+    is_first, known = F.col("type").isin("response", "revisit"), F.col("record_id").isNotNull()
+    ends = found.where(known).select("type", "record_id", F.explode("concurrent_to").alias("to"))
     links = ends.select(F.when(is_first, F.col("to")).otherwise(F.col("record_id")).alias("member"), F.when(is_first, F.col("record_id")).otherwise(F.col("to")).alias("target"))
     links = tables.scratch(links.distinct(), "links")
-    ids = tables.scratch(found.where(is_first).select(F.col("record_id").alias("target")).distinct(), "captures")
+    ids = tables.scratch(found.where(is_first & known).select(F.col("record_id").alias("target")).distinct(), "captures")
     near = tables.scratch(links.join(ids, "target").groupBy("member").agg(F.min("target").alias("capture")), "near")
     far = links.join(near, "member", "left_anti").join(near.withColumnRenamed("member", "target"), "target").groupBy("member").agg(F.min("capture").alias("capture"))
     owner = near.unionByName(far).withColumnRenamed("member", "record_id")
-    parts = others.join(owner, "record_id", "left").withColumn("capture", F.coalesce("capture", "record_id"))
-    by_kind = [
-        parts.where(F.col("type") == kind).groupBy("capture").agg(F.min_by(everything, "record_id").alias(kind), F.count_distinct("record_id").alias(f"n_{kind}"))
-        for kind in ("request", "metadata")
-    ]
-    out = anchors.withColumnRenamed("record_id", "capture")
-    for more in by_kind:
-        out = out.join(more, "capture", "full")
-    return out.select("capture", "response", "request", "metadata", F.coalesce("n_request", F.lit(0)).alias("n_requests"), F.coalesce("n_metadata", F.lit(0)).alias("n_metadata"))
+    everything, part = F.struct(*found.columns), ("response", "request", "metadata")
+    kind = F.when(is_first, F.lit("response")).when(F.col("type").isin("request", "metadata"), F.col("type")).alias("kind")
+    # A record that is there twice is one record.
+    single = found.where(known).groupBy("record_id", kind).agg(F.min_by(everything, F.coalesce("uri", F.lit(""))).alias("record")).where("kind is not null")
+    owned = single.join(owner, "record_id", "left").withColumn("capture", F.when(F.col("kind") == "response", F.col("record_id")).otherwise(F.coalesce("capture", "record_id")))
+    of = lambda k: F.when(F.col("kind") == k, F.col("record_id"))
+    nested = owned.groupBy("capture").agg(*(F.min_by("record", of(k)).alias(k) for k in part), *(F.count(of(k)).alias(f"n_{k}s") for k in ("request",)), F.count(of("metadata")).alias("n_metadata"))
+    return nested.select("capture", *part, "n_requests", "n_metadata")

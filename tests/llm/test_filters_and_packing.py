@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scoretables.llm import licenses, packing, tables, urlfilter
+from scoretables.llm import licenses, packing, queries, tables, urlfilter
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -75,8 +75,7 @@ def sequences(pieces):
 
 def test_encoder_equals_the_tokenizer_on_odd_texts():
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
-    texts = ["", " ", "a", " a", "a ", "a  b", "a\n b", "a \nb", "it's 12 ok", "é\u00a0x y", "<|endoftext|> z", "tab\tx y", "a b" * 50, "x\u2003 y", "\x1c x", "no\u0085 w"]
+    texts = ["", " ", "a", " a", "a ", "a  b", "a\n b", "a \nb", "it's 12 ok", "é\u00a0x y", "<|endoftext|> z", "a <|endoftext|> b", "a<|endoftext|>", "<|endoftext", "tab\tx y", "a b" * 50, "x\u2003 y", "\x1c x", "no\u0085 w"]
     encoder = packing.Encoder(PATH, most=5)
     for _ in range(2):
         assert encoder.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
@@ -85,11 +84,11 @@ def test_encoder_equals_the_tokenizer_on_odd_texts():
 def test_packing_round_trip(spark):
     rng = np.random.default_rng(0)
     rows = [(i, " ".join(rng.choice(["the", "ofth", "éa", "zz,"], int(n))), f"s{min(i % 7, 3)}") for i, n in enumerate(rng.integers(0, 900, 150))]
-    rows += [(200, "word " * 20_000, "s0"), (201, None, "s1"), (202, "", None), (203, "a b", None), (203, "a b", None)]
+    rows += [(200, "word " * 20_000, "s0"), (201, None, "s1"), (202, "", None), (203, "a b", None), (203, "a b", None), (204, "x <|endoftext|> y", "s2")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"key": F.lit("k"), "round": F.lit(1), "start": F.lit(2), "ids": F.lit("i")}).repartition(4)
     plain = Tokenizer.from_file(PATH)
-    for targets in (None, {"s0": 0.5, "s1": 0.1}):
-        pieces = packing.pack(docs, PATH, length=256, window=4, targets=targets).collect()
+    for how in ({}, {"targets": {"s0": 0.5, "s1": 0.1}}, {"targets": {"s0": 0.0, "s1": 1.0, "s2": -1.0}}, {"temperature": 0.3}):
+        pieces = packing.pack(docs, PATH, length=256, window=4, **how).collect()
         wanted = collections.Counter()
         for _, text, _ in rows:
             wanted[np.array([*plain.encode(text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()] += 1
@@ -135,5 +134,33 @@ def test_other_tokenizer_files_are_left_to_their_library():
     encoder = packing.Encoder(path)
     assert encoder.fast is None and packing.Encoder(PATH).fast is not None
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     assert encoder.encode(["Hello  World!", ""]) == [np.array(plain.encode("Hello  World!", add_special_tokens=False).ids, "<u4").tobytes(), b""]
+
+
+def test_sources_without_a_share_come_last_and_dry_queues_give_way(spark):
+    lengths = spark.range(3000).select(F.col("id").alias("key"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") % 3 + 1).cast("int")).alias("source"), F.lit(100).cast("long").alias("n_tokens"))
+    pieces = packing.layout(lengths, {"a": 0.8, "b": 0.2, "c": 0.0}, length=1000, window=10).join(lengths, "key").groupBy("sequence_id", "source").agg(F.sum("length").alias("n")).collect()
+    share = {(r.sequence_id // 10, r.source): 0 for r in pieces}
+    for r in pieces:
+        share[r.sequence_id // 10, r.source] += r.n
+    assert all(abs(share[w, "a"] - 8000) <= 200 for w in range(11)) and all(share.get((w, "b"), 0) == 10_000 for w in range(14, 19))
+    assert min(r.sequence_id for r in pieces if r.source == "c") >= 200 - 1 and max(r.sequence_id for r in pieces if r.source != "c") <= 200
+
+
+def test_registered_packing_query(spark, sf):
+    plain = Tokenizer.from_file(PATH)
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    pieces = queries.op8_deficit_packing(spark, sf).collect()
+    by_doc = collections.defaultdict(list)
+    for p in pieces:
+        by_doc[p.doc_id].append(p)
+    assert set(by_doc) == set(docs)
+    for i, own in by_doc.items():
+        ids = np.array([*plain.encode(docs[i] or "", add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for p in sorted(own, key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids)
+    ends = {k: sum(p.length for p in own) for k, own in sequences(pieces).items()}
+    assert all(n == 2048 or n & (n - 1) == 0 for n in ends.values()) and sum(n < 2048 for n in ends.values()) <= 11

@@ -4,6 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from scoretables.llm import neardup as N
+from scoretables.llm import queries
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -74,3 +75,21 @@ def test_kept_documents_keep_columns_and_odd_rows(spark):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 3, 4, 6, 6]
     assert N.near_duplicates(df).where("id is null").select("component_id").collect() == [(None,)]
     assert N.near_duplicates(df.where("false")).count() == 0
+
+
+def test_crowded_groups_against_brute_force(spark):
+    rng = random.Random(7)
+    docs, start = [], 0
+    for n, size, most in ((700, 100, 8), (400, 60, 5)):
+        base = [f"g{size}w{k}" for k in range(size)]
+        for i in range(n):
+            own = set(rng.sample(range(size), rng.randint(1, most)))
+            docs.append((start + i, " ".join(f"d{start + i}x{k}" if k in own else w for k, w in enumerate(base))))
+        start += n
+    found = {r.id: (r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), width=2).collect()}
+    assert found == brute(docs, 2)
+
+
+def test_registered_query(spark, sf):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in queries.op6_lsh_forest(spark, sf).collect()} == brute(docs, 2)

@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from scoretables.llm import queries
 from scoretables.llm import vectors as V
 
 
@@ -45,3 +46,10 @@ def test_against_brute_force(spark):
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], k) for i, v, k in rows]
     assert found == brute(rows)
     assert V.near_vectors(df.where("false")).count() == 0
+
+
+def test_registered_query_and_null_ids(spark, sf, tmp_path):
+    rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in queries.op7_pca_tiles(spark, sf).collect()} == brute(rows)
+    spark.createDataFrame([(None, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (1, [1.0, 0.001], 1)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {tuple(r) for r in queries.op7_pca_tiles(spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept").collect()} == {(None, 0, None, True), (2, 1, 1, False), (1, 1, 1, True)}

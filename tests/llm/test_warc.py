@@ -1,9 +1,11 @@
 import base64
 import gzip
 import hashlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from scoretables.llm import queries
 from scoretables.llm import warc as W
 from scoretables.llm.tables import scratch_path
 
@@ -23,8 +25,10 @@ def test_round_trip_of_odd_payloads(spark):
     path = scratch_path(spark, "t")
     W.write(W.records(pages), path)
     found = page_of(W.assemble(W.read(spark, path))).collect()
-    by = {int(r.page): r for r in found}
-    assert len(found) == 8 and sorted(by) == list(range(1, 9))
+    assert len(found) == 9 and len({r.record_id for r in found}) == 9
+    assert sorted((r.type, r.refers_to is None) for r in found if r.page == "8") == [("response", True), ("revisit", False)]
+    by = {int(r.page): r for r in found if r.page != "8" or r.type == "response"}
+    assert sorted(by) == list(range(1, 9))
     for i, url, html in rows:
         body = (html or "").encode()
         first = max(j for j, _, h in rows if (h or "") == (html or ""))
@@ -64,3 +68,58 @@ def test_foreign_archive_with_links_the_other_way(spark, tmp_path):
     assert found["<r>"].request.record_id == "<q>" and found["<r>"].metadata.record_id == "<m>" and bytes(found["<r>"].response.payload) == b"body"
     assert found["<lost>"].response is None and found["<lost>"].metadata.fields == "c: d\r\n"
     assert not found["<cut>"].response.whole
+
+
+def wanted(rows):
+    """What the contract asks for each row (id, url, html), as a count of result rows."""
+    best = {}
+    for i, _, h in rows:
+        if i is not None:
+            best[h or ""] = max(best.get(h or "", i), i)
+    out, taken = Counter(), set()
+    for i, u, h in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is None, [-ord(c) for c in r[1] or ""])):
+        body = h or ""
+        first = i is None or (best[body] == i and body not in taken)
+        if i is not None and first:
+            taken.add(body)
+        out[i, len(body.encode()), digest(body.encode()), "response" if first else "revisit", None if first else best[body]] += 1
+    return out
+
+
+def test_registered_query_on_odd_rows(spark, sf, tmp_path):
+    rows = [(1, "http://a/x", "same"), (1, "http://b/y", "same"), (None, "http://n/", "same"), (None, "http://n/", "same"), (None, None, None), (2, "u", "once"), (3, "v", "same"), (3, "v", "same"), (3, "v", "same"), (4, "w", ""), (5, "w", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"n": F.lit(1), "own": F.lit("o"), "first_own": F.lit(0)}).write.parquet(f"{tmp_path}/pages.parquet")
+    found = queries.op1_warc_transactions(spark, str(tmp_path)).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found) == wanted(rows)
+    assert Counter(r.uri for r in found) == Counter(r[1] for r in rows)
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    found = queries.op1_warc_transactions(spark, sf).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found) == wanted(rows)
+
+
+def plain_record(name, block, length=None):
+    head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <{name}>\r\nContent-Length: {len(block) if length is None else length}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def test_reading_goes_on_after_a_cut_record(spark, tmp_path):
+    for length in (400, 90, 10_000):
+        path = tmp_path / str(length)
+        path.mkdir()
+        (path / "a.warc").write_bytes(plain_record("one", b"1" * 50) + plain_record("cut", b"2" * 20, length) + plain_record("three", b"3" * 60) + plain_record("four", b"4"))
+        (path / "b.warc").write_bytes(plain_record("five", b"5"))
+        found = {r.record_id: (bytes(r.payload), r.whole) for r in W.read(spark, str(path)).collect()}
+        assert found == {"<one>": (b"1" * 50, True), "<cut>": (b"2" * 20, False), "<three>": (b"3" * 60, True), "<four>": (b"4", True), "<five>": (b"5", True)}
+
+
+def test_plain_archives_are_not_split_inside_payloads(spark, tmp_path):
+    inner = b"\r\n\r\n".join(plain_record(f"inner{k}", b"i" * 700) for k in range(40))
+    (tmp_path / "a.warc").write_bytes(plain_record("outer", inner) + plain_record("next", b"n"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes", None)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = {r.record_id: bytes(r.payload) for r in W.read(spark, str(tmp_path)).collect()}
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "4096"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes") if before is None else spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == {"<outer>": inner, "<next>": b"n"}
