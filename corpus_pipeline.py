@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoretables.llm import decontaminate, langid, neardup, packing, toxicity
-from scoretables.llm.tables import fold, load, scratch
+from scoretables.llm.tables import fold, load, scope, scratch_path
 
-#: Language scores below this are rejected. Evidence for no language at all gives one part in the number of languages.
-LEAST_LANGUAGE_SCORE = 0.3
+#: Language scores below this many parts in the number of languages are rejected; no evidence at all gives one part.
+LEAST_PARTS = 1.2
 
 
 def _row(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents in a language that could be told."""
     model = langid.fit(docs.where(fold(F.col("doc_id"), 3) != 1))
     found = langid.identify(docs, model, keep=tuple(docs.columns))
-    return _row(found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_LANGUAGE_SCORE)), docs)
+    least = min(1.0, LEAST_PARTS / max(1, len(model.languages)))
+    return _row(found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= least)), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents that are left, in sequences of 2048 tokens."""
-    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), temperature=0.7)
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 
@@ -71,5 +72,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        with scope(spark):  # what a stage has put aside goes when its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
