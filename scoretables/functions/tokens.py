@@ -47,7 +47,13 @@ def clean(token: Column, ties: bool = True, articulation: bool = False) -> Colum
     c = F.regexp_replace(c, BEAMS, "")
     if not ties:
         c = F.regexp_replace(c, r"[\[\]_]", "")
-    return F.when(is_control(token), token).otherwise(F.regexp_replace(c, r"[^\x00-\x7F]", ""))
+    return F.when(is_control(token), clean_control(token)).otherwise(F.regexp_replace(c, r"[^\x00-\x7F]", ""))
+
+
+def clean_line(line: Column, ties: bool = True, articulation: bool = False) -> Column:
+    """A score line with every field cleaned, chords note by note."""
+    field = lambda x: F.when(is_control(x), clean(x, ties, articulation)).otherwise(F.array_join(F.transform(F.split(x, " "), lambda n: clean(n, ties, articulation)), " "))
+    return F.array_join(F.transform(F.split(line, "\t"), field), "\t")
 
 
 def layout(token: Column) -> Column:
@@ -156,8 +162,25 @@ def expansion_order(text: Column) -> Column:
 
 
 def key_name(signature: Column) -> Column:
-    """A key signature without naturals."""
-    return F.regexp_replace(signature, "[a-g]n", "")
+    """A key signature ``*k[...]`` with its sharps and flats only: naturals and anything else inside fall out."""
+    marks = F.regexp_extract_all(F.regexp_extract(signature, r"^\*k\[(.*)\]$", 1), F.lit("[a-g][#-]"), F.lit(0))
+    return F.concat(F.lit("*k["), F.array_join(marks, ""), F.lit("]"))
+
+
+def cue_rest(token: Column) -> Column:
+    """A cue note as a rest of its duration (of a chord its first note's); grace notes as grace rests."""
+    first = F.regexp_replace(F.get(F.split(token, " +"), F.lit(0)), r"^[\[({<>]+", "")
+    duration = F.regexp_extract(first, r"^([0-9]+\.?(?:%[0-9]+)?)", 1)
+    after = F.substr(first, F.length(duration) + 1)
+    rest = F.concat(duration, F.when(F.lower(after).contains("q"), F.lit("qr")).otherwise(F.lit("r")))
+    return F.when(F.coalesce(token, F.lit("")).isin("", ".") | (duration == ""), token).otherwise(rest)
+
+
+def clean_control(token: Column) -> Column:
+    """Clefs without editorial marks; comments on visible length or stem direction emptied; other tokens as they are."""
+    clef = F.regexp_replace(token, r"([FGC][0-9])[xy]+$", "$1")
+    hint = token.startswith("!") & (token.contains(":vis=") | token.contains(":stem="))
+    return F.when(hint, "!").when(token.startswith("*clef"), clef).otherwise(token)
 
 
 def tempo(text: Column, default: int = 120) -> Column:

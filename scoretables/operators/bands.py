@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,10 +19,11 @@ def measure_success(results: DataFrame, n: int = 5) -> DataFrame:
 
 def equal_bins(rows: DataFrame, column: str, bins: int, *keys: str) -> DataFrame:
     """``bin`` (from 0) of equal width over the observed range, closed on the right, the lowest value in the first."""
-    whole = Window.partitionBy(*keys)
-    low, high = F.min(column).over(whole), F.max(column).over(whole)
-    at = F.ceil((F.col(column) - low) * bins / F.nullif(high - low, F.lit(0))) - 1
-    return rows.withColumn("bin", F.coalesce(F.least(F.lit(bins - 1), F.greatest(F.lit(0), at)), F.lit(0)).cast("int"))
+    # One row a group, joined back: no task holds all rows of a key.
+    ends = rows.groupBy(*keys).agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
+    at = F.ceil((F.col(column) - F.col("_low")) * bins / F.nullif(F.col("_high") - F.col("_low"), F.lit(0))) - 1
+    bin_ = F.coalesce(F.least(F.lit(bins - 1), F.greatest(F.lit(0), at)), F.lit(0)).cast("int")
+    return rows.join(ends, list(keys)).withColumn("bin", bin_).drop("_low", "_high")
 
 
 def bootstrap(rows: DataFrame, value: str, *keys: str, resamples: int = 1000, least: int = 5, seed: int = 0) -> DataFrame:

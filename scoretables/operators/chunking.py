@@ -29,6 +29,47 @@ def frame_chunks(lengths: DataFrame, chunk: int = 24_000, overlap: int = 12_000,
     return rows.withColumns({"start_frame": start, "end_frame": F.least(start + chunk, F.col("n_frames")), "is_last_chunk": F.col("chunk_idx") == F.col("last_chunk")}).drop("last_chunk")
 
 
+def with_dense_split(chunks: DataFrame, most_tokens: int, chunk: int = 12_000, overlap: int = 6_000, ratio: float = 0.5) -> DataFrame:
+    """Chunks whose ``n_tokens`` (null if unknown) is over the budget are replaced by shorter ones inside their own bounds.
+
+    A dense chunk that is shorter than the least shorter chunk goes without one. ``part`` numbers the parts (0 if whole).
+    """
+    dense = F.coalesce(F.col("n_tokens") > most_tokens, F.lit(False))
+    whole = chunks.where(~dense).withColumn("part", F.lit(0).cast("long"))
+    inner = chunks.where(dense).select("doc_id", F.col("chunk_idx").alias("outer"), F.col("start_frame").alias("from"), (F.col("end_frame") - F.col("start_frame")).alias("n_frames"), "n_tokens")
+    parts = frame_chunks(inner, chunk, overlap, ratio)
+    parts = parts.select("doc_id", F.col("outer").alias("chunk_idx"), (F.col("from") + F.col("start_frame")).alias("start_frame"), (F.col("from") + F.col("end_frame")).alias("end_frame"), "n_tokens", F.col("chunk_idx").alias("part"))
+    return whole.select(parts.columns).unionByName(parts)
+
+
+def recovered(chunks: DataFrame, lines: DataFrame) -> DataFrame:
+    """``has_oov`` of each chunk from its own lines: a document with unknown tokens loses only the chunks that hold them.
+
+    ``chunks``: doc_id, chunk_idx, line_start, line_end; ``lines``: doc_id, line_no, has_oov.
+    """
+    spread = chunks.withColumn("line_no", F.explode(F.sequence("line_start", "line_end"))).join(lines, ["doc_id", "line_no"], "left")
+    return spread.groupBy("doc_id", "chunk_idx").agg(F.coalesce(F.bool_or("has_oov"), F.lit(False)).alias("has_oov"))
+
+
+def guidance_bounds(tokens: DataFrame, measures: DataFrame, spans: DataFrame) -> DataFrame:
+    """``low`` and ``high`` of each token: the time of its measure as a share of the chunk, from 0 to 1.
+
+    ``tokens``: doc_id, pos, is_bar, is_note; a token is in the measure whose number is the count of bars before it, or in
+    the last one. ``measures``: doc_id, m_idx (from 0), start, end; ``spans``: doc_id and the chunk's start and end.
+    Tokens that are neither bars nor notes, and those of measures without width, have -1 in both.
+    """
+    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = tokens.withColumn("bars", F.coalesce(F.count_if("is_bar").over(before), F.lit(0)))
+    n = measures.groupBy("doc_id").agg(F.max("m_idx").alias("last_m"))
+    rows = rows.join(n, "doc_id", "left").withColumn("m_idx", F.least("bars", "last_m"))
+    timed = measures.select("doc_id", "m_idx", F.col("start").alias("m_start"), F.col("end").alias("m_end")).join(spans.select("doc_id", F.col("start").alias("c_start"), F.col("end").alias("c_end")), "doc_id").where("c_end > c_start")
+    share = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(t) - F.col("c_start")) / (F.col("c_end") - F.col("c_start"))))
+    timed = timed.select("doc_id", "m_idx", share("m_start").alias("low"), share("m_end").alias("high")).where("high > low")
+    rows = rows.join(timed, ["doc_id", "m_idx"], "left")
+    known = (F.col("is_bar") | F.col("is_note")) & F.col("low").isNotNull()
+    return rows.select("doc_id", "pos", *(F.when(known, F.col(c)).otherwise(-1.0).alias(c) for c in ("low", "high")))
+
+
 def measures_in(chunks: DataFrame, measures: DataFrame, width: int = 10_000) -> DataFrame:
     """First and last measure that overlaps each chunk [start, end): an equi-join on time buckets of ``width``."""
     left = chunks.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.greatest("start", F.col("end") - 1)) / width))))

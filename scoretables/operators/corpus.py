@@ -78,6 +78,21 @@ def first_existing(files: DataFrame, names: list[str]) -> DataFrame:
     return files.withColumn("rank", rank).where("rank > 0").groupBy("folder").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
 
 
+def listed_scan(files: DataFrame, names: DataFrame, reserved: DataFrame, piece: str, key: str) -> DataFrame:
+    """The files of the listed pieces, without reserved ones."""
+    return files.join(names.select(piece).distinct(), piece, "left_semi").join(reserved.select(key).distinct(), key, "left_anti")
+
+
+def nested_scan(files: DataFrame, names: list[str]) -> DataFrame:
+    """Of each piece folder (``top/piece``) the first file by ``names``; where a piece has none itself, that of each of its
+    folders (``top/piece/part``). ``files``: ``top``, ``piece``, ``part`` (or null), ``name``, ``path``."""
+    rank = F.array_position(F.array(*(F.lit(x) for x in names)), F.col("name"))
+    rows = files.withColumn("rank", rank).where("rank > 0")
+    best = rows.groupBy("top", "piece", "part").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
+    own = best.where("part is null").select("top", "piece")
+    return best.where("part is null").unionByName(best.where("part is not null").join(own, ["top", "piece"], "left_anti").select(best.columns))
+
+
 def ranked_lookup(wanted: DataFrame, files: DataFrame, rules: list[tuple[Column, Column]]) -> DataFrame:
     """The file of each wanted row by the first rule that finds one, ties by path. A rule is a pair of equal keys."""
     found = None

@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Durations of complete tuplet groups and the plain durations that take their place.
-TUPLETS = {7: 8, 14: 16, 28: 32, 56: 64, 5: 6, 10: 12, 80: 96, 160: 96, 18: 20, 36: 40, 11: 12, 22: 24, 44: 48, 88: 96, 15: 16, 30: 32, 60: 64}
+# By notes of a complete group, its durations and the plain durations that take their place.
+TUPLETS = {
+    5: {5: 6, 10: 12, 80: 96, 160: 96},
+    7: {7: 8, 14: 16, 28: 32, 56: 64},
+    9: {18: 20, 36: 40},
+    11: {11: 12, 22: 24, 44: 48, 88: 96},
+    15: {15: 16, 30: 32, 60: 64},
+}
 
 
 def drop_reason(chunks: DataFrame) -> DataFrame:
@@ -38,6 +44,7 @@ def rhythm(shortest: DataFrame, lines: DataFrame) -> DataFrame:
 
 def compact(targets: DataFrame) -> DataFrame:
     """Numbers from 1 for the targets that occur, in their order, joined to the rows."""
+    # Targets are durations and the bar: as few as the vocabulary has, whatever the number of rows.
     ids = targets.select("target").distinct().withColumn("target_id", F.row_number().over(Window.orderBy("target")))
     return targets.join(ids, "target")
 
@@ -50,13 +57,20 @@ def tied(tokens: DataFrame, parts: Column) -> DataFrame:
     return rows.withColumn("token", text)
 
 
-def plain_tuplets(groups: DataFrame, size: int) -> DataFrame:
-    """Members of complete groups in the plain duration of the table, the last one as a tied pair, so that ``size``
-    notes take the time of ``size`` + 1."""
-    table = F.create_map(*(F.lit(x).cast("long") for pair in TUPLETS.items() for x in pair))
-    plain = groups.withColumn("plain", F.try_element_at(table, F.col("dur"))).where("plain is not null")
-    marks = F.when(F.col("in_group") == size - 1, F.array(F.lit("["), F.lit("]"))).otherwise(F.array(F.lit("")))
-    return plain.withColumn("tie", F.explode(marks))
+def group_size(dur: Column) -> Column:
+    """Notes of a complete group of this duration; null for durations that make none."""
+    out = F.lit(None).cast("int")
+    for size, table in TUPLETS.items():
+        out = F.when(dur.isin(*table), size).otherwise(out)
+    return out
+
+
+def plain_tuplets(groups: DataFrame) -> DataFrame:
+    """Members of complete groups in the plain duration of the table, the last one as a tied pair, so that a group of
+    ``size`` notes takes the time of ``size`` + 1."""
+    table = F.create_map(*(F.lit(x).cast("long") for of_size in TUPLETS.values() for pair in of_size.items() for x in pair))
+    marks = F.when(F.col("in_group") == F.col("size") - 1, F.array(F.lit("["), F.lit("]"))).otherwise(F.array(F.lit("")))
+    return groups.withColumns({"plain": F.try_element_at(table, F.col("dur")), "tie": F.explode(marks)})
 
 
 def ratio(text: Column) -> Column:

@@ -53,8 +53,8 @@ def sounding_together(notes: DataFrame, slack_ms: int = 10, width: int = 2000) -
 def melodic_motion(notes: DataFrame) -> DataFrame:
     """Kind of motion through each note by its steps: passing, neighbour, appoggiatura, escape, or none."""
     a, b = F.col("pitch") - F.lag("pitch").over(in_order()), F.lead("pitch").over(in_order()) - F.col("pitch")
-    step, leap = lambda x: F.abs(x).between(1, 2), lambda x: F.abs(x) > 2
-    motion = F.when(step(a) & step(b) & (F.signum(a) == F.signum(b)), "passing").when(step(a) & step(b), "neighbour").when(leap(a) & step(b), "appoggiatura").when(step(a) & leap(b), "escape").otherwise("none")
+    step, turns = lambda x: F.abs(x) <= 2, a * b < 0
+    motion = F.when(step(a) & step(b) & (a * b > 0), "passing").when(step(a) & step(b) & turns, "neighbour").when(~step(a) & step(b) & turns, "appoggiatura").when(step(a) & ~step(b) & turns, "escape").otherwise("none")
     score = F.when(motion.isin("passing", "neighbour"), 0.4).when(motion == "appoggiatura", 0.35).when(motion == "escape", 0.3).otherwise(0.0)
     return notes.withColumns({"motion": motion, "motion_score": score})
 
@@ -116,6 +116,20 @@ def harmony_changes(found: DataFrame, least: float = 0.5) -> DataFrame:
     return found.withColumn("alike", alike).where(F.col("alike").isNull() | (F.col("alike") < least))
 
 
+def lowest_notes(notes: DataFrame, width: int, below: int = 48) -> DataFrame:
+    """The lowest pitch under ``below`` of each stretch of ``width`` ms of a piece, from its first to its last; null where there is none."""
+    bass = notes.groupBy("piece_id", F.floor(F.col("onset_ms") / width).alias("bucket")).agg(F.min(F.when(F.col("pitch") < below, F.col("pitch"))).alias("bass"))
+    ends = bass.groupBy("piece_id").agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
+    every = ends.select("piece_id", F.explode(F.sequence("a", "b")).alias("bucket"))
+    return every.join(bass, ["piece_id", "bucket"], "left")
+
+
+def lifts_without_bass(notes: DataFrame, measure_ms: int = 2000, below: int = 48) -> DataFrame:
+    """Pedal lifts at the start of each measure that has no bass note."""
+    empty = lowest_notes(notes, measure_ms, below).where("bass is null")
+    return empty.select("piece_id", (F.col("bucket") * measure_ms).alias("at_ms"), F.lit("up").alias("event"))
+
+
 def bass_changes(found: DataFrame, below: int = 48) -> DataFrame:
     """Buckets with a bass note of another pitch than the bass before; buckets without a bass are passed over."""
     order = Window.partitionBy("piece_id").orderBy("bucket")
@@ -175,15 +189,25 @@ def tremolos(notes: DataFrame, hit_ms: int = 125) -> DataFrame:
 
 
 def grace_notes(notes: DataFrame, is_grace: Column, length_ms: int = 80) -> DataFrame:
-    """A grace note takes its time from the main note after it, which starts later and is shorter."""
+    """A grace note takes its time from the main note after it, which starts later and is shorter.
+
+    ``grace_pitch`` is that of the grace note before a main note (or null), which sounds from the note's own onset for
+    ``grace_dur_ms``.
+    """
     after = F.coalesce(F.lag(is_grace).over(in_order()), F.lit(False))
     taken = F.when(after, F.least(F.lit(length_ms), F.floor(F.col("dur_ms") / 2))).otherwise(0)
-    return notes.withColumns({"main_onset_ms": F.col("onset_ms") + taken, "main_dur_ms": F.col("dur_ms") - taken})
+    pitch = F.when(after, F.lag("pitch").over(in_order()))
+    return notes.withColumns({"main_onset_ms": F.col("onset_ms") + taken, "main_dur_ms": F.col("dur_ms") - taken, "grace_pitch": pitch, "grace_dur_ms": taken})
+
+
+def velocity_decibels(velocity: Column, reference: int = 64) -> Column:
+    """A velocity as a gain over the reference, in decibels; null for none."""
+    return F.when(velocity > 0, 20 * F.log10(velocity / F.lit(float(reference))))
 
 
 def collapsed(fanned: DataFrame) -> DataFrame:
-    """The earliest onset, the number and the highest pitch of the notes made from each source note."""
-    return fanned.groupBy("piece_id", "note_idx").agg(F.min("onset_ms").alias("onset_ms"), F.count("*").alias("n"), F.max("pitch").alias("pitch"))
+    """The earliest onset, the number and the largest velocity of the notes made from each source note."""
+    return fanned.groupBy("piece_id", "note_idx").agg(F.min("onset_ms").alias("onset_ms"), F.count("*").alias("n"), F.max("velocity").alias("velocity"))
 
 
 def jitter(notes: DataFrame, seed: int = 0, deviation_ms: float = 5.0) -> DataFrame:

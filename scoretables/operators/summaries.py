@@ -69,12 +69,12 @@ def status_shares(results: DataFrame) -> DataFrame:
 
 
 def position_bins(results: DataFrame, bins=BINS) -> DataFrame:
-    """Success and metric means by bin of the chunk index. Rows outside every bin make a bin of their own."""
-    name = F.lit("outside")
+    """Success and metric means by bin of the chunk index. Rows outside every bin are left out."""
+    name = F.lit(None).cast("string")
     for a, b in bins:
         name = F.when(F.col("chunk_index").between(a, b), f"{a}-{b}").otherwise(name)
     ok = succeeded()
-    return results.groupBy("system", name.alias("bin")).agg(
+    return results.withColumn("bin", name).where("bin is not null").groupBy("system", "bin").agg(
         F.count("*").alias("n"),
         F.count_if(ok).alias("n_success"),
         F.round(F.count_if(ok) / F.count("*"), 9).alias("success_rate"),

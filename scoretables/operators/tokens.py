@@ -7,21 +7,86 @@ from pyspark.sql import functions as F
 
 from scoretables.functions import tokens as T
 
-# The order in which the vocabulary is numbered.
-SPECIALS = ("<pad>", "<sos>", "<eos>", "<unk>", "<coc>", "<bar>", "<nl>", "<continue>", "<split>", "<merge>")
+# The entries of the vocabulary, by kind, in the order in which they are numbered.
+SPECIALS = ("<pad>", "<sos>", "<eos>", "<coc>", "<bar>", "<continue>", "<nl>", "<split>", "<merge>", "<*>")
+METERS = ("<2>", "<3>", "<4>", "<5>", "<6>", "<7>", "<8>", "<9>", "<10>", "<12>", "<17>")
+KEYS = ("<key:0>", "<key:1#>", "<key:2#>", "<key:3#>", "<key:4#>", "<key:5#>", "<key:6#>", "<key:7#>", "<key:1b>", "<key:2b>", "<key:3b>", "<key:4b>", "<key:5b>", "<key:6b>", "<key:7b>")
 STRUCTURE = (".", "\t", "\n")
+DURATIONS = ("0", "00", "1", "2", "4", "8", "16", "32", "64", "128", "0.", "00.", "1.", "2.", "4.", "8.", "16.", "32.", "64.", "3", "6", "12", "24", "48", "96", "20", "40", "112", "176")
+MODIFIERS = ("[", "]", "_", "q", "Q", "P", "(", ")", "{", "}", "L", "J", ";")
+ACCIDENTALS = ("-", "", "#")
+#: Accidentals of key signatures in the order in which they are added.
+SHARPS, FLATS = ("f#", "c#", "g#", "d#", "a#", "e#", "b#"), ("b-", "e-", "a-", "d-", "g-", "c-", "f-")
+
+
+def pitches() -> list[str]:
+    """The letters of nine octaves, from four capitals to five small letters, with each accidental."""
+    heads = (letter * (4 - octave) if octave < 4 else letter.lower() * (octave - 3) for octave in range(9) for letter in "CDEFGAB")
+    return [head + accidental for head in heads for accidental in ACCIDENTALS]
+
+
+def vocabulary(spark: SparkSession) -> DataFrame:
+    """``token``, ``id`` and ``kind``: specials, meters, keys, structure, durations, pitches and the rest, modifiers."""
+    parts = {"special": SPECIALS, "meter": METERS, "key": KEYS, "structure": STRUCTURE, "duration": DURATIONS, "pitch": (*pitches(), "r"), "modifier": MODIFIERS}
+    rows = [(t, kind) for kind, names in parts.items() for t in names]
+    return spark.createDataFrame([(t, i, kind) for i, (t, kind) in enumerate(rows)], "token string, id int, kind string")
+
+
+def key_tokens() -> dict[str, str]:
+    """The key token of each signature: ``*k[]``, then one to seven sharps or flats in their usual order."""
+    made = {"*k[]": KEYS[0]}
+    for mark, order in (("#", SHARPS), ("b", FLATS)):
+        made |= {f"*k[{''.join(order[:n])}]": f"<key:{n}{mark}>" for n in range(1, 8)}
+    return made
+
+
+def schema_tokens(meter: Column, key: Column) -> Column:
+    """Tokens that follow a bar: the meter's beats (if the vocabulary has them) and unit, then the key's token."""
+    beats, unit = (F.regexp_extract(meter, r"^\*M([0-9]+)/([0-9]+)", i) for i in (1, 2))
+    beats = F.concat(F.lit("<"), beats, F.lit(">"))
+    of_meter = F.when(beats.isin(*METERS), F.array(beats, unit)).otherwise(F.array().cast("array<string>"))
+    found = T.lookup(T.key_name(key), key_tokens())
+    of_key = F.when(found.isNotNull(), F.array(found)).otherwise(F.array().cast("array<string>"))
+    return F.concat(of_meter, of_key)
+
+
+def score_sequence(lines: DataFrame) -> DataFrame:
+    """The token sequence of score lines (doc_id, line_no, line with fields between tabs), with ``doc_id``, ``pos``, ``token``.
+
+    Notes give their factors, ``<coc>`` stands between fields, ``<nl>`` before a data line (or a line of splits and
+    joins) that follows another one, ``<bar>`` and the meter and key in force for a barline, ``<sos>`` and ``<eos>``
+    around a document. Splits and joins are ``<split>``, ``<merge>`` and ``<*>``. Meter and key are the last given
+    before the bar; a bar before any has none.
+    """
+    fields = F.split(F.col("text"), "\t")
+    one = lambda pattern: F.get(F.filter(fields, lambda x: x.rlike(pattern)), F.lit(0))
+    rows = lines.select("doc_id", "line_no", F.regexp_replace("line", r"^\s+|\s+$", "").alias("text")).where("text <> '' and not startswith(text, '!')")
+    control = F.col("text").startswith("*")
+    rows = rows.withColumns({"meter": F.when(control, one(r"^\*M.*/")), "key": F.when(control, one(r"^\*k\[")), "is_bar": F.col("text").startswith("=")})
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(order) for c in ("meter", "key")})
+    moves = F.exists(fields, lambda x: x.isin("*^", "*v"))
+    kept = rows.where(~control | moves)
+    move = F.transform(fields, lambda x: F.array(F.when(x == "*^", "<split>").when(x == "*v", "<merge>").otherwise("<*>")))
+    notes = F.transform(fields, lambda x: F.flatten(F.transform(F.filter(F.split(x, " +"), lambda n: n != ""), T.factors)))
+    joined = F.flatten(F.transform(F.when(control, move).otherwise(notes), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.array(F.lit("<coc>")), p))))
+    follows = F.lag(~F.col("is_bar")).over(order)
+    data = F.when(follows, F.concat(F.array(F.lit("<nl>")), joined)).otherwise(joined)
+    bar = F.concat(F.array(F.lit("<bar>")), schema_tokens(F.col("meter"), F.col("key")))
+    line = kept.select("doc_id", "line_no", F.when(F.col("is_bar"), bar).otherwise(data).alias("parts"))
+    ends = line.groupBy("doc_id").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"))
+    edge = lambda at, token: ends.select("doc_id", at.alias("line_no"), F.array(F.lit(token)).alias("parts"))
+    whole = line.unionByName(edge(F.col("first") - 1, "<sos>")).unionByName(edge(F.col("last") + 1, "<eos>"))
+    # A line knows how many tokens stand before it, so positions need no second order of single tokens.
+    before = F.coalesce(F.sum(F.size("parts")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return whole.withColumn("before", before).select("doc_id", "before", F.posexplode("parts").alias("at", "token")).select("doc_id", (F.col("before") + F.col("at")).cast("int").alias("pos"), "token")
 
 
-def vocabulary(spark: SparkSession, durations: tuple[str, ...] = ("1", "2", "4", "8", "16", "32", "64", "128")) -> DataFrame:
-    """``token``, ``id`` and ``kind``: specials, structure, durations plain and dotted, pitches of nine octaves, a rest."""
-    rows = [(t, "special") for t in SPECIALS] + [(t, "structure") for t in STRUCTURE] + [(d + dot, "duration") for d in durations for dot in ("", ".")]
-    for octave in range(9):
-        for letter in "CDEFGAB":
-            head = letter * (4 - octave) if octave < 4 else letter.lower() * (octave - 3)
-            rows += [(head + accidental, "pitch") for accidental in ("", "#", "-")]
-    rows.append(("r", "pitch"))
-    distinct = dict.fromkeys(rows)
-    return spark.createDataFrame([(t, i, kind) for i, (t, kind) in enumerate(distinct)], "token string, id int, kind string")
+def unknown_durations(tokens: DataFrame) -> DataFrame:
+    """Counts of durations that the vocabulary lacks, most frequent first, of tokens that are no ratios (``X%Y``)."""
+    duration = F.regexp_extract("token", r"^[\[({]*([0-9]+\.?)", 1)
+    rows = tokens.where(~F.col("token").rlike("[0-9]+%[0-9]+") & ~T.is_control(F.col("token"))).select(duration.alias("duration"))
+    return rows.where((F.col("duration") != "") & ~F.col("duration").isin(*DURATIONS)).groupBy("duration").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "duration")
 
 
 def frequencies(tokens: DataFrame, top: int = 20) -> DataFrame:
@@ -85,10 +150,12 @@ def shortest(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("doc_id", "line_no").agg(F.min_by(F.struct("dur", "spine", "token"), F.struct("dur", "spine")).alias("m")).select("doc_id", "line_no", "m.dur", "m.token")
 
 
-def complete_tuplets(tokens: DataFrame, size: int, is_tuplet: Column, resets: Column) -> DataFrame:
+def complete_tuplets(tokens: DataFrame, size: int | Column, is_tuplet: Column, resets: Column) -> DataFrame:
     """Tuplet tokens in complete runs of ``size`` of one duration in a spine. Anything that resets begins a new run."""
     order = Window.partitionBy("doc_id", "spine").orderBy("line_no")
-    rows = tokens.withColumn("island", F.count_if(resets).over(order)).where(is_tuplet)
+    size = F.lit(size) if isinstance(size, int) else size
+    rows = tokens.withColumns({"island": F.count_if(resets).over(order), "size": size}).where(is_tuplet)
+    size = F.col("size")
     own = Window.partitionBy("doc_id", "spine", "island", "dur")
     rank, count = F.row_number().over(own.orderBy("line_no")) - 1, F.count("*").over(own)
     return rows.withColumns({"group_no": F.floor(rank / size), "n_groups": F.floor(count / size), "in_group": rank % size}).where("group_no < n_groups")

@@ -50,11 +50,11 @@ def status_histogram(results):
     return summaries.status_shares(results)
 
 
-_BIN = "CASE " + " ".join(f"WHEN chunk_index BETWEEN {a} AND {b} THEN '{a}-{b}'" for a, b in summaries.BINS) + " ELSE 'outside' END"
+_BIN = "CASE " + " ".join(f"WHEN chunk_index BETWEEN {a} AND {b} THEN '{a}-{b}'" for a, b in summaries.BINS) + " END"
 
 
 @query("results", sql=f"""SELECT system, {_BIN} AS bin, count(*) AS n, count(*) FILTER (WHERE {OK}) AS n_success, round(count(*) FILTER (WHERE {OK}) / count(*), 9) AS success_rate,
-    {_each("round(avg({m}) FILTER (WHERE status = 'success'), 9) AS {m}_mean")} FROM results GROUP BY ALL""")
+    {_each("round(avg({m}) FILTER (WHERE status = 'success'), 9) AS {m}_mean")} FROM results WHERE {_BIN} IS NOT NULL GROUP BY ALL""")
 def metrics_by_position(results):
     return summaries.position_bins(results)
 
@@ -168,7 +168,7 @@ def success_by_equal_bins(results):
 def bootstrap_bands(results):
     """Resampled 95 % bands of success by position bin; rows-only, held against its invariants in the tests."""
     binned = bands.equal_bins(results, "chunk_index", 10, "system").withColumns({"success": summaries.succeeded().cast("double"), "id": F.xxhash64("system", "task_id")})
-    return bands.bootstrap(binned, "success", "system", "bin", resamples=200)
+    return bands.bootstrap(binned, "success", "system", "bin")
 
 
 @query("results")

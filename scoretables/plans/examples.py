@@ -31,10 +31,11 @@ def first_stems(manifest):
     return manifest.select("stem").orderBy("stem").limit(50)
 
 
-@query("manifest")
+@query("manifest", sql="SELECT stem, CAST(concat('0x', substr(md5(concat(stem, '|7')), 1, 12)) AS BIGINT) AS place FROM manifest")
 def epoch_order(manifest):
-    """A shuffled order for one epoch, by hash of the key and the epoch; rows-only."""
-    return manifest.select("stem", F.xxhash64("stem", F.lit(7)).alias("place")).orderBy("place", "stem")
+    """A shuffled order for one epoch, by a digest of the key and the epoch."""
+    place = F.conv(F.substring(F.md5(F.concat("stem", F.lit("|7"))), 1, 12), 16, 10).cast("long")
+    return manifest.select("stem", place.alias("place")).orderBy("place", "stem")
 
 
 @query("pages", sql="SELECT page_id, url FROM pages WHERE url IS NOT NULL AND ends_with(url, '.html')")
@@ -92,11 +93,17 @@ def tied_parts(kern):
     return E.tied(kern, (F.col("note_idx") % 4 + 1).cast("int")).select("piece_id", "note_idx", "part", "token")
 
 
-@query("tokens", sql="""SELECT doc_id, spine, line_no, dur, CAST(CASE dur WHEN 7 THEN 8 WHEN 14 THEN 16 WHEN 5 THEN 6 WHEN 10 THEN 12 WHEN 11 THEN 12 WHEN 15 THEN 16 END AS BIGINT) AS plain, tie FROM (SELECT *, unnest(CASE WHEN rk % 5 = 4 THEN ['[', ']'] ELSE [''] END) AS tie FROM (SELECT *, row_number() OVER w - 1 AS rk, count(*) OVER (PARTITION BY doc_id, spine, dur) AS ct FROM tokens WHERE spine < 3 AND dur IN (5, 7, 10, 11, 14, 15) WINDOW w AS (PARTITION BY doc_id, spine, dur ORDER BY line_no)) WHERE rk // 5 < ct // 5)""")
+_TUPLETS = ", ".join(f"({d}, {plain}, {size})" for size, table in E.TUPLETS.items() for d, plain in table.items())
+
+
+@query("tokens", sql=f"""WITH k AS (SELECT * FROM (VALUES {_TUPLETS}) AS v(dur, plain, size)), i AS (SELECT *, count(*) FILTER (WHERE kind = 'bar') OVER (PARTITION BY doc_id, spine ORDER BY line_no) AS island FROM tokens)
+    SELECT doc_id, spine, line_no, dur, CAST(plain AS BIGINT) AS plain, tie FROM (SELECT *, unnest(CASE WHEN rk % size = size - 1 THEN ['[', ']'] ELSE [''] END) AS tie FROM (SELECT i.*, k.plain, k.size, row_number() OVER w - 1 AS rk, count(*) OVER (PARTITION BY doc_id, spine, island, i.dur) AS ct
+    FROM i JOIN k ON i.dur = k.dur WHERE kind <> 'bar' WINDOW w AS (PARTITION BY doc_id, spine, island, i.dur ORDER BY line_no)) WHERE rk // size < ct // size)""".join(("SELECT * FROM (", ")")))
 def tuplets_to_plain(tokens):
-    """Complete groups of five to six plain notes."""
-    groups = K.complete_tuplets(tokens.where("spine < 3"), 5, F.col("dur").isin(5, 7, 10, 11, 14, 15), F.lit(False))
-    return E.plain_tuplets(groups, 5).select("doc_id", "spine", "line_no", "dur", "plain", "tie")
+    """Complete groups of n notes, in any spine and between two bars, as n + 1 plain ones; n goes by the duration."""
+    size = E.group_size(F.col("dur"))
+    groups = K.complete_tuplets(tokens, size, size.isNotNull() & (F.col("kind") != "bar"), F.col("kind") == "bar")
+    return E.plain_tuplets(groups).select("doc_id", "spine", "line_no", "dur", "plain", "tie")
 
 
 @query("notes", sql="SELECT piece_id, note_idx, 4 * (pitch % 5 + 1) AS num, dur_ms % 9 + 1 AS den FROM notes")

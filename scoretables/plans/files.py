@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scoretables.functions import tokens as T
 from scoretables.operators import chunking, ids, spines, summaries
+from scoretables.operators import corpus as P
 from scoretables.operators import tokens as K
 from scoretables.plans import evaluation
 from scoretables.plans.registry import Family
@@ -74,23 +76,119 @@ def streamed_summary(results):
     return summaries.overall(stream.current(spark, table, ["system", "task_id"]))
 
 
-@query("documents")
-def spine_columns(documents):
-    """Columns to spines through splits and joins; rows-only, held against a hand-made score in the tests."""
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    turn = F.col("line_no") % 4
-    fields = F.when(turn == 1, F.array(F.lit("*^"), F.lit("*"))).when(turn == 3, F.array(F.lit("*v"), F.lit("*v"), F.lit("*"))).when(turn == 2, F.slice(F.split("line", " "), 1, 3)).otherwise(F.slice(F.split("line", " "), 1, 2))
-    return spines.assigned(lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), fields.alias("fields")))
+@query("results", sql="SELECT system, task_id, CAST(chunk_index AS BIGINT) AS chunk_index, piece_id, performance FROM results WHERE system <> 'sys2'")
+def chunk_files_of_two_dialects(results):
+    """Chunk definitions written under two headings and read as one table."""
+    spark = results.sparkSession
+    read = []
+    for system, piece, performance in (("sys0", "piece_id", "performance"), ("sys1", "piece", "perf")):
+        path = S.shared_path(spark, "chunks")
+        rows = results.where(F.col("system") == system).select("task_id", F.col("piece_id").alias(piece), F.col("performance").alias(performance), "chunk_index", F.col("chunk_index").alias("start_measure"), (F.col("chunk_index") + 4).alias("end_measure"))
+        rows.drop("task_id").write.option("header", True).csv(path)
+        read.append(S.read_chunks(spark, path).withColumn("system", F.lit(system)))
+    both = read[0].unionByName(read[1])
+    return both.select("system", F.concat("piece_id", F.lit("#"), "performance", F.lit("."), F.col("chunk_index").cast("string")).alias("task_id"), "chunk_index", "piece_id", "performance")
+
+
+@query("results", sql="SELECT count(*) FILTER (WHERE status = 'timeout') AS n_timeout, count(*) FILTER (WHERE status NOT IN ('timeout', 'success')) AS n_error, count(*) FILTER (WHERE status = 'timeout') AS n_read FROM results")
+def failure_lists(results):
+    """Failures written as two lists, with their counts, and the lines of the first list read again."""
+    folder = S.shared_path(results.sparkSession, "failures")
+    counts = S.write_failures(results, folder).first()
+    back = results.sparkSession.read.text(f"{folder}/timeouts")
+    return back.agg(F.lit(counts.n_timeout).alias("n_timeout"), F.lit(counts.n_error).alias("n_error"), F.count("*").alias("n_read"))
+
+
+@query("results", sql="SELECT system, task_id, status FROM results WHERE status IN ('timeout', 'mv2h_failed')")
+def retry_list_round_trip(results):
+    path = S.shared_path(results.sparkSession, "retries")
+    S.write_retries(results, path)
+    return S.read_retries(results.sparkSession, path)
+
+
+@query("pages", sql="""SELECT host AS folder, lang AS piece, min(page_id) AS page_id FROM (SELECT page_id, split_part(url, '/', 3) AS host, split_part(url, '/', 4) AS lang FROM pages WHERE url IS NOT NULL)
+    WHERE lang IN ('de', 'en') AND page_id % 4 <> 1 GROUP BY ALL""")
+def listed_pieces(pages):
+    """A list-driven scan: of the listed pieces all files, without reserved names, one of each piece kept."""
+    part = lambda i: F.get(F.split("url", "/"), F.lit(i))
+    files = pages.where("url is not null").select("page_id", part(2).alias("folder"), part(3).alias("piece"))
+    names = files.select("piece").distinct().where(F.col("piece").isin("de", "en"))
+    reserved = files.where("page_id % 4 = 1").select("page_id")
+    return P.listed_scan(files, names, reserved, "piece", "page_id").groupBy("folder", "piece").agg(F.min("page_id").alias("page_id"))
+
+
+@query("pages", sql="""WITH f AS (SELECT url AS path, split_part(url, '/', 3) AS top, split_part(url, '/', 4) AS piece, CASE WHEN page_id % 3 = 0 THEN NULL ELSE page_id % 5 END AS part, CASE page_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS name FROM pages WHERE url IS NOT NULL),
+    b AS (SELECT top, piece, part, min({'r': CASE name WHEN 'b' THEN 0 ELSE 1 END, 'p': path}) AS best FROM f WHERE name IN ('a', 'b') GROUP BY ALL)
+    SELECT top, piece, part, best.p AS path FROM b WHERE part IS NULL OR NOT EXISTS (SELECT 1 FROM b o WHERE o.part IS NULL AND o.top = b.top AND o.piece = b.piece)""".join(("SELECT * FROM (", ")")))
+def nested_catalogue(pages):
+    """A scan of two or three levels: a piece folder's own file, else that of each folder below it."""
+    part = lambda i: F.get(F.split("url", "/"), F.lit(i))
+    i = F.col("page_id") % 4
+    name = F.when(i == 0, "a").when(i == 1, "b").otherwise("c")
+    files = pages.where("url is not null").select(part(2).alias("top"), part(3).alias("piece"), F.when(F.col("page_id") % 3 != 0, F.col("page_id") % 5).alias("part"), name.alias("name"), F.col("url").alias("path"))
+    return P.nested_scan(files, ["b", "a"]).select("top", "piece", "part", "path")
+
+
+# The least number of words less one of the lines before is the last spine that a later line can still tell apart.
+@query("lines", sql="""WITH w AS (SELECT doc_id, line_no, string_split(line, ' ') AS words, line_no % 2 = 0 AS joins, coalesce(min(len(string_split(line, ' ')) - 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1000000000) AS most FROM lines),
+    f AS (SELECT *, CASE WHEN joins THEN list_concat(['.'], words) ELSE words END AS fields FROM w), c AS (SELECT *, unnest(range(0, len(fields))) AS c FROM f), s AS (SELECT *, least(CASE WHEN joins THEN greatest(c - 1, 0) ELSE c END, most) AS spine FROM c)
+    SELECT doc_id, 2 * line_no AS line_no, c AS "column", spine, fields[c + 1] AS token FROM s UNION ALL SELECT doc_id, 2 * line_no + 1, c, spine, CASE WHEN joins AND c < 2 THEN '*v' WHEN NOT joins AND c = 0 THEN '*^' ELSE '*' END FROM s""".join(("SELECT * FROM (", ")")))
+def spine_columns(lines):
+    """Columns to spines through splits and joins, over every word of every line.
+
+    After each odd line comes one that splits its first column, after each even line one that joins the first two.
+    """
+    words = F.split("line", " ")
+    # An even line is one column wider, as the split before it asks for.
+    fields = F.when(F.col("line_no") % 2 == 0, F.concat(F.array(F.lit(".")), words)).otherwise(words)
+    width = F.size(fields)
+    stars = lambda n: F.array_repeat(F.lit("*"), n)
+    turn = F.when(F.col("line_no") % 2 == 1, F.concat(F.array(F.lit("*^")), stars(width - 1))).otherwise(F.concat(F.array(F.lit("*v"), F.lit("*v")), stars(width - 2)))
+    rows = lines.select("doc_id", F.explode(F.array(F.struct((2 * F.col("line_no")).alias("line_no"), fields.alias("fields")), F.struct((2 * F.col("line_no") + 1).alias("line_no"), turn.alias("fields")))).alias("l"))
+    return spines.assigned(rows.select("doc_id", "l.line_no", "l.fields"))
+
+
+def _factors(spark, d):
+    """The factors of the score-like tokens, with their places."""
+    kern = view(spark, d, "kern")
+    return kern.select(F.col("piece_id").alias("doc_id"), F.col("note_idx").alias("line_no"), F.posexplode(T.factors(F.col("token"))).alias("spine", "token"))
+
+
+#: The same in SQL: tie, duration, pitch without naturals, tie.
+_PARTS = """(SELECT piece_id AS doc_id, note_idx AS line_no, unnest(range(0, len(parts))) AS spine, unnest(parts) AS token FROM (SELECT piece_id, note_idx, list_filter([CASE WHEN token LIKE '[%' THEN '[' ELSE '' END, regexp_extract(token, '([0-9]+\\.?)', 1),
+    replace(regexp_extract(token, '([A-Ga-g]+[#n-]*|r)', 1), 'n', ''), CASE WHEN token LIKE '%]' THEN ']' ELSE '' END], lambda x: x <> '') AS parts FROM kern))"""
+_LISTED = ", ".join(f"('{t}', {i}, '{kind}')" for i, (t, kind) in enumerate([(t, k) for k, names in (("special", K.SPECIALS), ("meter", K.METERS), ("key", K.KEYS)) for t in names]))
+_STRUCTURE = "('.', 36, 'structure'), (chr(9), 37, 'structure'), (chr(10), 38, 'structure')"
+_DURATIONS = ", ".join(f"('{t}', {39 + i}, 'duration')" for i, t in enumerate(K.DURATIONS))
+_MODIFIERS = ", ".join(f"('{t}', {258 + i}, 'modifier')" for i, t in enumerate(K.MODIFIERS))
+#: The vocabulary by rule: 10 specials, 11 meters, 15 keys, 3 of structure, 29 durations, 9 x 7 x 3 pitches and a rest, 13 modifiers.
+_VOCABULARY = f"""(SELECT token, CAST(id AS INTEGER) AS id, kind FROM (VALUES {_LISTED}, {_STRUCTURE}, {_DURATIONS}, {_MODIFIERS}, ('r', 257, 'pitch')) AS v(token, id, kind) UNION ALL
+    SELECT concat(CASE WHEN o < 4 THEN repeat(substr('CDEFGAB', l + 1, 1), 4 - o) ELSE repeat(substr('cdefgab', l + 1, 1), o - 3) END, ['-', '', '#'][a + 1]), CAST(68 + o * 21 + l * 3 + a AS INTEGER), 'pitch'
+    FROM (SELECT unnest(range(0, 9))::INTEGER AS o) CROSS JOIN (SELECT unnest(range(0, 7))::INTEGER AS l) CROSS JOIN (SELECT unnest(range(0, 3))::INTEGER AS a))"""
 
 
 def vocabulary(spark, d):
-    """How often each entry of the score vocabulary occurs among the score-like tokens' pitches."""
-    kern = view(spark, d, "kern").select(F.regexp_extract("token", r"([A-Ga-g]+[#\-]?|r)", 1).alias("token"))
-    return K.vocabulary(spark).where("kind = 'pitch'").join(kern.groupBy("token").agg(F.count("*").alias("n")), "token")
+    """Every entry of the score vocabulary and how often it occurs among the factors of the score-like tokens."""
+    counts = _factors(spark, d).groupBy("token").agg(F.count("*").alias("n"))
+    return K.vocabulary(spark).join(counts, "token", "left").select("token", "id", "kind", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def unknown_tokens(spark, d):
+    """Counts of the factors that the vocabulary lacks."""
+    return K.unknown(_factors(spark, d), K.vocabulary(spark))
+
+
+def encoded_documents(spark, d):
+    """Ids of every piece's factors, in order; -1 for those that the vocabulary lacks."""
+    found = K.encoded(_factors(spark, d), K.vocabulary(spark))
+    return found.withColumn("ids", F.array_join(F.transform("ids", lambda x: F.coalesce(x, F.lit(-1)).cast("string")), ","))
 
 
-query.queries["vocabulary"] = vocabulary
-query.sql["vocabulary"] = duckdb("kern", then="SELECT token, any_value(id) AS id, 'pitch' AS kind, count(*) AS n FROM (SELECT regexp_extract(token, '([A-Ga-g]+[#-]?|r)', 1) AS token FROM kern) JOIN pitches USING (token) GROUP BY token").replace("WITH ", """WITH pitches AS (SELECT token, CAST(row_number() OVER (ORDER BY o, l, a) + 28 AS INTEGER) AS id FROM (SELECT o, l, a, concat(CASE WHEN o < 4 THEN repeat(substr('CDEFGAB', l, 1), 4 - o) ELSE repeat(substr('cdefgab', l, 1), o - 3) END, CASE a WHEN 0 THEN '' WHEN 1 THEN '#' ELSE '-' END) AS token
-    FROM (SELECT unnest(range(0, 9))::INTEGER AS o) CROSS JOIN (SELECT unnest(range(1, 8))::INTEGER AS l) CROSS JOIN (SELECT unnest(range(0, 3)) AS a) UNION ALL SELECT 9, 1, 0, 'r')), """, 1)
+query.queries |= {f.__name__: f for f in (vocabulary, unknown_tokens, encoded_documents)}
+query.sql |= {
+    "vocabulary": duckdb("kern", then=f"SELECT v.token, v.id, v.kind, coalesce(n, 0) AS n FROM {_VOCABULARY} v LEFT JOIN (SELECT token, count(*) AS n FROM {_PARTS} GROUP BY token) c USING (token)"),
+    "unknown_tokens": duckdb("kern", then=f"SELECT token, count(*) AS n FROM {_PARTS} WHERE token NOT IN (SELECT token FROM {_VOCABULARY}) GROUP BY token"),
+    "encoded_documents": duckdb("kern", then=f"SELECT p.doc_id, count(*) AS n_tokens, bool_or(v.id IS NULL) AS has_oov, array_to_string(list(coalesce(v.id, -1) ORDER BY line_no, spine), ',') AS ids FROM {_PARTS} p LEFT JOIN {_VOCABULARY} v USING (token) GROUP BY p.doc_id"),
+}
 
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scoretables.operators import effects as E
 from scoretables.operators import notes as N
 from scoretables.plans.registry import Family
 
@@ -40,8 +41,8 @@ def concurrent_notes(notes):
     return N.sounding_together(notes)
 
 
-@query("notes", sql=f"""SELECT piece_id, note_idx, CASE WHEN abs(a) BETWEEN 1 AND 2 AND abs(b) BETWEEN 1 AND 2 AND sign(a) = sign(b) THEN 'passing' WHEN abs(a) BETWEEN 1 AND 2 AND abs(b) BETWEEN 1 AND 2 THEN 'neighbour'
-    WHEN abs(a) > 2 AND abs(b) BETWEEN 1 AND 2 THEN 'appoggiatura' WHEN abs(a) BETWEEN 1 AND 2 AND abs(b) > 2 THEN 'escape' ELSE 'none' END AS motion FROM (SELECT *, pitch - lag(pitch) OVER w AS a, lead(pitch) OVER w - pitch AS b FROM notes {W})""")
+@query("notes", sql=f"""SELECT piece_id, note_idx, CASE WHEN abs(a) <= 2 AND abs(b) <= 2 AND a * b > 0 THEN 'passing' WHEN abs(a) <= 2 AND abs(b) <= 2 AND a * b < 0 THEN 'neighbour'
+    WHEN abs(a) > 2 AND abs(b) <= 2 AND a * b < 0 THEN 'appoggiatura' WHEN abs(a) <= 2 AND abs(b) > 2 AND a * b < 0 THEN 'escape' ELSE 'none' END AS motion FROM (SELECT *, pitch - lag(pitch) OVER w AS a, lead(pitch) OVER w - pitch AS b FROM notes {W})""")
 def melodic_motion(notes):
     return N.melodic_motion(notes).select("piece_id", "note_idx", "motion")
 
@@ -102,20 +103,42 @@ def bass_changes(notes):
     return N.bass_changes(N.buckets(notes)).select("piece_id", "bucket", "lowest")
 
 
+@query("notes", sql="""SELECT e.piece_id, e.bucket, b.bass FROM (SELECT piece_id, unnest(range(min(onset_ms // 1000), max(onset_ms // 1000) + 1)) AS bucket FROM notes GROUP BY piece_id) e
+    LEFT JOIN (SELECT piece_id, onset_ms // 1000 AS bucket, min(pitch) FILTER (WHERE pitch < 48) AS bass FROM notes GROUP BY ALL) b USING (piece_id, bucket)""")
+def bass_of_half_measures(notes):
+    """The bass note of each half measure; null where there is none."""
+    return N.lowest_notes(notes, 1000)
+
+
+@query("notes", sql="""SELECT e.piece_id, e.bucket * 2000 AS at_ms, 'up' AS event FROM (SELECT piece_id, unnest(range(min(onset_ms // 2000), max(onset_ms // 2000) + 1)) AS bucket FROM notes GROUP BY piece_id) e
+    LEFT JOIN (SELECT DISTINCT piece_id, onset_ms // 2000 AS bucket FROM notes WHERE pitch < 48) b USING (piece_id, bucket) WHERE b.piece_id IS NULL""")
+def lifts_without_bass(notes):
+    return N.lifts_without_bass(notes)
+
+
 @query("notes", sql=f"""SELECT piece_id, region, count(*) AS n, round(avg(velocity), 9) AS velocity FROM (SELECT n.piece_id, n.velocity, (SELECT count(*) FROM (SELECT piece_id, onset_ms FROM ({_BUCKETS}) WHERE bucket % 4 = 1) c WHERE c.piece_id = n.piece_id AND c.onset_ms <= n.onset_ms) AS region FROM notes n) GROUP BY ALL""")
 def region_velocities(notes):
     return N.region_velocities(notes, N.buckets(notes).where("bucket % 4 = 1")).withColumn("velocity", F.round("velocity", 9))
 
 
-@query("notes")
+def _thinned(times: str, gap: int) -> str:
+    """Common table expressions that end with ``kept``: times at least ``gap`` after the last one kept."""
+    return f"times AS ({times}), kept AS (SELECT piece_id, min(onset_ms) AS onset_ms FROM times GROUP BY piece_id UNION ALL SELECT k.piece_id, min(t.onset_ms) FROM kept k JOIN times t ON t.piece_id = k.piece_id AND t.onset_ms >= k.onset_ms + {gap} GROUP BY k.piece_id)"
+
+
+@query("notes", sql=f"SELECT * FROM (WITH RECURSIVE {_thinned('SELECT DISTINCT piece_id, onset_ms FROM notes', 1150)} SELECT piece_id, onset_ms FROM kept)")
 def thinned_changes(notes):
-    """Greedy gap; rows-only, held against a loop in the tests."""
+    """Greedy gap."""
     return N.thinned(notes.select("piece_id", "onset_ms"), 1150)
 
 
-@query("notes")
+_CHANGES = f"SELECT DISTINCT piece_id, onset_ms FROM (SELECT *, len(list_intersect(classes, before)) / len(list_distinct(list_concat(classes, before))) AS alike FROM (SELECT *, lag(classes) OVER (PARTITION BY piece_id ORDER BY bucket) AS before FROM ({_BUCKETS}))) WHERE before IS NULL OR alike < 0.5"
+
+
+@query("notes", sql=f"""SELECT * FROM (WITH RECURSIVE {_thinned(_CHANGES, 150)}, o AS (SELECT *, lag(onset_ms) OVER w AS before, lead(onset_ms) OVER w AS after FROM kept WINDOW w AS (PARTITION BY piece_id ORDER BY onset_ms))
+    SELECT piece_id, onset_ms + 20 AS at_ms, 'down' AS event FROM o UNION ALL SELECT piece_id, greatest(0, onset_ms - 30), 'up' FROM o WHERE before IS NOT NULL UNION ALL SELECT piece_id, onset_ms + 1000, 'up' FROM o WHERE after IS NULL)""")
 def pedal_plan(notes):
-    """Pedal events at thinned changes; rows-only, held against invariants in the tests."""
+    """Pedal events at thinned changes."""
     return N.pedal_events(N.thinned(N.harmony_changes(N.buckets(notes)).select("piece_id", "onset_ms")))
 
 
@@ -135,14 +158,15 @@ def tremolo_notes(notes):
     return N.tremolos(notes)
 
 
-@query("notes", sql=f"SELECT piece_id, note_idx, onset_ms + taken AS main_onset_ms, dur_ms - taken AS main_dur_ms FROM (SELECT *, CASE WHEN coalesce(lag(staccato) OVER w, false) THEN least(80, dur_ms // 2) ELSE 0 END AS taken FROM notes {W})")
+@query("notes", sql=f"SELECT piece_id, note_idx, onset_ms + taken AS main_onset_ms, dur_ms - taken AS main_dur_ms, CASE WHEN after THEN before END AS grace_pitch, taken AS grace_dur_ms FROM (SELECT *, CASE WHEN after THEN least(80, dur_ms // 2) ELSE 0 END AS taken FROM (SELECT *, lag(pitch) OVER w AS before, coalesce(lag(staccato) OVER w, false) AS after FROM notes {W}))")
 def grace_shift(notes):
-    return N.grace_notes(notes, F.col("staccato")).select("piece_id", "note_idx", "main_onset_ms", "main_dur_ms")
+    return N.grace_notes(notes, F.col("staccato")).select("piece_id", "note_idx", "main_onset_ms", "main_dur_ms", "grace_pitch", "grace_dur_ms")
 
 
-@query("notes", sql="SELECT piece_id, note_idx, min(onset_ms) AS onset_ms, greatest(1, ceil((any_value(dur_ms) - 50) / 100)::BIGINT) AS n, max(pitch + CASE WHEN dur_ms > 150 THEN 2 ELSE 0 END) AS pitch FROM notes GROUP BY ALL")
+@query("notes", sql="SELECT piece_id, note_idx, min(onset_ms) AS onset_ms, greatest(1, ceil((any_value(dur_ms) - 50) / 100)::BIGINT) AS n, max(velocity) AS velocity FROM notes GROUP BY ALL")
 def collapsed_ornaments(notes):
-    return N.collapsed(N.trills(notes))
+    fanned = N.trills(notes).join(notes.select("piece_id", "note_idx", "velocity"), ["piece_id", "note_idx"])
+    return N.collapsed(fanned)
 
 
 @query("notes")
@@ -165,4 +189,49 @@ def shifted_pedals(notes):
     return N.mapped_times(points, pairs).where("mapped_ms is not null").withColumn("mapped_ms", F.round("mapped_ms", 6))
 
 
+@query("notes", sql="SELECT piece_id, note_idx, CASE WHEN velocity > 0 THEN round(20 * log10(velocity / 64), 9) END AS decibels FROM notes")
+def velocity_decibels(notes):
+    return notes.select("piece_id", "note_idx", r(N.velocity_decibels(F.col("velocity")), "decibels"))
+
+
+_K = ", ".join(f"k_{e.name}" for e in E.EFFECTS)
+_STRENGTHS = ", ".join("('{}', {})".format(p, ", ".join(f"{float(given.get(e.name, 1.0))}::DOUBLE" for e in E.EFFECTS)) for p, given in E.PRESETS.items())
+_MARKS = ("staccato", "legato", "tenuto", "accent", "marcato")
+_MARK = "CASE note_idx % 7 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(_MARKS)) + " END"
+
+
+@query("notes", "directions", sql=f"""WITH s AS (SELECT * FROM (VALUES {_STRENGTHS}) AS v(preset, {_K})),
+    f AS (SELECT *, {_MARK} AS mark, dur_ms / avg(dur_ms) OVER (PARTITION BY piece_id ORDER BY onset_ms, note_idx ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS rel, coalesce(lag(pitch) OVER w = pitch, false) AS repeated, pitch - lag(pitch) OVER w AS a, lead(pitch) OVER w - pitch AS b,
+      min(onset_ms) OVER p AS ps, max(onset_ms + dur_ms) OVER p AS pe FROM notes WINDOW w AS (PARTITION BY piece_id ORDER BY onset_ms, note_idx), p AS (PARTITION BY piece_id, phrase_id)),
+    h AS (SELECT n.piece_id, n.note_idx, (any_value(n.onset_ms) - min(d.start_ms)) / 1500 AS hairpin FROM notes n JOIN directions d ON n.piece_id = d.piece_id AND n.onset_ms >= d.start_ms AND n.onset_ms < d.end_ms GROUP BY ALL),
+    c AS (SELECT x.piece_id, x.note_idx, count(*) FILTER (WHERE abs(x.pitch - y.pitch) % 12 IN (1, 2, 6, 10, 11)) AS n FROM notes x JOIN notes y ON x.piece_id = y.piece_id AND x.note_idx <> y.note_idx AND x.onset_ms >= y.onset_ms - 10 AND x.onset_ms <= y.onset_ms + y.dur_ms + 10 GROUP BY ALL),
+    g AS (SELECT f.*, coalesce(h.hairpin, 0::DOUBLE) AS hairpin, CASE WHEN pe - ps < 2000 THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, (onset_ms - ps) / (pe - ps))) END AS p,
+      least(1::DOUBLE, CASE WHEN abs(a) <= 2 AND abs(b) <= 2 AND a * b <> 0 THEN 0.4::DOUBLE WHEN abs(a) > 2 AND abs(b) <= 2 AND a * b < 0 THEN 0.35::DOUBLE WHEN abs(a) <= 2 AND abs(b) > 2 AND a * b < 0 THEN 0.3::DOUBLE ELSE 0 END + least(0.25::DOUBLE, 0.1::DOUBLE * coalesce(c.n, 0))
+        + CASE WHEN onset_ms % 500 <> 0 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN rel < 0.5::DOUBLE THEN 0.15::DOUBLE ELSE 0 END) AS charge FROM f LEFT JOIN h USING (piece_id, note_idx) LEFT JOIN c USING (piece_id, note_idx)),
+    d AS (SELECT g.*, CASE WHEN p < 0.6::DOUBLE THEN (0.6::DOUBLE - p) / 0.6::DOUBLE ELSE (p - 0.6::DOUBLE) / 0.4::DOUBLE END AS away FROM g),
+    e AS (SELECT s.preset, d.*, greatest(-1::DOUBLE, least(1::DOUBLE, 0.03::DOUBLE * k_high_loud * (pitch - 60))) + k_phrase_arch * (1 - away * away) + 0.5::DOUBLE * k_duration_contrast * log2(rel) + 2 * k_melodic_charge * charge + 3 * k_crescendo * hairpin
+        + CASE mark WHEN 'tenuto' THEN k_tenuto WHEN 'accent' THEN 1.5::DOUBLE * k_accent * least(1::DOUBLE, dur_ms / 500) WHEN 'marcato' THEN 5 * k_marcato ELSE 0 END AS db,
+      -k_rubato * least(1.5::DOUBLE, pow(100 / 120, 2)) * CASE WHEN p < 0.6::DOUBLE THEN -0.1::DOUBLE + 0.2::DOUBLE * p / 0.6::DOUBLE ELSE 0.1::DOUBLE - 0.25::DOUBLE * (p - 0.6::DOUBLE) / 0.4::DOUBLE END * 250 - 0.1::DOUBLE * k_crescendo * hairpin * 500 AS own,
+      CASE WHEN onset_ms = ps AND phrase_id > 0 THEN 20 * k_punctuation ELSE 0 END AS step,
+      dur_ms * CASE WHEN onset_ms + dur_ms = pe THEN 1 - 0.15::DOUBLE * k_punctuation ELSE 1 END * CASE WHEN repeated THEN 1 - 0.1::DOUBLE * k_repetition ELSE 1 END * CASE mark WHEN 'staccato' THEN 1 - 0.25::DOUBLE * k_staccato WHEN 'legato' THEN 1 + least(30 * k_legato, 0.1::DOUBLE * dur_ms) / dur_ms
+        WHEN 'tenuto' THEN 1 + 0.05::DOUBLE * k_tenuto WHEN 'marcato' THEN 1 - 0.05::DOUBLE * k_marcato ELSE 1 END AS dur FROM d CROSS JOIN s),
+    o AS (SELECT *, row_number() OVER (PARTITION BY preset, piece_id, onset_ms ORDER BY note_idx) AS nth FROM e)
+    SELECT preset, piece_id, note_idx, round(db, 6) AS decibels, round(own + sum(CASE WHEN nth = 1 THEN step ELSE 0 END) OVER (PARTITION BY preset, piece_id ORDER BY onset_ms), 6) AS shift_ms, round(CASE WHEN dur < 50 THEN 50 ELSE dur END, 6) AS dur_ms FROM o""".join(("SELECT * FROM (", ")")))
+def preset_performances(notes, directions):
+    """Every note under every preset: gain, shift in time and duration of all effects together."""
+    i = F.col("note_idx") % 7
+    mark = F.lit(None).cast("string")
+    for k, name in enumerate(_MARKS):
+        mark = F.when(i == k, name).otherwise(mark)
+    found = E.applied(E.prepared(notes.withColumn("mark", mark), directions), E.presets(notes.sparkSession))
+    return found.select("preset", "piece_id", "note_idx", r(F.col("decibels"), "decibels", 6), r(F.col("shift_ms"), "shift_ms", 6), r(F.col("dur_ms"), "dur_ms", 6))
+
+
+@query("notes", sql="SELECT piece_id, note_idx, round(avg(dur_ms) OVER (PARTITION BY piece_id ORDER BY onset_ms, note_idx ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 9) AS local_mean, onset_ms + 100 AS onset_ms FROM notes")
+def transformed_notes(notes):
+    """A caller's own step in the chain, by ``DataFrame.transform``."""
+    later = lambda df, ms: df.withColumn("onset_ms", F.col("onset_ms") + ms)
+    return notes.transform(N.features).transform(later, 100).select("piece_id", "note_idx", r("local_mean", "local_mean"), "onset_ms")
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql

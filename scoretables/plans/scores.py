@@ -39,10 +39,34 @@ def score_headers(lines):
     return S.header(lines, {"first_interp": kind == "interp", "first_bar": kind == "bar", "first_comment": kind == "comment"})
 
 
-@query("lines", sql="SELECT doc_id, line_no, greatest(-6, least(7, s - f)) AS signature FROM (SELECT doc_id, line_no, CAST(line_no % 9 AS INTEGER) AS s, CAST(doc_id % 11 AS INTEGER) AS f FROM lines)")
+# Key signatures from the letters of a line: a to c sharp, d and e flat, f and g natural.
+_SIGNATURE = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '[^a-g]', '', 'g'), '([a-c])', '\\1#', 'g'), '([de])', '\\1-', 'g'), '([fg])', '\\1n', 'g')"
+
+
+def _signature():
+    letters = F.regexp_replace("line", "[^a-g]", "")
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(letters, "([a-c])", "$1#"), "([de])", "$1-"), "([fg])", "$1n")
+    return F.concat(F.lit("*k["), marked, F.lit("]"))
+
+
+@query("lines", sql=f"SELECT doc_id, line_no, greatest(-6, least(7, length(regexp_replace(s, '[^#]', '', 'g')) - length(regexp_replace(s, '[^-]', '', 'g'))))::INTEGER AS signature FROM (SELECT doc_id, line_no, {_SIGNATURE} AS s FROM lines)")
 def key_signatures(lines):
-    text = F.concat(F.lit("*k["), F.repeat(F.lit("x#"), (F.col("line_no") % 9).cast("int")), F.repeat(F.lit("y-"), (F.col("doc_id") % 11).cast("int")), F.lit("]"))
-    return lines.select("doc_id", "line_no", S.key_signature(text).alias("signature"))
+    return lines.select("doc_id", "line_no", S.key_signature(_signature()).alias("signature"))
+
+
+@query("lines", sql=f"""SELECT doc_id, line_no, name, CASE name WHEN '*k[]' THEN '<key:0>' WHEN '*k[b-]' THEN '<key:1b>' WHEN '*k[b-e-]' THEN '<key:2b>' END AS token
+    FROM (SELECT doc_id, line_no, concat('*k[', array_to_string(regexp_extract_all({_SIGNATURE}, '[a-g][#-]'), ''), ']') AS name FROM lines)""")
+def key_names(lines):
+    """Signatures without naturals, and their tokens; letters a to c are sharp here and d and e flat, so few have one."""
+    name = T.key_name(_signature())
+    return lines.select("doc_id", "line_no", name.alias("name"), T.lookup(name, K.key_tokens()).alias("token"))
+
+
+@query("lines", sql="""SELECT doc_id, line_no, CASE WHEN t <> '' THEN array_to_string(list_transform(string_split(t, ','), lambda x: trim(x)), '|') END AS sections FROM (SELECT doc_id, line_no, replace(replace(line, ']', ''), ' ', ' , ') AS t FROM lines)""")
+def expansion_orders(lines):
+    """Section names of expansion labels, here the words of each line."""
+    label = F.concat(F.lit("*>["), F.replace(F.replace("line", F.lit("]"), F.lit("")), F.lit(" "), F.lit(" , ")), F.lit("]"))
+    return lines.select("doc_id", "line_no", F.array_join(T.expansion_order(label), "|").alias("sections"))
 
 
 @query("measures", sql="SELECT doc_id, m_idx, start_ms, span_end FROM (SELECT *, coalesce(lead(start_ms) OVER (PARTITION BY doc_id ORDER BY m_idx), start_ms) AS span_end FROM measures) WHERE m_idx % 3 <> 1")
@@ -87,6 +111,37 @@ def cleaned_tokens(kern):
     return kern.select("piece_id", "note_idx", T.clean(F.col("token")).alias("token"))
 
 
+@query("kern", sql=f"""SELECT piece_id, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY line_no)) AS digest FROM (SELECT piece_id, note_idx // 4 AS line_no, string_agg({_CLEAN}, chr(9) ORDER BY note_idx) AS line FROM kern GROUP BY ALL) GROUP BY piece_id""")
+def cleaned_documents(kern):
+    """Whole pieces of four fields a line, cleaned field by field and put together again; as a digest."""
+    together = lambda part, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), sep)
+    lines = kern.select("piece_id", F.floor(F.col("note_idx") / 4).alias("line_no"), F.col("note_idx").alias("at"), F.col("token").alias("part")).groupBy("piece_id", "line_no").agg(together("part", "\t").alias("line"))
+    cleaned = lines.select("piece_id", F.col("line_no").alias("at"), T.clean_line(F.col("line")).alias("part"))
+    return cleaned.groupBy("piece_id").agg(F.count("*").alias("n_lines"), F.md5(together("part", "\n")).alias("digest"))
+
+
+@query("kern", sql=r"""SELECT piece_id, note_idx, CASE WHEN d = '' THEN token WHEN contains(lower(substr(t, length(d) + 1)), 'q') THEN concat(d, 'qr') ELSE concat(d, 'r') END AS token
+    FROM (SELECT *, regexp_extract(t, '^([0-9]+\.?(?:%[0-9]+)?)', 1) AS d FROM (SELECT *, regexp_replace(CASE WHEN note_idx % 5 = 0 THEN concat(token, 'q') ELSE token END, '^[\[({<>]+', '') AS t FROM kern))""")
+def cue_rests(kern):
+    """Cue notes as rests of the same length; every fifth is a grace note here."""
+    token = F.when(F.col("note_idx") % 5 == 0, F.concat("token", F.lit("q"))).otherwise(F.col("token"))
+    return kern.select("piece_id", "note_idx", T.cue_rest(token).alias("token"))
+
+
+@query("kern", sql="SELECT piece_id, note_idx, CASE note_idx % 4 WHEN 0 THEN concat('*clef', substr('FGC', CAST(note_idx // 4 % 3 + 1 AS INTEGER), 1), '2') WHEN 1 THEN '!' WHEN 2 THEN '!LO:N' ELSE concat('*', token) END AS token FROM kern")
+def cleaned_controls(kern):
+    """Clefs with editorial marks, layout comments and other interpretations."""
+    i = F.col("note_idx") % 4
+    clef = F.concat(F.lit("*clef"), F.substr(F.lit("FGC"), (F.floor(F.col("note_idx") / 4) % 3 + 1).cast("int"), F.lit(1)), F.lit("2yy"))
+    text = F.when(i == 0, clef).when(i == 1, "!LO:N:vis=5").when(i == 2, "!LO:N").otherwise(F.concat(F.lit("*"), "token"))
+    return kern.select("piece_id", "note_idx", T.clean(text).alias("token"))
+
+
+@query("kern", sql="SELECT piece_id, note_idx, regexp_replace(token, '[(){}&]', '', 'g') AS token FROM kern")
+def stripped_slurs(kern):
+    return kern.select("piece_id", "note_idx", T.strip_slurs(F.concat(F.lit("("), "token", F.lit("&)"))).alias("token"))
+
+
 @query("kern", sql="SELECT piece_id, note_idx, CASE WHEN contains(token, '/') THEN 'up' END AS stem, length(regexp_replace(token, '[^L]', '', 'g'))::INTEGER AS beams_open, length(regexp_replace(token, '[^J]', '', 'g'))::INTEGER AS beams_close FROM kern")
 def layout_hints(kern):
     return kern.select("piece_id", "note_idx", T.layout(F.col("token")).alias("l")).select("piece_id", "note_idx", "l.*")
@@ -143,18 +198,52 @@ def shortest_per_line(tokens):
     return K.shortest(tokens)
 
 
-_KNOWN = "(SELECT DISTINCT token FROM tokens WHERE doc_id % 10 = 0)"
+_DURATION_NAMES = ", ".join(f"'{d}'" for d in K.DURATIONS)
+
+
+@query("kern", sql=rf"SELECT duration, count(*) AS n FROM (SELECT regexp_extract(token, '^[\[({{]*([0-9]+\.?)', 1) AS duration FROM kern WHERE NOT regexp_matches(token, '[0-9]+%[0-9]+')) WHERE duration <> '' AND duration NOT IN ({_DURATION_NAMES}) GROUP BY duration ORDER BY n DESC, duration")
+def unknown_durations(kern):
+    """Durations that the vocabulary lacks, most frequent first."""
+    return K.unknown_durations(kern)
+
+
+# Lines that look like a score, from all words of all lines: meters, keys and splits at interpretations and comments, bars,
+# and for each word a note, a chord, a rest or nothing of its length.
+_NOTE = "CASE WHEN length(w) = 0 THEN '.' WHEN length(w) % 5 = 0 THEN concat(length(w), 'r') WHEN length(w) % 7 = 0 THEN concat('[', length(w), 'c# ', length(w), 'ee') ELSE concat(length(w), 'G') END"
+_SCORE = f"""(SELECT doc_id, line_no, CASE WHEN kind = 'bar' THEN concat('=', line_no) WHEN kind = 'interp' THEN concat('*M', length(line) % 13 + 1, '/', CASE line_no % 3 WHEN 0 THEN '4' WHEN 1 THEN '8' ELSE '2' END, chr(9), '*')
+    WHEN kind = 'comment' THEN CASE length(line) % 4 WHEN 0 THEN '*k[f#c#]' WHEN 1 THEN '*k[bnenf#c#]' WHEN 2 THEN '*k[]' ELSE concat('*^', chr(9), '*') END
+    WHEN length(line) = 0 THEN '!note' ELSE array_to_string(list_transform(string_split(line, ' '), lambda w: {_NOTE}), chr(9)) END AS line FROM lines)"""
+
+
+def _score(lines):
+    n, tab, text = F.length("line"), F.lit("\t"), lambda c: c.cast("string")
+    note = lambda w: F.when(F.length(w) == 0, ".").when(F.length(w) % 5 == 0, F.concat(text(F.length(w)), F.lit("r"))).when(F.length(w) % 7 == 0, F.concat(F.lit("["), text(F.length(w)), F.lit("c# "), text(F.length(w)), F.lit("ee"))).otherwise(F.concat(text(F.length(w)), F.lit("G")))
+    unit = F.when(F.col("line_no") % 3 == 0, "4").when(F.col("line_no") % 3 == 1, "8").otherwise("2")
+    key = F.when(n % 4 == 0, "*k[f#c#]").when(n % 4 == 1, "*k[bnenf#c#]").when(n % 4 == 2, "*k[]").otherwise(F.concat(F.lit("*^"), tab, F.lit("*")))
+    line = (
+        F.when(F.col("kind") == "bar", F.concat(F.lit("="), text(F.col("line_no")))).when(F.col("kind") == "interp", F.concat(F.lit("*M"), text(n % 13 + 1), F.lit("/"), unit, tab, F.lit("*")))
+        .when(F.col("kind") == "comment", key).when(n == 0, "!note").otherwise(F.array_join(F.transform(F.split("line", " "), note), "\t"))
+    )
+    return lines.select("doc_id", "line_no", line.alias("line"))
 
 
-@query("tokens", sql=f"SELECT token, count(*) AS n FROM tokens WHERE token NOT IN {_KNOWN} GROUP BY token")
-def unknown_tokens(tokens):
-    return K.unknown(tokens, tokens.where("doc_id % 10 = 0").select("token").distinct())
+_METERS = ", ".join(f"'{m}'" for m in K.METERS)
+_DIGITS = "regexp_extract(t, '([0-9]+)', 1)"
+_FIELD = f"CASE WHEN control THEN CASE t WHEN '*^' THEN '<split>' ELSE '<*>' END WHEN t = '.' THEN '.' WHEN contains(t, ' ') THEN concat('[ ', {_DIGITS}, ' c# ', {_DIGITS}, ' ee') WHEN ends_with(t, 'r') THEN concat({_DIGITS}, ' r') ELSE concat({_DIGITS}, ' G') END"
+_BEATS, _UNIT = r"regexp_extract(meter, '^\*M([0-9]+)', 1)", "regexp_extract(meter, '/([0-9]+)', 1)"
 
 
-@query("tokens", sql=f"""SELECT t.doc_id, count(*) AS n_tokens, bool_or(v.id IS NULL) AS has_oov, array_to_string(list(coalesce(v.id, -1) ORDER BY t.line_no, t.spine), ',') AS ids FROM tokens t LEFT JOIN (SELECT token, length(token) * 100 AS id FROM {_KNOWN}) v USING (token) GROUP BY t.doc_id""")
-def encoded_documents(tokens):
-    vocab = tokens.where("doc_id % 10 = 0").select("token", (F.length("token") * 100).alias("id")).distinct()
-    return K.encoded(tokens, vocab).withColumn("ids", F.array_join(F.transform("ids", lambda x: F.coalesce(x, F.lit(-1)).cast("string")), ","))
+@query("lines", sql=f"""WITH r AS (SELECT *, line LIKE '*%' AS control, line LIKE '=%' AS is_bar, CASE WHEN line LIKE '*M%' THEN line END AS m, CASE WHEN line LIKE '*k[%' THEN line END AS k FROM {_SCORE} WHERE line NOT LIKE '!%'),
+    c AS (SELECT *, last_value(m IGNORE NULLS) OVER w AS meter, last_value(k IGNORE NULLS) OVER w AS key FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+    e AS (SELECT *, coalesce(lag(NOT is_bar) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS follows FROM c WHERE NOT control OR contains(line, '*^')),
+    x AS (SELECT doc_id, line_no, CASE WHEN is_bar THEN concat('<bar>', CASE WHEN concat('<', {_BEATS}, '>') IN ({_METERS}) THEN concat(' <', {_BEATS}, '> ', {_UNIT}) ELSE '' END, CASE WHEN key IN ('*k[f#c#]', '*k[bnenf#c#]') THEN ' <key:2#>' WHEN key = '*k[]' THEN ' <key:0>' ELSE '' END)
+      ELSE concat(CASE WHEN follows THEN '<nl> ' ELSE '' END, array_to_string(list_transform(string_split(line, chr(9)), lambda t: {_FIELD}), ' <coc> ')) END AS text FROM e),
+    d AS (SELECT doc_id, concat('<sos> ', string_agg(text, ' ' ORDER BY line_no), ' <eos>') AS body FROM x GROUP BY doc_id) SELECT doc_id, CAST(len(string_split(body, ' ')) AS BIGINT) AS n_tokens, md5(body) AS digest FROM d""".join(("SELECT * FROM (", ")")))
+def score_sequences(lines):
+    """Whole token sequences of score-like documents, with meter and key after every bar; as their length and digest."""
+    found = K.score_sequence(_score(lines))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.md5(body).alias("digest"))
 
 
 @query("tokens", sql="""WITH l AS (SELECT doc_id, line_no, kind, count(*) AS n FROM tokens WHERE kind IN ('data', 'bar') GROUP BY ALL), p AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM l),

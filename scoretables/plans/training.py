@@ -56,10 +56,10 @@ def manifest_statistics(manifest):
     return P.manifest_stats(manifest)
 
 
-@query("manifest", sql="SELECT stem, round(CASE WHEN doc_id % 3 = 0 THEN n_frames * 160 / 16000 ELSE duration_sec END, 4) AS seconds FROM manifest")
+@query("manifest", sql="SELECT stem, round(CASE WHEN doc_id % 3 = 0 THEN n_frames * 160 / 16000 ELSE duration_sec END, 4) AS seconds, CAST(floor(round(CASE WHEN doc_id % 3 = 0 THEN n_frames * 160 / 16000 ELSE duration_sec END, 4) * 16000 / 160) AS BIGINT) AS frames FROM manifest")
 def duration_fallback(manifest):
     gaps = manifest.withColumn("duration_sec", F.when(F.col("doc_id") % 3 != 0, F.col("duration_sec")))
-    return P.durations(gaps).select("stem", "seconds")
+    return P.durations(gaps).select("stem", "seconds", "frames")
 
 
 @query("manifest", "split_names", sql=f"SELECT m.stem, s.split FROM manifest m JOIN (SELECT {_STEM} AS stem, split FROM split_names) s USING (stem) WHERE m.source <> 'src3' OR m.doc_id % 4 = 0")
@@ -154,6 +154,35 @@ def chunk_measures(manifest, measures):
     return C.measures_in(chunks, measures, 1000)
 
 
+_DENSE = _CHUNKS.format(c=24000, s=12000, m=12000)
+
+
+@query("manifest", sql=f"""WITH c AS (SELECT *, (doc_id * 7 + chunk_idx * 13) % 100 AS n_tokens FROM {_DENSE}), d AS (SELECT doc_id, chunk_idx, start_frame, end_frame - start_frame AS n, unnest(range(0, (end_frame - start_frame) // 6000 + 1)) AS k FROM c WHERE n_tokens > 60)
+    SELECT doc_id, chunk_idx, 0::BIGINT AS part, start_frame, end_frame FROM c WHERE n_tokens <= 60 UNION ALL SELECT doc_id, chunk_idx, k, start_frame + k * 6000, start_frame + least(k * 6000 + 12000, n) FROM d WHERE k * 6000 + 6000 <= n AND (k = 0 OR (k - 1) * 6000 + 12000 < n)""".join(("SELECT * FROM (", ")")))
+def dense_chunks(manifest):
+    """Chunks over the token budget cut into shorter ones; here every chunk's number of tokens follows from its keys."""
+    chunks = C.frame_chunks(manifest).select("doc_id", "chunk_idx", "start_frame", "end_frame", ((F.col("doc_id") * 7 + F.col("chunk_idx") * 13) % 100).alias("n_tokens"))
+    return C.with_dense_split(chunks, 60).select("doc_id", "chunk_idx", "part", "start_frame", "end_frame")
+
+
+@query("measures", "tokens", sql="""SELECT doc_id, chunk_idx, coalesce(bool_or(has_oov), false) AS has_oov FROM (SELECT doc_id, m_idx // 3 AS chunk_idx, line_start AS line_no FROM measures) JOIN (SELECT doc_id, line_no, bool_or(dur > 14) AS has_oov FROM tokens GROUP BY ALL) USING (doc_id, line_no) GROUP BY ALL""")
+def recovered_chunks(measures, tokens):
+    """Chunks of three lines with a word over 14 letters, which counts as unknown here."""
+    chunks = measures.groupBy("doc_id", F.floor(F.col("m_idx") / 3).alias("chunk_idx")).agg(F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"))
+    return C.recovered(chunks, tokens.groupBy("doc_id", "line_no").agg(F.bool_or(F.col("dur") > 14).alias("has_oov")))
+
+
+@query("tokens", "measures", sql="""WITH t AS (SELECT doc_id, line_no * 1000000 + spine AS pos, kind = 'bar' AND spine = 0 AS is_bar, kind = 'data' AS is_note FROM tokens), b AS (SELECT *, coalesce(count(*) FILTER (WHERE is_bar) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bars FROM t),
+    s AS (SELECT doc_id, min(start_ms) AS a, max(end_ms) * 3 // 4 + 1 AS z, max(m_idx) AS last_m FROM measures GROUP BY doc_id), m AS (SELECT doc_id, m_idx, greatest(0::DOUBLE, least(1::DOUBLE, (start_ms - a) / (z - a))) AS low, greatest(0::DOUBLE, least(1::DOUBLE, (end_ms - a) / (z - a))) AS high FROM measures JOIN s USING (doc_id))
+    SELECT b.doc_id, b.pos, CASE WHEN (is_bar OR is_note) AND high > low THEN round(low, 9) ELSE -1 END AS low, CASE WHEN (is_bar OR is_note) AND high > low THEN round(high, 9) ELSE -1 END AS high FROM b JOIN s USING (doc_id) LEFT JOIN m ON m.doc_id = b.doc_id AND m.m_idx = least(b.bars, s.last_m)""".join(("SELECT * FROM (", ")")))
+def guidance_bounds(tokens, measures):
+    """Time bounds of every bar and note within a chunk that ends at three quarters of the document."""
+    rows = tokens.select("doc_id", (F.col("line_no") * 1_000_000 + F.col("spine")).alias("pos"), ((F.col("kind") == "bar") & (F.col("spine") == 0)).alias("is_bar"), (F.col("kind") == "data").alias("is_note"))
+    spans = measures.groupBy("doc_id").agg(F.min("start_ms").alias("start"), (F.floor(F.max("end_ms") * 3 / 4) + 1).alias("end"))
+    found = C.guidance_bounds(rows, measures.select("doc_id", "m_idx", F.col("start_ms").alias("start"), F.col("end_ms").alias("end")), spans)
+    return found.select("doc_id", "pos", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
 @query("measures", sql="""WITH l AS (SELECT doc_id, measure % 20 AS measure, arg_max(line_start, m_idx) AS ls, arg_max(line_end, m_idx) AS le FROM measures GROUP BY ALL), w AS (SELECT doc_id, m_idx AS chunk_index, measure AS a, measure + 4 AS b FROM measures)
     SELECT w.doc_id, chunk_index, a AS start_measure, b AS end_measure, s.ls AS line_start, e.le AS line_end FROM w JOIN l s ON w.doc_id = s.doc_id AND w.a = s.measure JOIN l e ON w.doc_id = e.doc_id AND w.b = e.measure""".join(("SELECT * FROM (", ")")))
 def window_lines(measures):
@@ -207,16 +236,16 @@ def padded_batches(manifest):
     return B.padded(rows, "source").select("stem", "padded_tokens", "padded_frames", F.round("valid_ratio", 9).alias("valid_ratio"))
 
 
-@query("tokens", sql="SELECT doc_id, array_to_string(l[:len(l) - 1], ',') AS inputs, array_to_string(l[2:], ',') AS labels FROM (SELECT doc_id, list(dur ORDER BY line_no, spine)[:200] AS l FROM tokens GROUP BY doc_id)")
+@query("tokens", sql="SELECT doc_id, array_to_string(l[:len(l) - 1], ',') AS inputs, array_to_string(l[2:], ',') AS labels FROM (SELECT doc_id, list(dur ORDER BY line_no, spine)[:4096] AS l FROM tokens GROUP BY doc_id)")
 def shifted_labels(tokens):
     ids_ = tokens.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "spine", "dur"))), lambda x: x["dur"]).alias("ids"))
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
-    return B.shifted(ids_, "ids", 200).select("doc_id", text("inputs"), text("labels"))
+    return B.shifted(ids_, "ids", 4096).select("doc_id", text("inputs"), text("labels"))
 
 
-@query("embeddings", sql="SELECT vec_id, i, round((x - avg(x) OVER w) / (stddev_samp(x) OVER w + 1e-9::DOUBLE), 6) AS z FROM (SELECT vec_id, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id % 5 = label) WINDOW w AS (PARTITION BY vec_id)")
+@query("embeddings", sql="SELECT vec_id, i, round((x - avg(x) OVER w) / (stddev_samp(x) OVER w + 1e-9::DOUBLE), 6) AS z FROM (SELECT vec_id, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) WINDOW w AS (PARTITION BY vec_id)")
 def standardised_samples(embeddings):
-    rows = embeddings.where("vec_id % 5 = label").select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    rows = embeddings.select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
     return B.standardised(rows, "vec_id", "x").select("vec_id", "i", F.round("z", 6).alias("z"))
 
 
@@ -225,11 +254,11 @@ def loss_by_class(lineitem):
     return lineitem.where("l_quantity > 5").groupBy(F.col("l_returnflag").alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("l_discount").cast("double")), 9).alias("loss"))
 
 
-@query("nation", "region", sql="SELECT n_name, coalesce(CASE WHEN n_nationkey % 3 = 0 THEN n_name END, r_name, 'default') AS value FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey > 1")
-def config_overlay(nation, region):
+@query("customer", "nation", sql="SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_name END, n_name, 'default') AS value FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey > 1")
+def config_overlay(customer, nation):
     """A given value, else the file's, else the default."""
-    given = F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name"))
-    return nation.join(region.where("r_regionkey > 1"), nation.n_regionkey == region.r_regionkey, "left").select("n_name", F.coalesce(given, F.col("r_name"), F.lit("default")).alias("value"))
+    given = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name"))
+    return customer.join(nation.where("n_regionkey > 1"), customer.c_nationkey == nation.n_nationkey, "left").select("c_custkey", F.coalesce(given, F.col("n_name"), F.lit("default")).alias("value"))
 
 
 @query("measures", sql="SELECT doc_id, m_idx, last_value(o IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY m_idx) AS original FROM (SELECT *, CASE WHEN m_idx % 3 <> 1 THEN measure END AS o FROM measures)")

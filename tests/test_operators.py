@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from scoretables import catalogue
 from scoretables.functions import tokens as T
-from scoretables.operators import bands, batching, chunking, ids, notes, spines, summaries, transition
+from scoretables.operators import bands, batching, chunking, examples, ids, notes, spines, summaries, tokens, transition
+from scoretables.sources import files
 
 
 def each(spark, f, cases):
@@ -21,6 +22,10 @@ def check(spark, f, cases):
 
 
 def test_clean(spark):
+    check(spark, T.clean, {"*clefG2yy": "*clefG2", "!LO:N:vis=5": "!", "!LO:N": "!LO:N", "*M4/4": "*M4/4"})
+    check(spark, T.clean_line, {"8rGG\t4g/ 4b~\t.\t*clefF4xx": "8r\t4g 4b\t.\t*clefF4", "=5": "=5"})
+    check(spark, T.cue_rest, {"16gg": "16r", "32bb-": "32r", "[4cc": "4r", "8ee 8eee": "8r", "16cc#q": "16qr", "272%3e/": "272%3r", ".": ".", "x": "x"})
+    check(spark, T.key_name, {"*k[bnenf#c#]": "*k[f#c#]", "*k[cancel]": "*k[]", "*k[b-e-]": "*k[b-e-]"})
     check(spark, T.clean, {"8rGG": "8r", "4g/": "4g", "8cc\\": "8cc", "4.c~": "4.c", "4c_": "4c_", "48.ff": "32ff", "4cn#": "4c#", "4BnnL": "4Bn", "=12": "=12", "*k[f#]": "*k[f#]", "4cé": "4c"})
     check(spark, lambda c: T.clean(c, ties=False, articulation=True), {"[4.c~": "4.c~", "4c_]": "4c"})
 
@@ -130,6 +135,40 @@ def test_spines_through_split_and_join(spark):
     assert [found[1, 3, c] for c in range(3)] == [0, 0, 1] and [found[1, 5, c] for c in range(2)] == [0, 1] and found[1, 7, 0] == 1 and found[2, 1, 1] == 1
 
 
+def test_score_sequence_and_vocabulary(spark):
+    text = ["**kern\t**kern", "*M4/4\t*M4/4", "*k[bnf#c#]\t*k[f#c#]", "=1\t=1", "4c# 4e\t[8.G", "!hint", "2r\t.", "*^\t*", "=2", "*M13/8", "4c", "=3"]
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "doc_id long, line_no long, line string")
+    found = [r.token for r in tokens.score_sequence(lines).orderBy("pos").collect()]
+    want = "<sos> <bar> <4> 4 <key:2#> 4 c# 4 e <coc> [ 8. G <nl> 2 r <coc> . <nl> <split> <coc> <*> <bar> <4> 4 <key:2#> 4 c <bar> <key:2#> <eos>".split()
+    assert found == want
+    ids_ = {r.token: r.id for r in tokens.vocabulary(spark).collect()}
+    assert len(ids_) == 271
+    assert [ids_[t] for t in ("<pad>", "<coc>", "<*>", "<2>", "<key:0>", ".", "0", "CCCC-", "ccccc#", "r", ";")] == [0, 3, 9, 10, 21, 36, 39, 68, 238, 257, 270]
+
+
+def test_tuplets_by_their_own_size(spark):
+    rows = [(1, 0, i, d, "data") for i, d in enumerate([5] * 11 + [18] * 9)] + [(1, 0, 50, 1, "bar"), (1, 0, 51, 5, "data")]
+    df = spark.createDataFrame(rows, "doc_id long, spine long, line_no long, dur long, kind string")
+    size = examples.group_size(F.col("dur"))
+    groups = tokens.complete_tuplets(df, size, size.isNotNull() & (F.col("kind") != "bar"), F.col("kind") == "bar")
+    found = examples.plain_tuplets(groups).collect()
+    assert sum(r.plain == 6 for r in found) == 12 and sum(r.plain == 20 for r in found) == 10 and sum(r.tie == "[" for r in found) == 3
+
+
+def test_text_files_at_any_depth(spark, tmp_path):
+    for name, body in (("a/x.krn", "one\ntwo\n"), ("a/b/y.krn", "three"), ("z.txt", "no")):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(body)
+    found = sorted((r.path.rsplit("/", 1)[1], r.line_no, r.line) for r in files.text_lines(spark, str(tmp_path)).collect())
+    assert found == [("x.krn", 1, "one"), ("x.krn", 2, "two"), ("y.krn", 1, "three")]
+
+
+def test_retry_list_skips_comments_and_short_rows(spark, tmp_path):
+    (tmp_path / "r.tsv").write_text("# head\na\tt1\ttimeout\nshort\tx\nb\tt2\tmv2h_failed\textra\n")
+    assert sorted(tuple(r) for r in files.read_retries(spark, str(tmp_path)).collect()) == [("a", "t1", "timeout"), ("b", "t2", "mv2h_failed")]
+
+
 def test_rows_only_queries_run(spark, sf):
     for name in set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL):
         assert catalogue.QUERIES[name](spark, sf).count() > 0, name
