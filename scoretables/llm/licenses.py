@@ -2,7 +2,8 @@
 
 Only DataFrame functions. The canonical form drops copyright lines, lower-cases, turns every run of characters other
 than letters and digits into one blank and writes equivalent spellings alike. A text matches if its canonical form has
-the digest of a known one. Each single line that speaks of a licence is looked up the same way among known notices.
+the digest of a known one: some of the table are texts, with or without their title line, long ones are given by their
+digests. Each single line that speaks of a licence is looked up the same way among known notices.
 
 Defined results: null texts have a null digest and match nothing; empty texts, and texts of punctuation or copyright
 lines only, have the digest of the empty form and match nothing; repeated rows are judged each; a known text given
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scoretables.llm import known_licenses as K
+
 # Spellings that count as equal, from the matching guidelines of public licence lists.
 SPELLINGS = (
     ("acknowledgement", "acknowledgment"), ("analyse", "analyze"), ("artefact", "artifact"), ("authoris", "authoriz"),
@@ -26,28 +29,6 @@ SPELLINGS = (
 COPYRIGHT_LINE = r"\n[^\p{L}\p{N}\n©]*(?:[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt][ \t]*(?:\([Cc]\)|©|[0-9]|[\[<{:])|\([Cc]\)|©|[Aa][Ll][Ll] [Rr][Ii][Gg][Hh][Tt][Ss] [Rr][Ee][Ss][Ee][Rr][Vv][Ee][Dd])[^\n]*"
 OTHER = r"[^\p{L}\p{N}]+"
 
-_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-# Known licence texts and one-line notices.
-LICENSES = {
-    "0BSD": "BSD Zero Clause License\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n" + _WARRANTY,
-    "ISC": "ISC License\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n" + _WARRANTY,
-    "MIT": """MIT License
-Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
-Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
-1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
-2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
-3. This notice may not be removed or altered from any source distribution.""",
-}
-NOTICES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-}
-
 
 def canonical(text: Column) -> Column:
     plain = F.regexp_replace(F.concat(F.lit("\n"), text), COPYRIGHT_LINE, "\n")
@@ -61,19 +42,33 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def known(spark: SparkSession, texts: dict[str, str] = LICENSES) -> DataFrame:
-    return spark.createDataFrame(list(texts.items()), "license_id string, body string")
+def rows_of(spark: SparkSession, pairs: tuple[tuple[str, str], ...], second: str) -> DataFrame:
+    """Constant pairs as rows ``license_id`` and ``second``."""
+    return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(a).alias("license_id"), F.lit(b).alias(second)) for a, b in pairs))))
+
+
+def digests(texts: DataFrame) -> DataFrame:
+    """``license_id`` and ``digest`` of texts (license_id, body) whose canonical form is not empty."""
+    return texts.where(canonical(F.col("body")) != "").select("license_id", digest(F.col("body")).alias("digest"))
+
+
+def known(spark: SparkSession) -> DataFrame:
+    """``license_id`` and ``digest`` of all known texts."""
+    listed = digests(rows_of(spark, K.TEXTS, "body"))
+    return listed.unionByName(rows_of(spark, tuple(K.DIGESTS.items()), "digest")) if K.DIGESTS else listed
 
 
-def scan(docs: DataFrame, licenses: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, str] = NOTICES) -> DataFrame:
+def scan(docs: DataFrame, licenses: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", notices: tuple[tuple[str, str], ...] = K.NOTICES) -> DataFrame:
     """Per row ``id``, ``digest``, ``license_id`` of the entire text (or null) and ``notices``, sorted and comma-joined.
 
     ``licenses`` (license_id, body) may be of any size: whether it is broadcast is left to the optimizer's size check.
+    ``notices`` are constants; their digests are made once and are part of the plan.
     """
-    table = known(docs.sparkSession) if licenses is None else licenses
-    table = table.where(canonical(F.col("body")) != "").groupBy(digest(F.col("body")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    spark = docs.sparkSession
+    table = (known(spark) if licenses is None else digests(licenses)).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    named = {r.digest: r.license_id for r in digests(rows_of(spark, notices, "body")).collect()} if notices else {}
+    by_line = F.map_from_arrays(F.array(*(F.lit(x) for x in named)), F.array(*(F.lit(x) for x in named.values()))) if named else F.create_map().cast("map<string,string>")
     lines = F.filter(F.split("body", "\n"), lambda x: F.lower(x).contains("licen"))
-    by_line = F.map_from_arrays(F.array(*(digest(F.lit(x)) for x in notices.values())), F.array(*(F.lit(x) for x in notices))) if notices else F.create_map().cast("map<string,string>")
     names = F.array_compact(F.transform(lines, lambda x: F.try_element_at(by_line, digest(x))))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     rows = rows.select("id", digest(F.col("body")).alias("digest"), F.array_join(F.array_sort(F.array_distinct(names)), ",").alias("notices"))
@@ -87,15 +82,17 @@ def _sql_canonical(text: str) -> str:
     return out
 
 
-def _sql_rows(texts: dict[str, str]) -> str:
-    quoted = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in texts.items())
-    return f"(VALUES {quoted}) AS t(license_id, body)"
+def _sql_rows(pairs, second: str) -> str:
+    quoted = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in pairs)
+    return f"(VALUES {quoted}) AS t(license_id, {second})"
 
 
+_LISTED = f"SELECT sha256(c) AS digest, license_id FROM (SELECT license_id, {_sql_canonical('body')} AS c FROM {_sql_rows(K.TEXTS, 'body')}) WHERE c <> ''"
+_GIVEN = f" UNION ALL SELECT digest, license_id FROM {_sql_rows(K.DIGESTS.items(), 'digest')}" if K.DIGESTS else ""
 ORACLE_SQL = f"""
-WITH known AS (SELECT sha256(c) AS digest, min(license_id) AS license_id FROM (SELECT license_id, {_sql_canonical('body')} AS c FROM {_sql_rows(LICENSES)}) WHERE c <> '' GROUP BY 1),
+WITH known AS (SELECT digest, min(license_id) AS license_id FROM ({_LISTED}{_GIVEN}) GROUP BY digest),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-notice AS (SELECT license_id, sha256({_sql_canonical('body')}) AS digest FROM {_sql_rows(NOTICES)}),
+notice AS (SELECT license_id, sha256({_sql_canonical('body')}) AS digest FROM {_sql_rows(K.NOTICES, 'body')}),
 found AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
           FROM (SELECT doc_id, sha256({_sql_canonical('line')}) AS digest FROM lines WHERE contains(lower(line), 'licen')) JOIN notice USING (digest) GROUP BY doc_id),
 whole AS (SELECT doc_id, text, sha256({_sql_canonical('text')}) AS digest FROM documents)

@@ -1,12 +1,14 @@
 import collections
+import pathlib
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scoretables.llm import licenses, packing, queries, tables, urlfilter
+from scoretables.llm import known_licenses, licenses, packing, queries, tables, urlfilter
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -54,18 +56,38 @@ def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
 
 
 def test_licences(spark):
-    mit = licenses.LICENSES["MIT"]
+    texts = dict(reversed(known_licenses.TEXTS))  # of each licence the text without a title
+    mit = texts["MIT"]
     variant = "Copyright (c) 2020 Ann\n  " + mit.upper().replace("SUBLICENSE", "SUB-LICENCE").replace(",", " ;") + "\n© 2021 Bob\nAll rights reserved."
-    rows = [(1, mit), (2, variant), (3, mit + " extra"), (4, None), (5, ""), (6, "Copyright 2020 X\n..."), (7, "a\nReleased under the  mit LICENCE\nLicensed under CC BY-NC 4.0.\nb"), (7, mit), (8, "x" * 200_000)]
+    rows = [(1, mit), (2, variant), (3, mit + " extra"), (4, None), (5, ""), (6, "Copyright 2020 X\n..."), (7, "a\nReleased under the  mit LICENCE\nLicensed under CC BY-NC 4.0.\nb"), (7, mit), (8, "x" * 200_000), (9, "SPDX-License-Identifier: BSD-3-Clause")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"digest": F.lit(1), "license_id": F.lit("z"), "body": F.lit("b"), "id": F.lit(4)})
     found = sorted((r.id, r.license_id or "", r.notices) for r in licenses.scan(docs).collect())
-    assert found == [(1, "MIT", ""), (2, "MIT", ""), (3, "", ""), (4, "", None), (5, "", ""), (6, "", ""), (7, "", "CC-BY-NC-4.0,MIT"), (7, "MIT", ""), (8, "", "")]
+    assert found == [(1, "MIT", ""), (2, "MIT", ""), (3, "", ""), (4, "", None), (5, "", ""), (6, "", ""), (7, "", "CC-BY-NC-4.0,MIT"), (7, "MIT", ""), (8, "", ""), (9, "", "BSD-3-Clause")]
     assert licenses.scan(docs.where("false")).count() == 0
     own = spark.createDataFrame([("B", "some text"), ("A", "Some TEXT!"), ("C", "...")], "license_id string, body string")
     got = licenses.scan(docs.where("doc_id = 5").unionByName(docs.where("doc_id = 1").withColumn("text", F.lit("SOME - text"))), own).collect()
     assert sorted((r.id, r.license_id or "") for r in got) == [(1, "A"), (5, "")]
 
 
+def test_every_known_licence_its_spellings_and_near_misses(spark):
+    rows = [(i, name, body) for i, (name, body) in enumerate(known_licenses.TEXTS)]
+    spelt = [(1000 + i, name, "(c) 1999 Somebody Else\n* " + body.replace("license", "licence").replace("License", "Licence").replace(" ", "\t ").swapcase()) for i, name, body in rows]
+    missed = [(2000 + i, None, body + "\nNo warranty is given in Utopia.") for i, _, body in rows]
+    docs = spark.createDataFrame([(i, name, body) for i, name, body in (*rows, *spelt, *missed)], "doc_id long, name string, text string")
+    want = {r.doc_id: r.name for r in docs.collect()}
+    assert {r.id: r.license_id for r in licenses.scan(docs).collect()} == want
+
+
+def test_digests_of_long_licences(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "Artistic-1.0-Perl": "Artistic", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    there = [(i, name, (folder / file).read_text(encoding="utf-8")) for i, (name, file) in enumerate(files.items()) if (folder / file).exists()]
+    if not there:
+        pytest.skip("no public licence texts on this machine")
+    docs = spark.createDataFrame([(i, t) for i, _, t in there], "doc_id long, text string")
+    assert {r.id: r.license_id for r in licenses.scan(docs).collect()} == {i: name for i, name, _ in there}
+
+
 def sequences(pieces):
     out = collections.defaultdict(list)
     for p in pieces:
