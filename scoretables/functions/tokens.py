@@ -62,6 +62,7 @@ def layout(token: Column) -> Column:
         F.when(token.contains("/"), "up").when(token.contains("\\"), "down").alias("stem"),
         F.length(F.regexp_replace(token, "[^L]", "")).alias("beams_open"),
         F.length(F.regexp_replace(token, "[^J]", "")).alias("beams_close"),
+        F.when(token.contains(">"), "above").when(token.contains("<"), "below").alias("placement"),
     )
 
 
@@ -125,6 +126,13 @@ def respelled(pitch: Column) -> Column:
     return F.when(letters != "", F.concat(head, F.substring(same, 2, 1))).otherwise(pitch)
 
 
+def within_range(pitch: Column, low: int = 21, high: int = 108) -> Column:
+    """The MIDI number of a pitch, moved by octaves into the range of the keyboard; -1 for rests and anything else."""
+    n = midi(pitch)
+    up, down = F.ceil((low - n) / 12) * 12, F.ceil((n - high) / 12) * 12
+    return F.when(n < 0, n).when(n < low, n + up).when(n > high, n - down).otherwise(n).cast("int")
+
+
 def strip_slurs(token: Column) -> Column:
     return F.regexp_replace(token, "[(){}&]", "")
 

@@ -94,14 +94,40 @@ def nested_scan(files: DataFrame, names: list[str]) -> DataFrame:
 
 
 def ranked_lookup(wanted: DataFrame, files: DataFrame, rules: list[tuple[Column, Column]]) -> DataFrame:
-    """The file of each wanted row by the first rule that finds one, ties by path. A rule is a pair of equal keys."""
+    """The file of each wanted row by the first rule that finds one, ties by path.
+
+    A rule is a pair of equal keys; a file may have several (an array), such as all its prefixes or parts, so that a
+    search by pattern is a join too.
+    """
     found = None
     for i, (mine, theirs) in enumerate(rules):
-        one = wanted.withColumn("rule_key", mine).join(files.select(theirs.alias("rule_key"), "path"), "rule_key").select("wanted", F.struct(F.lit(i).alias("rule"), "path").alias("hit"))
+        keyed = files.select(theirs.alias("rule_key"), "path")
+        if keyed.schema["rule_key"].dataType.typeName() == "array":
+            keyed = keyed.select(F.explode(F.array_distinct("rule_key")).alias("rule_key"), "path")
+        # One file a key is enough, so that no key pairs all its files with all that want it.
+        keyed = keyed.groupBy("rule_key").agg(F.min("path").alias("path"))
+        one = wanted.withColumn("rule_key", mine).join(keyed, "rule_key").select("wanted", F.struct(F.lit(i).alias("rule"), "path").alias("hit"))
         found = one if found is None else found.unionByName(one)
     return wanted.join(found.groupBy("wanted").agg(F.min("hit").alias("hit")), "wanted", "left").select("wanted", "hit.rule", "hit.path")
 
 
+def prefixes(name: Column, sep: str = "_") -> Column:
+    """Every start of a name that ends at a separator or with the name."""
+    parts = F.split(name, sep)
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), sep))
+
+
+def among(rows: DataFrame, key: str, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """Rows whose key is in the one set (if given) and not in the other."""
+    rows = rows if include is None else rows.join(include.select(key).distinct(), key, "left_semi")
+    return rows if exclude is None else rows.join(exclude.select(key).distinct(), key, "left_anti")
+
+
+def missing_log(validated_rows: DataFrame) -> DataFrame:
+    """How many rows have each problem, with the first and last of their names."""
+    return validated_rows.where("problem is not null").groupBy("problem").agg(F.count("*").alias("n"), F.min("stem").alias("first_stem"), F.max("stem").alias("last_stem"))
+
+
 def split_points(ids: DataFrame, column: str, sep: str = "_") -> DataFrame:
     """Every way to cut an id at a separator: ``left`` and ``right`` of cut ``j``."""
     parts = F.split(F.col(column), sep)

@@ -73,6 +73,23 @@ def plain_tuplets(groups: DataFrame) -> DataFrame:
     return groups.withColumns({"plain": F.try_element_at(table, F.col("dur")), "tie": F.explode(marks)})
 
 
+# Dotted tuplet durations and the two plain ones, tied, that take their place.
+DOTTED = {5: (5, 10), 10: (10, 20), 14: (14, 28), 18: (18, 36), 20: (20, 40)}
+
+
+def dotted_pairs(tokens: DataFrame) -> DataFrame:
+    """Dotted notes of the table as two tied ones: ``part`` (1 or 2), ``plain`` and ``tie``. ``tokens``: dur, dotted."""
+    table = F.create_map(*(x for d, pair in DOTTED.items() for x in (F.lit(d).cast("long"), F.array(*(F.lit(p).cast("long") for p in pair)))))
+    rows = tokens.where("dotted").withColumn("pair", F.try_element_at(table, F.col("dur"))).where("pair is not null")
+    rows = rows.select("*", F.posexplode("pair").alias("at", "plain")).drop("pair")
+    return rows.withColumns({"part": F.col("at") + 1, "tie": F.when(F.col("at") == 0, "[").otherwise("]")}).drop("at")
+
+
+def has_ratio(text: Column) -> Column:
+    """Whether a token is written with a ratio (``X%Y``), which the vocabulary has no name for."""
+    return text.rlike("[0-9]+%[0-9]+")
+
+
 def ratio(text: Column) -> Column:
     """``X%Y`` as struct (num, den) of quarter notes: 4 Y / X; null if it is none."""
     x, y = (F.regexp_extract(text, r"([0-9]+)%([0-9]+)", i).try_cast("long") for i in (1, 2))

@@ -106,10 +106,20 @@ def tuplets_to_plain(tokens):
     return E.plain_tuplets(groups).select("doc_id", "spine", "line_no", "dur", "plain", "tie")
 
 
-@query("notes", sql="SELECT piece_id, note_idx, 4 * (pitch % 5 + 1) AS num, dur_ms % 9 + 1 AS den FROM notes")
+_DOTTED = ", ".join(f"({d}, {a}, 1, '['), ({d}, {b}, 2, ']')" for d, (a, b) in E.DOTTED.items())
+
+
+@query("tokens", sql=f"SELECT doc_id, line_no, spine, dur, CAST(part AS INTEGER) AS part, CAST(plain AS BIGINT) AS plain, tie FROM tokens JOIN (VALUES {_DOTTED}) AS v(d, plain, part, tie) ON dur = d WHERE spine % 2 = 0")
+def dotted_tuplets(tokens):
+    """Dotted tuplet notes, here every second word, as tied pairs."""
+    return E.dotted_pairs(tokens.withColumn("dotted", F.col("spine") % 2 == 0)).select("doc_id", "line_no", "spine", "dur", "part", "plain", "tie")
+
+
+@query("notes", sql="SELECT piece_id, note_idx, note_idx % 3 <> 0 AS has_ratio, CASE WHEN note_idx % 3 <> 0 THEN 4 * (pitch % 5 + 1) END AS num, CASE WHEN note_idx % 3 <> 0 THEN dur_ms % 9 + 1 END AS den FROM notes")
 def ratio_durations(notes):
-    text = F.concat((F.col("dur_ms") % 9 + 1).cast("string"), F.lit("%"), (F.col("pitch") % 5 + 1).cast("string"), F.lit("c"))
-    return notes.select("piece_id", "note_idx", E.ratio(text).alias("r")).select("piece_id", "note_idx", "r.*")
+    plain = F.concat((F.col("dur_ms") % 9 + 1).cast("string"), F.lit("c"))
+    text = F.when(F.col("note_idx") % 3 == 0, plain).otherwise(F.concat((F.col("dur_ms") % 9 + 1).cast("string"), F.lit("%"), (F.col("pitch") % 5 + 1).cast("string"), F.lit("c")))
+    return notes.select("piece_id", "note_idx", E.has_ratio(text).alias("has_ratio"), E.ratio(text).alias("r")).select("piece_id", "note_idx", "has_ratio", "r.*")
 
 
 @query("notes", sql="SELECT DISTINCT n, k, array_to_string(list_filter(range(0, n), lambda i: (i + 1) * k // n > i * k // n), ',') AS places FROM (SELECT note_idx % 12 + 1 AS n, pitch % (note_idx % 12 + 1) AS k FROM notes)")

@@ -142,9 +142,10 @@ def stripped_slurs(kern):
     return kern.select("piece_id", "note_idx", T.strip_slurs(F.concat(F.lit("("), "token", F.lit("&)"))).alias("token"))
 
 
-@query("kern", sql="SELECT piece_id, note_idx, CASE WHEN contains(token, '/') THEN 'up' END AS stem, length(regexp_replace(token, '[^L]', '', 'g'))::INTEGER AS beams_open, length(regexp_replace(token, '[^J]', '', 'g'))::INTEGER AS beams_close FROM kern")
+@query("kern", sql="SELECT piece_id, note_idx, CASE WHEN contains(token, '/') THEN 'up' END AS stem, length(regexp_replace(token, '[^L]', '', 'g'))::INTEGER AS beams_open, length(regexp_replace(token, '[^J]', '', 'g'))::INTEGER AS beams_close, CASE WHEN note_idx % 4 = 1 THEN 'above' WHEN note_idx % 4 = 2 THEN 'below' END AS placement FROM kern")
 def layout_hints(kern):
-    return kern.select("piece_id", "note_idx", T.layout(F.col("token")).alias("l")).select("piece_id", "note_idx", "l.*")
+    placed = F.concat("token", F.when(F.col("note_idx") % 4 == 1, ">").when(F.col("note_idx") % 4 == 2, "<").otherwise(""))
+    return kern.select("piece_id", "note_idx", T.layout(placed).alias("l")).select("piece_id", "note_idx", "l.*")
 
 
 @query("kern", sql="""SELECT piece_id, note_idx, CASE WHEN d THEN 4 * 3 ELSE 4 END AS num, CASE WHEN d THEN 2 * n ELSE n END AS den FROM (SELECT piece_id, note_idx, contains(token, '.') AS d, CAST(regexp_extract(token, '([0-9]+)', 1) AS BIGINT) AS n FROM kern)""")
@@ -163,6 +164,17 @@ def midi_numbers(kern):
     return kern.select("piece_id", "note_idx", T.midi(F.regexp_extract("token", r"([A-Ga-g]+[#\-]*|r)", 1)).alias("midi"))
 
 
+_LETTER = "CASE substr(upper(p), 1, 1) WHEN 'C' THEN 0 WHEN 'D' THEN 2 WHEN 'E' THEN 4 WHEN 'F' THEN 5 WHEN 'G' THEN 7 WHEN 'A' THEN 9 ELSE 11 END"
+
+
+@query("kern", sql=f"""SELECT p AS pitch, CAST(CASE WHEN m < 50 THEN m + CAST(ceil((50 - m) / 12) AS INTEGER) * 12 WHEN m > 70 THEN m - CAST(ceil((m - 70) / 12) AS INTEGER) * 12 ELSE m END AS INTEGER) AS midi
+    FROM (SELECT p, CAST(CASE WHEN p = upper(p) THEN 5 - length(p) ELSE 4 + length(p) END * 12 + {_LETTER} AS INTEGER) AS m FROM (SELECT DISTINCT regexp_extract(token, '([A-Ga-g]+)', 1) AS p FROM kern) WHERE p <> '')""")
+def pitches_in_range(kern):
+    """Pitches of the corpus moved by octaves into a range, here of 21 notes."""
+    pitches = kern.select(F.regexp_extract("token", "([A-Ga-g]+)", 1).alias("pitch")).where("pitch <> ''").distinct()
+    return pitches.select("pitch", T.within_range(F.col("pitch"), 50, 70).alias("midi"))
+
+
 @query("kern", sql=r"SELECT piece_id, note_idx, CASE WHEN contains(token, 'n') THEN regexp_replace(token, '([A-Ga-g])n', '\1', 'g') ELSE token END AS token FROM kern")
 def stripped_naturals(kern):
     return kern.select("piece_id", "note_idx", T.strip_naturals(F.col("token")).alias("token"))

@@ -51,6 +51,32 @@ def manifest_validation(manifest):
     return P.validated(manifest, manifest.where("doc_id % 6 <> 1").select("stem"), manifest.where("doc_id % 7 <> 2").select("doc_id")).select("stem", "doc_id", "problem")
 
 
+@query("manifest", sql="SELECT CASE WHEN doc_id % 6 = 1 THEN 'missing_audio' ELSE 'missing_score' END AS problem, count(*) AS n, min(stem) AS first_stem, max(stem) AS last_stem FROM manifest WHERE doc_id % 6 = 1 OR doc_id % 7 = 2 GROUP BY 1")
+def missing_log(manifest):
+    found = P.validated(manifest, manifest.where("doc_id % 6 <> 1").select("stem"), manifest.where("doc_id % 7 <> 2").select("doc_id"))
+    return P.missing_log(found)
+
+
+@query("manifest", sql="SELECT stem FROM manifest WHERE lang IN ('en', 'de') AND doc_id % 9 <> 0")
+def included_and_excluded(manifest):
+    """A set of names to take and one to leave out."""
+    return P.among(manifest.select("stem"), "stem", manifest.where(F.col("lang").isin("en", "de")).select("stem"), manifest.where("doc_id % 9 = 0").select("stem"))
+
+
+@query("manifest", sql="""WITH f AS (SELECT concat('out/', source, '/', stem, '_v1.mid') AS path, concat(stem, '_v1') AS name, source, doc_id FROM manifest WHERE doc_id % 4 <> 0), w AS (SELECT stem AS wanted, source, doc_id FROM manifest)
+    SELECT w.wanted, CASE WHEN a.path IS NOT NULL THEN 0 WHEN b.path IS NOT NULL THEN 1 WHEN c.path IS NOT NULL THEN 2 END AS rule, coalesce(a.path, b.path, c.path) AS path FROM w LEFT JOIN f a ON a.doc_id = w.doc_id AND w.doc_id % 3 = 0
+    LEFT JOIN f b ON b.doc_id = w.doc_id AND w.doc_id % 3 = 1 LEFT JOIN (SELECT source, min(path) AS path FROM f GROUP BY source) c ON c.source = w.source""".join(("SELECT * FROM (", ")")))
+def prediction_search(manifest):
+    """The prediction of each piece: by the exact name, by a name that begins with it, else any file in a folder of its source."""
+    files = manifest.where("doc_id % 4 <> 0").select(F.concat(F.lit("out/"), "source", F.lit("/"), "stem", F.lit("_v1.mid")).alias("path"), F.concat("stem", F.lit("_v1")).alias("name"))
+    i = F.col("doc_id") % 3
+    wanted = manifest.select(F.col("stem").alias("wanted"), "doc_id", "source")
+    exact = (F.when(i == 0, F.concat("wanted", F.lit("_v1"))), F.col("name"))
+    begins = (F.when(i == 1, F.col("wanted")), P.prefixes(F.col("name")))
+    within = (F.col("source"), F.split("path", "/"))
+    return P.ranked_lookup(wanted, files, [exact, begins, within])
+
+
 @query("manifest", sql="SELECT count(*) AS n, round(sum(duration_sec), 6) AS total_sec, round(avg(duration_sec), 6) AS mean_sec, min(duration_sec) AS least_sec, max(duration_sec) AS most_sec, sum(n_frames)::BIGINT AS frames FROM manifest")
 def manifest_statistics(manifest):
     return P.manifest_stats(manifest)
