@@ -2,9 +2,9 @@
 
 A signature holds ``TREES * DEPTH`` min-hashes of a document's word shingles. Each tree sorts the signatures, read from
 its own place on and around the end. Candidates are those that share the longest common prefix there: a region (all
-documents with the same prefix of LEAST min-hashes) of up to REGION documents pairs them all; a fuller one is read
-deeper, prefix by prefix, until its parts are that small. At every depth all members of a fuller region are paired with
-its smallest id too. Pairs whose signatures agree far too little are dropped, all others are confirmed on full sets.
+documents with the same prefix of LEAST min-hashes) of up to REGION documents pairs them all; a fuller one is read at
+the greater DEPTHS, where its parts are treated the same way, and all members of what is still full are paired with its
+smallest id. Pairs whose signatures agree far too little are dropped, all others are confirmed on full sets.
 
 Documents with equal sets are one class and take part once. Confirmation has three rounds: first each document's most
 alike partners; then, of the rest, the pairs that the links found so far leave in different components; last, all pairs
@@ -29,8 +29,8 @@ from scoretables.llm import graph, tables, text
 TREES = 16
 DEPTH = 6
 LEAST = 3
-#: Prefix lengths at which a region's size is looked at.
-DEPTHS = (LEAST, 4, 5, 6, 8, 12, 24)
+#: Prefix lengths by which fuller regions are read deeper.
+DEPTHS = (6, 12, 24)
 REGION = 16
 #: Rows, and bytes of shingles, of a tile of a full region, on average.
 TILE = 256
@@ -99,33 +99,31 @@ def _keys(reps: DataFrame, depth: int) -> DataFrame:
     return reps.select("id", F.posexplode(trees).alias("tree", "key"))
 
 
+def _regions(rows: DataFrame, keys: list[str], name: str, n: int) -> DataFrame:
+    """Rows of prefixes that several documents share, with the region's size ``n`` and smallest id ``leader``."""
+    sizes = tables.scratch(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1"), f"{name}_sizes", n)
+    return tables.scratch(rows.join(sizes, keys), name, n)
+
+
+def _neighbours(shared: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs within regions of up to REGION documents; of fuller ones all members with the smallest id."""
+    small = shared.where(F.col("n") <= REGION).groupBy(*keys).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    small = small.select("ids", F.posexplode("ids").alias("i", "a")).select("a", F.explode(F.slice("ids", F.col("i") + 2, REGION)).alias("b"))
+    return small.unionByName(shared.where(F.col("n") > REGION).select(F.col("leader").alias("a"), F.col("id").alias("b")))
+
+
 def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs a < b of classes that are prefix neighbours in some tree, and the rows ``tree``, ``key``, ``id`` of
     full regions, of whose pairs they are a part. ``reps``: a written table of id, sig."""
-    found, open_rows = [], _keys(reps, DEPTHS[0])
-    for step, depth in enumerate(DEPTHS):
-        sizes = tables.scratch(open_rows.groupBy("tree", "key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1"), "regions")
-        shared = tables.scratch(open_rows.join(sizes, ["tree", "key"]), "shared")
-        small = shared.where(F.col("n") <= REGION).groupBy("tree", "key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-        small = small.select("ids", F.posexplode("ids").alias("i", "a"))
-        found.append(small.select("a", F.explode(F.slice("ids", F.col("i") + 2, REGION)).alias("b")))
-        full = shared.where(F.col("n") > REGION)
-        if step == 0:
-            crowded = full.select("tree", "key", "id")
-        found.append(full.select(F.col("leader").alias("a"), F.col("id").alias("b")))
-        if full.isEmpty():
-            break
-        if step + 1 < len(DEPTHS):
-            deeper = DEPTHS[step + 1 :]
-            if step == 0:
-                # One join gives the rows of full regions their prefixes of every greater depth.
-                around, at = F.concat("sig", "sig"), 4 * DEPTH * F.col("tree") + 1
-                keys = (F.xxhash64(F.substring(around, at, F.lit(4 * d))).alias(f"key{d}") for d in deeper)
-                full = full.select("id", "tree").join(reps, "id").select("id", "tree", *keys)
-            open_rows = full.select("id", "tree", F.col(f"key{deeper[0]}").alias("key"), *(f"key{d}" for d in deeper[1:]))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
+    region = ["tree", "key"]
+    shared = _regions(_keys(reps, LEAST), region, "regions", TREES * reps.count())
+    crowded = shared.where(F.col("n") > REGION).select("tree", "key", "id")
+    pairs, full = _neighbours(shared, region), crowded.count()
+    if full:
+        around, at = F.concat("sig", "sig"), 4 * DEPTH * F.col("tree") + 1
+        prefixes = F.array(*(F.xxhash64(F.lit(d), F.substring(around, at, F.lit(4 * d))) for d in DEPTHS))
+        deeper = crowded.select("id", "tree").join(reps, "id").select("id", "tree", F.explode(prefixes).alias("key"))
+        pairs = pairs.unionByName(_neighbours(_regions(deeper, region, "deeper", len(DEPTHS) * full), region))
     return pairs.where("a < b").distinct(), crowded
 
 
@@ -220,24 +218,23 @@ def _tile_links(one: _Tile, two: _Tile, threshold: int) -> tuple[np.ndarray, np.
 
 def completed(crowded: DataFrame, roots: DataFrame, source: DataFrame, width: int, threshold: int) -> DataFrame:
     """Links ``a``, ``b`` of components that all pairs of full regions add to ``roots``. Every pair is decided on full sets."""
-    region = ["tree", "key"]
-    rows = crowded.distinct().join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rows = tables.scratch(rows, "crowded")
-    counts = tables.scratch(rows.groupBy(*region, "root").agg(F.count("*").alias("n")), "counts")
+    region, n = ["tree", "key"], crowded.count()
+    rows = crowded.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rows = tables.scratch(rows, "crowded", n)
+    counts = tables.scratch(rows.groupBy(*region, "root").agg(F.count("*").alias("n")), "counts", n)
     mixed = counts.groupBy(*region).agg(F.count("*").alias("kinds")).where("kinds > 1").select(*region)
     # Members of a large component have tiles of their own, which are not compared with each other.
     kinds = counts.join(mixed, region).withColumn("kind", F.when(F.col("n") >= TILE // 2, F.col("root").cast("string")).otherwise(""))
-    rows = tables.scratch(rows.join(kinds.select(*region, "root", "kind"), [*region, "root"]), "open")
-    texts = source.join(tables.scratch(rows.select("id").distinct(), "wanted"), "id", "left_semi")
-    sets = tables.scratch(_sets(texts, width).dropDuplicates(["id", "shingles"]), "sets")
-    rows = tables.scratch(rows.join(sets, "id"), "placed")
+    rows = tables.scratch(rows.join(kinds.select(*region, "root", "kind"), [*region, "root"]), "open", n)
+    sets = tables.scratch(_sets(source.join(rows.select("id").distinct(), "id", "left_semi"), width).dropDuplicates(["id", "shingles"]), "sets")
+    rows = tables.scratch(rows.join(sets, "id"), "placed", n)
     parts = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.length("shingles")) / TILE_BYTES)).cast("int")
-    rows = rows.join(tables.scratch(rows.groupBy(*region, "kind").agg(parts.alias("parts")), "parts"), [*region, "kind"])
+    rows = rows.join(tables.scratch(rows.groupBy(*region, "kind").agg(parts.alias("parts")), "parts", n), [*region, "kind"])
     rows = rows.withColumn("tile", F.concat_ws(":", "kind", F.pmod(F.xxhash64("id"), "parts")))
     tiles = tables.scratch(rows.groupBy(*region, "kind", "tile").agg(F.collect_list(F.struct("root", "shingles")).alias("rows")), "tiles")
     left = tiles.select(*region, F.col("kind").alias("kind1"), F.col("tile").alias("tile1"))
     right = tiles.select(*region, F.col("kind").alias("kind2"), F.col("tile").alias("tile2"))
-    pairs = tables.scratch(left.join(right, region).where("tile1 <= tile2 and (kind1 <> kind2 or kind1 = '')"), "pairs")
+    pairs = tables.scratch(left.join(right, region).where("tile1 <= tile2 and (kind1 <> kind2 or kind1 = '')"), "pairs", n)
     for side, end in (("left", 1), ("right", 2)):
         pairs = pairs.join(tiles.select(*region, F.col("tile").alias(f"tile{end}"), F.col("rows").alias(side)), [*region, f"tile{end}"])
 
@@ -268,24 +265,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = reps.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sig").alias("sig_a"))
     two = reps.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sig").alias("sig_b"))
     sized = pairs.join(one, "a").join(two, "b").where(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-    alike = tables.scratch(_agreement(sized.select("a", "b", "sig_a", "sig_b")).where(F.col("alike") >= threshold / 100 - SLACK), "pairs")
-    wanted = alike.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    texts = tables.scratch(source.join(tables.scratch(wanted, "wanted"), "id", "left_semi"), "texts")
-
+    alike = _agreement(sized.select("a", "b", "sig_a", "sig_b")).where(F.col("alike") >= threshold / 100 - SLACK)
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("alike"), "a"))
     ranked = tables.scratch(alike.withColumn("rank", rank), "ranked")
+    wanted = ranked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    texts = tables.scratch(source.join(wanted, "id", "left_semi"), "texts")
+
     links = tables.scratch(confirmed(ranked.where(F.col("rank") <= FIRST), texts, width, threshold), "links")
     roots = graph.connected(links)
     later = ranked.where(F.col("rank") > FIRST)
     for end in ("a", "b"):
         later = later.join(roots.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
     more = tables.scratch(confirmed(later.where("root_a <> root_b"), texts, width, threshold), "links")
-    links = links.unionByName(more).select("a", "b")
-    roots = graph.connected(links)
+    roots = roots if more.isEmpty() else graph.extended(roots, more)
     last = tables.scratch(completed(crowded, roots, source, width, threshold), "links")
-    if not last.isEmpty():
-        roots = graph.connected(links.unionByName(last))
+    roots = roots if last.isEmpty() else graph.extended(roots, last)
 
     return members.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select(
         "id", "n_shingles", F.coalesce("root", "rep", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("root", "rep", "id"), F.lit(True)).alias("kept")

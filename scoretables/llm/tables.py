@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Tasks that write a table of known size: one for so many rows, but some at least.
+LEAST_TASKS, ROWS_A_TASK = 16, 50_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,10 +63,16 @@ def scope(spark: SparkSession) -> Iterator[None]:
             files.delete(target, True)
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends here and survives lost executors."""
+def scratch(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: lineage ends here and survives lost executors.
+
+    ``rows``: about how many it has, where that is known. A small table is then written by a few tasks, as so many
+    files of a few rows would cost more than the rows; a large one is left as it is.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(LEAST_TASKS, rows // ROWS_A_TASK))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
