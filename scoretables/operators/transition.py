@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from scoretables.sources.files import put_aside
+
 
 def lagged(results: DataFrame, *song: str) -> DataFrame:
     """``success``, ``previous`` (of the song's row before) and ``position`` = index / (largest + 1); no first rows.
@@ -41,24 +44,46 @@ def stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
 
 
-def fit(rows: DataFrame) -> DataFrame:
+def _newton_sums(cells: DataFrame, betas: dict[str, np.ndarray]) -> dict[str, Row]:
+    """Of every system the gradient, the information matrix and the log likelihood at its coefficients: one aggregation."""
+    known = cells.sparkSession.createDataFrame([(k, *map(float, b)) for k, b in betas.items()], "system string, b0 double, b1 double, b2 double")
+    mu = expit(F.col("b0") + F.col("b1") * F.col("position") + F.col("b2") * F.col("previous"))
+    rows = cells.join(known, "system").withColumn("mu", F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), mu)))
+    x = (F.lit(1.0), F.col("position"), F.col("previous").cast("double"))
+    rest, weight = F.col("hits") - F.col("n") * F.col("mu"), F.col("n") * F.col("mu") * (1 - F.col("mu"))
+    sums = [F.sum(rest * x[i]).alias(f"g{i}") for i in range(3)] + [F.sum(weight * x[i] * x[j]).alias(f"h{i}{j}") for i in range(3) for j in range(i, 3)]
+    likelihood = F.sum(F.col("hits") * F.ln("mu") + (F.col("n") - F.col("hits")) * F.ln(1 - F.col("mu"))).alias("likelihood")
+    return {r.system: r for r in rows.groupBy("system").agg(*sums, likelihood).collect()}
+
+
+def _information(r: Row) -> np.ndarray:
+    return np.array([[r.h00, r.h01, r.h02], [r.h01, r.h11, r.h12], [r.h02, r.h12, r.h22]])
+
+
+def fit(rows: DataFrame, steps: int = 30) -> DataFrame:
     """One row per system: the logit of success on position and previous outcome.
 
     b0, b1, b2 with standard errors, p values, odds ratios and 95 % limits, AIC, McFadden's pseudo R², the share of
-    success after failure and after success at mid-song, and the drift and locking flags. The loop is over systems,
-    which are few; each fit is a distributed job.
+    success after failure and after success at mid-song, and the drift and locking flags. Newton's method for all systems
+    at once: a step is one aggregation over counted cells, of which a row a system comes to the driver.
     """
     spark = rows.sparkSession
+    cells = put_aside(rows.groupBy("system", "position", "previous").agg(F.count("*").alias("n"), F.sum("success").alias("hits")), "cells")
+    counts = {r.system: (r.n, r.hits) for r in cells.groupBy("system").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).collect()}
+    betas = {k: np.zeros(3) for k in counts}
+    for _ in range(steps if counts else 0):
+        found = _newton_sums(cells, betas)
+        moved = {k: np.linalg.pinv(_information(r)) @ np.array([r.g0, r.g1, r.g2]) for k, r in found.items()}
+        betas = {k: b + moved[k] for k, b in betas.items()}
+        if max(float(np.abs(m).max()) for m in moved.values()) < 1e-10:
+            break
     out = []
-    for (system,) in rows.select("system").distinct().orderBy("system").collect():
-        own = rows.where(F.col("system") == system)
-        data = VectorAssembler(inputCols=["position", "previous"], outputCol="features").transform(own)
-        model = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="success").fit(data)
-        s = model.summary
-        b = [float(model.intercept), *map(float, model.coefficients)]
-        # Spark lists the intercept last.
-        se, p = ([x[-1], *x[:-1]] for x in (s.coefficientStandardErrors, s.pValues))
-        out.append((system, own.count(), *b, *map(float, se), *map(float, p), float(s.aic), 1 - s.deviance / s.nullDeviance))
+    for system, r in (_newton_sums(cells, betas) if counts else {}).items():
+        b, se = betas[system], np.sqrt(np.diag(np.linalg.pinv(_information(r))))
+        p = [math.erfc(abs(x) / s / math.sqrt(2)) if s > 0 else 1.0 for x, s in zip(b, se, strict=True)]
+        n, hits = counts[system]
+        null = sum(k * math.log(k / n) for k in (hits, n - hits) if k)
+        out.append((system, n, *map(float, b), *map(float, se), *p, -2 * r.likelihood + 6, 1 - r.likelihood / null if null else 0.0))
     names = "system string, n long, b0 double, b1 double, b2 double, se0 double, se1 double, se2 double, p0 double, p1 double, p2 double, aic double, pseudo_r2 double"
     found = spark.createDataFrame(out, names)
     half = F.col("b0") + 0.5 * F.col("b1")

@@ -189,6 +189,14 @@ def markov_marginal(results):
     return transition.marginal(models).select("system", "step", F.round("probability", 9).alias("probability"))
 
 
+@query("results")
+def fitted_marginal(results):
+    """The share of success along a song under the fitted model of each system; rows-only, its start and limits are tested."""
+    share = results.groupBy("system").agg(F.avg(summaries.succeeded().cast("int")).alias("pi0"))
+    models = transition.fit(transition.lagged(results, "piece_id", "performance")).select("system", "b0", "b1", "b2")
+    return transition.marginal(models.join(share, "system")).select("system", "step", F.round("probability", 9).alias("probability"))
+
+
 @query("results", sql="""SELECT system, round(exp(b), 9) AS odds_ratio, round(1 / (1 + exp(-b)), 9) AS probability, CASE WHEN exp(b) > 10 THEN 'SEVERE' WHEN exp(b) > 3 THEN 'MODERATE' ELSE 'MILD' END AS severity
     FROM (SELECT system, 4 * avg((status = 'success')::INTEGER) AS b FROM results GROUP BY system)""")
 def odds_and_severity(results):

@@ -82,6 +82,19 @@ def test_transition_fit_equals_newton(spark):
     assert fit.severity == ("SEVERE" if fit.or2 > 10 else "MODERATE" if fit.or2 > 3 else "MILD")
 
 
+def test_marginal_follows_the_fitted_model(spark, sf):
+    model = {r.system: r for r in catalogue.QUERIES["transition_model"](spark, sf).collect()}
+    path = {(r.system, r.step): r.probability for r in catalogue.QUERIES["fitted_marginal"](spark, sf).collect()}
+    assert len(path) == 100 * len(model)
+    for system, m in model.items():
+        pi = path[system, 0]
+        for i in range(1, 100):
+            at = lambda b: 1 / (1 + math.exp(-b))
+            line = m.b0 + m.b1 * i / 99
+            pi = at(line + m.b2) * pi + at(line) * (1 - pi)
+            assert abs(path[system, i] - pi) < 1e-6
+
+
 def test_bootstrap_bands_hold_the_mean(spark):
     df = spark.range(400).select("id", F.lit(1).alias("g"), (F.col("id") % 4 == 0).cast("double").alias("v"))
     r = bands.bootstrap(df, "v", "g", resamples=300).first()
