@@ -51,12 +51,22 @@ def compact(targets: DataFrame) -> DataFrame:
 
 def tied(tokens: DataFrame, parts: Column) -> DataFrame:
     """A note cut into ``parts`` equal tied ones: the first opens the tie, middle ones go on, the last closes it."""
-    rows = tokens.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts"))))
+    rows = tokens.withColumn("parts", parts.cast("int")).withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts"))))
     alone, first, last = F.col("parts") == 1, F.col("part") == 1, F.col("part") == F.col("parts")
     text = F.when(alone, F.col("token")).when(first, F.concat(F.lit("["), "token")).when(last, F.concat("token", F.lit("]"))).otherwise(F.concat("token", F.lit("_")))
     return rows.withColumn("token", text)
 
 
+def split_breves(tokens: DataFrame) -> DataFrame:
+    """Breves (``0``) and longs (``00``) as two or four whole notes, tied; as rests, untied. Other tokens stay one part."""
+    pattern = r"^\[?(00|0)([^0-9.].*)$"
+    length, rest = F.regexp_extract("token", pattern, 1), F.regexp_extract("token", pattern, 2)
+    parts = F.when(length == "00", 4).when(length == "0", 2).otherwise(1)
+    text = F.when(length != "", F.concat(F.lit("1"), rest)).otherwise(F.col("token"))
+    whole = tokens.withColumns({"token": text, "alone": text, "rests": rest.startswith("r") & (length != ""), "whole": parts})
+    return tied(whole, F.col("whole")).withColumn("token", F.when(F.col("rests"), F.col("alone")).otherwise(F.col("token"))).drop("alone", "rests", "whole")
+
+
 def group_size(dur: Column) -> Column:
     """Notes of a complete group of this duration; null for durations that make none."""
     out = F.lit(None).cast("int")

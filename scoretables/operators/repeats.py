@@ -31,6 +31,18 @@ def expanded(order: DataFrame, sections: DataFrame, lines: DataFrame) -> DataFra
     return rows.withColumn("expanded_line", at.cast("long")).select("doc_id", "expanded_line", "line_no", "section", "order_pos", "line", "kind")
 
 
+def glue_lines(order: DataFrame, widths: DataFrame, base: int = 2) -> DataFrame:
+    """Lines of joins or splits, one spine at a time, where a section begins with another number of spines than the one
+    played before it ends with (``base`` before the first). Widths: doc_id, section, first_width, last_width."""
+    rows = order.join(widths, ["doc_id", "section"])
+    before = F.coalesce(F.lag("last_width").over(Window.partitionBy("doc_id").orderBy("order_pos")), F.lit(base))
+    rows = rows.withColumn("before", before).where("before <> first_width")
+    rows = rows.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), (F.abs(F.col("before") - F.col("first_width")) - 1).cast("long"))))
+    joins = F.concat(F.repeat(F.lit("*\t"), (F.col("before") - F.col("step") - 2).cast("int")), F.lit("*v\t*v"))
+    splits = F.concat(F.repeat(F.lit("*\t"), (F.col("before") + F.col("step") - 1).cast("int")), F.lit("*^"))
+    return rows.select("doc_id", "order_pos", "section", "step", F.when(F.col("before") > F.col("first_width"), joins).otherwise(splits).alias("line"))
+
+
 def renumbered(lines: DataFrame, order: str) -> DataFrame:
     """New barline numbers in the new order, from 1; data before the first barline is measure 0."""
     number = F.count_if(F.col("kind") == "bar").over(Window.partitionBy("doc_id").orderBy(order))

@@ -10,13 +10,17 @@ def _before(*keys: str, order: str = "line_no") -> Window:
     return Window.partitionBy(*keys).orderBy(order)
 
 
-def measures(lines: DataFrame) -> DataFrame:
+def measures(lines: DataFrame, final: Column | None = None) -> DataFrame:
     """Measures of each document from ``lines`` (doc_id, line_no, kind, number of a barline or null).
 
     A measure runs from the line after its barline to the one before the next; interpretation lines at its head are
     left out; without a data line it is none. Data before the first barline is measure 0. A barline without a number
-    goes on from the one before. The last measure ends with its last data line and has no ``line_barline``.
+    goes on from the one before. The last measure ends with its last data line and has no ``line_barline``. Of the
+    barlines that ``final`` marks the document's last one ends it, with all that comes after; earlier ones are barlines.
     """
+    if final is not None:
+        end = F.max(F.when(final, F.col("line_no"))).over(Window.partitionBy("doc_id"))
+        lines = lines.withColumn("_end", end).where("_end is null or line_no < _end").drop("_end")
     order = _before("doc_id")
     bar = F.col("kind") == "bar"
     rows = lines.withColumn("bar", F.count_if(bar).over(order))

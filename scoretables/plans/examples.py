@@ -93,6 +93,16 @@ def tied_parts(kern):
     return E.tied(kern, (F.col("note_idx") % 4 + 1).cast("int")).select("piece_id", "note_idx", "part", "token")
 
 
+@query("kern", sql="""SELECT piece_id, note_idx, CAST(part AS INTEGER) AS part, CASE WHEN n = 1 OR starts_with(rest, 'r') THEN CASE WHEN n = 1 THEN token ELSE concat('1', rest) END WHEN part = 1 THEN concat('[1', rest) WHEN part = n THEN concat('1', rest, ']') ELSE concat('1', rest, '_') END AS token
+    FROM (SELECT *, unnest(range(1, n + 1)) AS part FROM (SELECT piece_id, note_idx, regexp_extract(token, '([A-Ga-gr].*)$', 1) AS rest, CASE note_idx % 5 WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 1 END AS n, CASE WHEN note_idx % 5 < 2 THEN '' ELSE token END AS token FROM kern))""")
+def split_breves(kern):
+    """Every fifth note a breve here and every next one a long."""
+    rest = F.regexp_extract("token", "([A-Ga-gr].*)$", 1)
+    i = F.col("note_idx") % 5
+    token = F.when(i == 0, F.concat(F.lit("0"), rest)).when(i == 1, F.concat(F.lit("00"), rest)).otherwise(F.col("token"))
+    return E.split_breves(kern.select("piece_id", "note_idx", token.alias("token"))).select("piece_id", "note_idx", "part", "token")
+
+
 _TUPLETS = ", ".join(f"({d}, {plain}, {size})" for size, table in E.TUPLETS.items() for d, plain in table.items())
 
 

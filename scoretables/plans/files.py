@@ -184,8 +184,27 @@ def encoded_documents(spark, d):
     return found.withColumn("ids", F.array_join(F.transform("ids", lambda x: F.coalesce(x, F.lit(-1)).cast("string")), ","))
 
 
-query.queries |= {f.__name__: f for f in (vocabulary, unknown_tokens, encoded_documents)}
+def round_trip_summary(spark, d):
+    """Pieces whose factors all have ids, and those that come back from their ids unchanged."""
+    found = _factors(spark, d).join(K.vocabulary(spark).select("token", "id"), "token", "left").withColumnRenamed("token", "written")
+    back = found.join(K.vocabulary(spark).select("id", "token"), "id", "left")
+    pieces = back.groupBy("doc_id").agg(F.bool_and(F.col("id").isNotNull()).alias("known"), F.bool_and(F.coalesce(F.col("token") == F.col("written"), F.lit(False))).alias("same"))
+    return pieces.agg(F.count("*").alias("n"), F.count_if("known").alias("n_known"), F.count_if("same").alias("n_same"))
+
+
+def name_list(spark, d):
+    """Names written as a list with a comment, read again and left out of the manifest."""
+    manifest = view(spark, d, "manifest")
+    path = S.shared_path(spark, "names")
+    names = manifest.where("doc_id % 11 = 0").select(F.concat("stem", F.lit(".krn")).alias("value"))
+    names.unionByName(spark.range(1).select(F.lit("# left out").alias("value"))).write.text(path)
+    return P.among(manifest.select("stem"), "stem", exclude=P.listed(S.read_names(spark, path)).withColumnRenamed("name", "stem"))
+
+
+query.queries |= {f.__name__: f for f in (vocabulary, unknown_tokens, encoded_documents, round_trip_summary, name_list)}
 query.sql |= {
+    "round_trip_summary": duckdb("kern", then=f"SELECT count(*) AS n, count(*) FILTER (WHERE known) AS n_known, count(*) FILTER (WHERE known) AS n_same FROM (SELECT p.doc_id, bool_and(v.id IS NOT NULL) AS known FROM {_PARTS} p LEFT JOIN {_VOCABULARY} v USING (token) GROUP BY p.doc_id)"),
+    "name_list": duckdb("manifest", then="SELECT stem FROM manifest WHERE doc_id % 11 <> 0"),
     "vocabulary": duckdb("kern", then=f"SELECT v.token, v.id, v.kind, coalesce(n, 0) AS n FROM {_VOCABULARY} v LEFT JOIN (SELECT token, count(*) AS n FROM {_PARTS} GROUP BY token) c USING (token)"),
     "unknown_tokens": duckdb("kern", then=f"SELECT token, count(*) AS n FROM {_PARTS} WHERE token NOT IN (SELECT token FROM {_VOCABULARY}) GROUP BY token"),
     "encoded_documents": duckdb("kern", then=f"SELECT p.doc_id, count(*) AS n_tokens, bool_or(v.id IS NULL) AS has_oov, array_to_string(list(coalesce(v.id, -1) ORDER BY line_no, spine), ',') AS ids FROM {_PARTS} p LEFT JOIN {_VOCABULARY} v USING (token) GROUP BY p.doc_id"),

@@ -11,7 +11,7 @@ from scoretables.operators import tokens as K
 from scoretables.plans.registry import Family
 
 query = Family()
-@query("lines", sql="""WITH b AS (SELECT *, CASE WHEN kind = 'bar' AND line_no % 3 = 0 THEN line_no END AS number, count(*) FILTER (WHERE kind = 'bar') OVER (PARTITION BY doc_id ORDER BY line_no) AS bar FROM lines),
+@query("lines", sql="""WITH z AS (SELECT *, max(CASE WHEN kind = 'bar' AND length(line) % 7 = 0 THEN line_no END) OVER (PARTITION BY doc_id) AS final FROM lines), b AS (SELECT *, CASE WHEN kind = 'bar' AND line_no % 3 = 0 THEN line_no END AS number, count(*) FILTER (WHERE kind = 'bar') OVER (PARTITION BY doc_id ORDER BY line_no) AS bar FROM z WHERE final IS NULL OR line_no < final),
     e AS (SELECT *, max(CASE WHEN number IS NOT NULL THEN bar END) OVER (PARTITION BY doc_id ORDER BY line_no) AS known FROM b),
     n AS (SELECT e.*, x.number AS explicit FROM e LEFT JOIN (SELECT doc_id, bar, number FROM e WHERE number IS NOT NULL) x ON e.doc_id = x.doc_id AND e.known = x.bar),
     g AS (SELECT doc_id, bar, max(CASE WHEN bar = 0 THEN 0 ELSE coalesce(explicit + bar - known, bar) END) AS measure, min(line_no) FILTER (WHERE kind = 'bar') AS line_barline, min(line_no) FILTER (WHERE kind NOT IN ('bar', 'interp')) AS line_start,
@@ -20,7 +20,7 @@ query = Family()
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY bar) - 1 AS m_idx, measure, line_start, CASE WHEN is_last THEN last_data ELSE last_line END AS line_end, CASE WHEN NOT is_last THEN line_barline END AS line_barline FROM l WHERE last_data IS NOT NULL""".join(("SELECT * FROM (", ")")))
 def score_measures(lines):
     number = F.when((F.col("kind") == "bar") & (F.col("line_no") % 3 == 0), F.col("line_no"))
-    return S.measures(lines.withColumn("number", number))
+    return S.measures(lines.withColumn("number", number), (F.col("kind") == "bar") & (F.length("line") % 7 == 0))
 
 
 @query("tokens", sql="SELECT doc_id, line_no, longest, coalesce(sum(longest) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM (SELECT doc_id, line_no, max(dur) AS longest FROM tokens GROUP BY ALL)")
@@ -239,6 +239,18 @@ def _score(lines):
     return lines.select("doc_id", "line_no", line.alias("line"))
 
 
+_FIRST = {"meter": r"^\*M[0-9]", "key": r"^\*k\[", "split": r"^\*\^", "bar": "^=", "hint": "^!", "chord": "^[^*!=].* "}
+
+
+@query("lines", sql="SELECT doc_id, " + ", ".join(f"arg_min(line, line_no) FILTER (WHERE regexp_matches(line, '{p}')) AS first_{k}" for k, p in _FIRST.items()) + f", min(TRY_CAST(regexp_extract(line, '^=([0-9]+)', 1) AS BIGINT)) FILTER (WHERE line LIKE '=%') AS first_measure FROM {_SCORE} GROUP BY doc_id")
+def score_metadata(lines):
+    """The first line of six kinds in every document, and its first measure number."""
+    rows = _score(lines)
+    found = S.header(rows, {f"first_{k}": F.col("line").rlike(p) for k, p in _FIRST.items()})
+    number = rows.where(F.col("line").startswith("=")).groupBy("doc_id").agg(F.min_by(F.regexp_extract("line", "^=([0-9]+)", 1).cast("long"), "line_no").alias("first_measure"))
+    return found.join(number, "doc_id", "left")
+
+
 _METERS = ", ".join(f"'{m}'" for m in K.METERS)
 _DIGITS = "regexp_extract(t, '([0-9]+)', 1)"
 _FIELD = f"CASE WHEN control THEN CASE t WHEN '*^' THEN '<split>' ELSE '<*>' END WHEN t = '.' THEN '.' WHEN contains(t, ' ') THEN concat('[ ', {_DIGITS}, ' c# ', {_DIGITS}, ' ee') WHEN ends_with(t, 'r') THEN concat({_DIGITS}, ' r') ELSE concat({_DIGITS}, ' G') END"
@@ -326,6 +338,18 @@ def renumbered_barlines(lines):
     return R.renumbered(R.expanded(_order(lines), _sections(lines), lines), "expanded_line").select("doc_id", "expanded_line", "new_measure")
 
 
+@query("lines", sql=f"""WITH o AS ({_ORDER}), s AS ({_SECTIONS}), w AS (SELECT s.doc_id, s.section, len(string_split(a.line, ' ')) AS first_width, len(string_split(b.line, ' ')) AS last_width FROM s JOIN lines a ON a.doc_id = s.doc_id AND a.line_no = s.first JOIN lines b ON b.doc_id = s.doc_id AND b.line_no = s.last),
+    p AS (SELECT o.doc_id, o.order_pos, o.section, w.first_width, coalesce(lag(w.last_width) OVER (PARTITION BY o.doc_id ORDER BY o.order_pos), 2) AS before FROM o JOIN w ON w.doc_id = o.doc_id AND w.section = o.section)
+    SELECT doc_id, CAST(order_pos AS INTEGER) AS order_pos, section, step, CASE WHEN before > first_width THEN concat(repeat(concat('*', chr(9)), before - step - 2), '*v', chr(9), '*v') ELSE concat(repeat(concat('*', chr(9)), before + step - 1), '*^') END AS line
+    FROM (SELECT *, unnest(range(0, abs(before - first_width))) AS step FROM p)""".join(("SELECT * FROM (", ")")))
+def glue_lines(lines):
+    """Joins and splits between the sections of every document; a line has as many spines as words here."""
+    sections = _sections(lines)
+    width = lambda end: lines.select("doc_id", F.col("line_no").alias(end), F.size(F.split("line", " ")).cast("long").alias(f"{end}_width"))
+    widths = sections.join(width("first"), ["doc_id", "first"]).join(width("last"), ["doc_id", "last"])
+    return R.glue_lines(_order(lines), widths.select("doc_id", "section", "first_width", "last_width"))
+
+
 @query("lines", sql="SELECT doc_id, order_pos::INTEGER AS order_pos, section, CASE section WHEN 'B1' THEN 'first' WHEN 'B2' THEN 'second' END AS ending FROM (" + _ORDER + ")")
 def section_endings(lines):
     return R.endings(_order(lines)).select("doc_id", "order_pos", "section", "ending")
