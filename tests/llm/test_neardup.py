@@ -25,9 +25,10 @@ def brute(docs, width, threshold=80):
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
+            if a < b and sets[a] and (x := find(a)) != (y := find(b)):  # a link within a component adds nothing
+                common = len(sets[a] & sets[b])
+                if 100 * common >= threshold * (len(sets[a]) + len(sets[b]) - common):
+                    root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
 
 
