@@ -32,9 +32,12 @@ LEAST = 3
 #: Prefix lengths by which fuller regions are read deeper.
 DEPTHS = (6, 12, 24)
 REGION = 16
-#: Rows, and bytes of shingles, of a tile of a full region, on average.
-TILE = 256
+#: Rows, and bytes of shingles, of a tile of a full region, on average. A tile travels to every tile that it is compared
+#: with, so large ones are moved less.
+TILE = 1024
 TILE_BYTES = 8 << 20
+#: Members of a component in a region from which it has tiles of its own.
+OWN = 256
 #: Shingles of a block of the matrices by which two tiles are compared.
 BLOCK = 4096
 #: Partners of each document in the first round of confirmation.
@@ -224,7 +227,7 @@ def completed(crowded: DataFrame, roots: DataFrame, source: DataFrame, width: in
     counts = tables.scratch(rows.groupBy(*region, "root").agg(F.count("*").alias("n")), "counts", n)
     mixed = counts.groupBy(*region).agg(F.count("*").alias("kinds")).where("kinds > 1").select(*region)
     # Members of a large component have tiles of their own, which are not compared with each other.
-    kinds = counts.join(mixed, region).withColumn("kind", F.when(F.col("n") >= TILE // 2, F.col("root").cast("string")).otherwise(""))
+    kinds = counts.join(mixed, region).withColumn("kind", F.when(F.col("n") >= OWN, F.col("root").cast("string")).otherwise(""))
     rows = tables.scratch(rows.join(kinds.select(*region, "root", "kind"), [*region, "root"]), "open", n)
     sets = tables.scratch(_sets(source.join(rows.select("id").distinct(), "id", "left_semi"), width).dropDuplicates(["id", "shingles"]), "sets")
     rows = tables.scratch(rows.join(sets, "id"), "placed", n)
