@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from scoretables.llm import graph, tables
 
-#: Rows of a tile, on average.
+#: Rows of a tile, on average. A tile travels to every tile that it is compared with, so large ones are moved less.
 TILE = 1024
+#: Tasks over which the rows of a cell are spread while it is cut into tiles.
+SALTS = 32
 #: Leading dimensions that make the grid, and those of the boxes by which pairs of tiles are ruled out.
 GRID, BOX = 3, 8
 #: Vectors, at most, to which the rotation is fitted. It orders the work and has no part in the result.
@@ -135,7 +137,10 @@ def tile_pairs(placed: DataFrame, width: float) -> DataFrame:
     where = ["label", "size", "cell"]
     parts = tables.scratch(placed.groupBy(*where).agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")), "cells")
     packed = F.struct(F.unhex(F.lpad(F.hex("rep"), 16, "0")).alias("id"), F.unhex(F.lpad(F.hex("n"), 16, "0")).alias("w"), "vec")
-    tiles = placed.join(parts, where).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    # A dense cell meets its number of parts in SALTS tasks, not in one.
+    salted = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    tiles = placed.withColumn("salt", F.pmod(F.xxhash64(F.lit(1), "rep"), F.lit(SALTS)).cast("int")).join(salted, [*where, "salt"])
+    tiles = tiles.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
     box = (F.array(*(f(F.col("lead")[i]) for i in range(BOX))).alias(name) for name, f in (("low", F.min), ("high", F.max)))
     tiles = tables.scratch(tiles.groupBy(*where, "part").agg(F.collect_list(packed).alias("rows"), *box), "tiles")
     known = tiles.select(*where, "part", "low", "high")
