@@ -123,6 +123,18 @@ def among(rows: DataFrame, key: str, include: DataFrame | None = None, exclude:
     return rows if exclude is None else rows.join(exclude.select(key).distinct(), key, "left_anti")
 
 
+def first_of_each(rows: DataFrame, order: str, *keys: Column) -> DataFrame:
+    """Of rows with equal keys the one that comes first, whole; a minimum, so that no group is gathered."""
+    named = {f"_k{i}": k for i, k in enumerate(keys)}
+    first = rows.withColumns(named).groupBy(*named).agg(F.min_by(F.struct(*rows.columns), F.col(order)).alias("first"))
+    return first.select("first.*")
+
+
+def renamed(name: Column, prefix: str, suffix: str = "", old: str = " ", new: str = "_") -> Column:
+    """A file name in another corpus: prefix, name with one mark for another, suffix."""
+    return F.concat(F.lit(prefix), F.replace(name, F.lit(old), F.lit(new)), F.lit(suffix))
+
+
 def missing_log(validated_rows: DataFrame) -> DataFrame:
     """How many rows have each problem, with the first and last of their names."""
     return validated_rows.where("problem is not null").groupBy("problem").agg(F.count("*").alias("n"), F.min("stem").alias("first_stem"), F.max("stem").alias("last_stem"))

@@ -49,6 +49,17 @@ def renumbered(lines: DataFrame, order: str) -> DataFrame:
     return lines.withColumn("new_measure", number)
 
 
+def measure_map(order: DataFrame, sections: DataFrame, lines: DataFrame) -> DataFrame:
+    """For every measure of the expanded order the original ``measure`` and the ``section`` it is from, with the section's
+    ``occurrence`` and ``ending``."""
+    is_bar = F.col("kind") == "bar"
+    own = lines.select("doc_id", "line_no", F.count_if(is_bar).over(Window.partitionBy("doc_id").orderBy("line_no")).alias("measure"))
+    played = renumbered(expanded(order, sections, lines), "expanded_line").join(own, ["doc_id", "line_no"])
+    first = played.groupBy("doc_id", "new_measure").agg(F.min_by(F.struct("measure", "order_pos"), "expanded_line").alias("f"))
+    at = occurrences(order).join(endings(order).select("doc_id", "order_pos", "ending"), ["doc_id", "order_pos"])
+    return first.select("doc_id", "new_measure", "f.measure", "f.order_pos").join(at, ["doc_id", "order_pos"]).select("doc_id", "new_measure", "measure", "section", "occurrence", "ending")
+
+
 def ratio(order: DataFrame, sections: DataFrame) -> DataFrame:
     """Expanded lines over original ones of each document."""
     size = F.col("last") - F.col("first") + 1

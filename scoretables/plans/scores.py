@@ -28,6 +28,21 @@ def beat_offsets(tokens):
     return S.beat_offsets(tokens)
 
 
+_OFFSETS = "SELECT doc_id, line_no, CAST(coalesce(sum(longest) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM (SELECT doc_id, line_no, max(dur) AS longest FROM tokens GROUP BY ALL)"
+
+
+@query("measures", "lines", "tokens", sql=f"""WITH o AS ({_OFFSETS}), t AS (SELECT l.doc_id, o.off, max(60 + length(l.line) % 5 * 20) AS bpm FROM lines l JOIN o ON o.doc_id = l.doc_id AND o.line_no = l.line_no WHERE l.kind = 'interp' GROUP BY ALL),
+    s AS (SELECT *, coalesce(sum((nxt - off) * 60 / bpm) OVER (PARTITION BY doc_id ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sec FROM (SELECT *, lead(off) OVER (PARTITION BY doc_id ORDER BY off) AS nxt FROM t)),
+    f AS (SELECT doc_id, min(off) AS first_off, arg_min(bpm, off) AS first_bpm FROM t GROUP BY doc_id), p AS (SELECT m.doc_id, m.m_idx, o.off FROM measures m JOIN o ON o.doc_id = m.doc_id AND o.line_no = m.line_start)
+    SELECT p.doc_id, p.m_idx AS point, p.off AS "offset", round(coalesce(s.sec + (p.off - s.off) * 60 / s.bpm, (p.off - f.first_off) * 60 / f.first_bpm), 6) AS seconds FROM p ASOF LEFT JOIN s ON s.doc_id = p.doc_id AND p.off >= s.off LEFT JOIN f ON f.doc_id = p.doc_id""".join(("SELECT * FROM (", ")")))
+def measure_times(measures, lines, tokens):
+    """Seconds at which each measure begins, from the text alone: beats of the lines before it under the tempo marks."""
+    offsets = S.beat_offsets(tokens).select("doc_id", "line_no", "offset")
+    tempi = lines.where("kind = 'interp'").join(offsets, ["doc_id", "line_no"]).groupBy("doc_id", "offset").agg(F.max(60 + F.length("line") % 5 * 20).cast("double").alias("bpm"))
+    points = measures.select("doc_id", F.col("line_start").alias("line_no"), F.col("m_idx").alias("point")).join(offsets, ["doc_id", "line_no"]).select("doc_id", "offset", "point")
+    return S.tempo_seconds(points, tempi).withColumn("seconds", F.round("seconds", 6))
+
+
 @query("lines", sql="SELECT doc_id, max(line_no) FILTER (WHERE kind = 'bar') AS last_final FROM lines GROUP BY doc_id")
 def last_final_bar(lines):
     return S.last_final(lines, F.col("kind") == "bar")
@@ -350,6 +365,15 @@ def glue_lines(lines):
     return R.glue_lines(_order(lines), widths.select("doc_id", "section", "first_width", "last_width"))
 
 
+@query("lines", sql=f"""WITH o AS ({_ORDER}), x AS (SELECT l.doc_id, l.line_no, l.kind, o.order_pos, o.section, row_number() OVER (PARTITION BY l.doc_id ORDER BY o.order_pos, l.line_no) AS spot FROM o JOIN ({_SECTIONS}) s ON s.doc_id = o.doc_id AND s.section = o.section JOIN lines l ON l.doc_id = o.doc_id AND l.line_no BETWEEN s.first AND s.last),
+    n AS (SELECT *, count(*) FILTER (WHERE kind = 'bar') OVER (PARTITION BY doc_id ORDER BY spot) AS new_measure FROM x), m AS (SELECT doc_id, line_no, count(*) FILTER (WHERE kind = 'bar') OVER (PARTITION BY doc_id ORDER BY line_no) AS measure FROM lines),
+    g AS (SELECT n.doc_id, new_measure, arg_min(m.measure, spot) AS measure, arg_min(section, spot) AS section, arg_min(order_pos, spot) AS pos FROM n JOIN m ON m.doc_id = n.doc_id AND m.line_no = n.line_no GROUP BY ALL)
+    SELECT doc_id, new_measure, measure, section, CAST(CASE WHEN section = 'A' AND pos = 1 THEN 1 ELSE 0 END AS INTEGER) AS occurrence, CASE section WHEN 'B1' THEN 'first' WHEN 'B2' THEN 'second' END AS ending FROM g""".join(("SELECT * FROM (", ")")))
+def measure_map(lines):
+    """Where every measure of the expanded order comes from."""
+    return R.measure_map(_order(lines), _sections(lines), lines)
+
+
 @query("lines", sql="SELECT doc_id, order_pos::INTEGER AS order_pos, section, CASE section WHEN 'B1' THEN 'first' WHEN 'B2' THEN 'second' END AS ending FROM (" + _ORDER + ")")
 def section_endings(lines):
     return R.endings(_order(lines)).select("doc_id", "order_pos", "section", "ending")

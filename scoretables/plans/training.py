@@ -57,6 +57,18 @@ def missing_log(manifest):
     return P.missing_log(found)
 
 
+@query("notes", sql="SELECT piece_id, round(onset_ms / 7000, 6) AS seconds, min(note_idx) AS note_idx FROM notes GROUP BY ALL")
+def distinct_onsets(notes):
+    """The first note of each onset, as rounded seconds tell them apart."""
+    seconds = F.round(F.col("onset_ms") / 7000, 6)
+    return P.first_of_each(notes, "note_idx", F.col("piece_id"), seconds).select("piece_id", seconds.alias("seconds"), "note_idx")
+
+
+@query("manifest", sql="SELECT stem, concat('other_', replace(stem, '_', '-'), '.krn') AS file FROM manifest")
+def renamed_files(manifest):
+    return manifest.select("stem", P.renamed(F.col("stem"), "other_", ".krn", "_", "-").alias("file"))
+
+
 @query("manifest", sql="SELECT stem FROM manifest WHERE lang IN ('en', 'de') AND doc_id % 9 <> 0")
 def included_and_excluded(manifest):
     """A set of names to take and one to leave out."""
