@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 LAYOUT = r"[/\\XyzN*=?]"
 ARTICULATION = r"[TMSmstpP'~^><;:`Oxvuw&@ijZ+W$!|]"
 BEAMS = "[LJkK]"
+#: A rest's position, a natural after a letter, and pairs of accidentals that contradict each other.
+REST_POSITION = r"([0-9]+\.*r)[A-Ga-gy]+"
+NATURAL = "([A-Ga-g])n(?=[^A-Ga-g]|$)"
+NATURAL_SHARP, NATURAL_FLAT = "n#|#n", "n-|-n"
 #: Semitones of each letter.
 SEMITONES = {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}
 #: Double accidentals and their plain equals: letters first, then the accidental that is left.
@@ -38,9 +42,9 @@ def clean(token: Column, ties: bool = True, articulation: bool = False) -> Colum
     c = F.regexp_replace(token, r"^(\[?)(96|48|24|12|6|3)\.(?![0-9])", "$1<$2>")
     for dotted, plain in DOTTED_TRIPLETS.items():
         c = F.replace(c, F.lit(f"<{dotted[:-1]}>"), F.lit(plain))
-    c = F.regexp_replace(c, r"([0-9]+\.*r)[A-Ga-gy]+", "$1")
+    c = F.regexp_replace(c, REST_POSITION, "$1")
     c = F.regexp_replace(c, LAYOUT, "")
-    c = F.regexp_replace(F.regexp_replace(c, "n#|#n", "#"), "n-|-n", "-")
+    c = F.regexp_replace(F.regexp_replace(c, NATURAL_SHARP, "#"), NATURAL_FLAT, "-")
     c = F.replace(c, F.lit("nn"), F.lit("n"))
     if not articulation:
         c = F.regexp_replace(c, ARTICULATION, "")
@@ -113,7 +117,7 @@ def midi(pitch: Column) -> Column:
 
 
 def strip_naturals(token: Column) -> Column:
-    return F.regexp_replace(token, "([A-Ga-g])n(?=[^A-Ga-g]|$)", "$1")
+    return F.regexp_replace(token, NATURAL, "$1")
 
 
 def respelled(pitch: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Spine state: which column of a score line belongs to which spine, through splits, joins and ends.
+"""Spine state: which column of a score line belongs to which spine, through splits, joins and ends, and where cues are.
 
 The state runs from line to line of a document, so a document is a group of ``applyInPandas``. Only documents that
 have such lines come here; all others have their columns as spines.
@@ -10,30 +10,48 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OPERATORS = ("*^", "*v", "*-", "*+")
+from scoretables.functions import tokens as T
+
+OPERATORS = ("*^", "*v", "*-", "*+", "*cue", "*Xcue")
+_COLUMNS = "doc_id long, line_no long, column long, spine long, token string, cue boolean"
+
+
+def _fitted(states: list[tuple[int, bool]] | None, n: int) -> list[tuple[int, bool]]:
+    """The state of ``n`` columns: new ones at the start, cut or with the last one repeated where a line is of another width."""
+    if states is None:
+        return [(i, False) for i in range(n)]
+    return [*states, *[states[-1] if states else (0, False)] * n][:n]
 
 
 def _scan(rows: pd.DataFrame) -> pd.DataFrame:
-    out, spines = [], None
+    out, states = [], None
     for doc, line, fields in rows.sort_values("line_no")[["doc_id", "line_no", "fields"]].itertuples(index=False):
-        if spines is None or len(spines) != len(fields):
-            spines = list(range(len(fields))) if spines is None else [*spines, *[spines[-1] if spines else 0] * len(fields)][: len(fields)]
-        out += [(doc, line, column, spine, field) for column, (spine, field) in enumerate(zip(spines, fields, strict=True))]
-        following: list[int] = []
-        joined = None
-        for spine, field in zip(spines, fields, strict=True):
-            if field == "*v" and joined is not None:
+        states = _fitted(states, len(fields))
+        out += [(doc, line, column, spine, field, cue) for column, ((spine, cue), field) in enumerate(zip(states, fields, strict=True))]
+        following: list[tuple[int, bool]] = []
+        joining = False
+        for (spine, cue), field in zip(states, fields, strict=True):
+            if field == "*v" and joining:
                 continue
-            joined = spine if field == "*v" else None
-            following += [] if field == "*-" else [spine, spine] if field == "*^" else [spine]
-        spines = following
-    return pd.DataFrame(out, columns=["doc_id", "line_no", "column", "spine", "token"])
+            joining = field == "*v"
+            state = (spine, field == "*cue" or (cue and field != "*Xcue"))
+            following += [] if field == "*-" else [state, state] if field == "*^" else [state]
+        states = following
+    return pd.DataFrame(out, columns=["doc_id", "line_no", "column", "spine", "token", "cue"])
 
 
 def assigned(lines: DataFrame) -> DataFrame:
-    """``lines``: doc_id, line_no, fields (array). Per field its ``column``, ``spine`` and ``token``."""
+    """``lines``: doc_id, line_no, fields (array). Per field its ``column``, ``spine``, ``token`` and whether it is in a ``cue``."""
     moves = F.exists("fields", lambda x: x.isin(*OPERATORS))
     busy = lines.where(moves).select("doc_id").distinct()
     plain = lines.join(busy, "doc_id", "left_anti").select("doc_id", "line_no", F.posexplode("fields").alias("column", "token"))
-    scanned = lines.join(busy, "doc_id", "left_semi").groupBy("doc_id").applyInPandas(_scan, "doc_id long, line_no long, column long, spine long, token string")
-    return plain.select("doc_id", "line_no", F.col("column").cast("long").alias("column"), F.col("column").cast("long").alias("spine"), "token").unionByName(scanned)
+    column = F.col("column").cast("long")
+    scanned = lines.join(busy, "doc_id", "left_semi").groupBy("doc_id").applyInPandas(_scan, _COLUMNS)
+    return plain.select("doc_id", "line_no", column.alias("column"), column.alias("spine"), "token", F.lit(False).alias("cue")).unionByName(scanned)
+
+
+def without_cues(lines: DataFrame) -> DataFrame:
+    """The same fields with the notes of cue passages as rests of their length."""
+    found = assigned(lines)
+    note = F.col("cue") & ~T.is_control(F.col("token"))
+    return found.withColumn("token", F.when(note, T.cue_rest(F.col("token"))).otherwise(F.col("token")))

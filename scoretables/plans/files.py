@@ -145,7 +145,21 @@ def spine_columns(lines):
     stars = lambda n: F.array_repeat(F.lit("*"), n)
     turn = F.when(F.col("line_no") % 2 == 1, F.concat(F.array(F.lit("*^")), stars(width - 1))).otherwise(F.concat(F.array(F.lit("*v"), F.lit("*v")), stars(width - 2)))
     rows = lines.select("doc_id", F.explode(F.array(F.struct((2 * F.col("line_no")).alias("line_no"), fields.alias("fields")), F.struct((2 * F.col("line_no") + 1).alias("line_no"), turn.alias("fields")))).alias("l"))
-    return spines.assigned(rows.select("doc_id", "l.line_no", "l.fields"))
+    return spines.assigned(rows.select("doc_id", "l.line_no", "l.fields")).drop("cue")
+
+
+# A cue runs from after each fourth line to after the next one but one, in all columns, so every column has its state.
+@query("lines", sql="""WITH f AS (SELECT doc_id, line_no, list_transform(string_split(line, ' '), lambda w: concat(length(w) + 1, 'c')) AS fields FROM lines), d AS (SELECT doc_id, line_no, unnest(range(0, len(fields))) AS c, unnest(fields) AS token, len(fields) AS n FROM f)
+    SELECT doc_id, 2 * line_no AS line_no, c AS "column", CASE WHEN line_no % 4 IN (2, 3) AND line_no > 1 THEN replace(token, 'c', 'r') ELSE token END AS token FROM d
+    UNION ALL SELECT doc_id, 2 * line_no + 1, c, CASE line_no % 4 WHEN 1 THEN '*cue' WHEN 3 THEN '*Xcue' ELSE '*' END FROM d""".join(("SELECT * FROM (", ")")))
+def cue_passages(lines):
+    """Notes of every word's length, with those of cue passages as rests."""
+    fields = F.transform(F.split("line", " "), lambda w: F.concat((F.length(w) + 1).cast("string"), F.lit("c")))
+    i = F.col("line_no") % 4
+    mark = F.when(i == 1, "*cue").when(i == 3, "*Xcue").otherwise("*")
+    both = F.array(F.struct((2 * F.col("line_no")).alias("line_no"), fields.alias("fields")), F.struct((2 * F.col("line_no") + 1).alias("line_no"), F.array_repeat(mark, F.size(fields)).alias("fields")))
+    rows = lines.select("doc_id", F.explode(both).alias("l")).select("doc_id", "l.line_no", "l.fields")
+    return spines.without_cues(rows).select("doc_id", "line_no", "column", "token")
 
 
 def _factors(spark, d):

@@ -182,6 +182,13 @@ def test_retry_list_skips_comments_and_short_rows(spark, tmp_path):
     assert sorted(tuple(r) for r in files.read_retries(spark, str(tmp_path)).collect()) == [("a", "t1", "timeout"), ("b", "t2", "mv2h_failed")]
 
 
+def test_cues_follow_their_spine(spark):
+    lines = [(1, 1, ["4c", "4e"]), (1, 2, ["*", "*cue"]), (1, 3, ["4c", "8.g#"]), (1, 4, ["*^", "*"]), (1, 5, ["2a", "2b", "[16gg 16bb"]), (1, 6, ["*v", "*v", "*Xcue"]), (1, 7, ["4c", "4d"])]
+    found = spines.without_cues(spark.createDataFrame(lines, "doc_id long, line_no long, fields array<string>")).orderBy("line_no", "column").collect()
+    got = {n: [r.token for r in found if r.line_no == n] for n in range(1, 8)}
+    assert got == {1: ["4c", "4e"], 2: ["*", "*cue"], 3: ["4c", "8.r"], 4: ["*^", "*"], 5: ["2a", "2b", "16r"], 6: ["*v", "*v", "*Xcue"], 7: ["4c", "4d"]}
+
+
 def test_rows_only_queries_run(spark, sf):
     for name in set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL):
         assert catalogue.QUERIES[name](spark, sf).count() > 0, name
