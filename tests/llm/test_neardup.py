@@ -57,11 +57,13 @@ def test_against_brute_force(spark):
         assert found == brute(docs, width)
 
 
-def test_full_regions_are_complete(spark):
+def test_full_regions_are_complete(spark, monkeypatch):
+    monkeypatch.setattr(N, "TILE", 128)
+    monkeypatch.setattr(N, "OWN", 64)
     rng = random.Random(5)
     base = [f"b{k}" for k in range(100)]
     docs = []
-    for i in range(1200):
+    for i in range(600):
         own = set(rng.sample(range(100), rng.randint(5, 22)))
         docs.append((i, " ".join(f"d{i}x{k}" if k in own else w for k, w in enumerate(base))))
     found = {r.id: (r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), width=1).collect()}
@@ -81,7 +83,7 @@ def test_kept_documents_keep_columns_and_odd_rows(spark):
 def test_crowded_groups_against_brute_force(spark):
     rng = random.Random(7)
     docs, start = [], 0
-    for n, size, most in ((700, 100, 8), (400, 60, 5)):
+    for n, size, most in ((450, 100, 8), (250, 60, 5)):
         base = [f"g{size}w{k}" for k in range(size)]
         for i in range(n):
             own = set(rng.sample(range(size), rng.randint(1, most)))
