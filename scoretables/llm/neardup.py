@@ -229,7 +229,8 @@ def completed(crowded: DataFrame, roots: DataFrame, source: DataFrame, width: in
     # Members of a large component have tiles of their own, which are not compared with each other.
     kinds = counts.join(mixed, region).withColumn("kind", F.when(F.col("n") >= OWN, F.col("root").cast("string")).otherwise(""))
     rows = tables.scratch(rows.join(kinds.select(*region, "root", "kind"), [*region, "root"]), "open", n)
-    sets = tables.scratch(_sets(source.join(rows.select("id").distinct(), "id", "left_semi"), width).dropDuplicates(["id", "shingles"]), "sets")
+    wanted = tables.scratch(rows.select("id").distinct(), "wanted", n)
+    sets = tables.scratch(_sets(source.join(wanted, "id", "left_semi"), width).dropDuplicates(["id", "shingles"]), "sets")
     rows = tables.scratch(rows.join(sets, "id"), "placed", n)
     parts = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.length("shingles")) / TILE_BYTES)).cast("int")
     rows = rows.join(tables.scratch(rows.groupBy(*region, "kind").agg(parts.alias("parts")), "parts", n), [*region, "kind"])
@@ -273,7 +274,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranked = tables.scratch(alike.withColumn("rank", rank), "ranked")
     wanted = ranked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    texts = tables.scratch(source.join(wanted, "id", "left_semi"), "texts")
+    # As a written table its size is known: where it is small it is broadcast, and the texts are not shuffled.
+    texts = tables.scratch(source.join(tables.scratch(wanted, "wanted"), "id", "left_semi"), "texts")
 
     links = tables.scratch(confirmed(ranked.where(F.col("rank") <= FIRST), texts, width, threshold), "links")
     roots = graph.connected(links)
