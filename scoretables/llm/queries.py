@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoretables.llm import decontaminate, langid, licenses, neardup, packing, quality, toxicity, urlfilter, vectors, warc
+from scoretables.llm import decontaminate, hardneg, langid, licenses, linededup, neardup, packing, quality, toxicity, urlfilter, vectors, warc, whitening
 from scoretables.llm.tables import fold, load, scratch, scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -89,9 +89,28 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(load(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
+def op11_angular_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh has the next label."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hardneg.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+def op12_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the four principal components of all distinct ones, whitened."""
+    return whitening.whitened(load(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of what every document keeps of its lines."""
+    found = linededup.dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(linededup.kept_text(F.col("row.text"), F.col("keep")), 256)
+    return found.select("row.doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_transactions, op2_language_backoff, op3_benchmark_decontamination, op4_quality_ridge, op5_url_bloom, op6_lsh_forest, op7_pca_tiles, op8_deficit_packing, op9_toxicity_cnn, op10_license_digests)
+    for f in (op1_warc_transactions, op2_language_backoff, op3_benchmark_decontamination, op4_quality_ridge, op5_url_bloom, op6_lsh_forest, op7_pca_tiles, op8_deficit_packing, op9_toxicity_cnn, op10_license_digests, op11_angular_negatives, op12_cholesky_whitening, op13_line_bitmaps)
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_url_bloom": urlfilter.ORACLE_SQL, "op10_license_digests": licenses.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_url_bloom": urlfilter.ORACLE_SQL, "op10_license_digests": licenses.ORACLE_SQL, "op11_angular_negatives": hardneg.ORACLE_SQL, "op13_line_bitmaps": linededup.ORACLE_SQL}
