@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         return lambda batch: {"key": batch.column("key"), "y": batch.column("y"), "x": pa.array(list(statistics(batch.column("body"))), pa.list_(pa.float64()))}
 
     rows = labelled(docs, labels, id_col, text_col, label_col, bound).select("key", "y", "body")
-    rows = tables.scratch(tables.map_text(rows, "key long, y double, x array<double>", stats, "body"), "statistics")
+    rows = tables.scratch(tables.map_text(rows, f"key {rows.schema['key'].dataType.simpleString()}, y double, x array<double>", stats, "body"), "statistics")
     summary = rows.agg(F.count("*").alias("n"), F.avg("y").alias("y")).first()
     if not summary.n or summary.y in (0.0, 1.0):
         return Model(None, np.zeros(0), (np.zeros(1), np.array([0.5 if not summary.n else summary.y])))

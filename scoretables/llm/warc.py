@@ -156,16 +156,18 @@ def _records_of(pieces, with_payload: bool):
         if not blank and b":" not in head:
             continue
         size = _length(head)
-        parts, have = [body], len(body)
+        parts, have, taken = [body], len(body), []
         while have < size and (more := following()) is not None:
             if more.startswith(b"WARC/1."):  # the first piece of another file
                 left.append(more)
                 break
-            parts.append(_BREAK + more)
+            # A payload that begins with the separator's text shares its blank lines with the end of the header.
+            parts.append((_BREAK if blank or taken else _BREAK[4:]) + more)
+            taken.append(more)
             have += len(parts[-1])
         block = b"".join(parts)
-        if len(parts) > 1 and (have < size or block[size:].strip(b"\r\n")):
-            left += [p[len(_BREAK) :] for p in reversed(parts[1:])]
+        if taken and (have < size or block[size:].strip(b"\r\n")):
+            left += reversed(taken)
             block = body
         yield _parsed(head, block[:size], len(block) >= size, with_payload)
 
@@ -183,7 +185,7 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
 
     def run(batches):
         out, size = [], 0
-        pieces = (x for batch in batches for x in batch.column(0).to_pylist() if x)
+        pieces = (x for batch in batches for x in batch.column(0).to_pylist() if x is not None)
         for record in _records_of(pieces, payload):
             out.append(record)
             size += len(record["payload"] or b"")

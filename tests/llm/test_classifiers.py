@@ -162,6 +162,9 @@ def test_quality_separates_and_scores_odd_texts(spark):
     assert {r.score for r in quality.score(docs, quality.fit(docs, labels.where("false"))).collect()} == {0.5}
     assert {r.score for r in quality.score(docs, quality.fit(docs, labels.where("quality = 1"))).collect()} == {1.0}
     assert quality.score(docs.where("false"), model).count() == 0
+    named = lambda df: df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    found = quality.score(named(docs), quality.fit(named(docs), named(labels))).collect()
+    assert len(found) == docs.count() and all(r.score >= 0.5 for r in found if r.id == f"d{rows[1][0]}")
 
 
 def test_isotonic_pools_adjacent_violators():

@@ -123,3 +123,18 @@ def test_plain_archives_are_not_split_inside_payloads(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes") if before is None else spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert found == {"<outer>": inner, "<next>": b"n"}
+
+
+def test_payloads_that_spell_the_separator(spark, tmp_path):
+    edge = b"\r\n\r\nWARC/1."
+    payloads = [b"WARC/1.0", b"WARC/1.", edge, edge + edge, b"WARC/1." + edge, b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc", b"one" + edge + b"0\r\ntwo", b"", b"WARC/1.1\r\n\r\n", b"last"]
+    for kind in ("plain", "gzip"):
+        folder = tmp_path / kind
+        folder.mkdir()
+        parts = [plain_record(f"r{k}", p) for k, p in enumerate(payloads)]
+        if kind == "plain":
+            (folder / "a.warc").write_bytes(b"".join(parts))
+        else:
+            (folder / "a.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+        found = {r.record_id: (bytes(r.payload), r.whole, r.payload_digest) for r in W.read(spark, str(folder)).collect()}
+        assert found == {f"<r{k}>": (p, True, digest(p)) for k, p in enumerate(payloads)}
