@@ -93,7 +93,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     """
     bitmaps = keep_bitmaps(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body")), least_chars, least_documents)
     rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.col(id_col).alias("doc"), _version(F.col(text_col)).alias("version"))
-    out = rows.join(bitmaps, ["doc", "version"], "left")
+    # The bitmaps grow with the texts, so they are not broadcast where they happen to be few: every size has one plan.
+    out = rows.join(bitmaps.hint("merge"), ["doc", "version"], "left")
     return out.select("row", F.size(lines(F.col("row")[text_col])).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("keep", F.array().cast(KEEP)).alias("keep"))
 
 
