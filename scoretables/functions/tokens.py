@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 LAYOUT = r"[/\\XyzN*=?]"
 ARTICULATION = r"[TMSmstpP'~^><;:`Oxvuw&@ijZ+W$!|]"
 BEAMS = "[LJkK]"
+#: Where a note ends and another, with a duration of its own, begins without a blank.
+JOINT, PITCHED = r"(?<=[A-Ga-gr#\-n])(?=[0-9])", "[A-Ga-gr]"
 #: A rest's position, a natural after a letter, and pairs of accidentals that contradict each other.
 REST_POSITION = r"([0-9]+\.*r)[A-Ga-gy]+"
 NATURAL = "([A-Ga-g])n(?=[^A-Ga-g]|$)"
@@ -161,6 +163,13 @@ def factors(token: Column) -> Column:
     return F.when(F.coalesce(token, F.lit("")).isin("", "."), F.array(F.lit("."))).otherwise(F.concat(letters(opening), timed, bare, letters(closing)))
 
 
+def split_notes(token: Column) -> Column:
+    """Notes that are written without a blank between them, each with its duration; numbers without a pitch fall out."""
+    clear = F.regexp_replace(token, BEAMS, "")
+    notes = F.filter(F.split(clear, JOINT), lambda x: x.rlike(PITCHED))
+    return F.when(F.size(notes) > 0, notes).otherwise(F.array(clear))
+
+
 def plain_barline(line: Column) -> Column:
     """A barline's fields without repeat marks; other lines as they are."""
     fields = F.transform(F.split(line, "\t"), lambda x: F.when(x.startswith("="), F.regexp_replace(x, r"[:|!]+", "")).otherwise(x))

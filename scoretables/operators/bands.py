@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,38 @@ def bootstrap(rows: DataFrame, value: str, *keys: str, resamples: int = 1000, le
     means = drawn.groupBy(*keys, "resample").agg(F.try_divide(F.sum(F.col(value) * F.col("weight")), F.sum("weight")).alias("mean"))
     band = means.groupBy(*keys).agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).where(F.col("n") >= least).join(band, list(keys))
+
+
+#: A prime below 2^31, and odd multipliers, of the draws.
+_PRIME, _ROUNDS = 2_147_483_647, 3
+
+
+def draw(resample: Column, j: Column, seed: int = 0) -> Column:
+    """A whole number below 2^31 - 1 for draw ``j`` of a resample: squares modulo a prime, in exact arithmetic."""
+    u = (resample * 48_271 + j * 69_621 + 12_345 + seed) % _PRIME
+    for k in range(_ROUNDS):
+        u = (u * u + 40_692 * (j + k) + resample) % _PRIME
+    return u
+
+
+def resampled(rows: DataFrame, value: str, *keys: str, resamples: int = 1000, least: int = 5, seed: int = 0) -> DataFrame:
+    """Mean of ``value`` and its 95 % band by resampling with replacement, for groups of at least ``least`` rows.
+
+    A group of n rows is resampled by n draws of a place from 0 to n - 1 among its rows in the order of their values.
+    Where the values are few (a rate, a success), a place is found by the number of rows up to each value, which stands
+    in one short array for each group; so no draw is joined to a row, and draws are added up before they are moved.
+    """
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    ends = F.sort_array(F.collect_list(F.struct(F.col(value).cast("double").alias("value"), "n")))
+    groups = counts.groupBy(*keys).agg(F.sum("n").alias("n"), ends.alias("values")).where(F.col("n") >= least)
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.array().cast("array<struct<upto:bigint,value:double>>").alias("out"))
+    step = lambda acc, x: F.struct((acc["upto"] + x["n"]).alias("upto"), F.array_append(acc["out"], F.struct((acc["upto"] + x["n"]).alias("upto"), x["value"].alias("value"))).alias("out"))
+    groups = groups.withColumn("steps", F.aggregate("values", start, step, lambda acc: acc["out"])).drop("values")
+    # Few groups: they are dealt out with their resamples, so that all tasks have some.
+    drawn = groups.withColumn("resample", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(resamples).cast("long")))).repartition(*keys, "resample")
+    spot = F.col("spot")
+    drawn = drawn.withColumn("spot", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), lambda j: draw(F.col("resample"), j, seed) % F.col("n"))))
+    found = F.element_at(F.filter("steps", lambda s: s["upto"] > spot), 1)["value"]
+    means = drawn.select(*keys, "resample", found.alias("v")).groupBy(*keys, "resample").agg(F.avg("v").alias("mean"))
+    band = means.groupBy(*keys).agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(band, list(keys))

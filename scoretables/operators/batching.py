@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from scoretables.sources.files import put_aside
 
 BOUNDS = (1500, 2000, 2500, 3000)
+#: Rows of a bucket that one task numbers; fuller ones are dealt out.
+ONE_TASK = 100_000
 
 
 def bucketed(rows: DataFrame, length: str, bounds=BOUNDS) -> DataFrame:
@@ -20,8 +22,13 @@ def numbered(rows: DataFrame, order: Column, key: str) -> DataFrame:
 
     Rows are dealt out by ranges of (bucket, order, key), so that each task holds a run of neighbours, and written;
     rows are numbered within bucket and range and moved on by the sizes of the ranges before. A bucket that holds most
-    rows is many ranges, and the ranges are as few as the tasks.
+    rows is many ranges, and the ranges are as few as the tasks. Where no bucket has more than ONE_TASK rows, each is
+    numbered by one task, with the same result.
     """
+    most = rows.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
+    if most <= ONE_TASK:
+        own = Window.partitionBy("bucket")
+        return rows.withColumn("_order", order).withColumns({"_at": F.row_number().over(own.orderBy("_order", key)) - 1, "_n": F.count("*").over(own)}).drop("_order")
     ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.withColumn("_order", order).repartitionByRange(ranges, "bucket", "_order", key).withColumn("_range", F.spark_partition_id())
     dealt = put_aside(dealt, "ranges")

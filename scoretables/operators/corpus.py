@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoretables.sources.files import put_aside
+
 # Versions of each split.
 VERSIONS = {"train": 4, "valid": 1, "test": 3}
 
@@ -111,6 +113,32 @@ def ranked_lookup(wanted: DataFrame, files: DataFrame, rules: list[tuple[Column,
     return wanted.join(found.groupBy("wanted").agg(F.min("hit").alias("hit")), "wanted", "left").select("wanted", "hit.rule", "hit.path")
 
 
+#: Letters of the grams by which a search finds the paths that may hold a text.
+GRAM = 3
+
+
+def _grams(text: Column, size: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, size)))
+
+
+def containing(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """For each wanted text (not empty) the first path that contains it, or null.
+
+    An inverted index of grams: only grams of wanted texts are kept, the rarest of each text is joined, and what it finds
+    is compared whole. Texts shorter than a gram are grams themselves.
+    """
+    texts = wanted.select("wanted").distinct().where("wanted <> ''")
+    size = F.least(F.lit(GRAM), F.length("wanted"))
+    asked = texts.select("wanted", F.explode(_grams(F.col("wanted"), size)).alias("gram"))
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("path"))), lambda n: _grams(F.col("path"), n)))
+    index = put_aside(files.select("path").distinct().select("path", F.explode(every).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi"), "grams")
+    sizes = index.groupBy("gram").agg(F.count("*").alias("n"))
+    # A gram that no path has makes a text that none contains.
+    rare = asked.join(sizes, "gram", "left").groupBy("wanted").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    hits = rare.join(index, "gram").where(F.contains("path", "wanted")).groupBy("wanted").agg(F.min("path").alias("path"))
+    return wanted.join(hits, "wanted", "left")
+
+
 def prefixes(name: Column, sep: str = "_") -> Column:
     """Every start of a name that ends at a separator or with the name."""
     parts = F.split(name, sep)
@@ -154,8 +182,8 @@ def listed(lines: DataFrame) -> DataFrame:
 
 
 def sampled(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """``n`` rows, the same in any partitioning: those of the smallest hashes."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """``n`` rows, the same in any partitioning: those of the smallest digests of key and seed."""
+    return rows.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
 def last_measure_inherited(rows: DataFrame) -> DataFrame:

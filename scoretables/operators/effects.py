@@ -54,7 +54,8 @@ def melodic_charge() -> Column:
 _BEAT, _PLACE, _HAIRPIN = "beat_ms", "phrase_place", "hairpin"
 
 #: The effects, in the order of their names' meaning: loudness, time, articulation. ``hairpin`` is how far a crescendo
-#: (or, below 0, a diminuendo) has come.
+#: (or, below 0, a diminuendo) has come; the melody is the highest of the notes that begin together. The strength of
+#: ``accent_delay`` is in milliseconds and 0 unless it is asked for.
 EFFECTS = (
     Effect("high_loud", decibels=lambda k: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 0.03 * k * (F.col("pitch") - 60)))),
     Effect("phrase_arch", decibels=lambda k: k * _arch(F.col(_PLACE))),
@@ -68,6 +69,11 @@ EFFECTS = (
     Effect("legato", factor=lambda k: F.when(F.col("mark") == "legato", 1 + F.least(30 * k, 0.1 * F.col("dur_ms")) / F.col("dur_ms")).otherwise(1.0)),
     Effect("tenuto", decibels=lambda k: F.when(F.col("mark") == "tenuto", k).otherwise(0.0), factor=lambda k: F.when(F.col("mark") == "tenuto", 1 + 0.05 * k).otherwise(1.0)),
     Effect("accent", decibels=lambda k: F.when(F.col("mark") == "accent", 1.5 * k * F.least(F.lit(1.0), F.col("dur_ms") / F.col(_BEAT))).otherwise(0.0)),
+    Effect("agogic", shift_ms=lambda k: F.when(F.col("mark").isin("accent", "sforzando"), 20 * k).otherwise(0.0)),
+    Effect("accent_delay", shift_ms=lambda k: F.when(F.col("mark") == "accent", k).otherwise(0.0)),
+    Effect("articulation_tempo", shift_ms=lambda k: F.when(F.col("mark") == "tenuto", 15 * k).when(F.col("mark") == "legato", 5 * k).otherwise(0.0)),
+    Effect("chord_lead", shift_ms=lambda k: F.when(F.col("is_melody"), -25 * k).otherwise(0.0)),
+    Effect("fermata", factor=lambda k: F.when(F.col("has_fermata"), 1 + k).otherwise(1.0)),
     Effect("marcato", decibels=lambda k: F.when(F.col("mark") == "marcato", 5 * k).otherwise(0.0), factor=lambda k: F.when(F.col("mark") == "marcato", 1 - 0.05 * k).otherwise(1.0)),
 )
 
@@ -77,18 +83,26 @@ PRESETS = {
     "classical": {"high_loud": 0.8, "phrase_arch": 0.8, "duration_contrast": 0.7, "melodic_charge": 0.6, "rubato": 0.7, "crescendo": 0.7, "punctuation": 0.8, "staccato": 1.0, "legato": 0.8},
     "balanced": {},
 }
+#: Effects that are off where a preset does not name them.
+OFF = ("accent_delay",)
+#: Settings that are laid beside every note at most; more of them come as a table with a row for each piece.
+MOST_SETTINGS = 64
+
+
+def strength(given: dict[str, float], name: str) -> float:
+    return float(given.get(name, 0.0 if name in OFF else 1.0))
 
 
 def presets(spark: SparkSession) -> DataFrame:
-    """``preset`` and the strength of each effect, a row for each preset; what a preset does not name is 1."""
+    """``preset`` and the strength of each effect, a row for each preset; what a preset does not name is 1, or 0 if it is in OFF."""
     names = [e.name for e in EFFECTS]
-    rows = [(preset, *(float(given.get(n, 1.0)) for n in names)) for preset, given in PRESETS.items()]
+    rows = [(preset, *(strength(given, n) for n in names)) for preset, given in PRESETS.items()]
     return spark.createDataFrame(rows, "preset string, " + ", ".join(f"k_{n} double" for n in names))
 
 
 def prepared(notes: DataFrame, directions: DataFrame, bpm: float = 120.0) -> DataFrame:
     """Notes with all that effects look at; notes need ``mark``, an articulation or null. ``directions`` are crescendos."""
-    rows = N.melodic_motion(N.phrase_positions(N.features(notes)))
+    rows = N.melody(N.melodic_motion(N.phrase_positions(N.features(notes))))
     along = N.active_directions(notes, directions).select("piece_id", "note_idx", F.col("along").alias("hairpin"))
     rows = rows.join(along, ["piece_id", "note_idx"], "left").join(N.sounding_together(notes), ["piece_id", "note_idx"], "left")
     beat = 60_000.0 / bpm
@@ -101,11 +115,18 @@ def prepared(notes: DataFrame, directions: DataFrame, bpm: float = 120.0) -> Dat
 def applied(rows: DataFrame, strengths: DataFrame, effects: tuple[Effect, ...] = EFFECTS, key: str = "preset") -> DataFrame:
     """For every note and row of ``strengths`` the new ``velocity``, ``shift_ms`` and ``dur_ms``.
 
-    ``strengths`` is a table of settings (``key`` and ``k_<effect>``), as presets() gives it: a few rows, so it is laid
-    beside every note. Time of effects that change the tempo is summed up along each piece.
+    ``strengths`` is a table of settings (``key`` and ``k_<effect>``), as presets() gives it: at most MOST_SETTINGS rows,
+    which are laid beside every note. With a column ``piece_id`` it may have any size, and its rows are for the notes of
+    that piece. Time of effects that change the tempo is summed up along each piece.
     """
-    settings = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in r.asDict().items())) for r in strengths.collect()))
-    rows = rows.withColumn("setting", F.explode(settings)).select("*", "setting.*")
+    if "piece_id" in strengths.columns:
+        rows = rows.join(strengths, "piece_id")
+    else:
+        few = strengths.limit(MOST_SETTINGS + 1).collect()
+        if len(few) > MOST_SETTINGS:
+            raise ValueError(f"more than {MOST_SETTINGS} settings for every note; give the table a piece_id")
+        settings = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in r.asDict().items())) for r in few))
+        rows = rows.withColumn("setting", F.explode(settings)).select("*", "setting.*")
     total = lambda parts, zero: sum(parts, F.lit(zero))
     decibels = total((e.decibels(e.strength()) for e in effects if e.decibels), 0.0)
     shift = total((e.shift_ms(e.strength()) for e in effects if e.shift_ms and not e.changes_tempo), 0.0)

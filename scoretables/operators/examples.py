@@ -106,15 +106,10 @@ def ratio(text: Column) -> Column:
     return F.when(x > 0, F.struct((4 * y).alias("num"), x.alias("den")))
 
 
-def even_places(n: Column, k: Column) -> Column:
-    """Places, from 0, of k items spread as evenly as can be over n: those where floor(i k / n) grows."""
-    spots = F.sequence(F.lit(0).cast("long"), n - 1)
-    return F.filter(spots, lambda i: F.floor((i + 1) * k / n) > F.floor(i * k / n))
-
-
 def drawn(rows: DataFrame, key: str, ranges: dict[str, tuple[float, float]], seed: int = 0) -> DataFrame:
-    """A value of each setting, uniform in its range by hash of key and setting."""
-    unit = lambda name: (F.pmod(F.xxhash64(F.col(key), F.lit(name), F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    """A value of each setting, uniform in its range by the first 52 bits of a digest of key, setting and seed."""
+    digest = lambda name: F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(name), F.lit(str(seed))))
+    unit = lambda name: F.conv(F.substring(digest(name), 1, 13), 16, 10).cast("long") / float(1 << 52)
     return rows.withColumns({name: low + (high - low) * unit(name) for name, (low, high) in ranges.items()})
 
 

@@ -60,6 +60,21 @@ def measure_map(order: DataFrame, sections: DataFrame, lines: DataFrame) -> Data
     return first.select("doc_id", "new_measure", "f.measure", "f.order_pos").join(at, ["doc_id", "order_pos"]).select("doc_id", "new_measure", "measure", "section", "occurrence", "ending")
 
 
+def aligned(mapping: DataFrame, measures: DataFrame, inherit: bool = False) -> DataFrame:
+    """Every measure of an expanded score with the entry of the map at its place: ``original`` and ``section``.
+
+    Measures past the map's end have null and no section, or with ``inherit`` the map's last entry. Documents without a
+    map are their own originals. Entries past the last measure fall out. ``mapping``: doc_id, pos, original, section;
+    ``measures``: doc_id, pos, measure.
+    """
+    known = mapping.groupBy("doc_id").agg(F.max_by(F.struct("original", "section"), "pos").alias("last"))
+    entry = mapping.select("doc_id", "pos", F.struct("original", "section").alias("entry"))
+    rows = measures.join(entry, ["doc_id", "pos"], "left").join(known, "doc_id", "left")
+    found = F.coalesce("entry", "last") if inherit else F.col("entry")
+    original = F.when(F.col("last").isNull(), F.col("measure")).otherwise(found["original"])
+    return rows.select("doc_id", "pos", "measure", original.alias("original"), F.coalesce(found["section"], F.lit("")).alias("section"))
+
+
 def ratio(order: DataFrame, sections: DataFrame) -> DataFrame:
     """Expanded lines over original ones of each document."""
     size = F.col("last") - F.col("first") + 1

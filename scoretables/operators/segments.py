@@ -56,6 +56,28 @@ def header(lines: DataFrame, kinds: dict[str, Column]) -> DataFrame:
     return lines.groupBy("doc_id").agg(*(F.min_by(F.when(test, F.col("line")), F.when(test, F.col("line_no"))).alias(name) for name, test in kinds.items()))
 
 
+# How the first field of a header line of each kind begins.
+KINDS = {"key_sig": r"^\*k\[", "clef": r"^\*clef", "staff": r"^\*staff", "instrument": r"^\*I"}
+
+
+def metadata(lines: DataFrame) -> DataFrame:
+    """Of every document the first line of each kind, as written, and ``first_measure``, the first number of a barline.
+
+    ``time_sig``: ``*M`` with a slash. ``tempo``: ``*MM``; one with a slash is a meter where none came before. Lines
+    that declare, split or join spines are of no kind; blanks around a line are passed over.
+    """
+    field = F.get(F.split(F.regexp_replace("line", r"^\s+|\s+$", ""), "\t"), F.lit(0))
+    rows = lines.select("doc_id", "line_no", "line", field.alias("field"))
+    field = F.col("field")
+    slash = field.contains("/")
+    is_meter, number = field.startswith("*M") & slash, F.regexp_extract(field, "^=([0-9]+)", 1).try_cast("long")
+    meters = F.count_if(is_meter).over(_before("doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"is_meter": is_meter, "is_tempo": field.startswith("*MM") & (~slash | (F.coalesce(meters, F.lit(0)) > 0))})
+    kinds = {"time_sig": F.col("is_meter")} | {k: field.rlike(p) for k, p in KINDS.items()} | {"tempo": F.col("is_tempo")}
+    first = F.min_by(number, F.when(number.isNotNull(), F.col("line_no"))).alias("first_measure")
+    return rows.groupBy("doc_id").agg(*(F.min_by(F.when(test, F.col("line")), F.when(test, F.col("line_no"))).alias(name) for name, test in kinds.items()), first)
+
+
 def key_signature(line: Column) -> Column:
     """Sharps less flats of a ``*k[...]`` line, from -6 to 7."""
     inside = F.regexp_extract(line, r"\*k\[([^\]]*)\]", 1)

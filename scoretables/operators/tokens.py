@@ -68,18 +68,27 @@ def score_sequence(lines: DataFrame) -> DataFrame:
     moves = F.exists(fields, lambda x: x.isin("*^", "*v"))
     kept = rows.where(~control | moves)
     move = F.transform(fields, lambda x: F.array(F.when(x == "*^", "<split>").when(x == "*v", "<merge>").otherwise("<*>")))
-    notes = F.transform(fields, lambda x: F.flatten(F.transform(F.filter(F.split(x, " +"), lambda n: n != ""), T.factors)))
+    notes = F.transform(fields, lambda x: F.flatten(F.transform(F.flatten(F.transform(F.filter(F.split(x, " +"), lambda n: n != ""), T.split_notes)), T.factors)))
     joined = F.flatten(F.transform(F.when(control, move).otherwise(notes), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.array(F.lit("<coc>")), p))))
     follows = F.lag(~F.col("is_bar")).over(order)
     data = F.when(follows, F.concat(F.array(F.lit("<nl>")), joined)).otherwise(joined)
     bar = F.concat(F.array(F.lit("<bar>")), schema_tokens(F.col("meter"), F.col("key")))
     line = kept.select("doc_id", "line_no", F.when(F.col("is_bar"), bar).otherwise(data).alias("parts"))
-    ends = line.groupBy("doc_id").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"))
-    edge = lambda at, token: ends.select("doc_id", at.alias("line_no"), F.array(F.lit(token)).alias("parts"))
-    whole = line.unionByName(edge(F.col("first") - 1, "<sos>")).unionByName(edge(F.col("last") + 1, "<eos>"))
-    # A line knows how many tokens stand before it, so positions need no second order of single tokens.
-    before = F.coalesce(F.sum(F.size("parts")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return whole.withColumn("before", before).select("doc_id", "before", F.posexplode("parts").alias("at", "token")).select("doc_id", (F.col("before") + F.col("at")).cast("int").alias("pos"), "token")
+    return _positions(line)
+
+
+def _positions(line: DataFrame) -> DataFrame:
+    """``doc_id``, ``pos`` and ``token`` of lines of ``parts``, with ``<sos>`` and ``<eos>`` around each document.
+
+    A line knows how many tokens stand before it, so positions need no second order of single tokens.
+    """
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    before = F.coalesce(F.sum(F.size("parts")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
+    rows = line.withColumns({"before": before, "is_first": F.lag("line_no").over(order).isNull(), "is_last": F.lead("line_no").over(order).isNull()})
+    edge = lambda here, token: F.when(here, F.array(F.lit(token))).otherwise(F.array().cast("array<string>"))
+    whole = F.concat(edge(F.col("is_first"), "<sos>"), "parts", edge(F.col("is_last"), "<eos>"))
+    start = F.when(F.col("is_first"), 0).otherwise(F.col("before"))
+    return rows.select("doc_id", start.alias("start"), F.posexplode(whole).alias("at", "token")).select("doc_id", (F.col("start") + F.col("at")).cast("int").alias("pos"), "token")
 
 
 def unknown_durations(tokens: DataFrame) -> DataFrame:
@@ -126,10 +135,7 @@ def sequence(tokens: DataFrame) -> DataFrame:
     data = F.flatten(F.transform("parts", lambda p, i: F.when(i == 0, F.array(p)).otherwise(F.array(F.lit("<coc>"), p))))
     data = F.when(after == "data", F.concat(F.array(F.lit("<nl>")), data)).otherwise(data)
     line = lines.select("doc_id", "line_no", F.when(F.col("kind") == "bar", F.array(F.lit("<bar>"))).otherwise(data).alias("parts"))
-    ends = line.groupBy("doc_id").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"))
-    edges = ends.select("doc_id", (F.col("first") - 1).alias("line_no"), F.array(F.lit("<sos>")).alias("parts")).unionByName(ends.select("doc_id", (F.col("last") + 1).alias("line_no"), F.array(F.lit("<eos>")).alias("parts")))
-    rows = line.unionByName(edges).select("doc_id", "line_no", F.posexplode("parts").alias("at", "token"))
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "at")) - 1).select("doc_id", "pos", "token")
+    return _positions(line)
 
 
 def by_bar(rows: DataFrame, is_bar: Column, order: str = "pos") -> DataFrame:

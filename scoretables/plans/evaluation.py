@@ -171,6 +171,23 @@ def bootstrap_bands(results):
     return bands.bootstrap(binned, "success", "system", "bin")
 
 
+_DRAW = "(resample * 48271 + j * 69621 + 12345) % 2147483647"
+_FIRST_DRAW = f"(({_DRAW}) * ({_DRAW}) + 40692 * j + resample) % 2147483647"
+
+
+@query("results", sql=f"""WITH b AS (SELECT system, ({OK})::INTEGER AS ok, CAST(coalesce(least(9, greatest(0, ceil((chunk_index - low) * 10 / nullif(high - low, 0)) - 1)), 0) AS INTEGER) AS bin
+      FROM (SELECT *, min(chunk_index) OVER (PARTITION BY system) AS low, max(chunk_index) OVER (PARTITION BY system) AS high FROM results)),
+    g AS (SELECT system, bin, count(*) AS n, count(*) FILTER (WHERE ok = 0) AS zeros, avg(ok) AS mean FROM b GROUP BY ALL HAVING count(*) >= 5), r AS (SELECT *, unnest(range(1, 1001)) AS resample FROM g), d AS (SELECT *, unnest(range(1, n + 1)) AS j FROM r),
+    u AS (SELECT *, {_FIRST_DRAW} AS u1 FROM d), v AS (SELECT *, (u1 * u1 + 40692 * (j + 1) + resample) % 2147483647 AS u2 FROM u), w AS (SELECT *, (u2 * u2 + 40692 * (j + 2) + resample) % 2147483647 AS u3 FROM v),
+    m AS (SELECT system, bin, any_value(n) AS n, any_value(mean) AS mean, resample, avg((u3 % n >= zeros)::INTEGER) AS resampled FROM w GROUP BY system, bin, resample)
+    SELECT system, bin, any_value(n) AS n, round(any_value(mean), 9) AS mean, round(quantile_cont(resampled, 0.025), 9) AS low, round(quantile_cont(resampled, 0.975), 9) AS high FROM m GROUP BY system, bin""".join(("SELECT * FROM (", ")")))
+def resampled_bands(results):
+    """95 % bands of success by position bin, by 1000 resamples with replacement."""
+    binned = bands.equal_bins(results, "chunk_index", 10, "system").withColumn("success", summaries.succeeded().cast("int"))
+    found = bands.resampled(binned, "success", "system", "bin")
+    return found.select("system", "bin", "n", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
+
+
 @query("results")
 def transition_model(results):
     """The lagged logistic model of each system; rows-only, held against an independent fit in the tests."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scoretables.operators import examples as E
 from scoretables.operators import notes as N
+from scoretables.operators import rhythms as Y
 from scoretables.operators import tokens as K
 from scoretables.plans.registry import Family
 
@@ -132,16 +133,63 @@ def ratio_durations(notes):
     return notes.select("piece_id", "note_idx", E.has_ratio(text).alias("has_ratio"), E.ratio(text).alias("r")).select("piece_id", "note_idx", "has_ratio", "r.*")
 
 
-@query("notes", sql="SELECT DISTINCT n, k, array_to_string(list_filter(range(0, n), lambda i: (i + 1) * k // n > i * k // n), ',') AS places FROM (SELECT note_idx % 12 + 1 AS n, pitch % (note_idx % 12 + 1) AS k FROM notes)")
-def even_distribution(notes):
-    n = F.col("note_idx") % 12 + 1
-    pairs = notes.select(n.alias("n"), (F.col("pitch") % n).alias("k")).distinct()
-    return pairs.select("n", "k", F.array_join(E.even_places(F.col("n"), F.col("k")).cast("array<string>"), ",").alias("places"))
+# Letter by letter, with the error and the number placed so far, as the rule has it.
+_SPREAD = """(SELECT n, k, least(k, n - k) AS few, 0 AS step, 0::BIGINT AS error, 0 AS placed, '' AS marks FROM pairs UNION ALL
+    SELECT n, k, few, step + 1, CASE WHEN error + few >= n - placed THEN error + few - n ELSE error + few END, CASE WHEN error + few >= n - placed THEN placed + 1 ELSE placed END, concat(marks, CASE WHEN (error + few >= n - placed) = (k <= n - k) THEN 'L' ELSE 'S' END) FROM spread WHERE step < n)"""
 
 
-@query("manifest")
+@query("notes", sql=f"""SELECT * FROM (WITH RECURSIVE pairs AS (SELECT DISTINCT note_idx % 24 + 1 AS n, pitch % (note_idx % 24 + 2) AS k FROM notes), spread AS {_SPREAD}
+    SELECT n, k, CASE WHEN k = 0 THEN repeat('S', n) WHEN k = n THEN repeat('L', n) ELSE marks END AS places FROM spread WHERE step = n)""")
+def even_distribution(notes):
+    """k long notes among n, as letters."""
+    n = F.col("note_idx") % 24 + 1
+    pairs = notes.select(n.alias("n"), (F.col("pitch") % (n + 1)).alias("k")).distinct()
+    letters = F.transform(Y.spread(F.col("k"), F.col("n") - F.col("k")), lambda x: F.when(x, "L").otherwise("S"))
+    return pairs.select("n", "k", F.array_join(letters, "").alias("places"))
+
+
+_VALUES = ", ".join(f"('{name}', {a * Y.PARTS // b}, {i})" for i, (name, a, b) in enumerate(Y.values()))
+
+
+@query("notes", sql=f"SELECT n, arg_min(name, {{'c': abs(3 * {Y.PARTS} - parts * 2 * n), 'i': i}}) AS name FROM (SELECT DISTINCT dur_ms % 256 + 1 AS n FROM notes) CROSS JOIN (VALUES {_VALUES}) AS v(name, parts, i) GROUP BY n")
+def dotted_unknowns(notes):
+    """The duration that stands in for each dotted number."""
+    n = (F.col("dur_ms") % 256 + 1).cast("long")
+    return notes.select(n.alias("n")).distinct().select("n", Y.nearest(F.lit(3).cast("long"), 2 * F.col("n")).alias("name"))
+
+
+_WRITTEN = ("8%3", "56%3", "7%2", "28%3", "8%9", "9%2", "20%3", "44%1")
+_BY_LENGTH = ", ".join(f"('{name}', {a * Y.PARTS // b}, {i})" for i, (name, a, b) in enumerate([(Y.SHORTEST, *Y.SHORTEST_AS), *sorted(Y.values(), key=lambda v: -v[1] * Y.PARTS // v[2])]))
+
+
+@query("tokens", sql=f"""SELECT * FROM (WITH RECURSIVE r AS (SELECT doc_id, spine, line_no, kind, CASE WHEN kind = 'bar' THEN '=' WHEN dur % 5 = 0 THEN '.' WHEN dur % 5 = 1 THEN '4g' ELSE concat({list(_WRITTEN)}[(line_no // 7 + spine) % 8 + 1], CASE WHEN dur % 2 = 0 THEN 'c' ELSE 'r' END) END AS token FROM tokens),
+    e AS (SELECT *, TRY_CAST(regexp_extract(token, '{Y.RATIO}', 1) AS BIGINT) AS x, TRY_CAST(regexp_extract(token, '{Y.RATIO}', 2) AS BIGINT) AS y FROM r WHERE token <> '.'),
+    b AS (SELECT *, coalesce(x <> lag(x) OVER w, true) OR coalesce(y <> lag(y) OVER w, true) AS begins FROM e WINDOW w AS (PARTITION BY doc_id, spine ORDER BY line_no)),
+    g AS (SELECT *, count(*) FILTER (WHERE begins) OVER (PARTITION BY doc_id, spine ORDER BY line_no) AS run FROM b),
+    m AS (SELECT *, count(*) OVER (PARTITION BY doc_id, spine, run) AS n, row_number() OVER (PARTITION BY doc_id, spine, run ORDER BY line_no) AS at FROM g WHERE x IS NOT NULL),
+    q AS (SELECT DISTINCT x, y, n FROM m), c AS (SELECT x, y, n, max(grid) FILTER (WHERE grid * y <= x) AS l, min(grid) FILTER (WHERE grid * y >= x) AS s FROM q CROSS JOIN (SELECT unnest({Y.GRID}) AS grid) GROUP BY ALL),
+    d AS (SELECT *, CASE WHEN l <> s AND n * l * (y * s - x) % (x * (s - l)) = 0 THEN n * l * (y * s - x) // (x * (s - l)) END AS a FROM c), pairs AS (SELECT DISTINCT n, a AS k FROM d WHERE a BETWEEN 0 AND n), spread AS {_SPREAD},
+    v AS (SELECT * FROM (VALUES {_BY_LENGTH}) AS t(name, parts, i)),
+    two AS (SELECT x, y, 1 AS n, arg_min([u.name, w.name], {{'d': abs(u.parts - w.parts), 'f': -u.parts}}) AS pair FROM (SELECT DISTINCT x, y FROM q WHERE n = 1) JOIN v u ON u.i > 0 JOIN v w ON w.i > 0 AND (u.parts + w.parts) * x = y * {Y.PARTS} GROUP BY x, y),
+    near AS (SELECT x, y, arg_min(name, {{'c': abs(y * {Y.PARTS} - parts * x), 'i': i}}) AS lossy FROM (SELECT DISTINCT x, y FROM q) CROSS JOIN v GROUP BY x, y),
+    k AS (SELECT d.x, d.y, d.n, CASE WHEN d.y = 3 AND d.x IN (4, 8, 16, 32, 64, 128) THEN 'dotted' WHEN l = s THEN 'same' WHEN marks IS NOT NULL THEN 'mixed' WHEN pair IS NOT NULL THEN 'pair' ELSE 'nearest' END AS kind, l, s, marks, pair, lossy
+      FROM d LEFT JOIN spread ON spread.n = d.n AND spread.k = d.a AND spread.step = d.n LEFT JOIN two ON two.x = d.x AND two.y = d.y AND two.n = d.n LEFT JOIN near ON near.x = d.x AND near.y = d.y),
+    o AS (SELECT m.doc_id, m.spine, m.line_no, k.kind, regexp_extract(token, '[cr]$') AS rest, pair, CASE k.kind WHEN 'dotted' THEN concat(m.x // 2, '.') WHEN 'same' THEN CAST(l AS VARCHAR) WHEN 'mixed' THEN CAST(CASE substr(marks, m.at, 1) WHEN 'L' THEN l ELSE s END AS VARCHAR) ELSE lossy END AS name
+      FROM m JOIN k ON k.x = m.x AND k.y = m.y AND k.n = m.n)
+    SELECT doc_id, spine, line_no, 0 AS sub, concat(name, rest) AS token, kind FROM o WHERE kind <> 'pair'
+    UNION ALL SELECT doc_id, spine, line_no, j, CASE WHEN rest = 'r' THEN concat(pair[j + 1], rest) WHEN j = 0 THEN concat('[', pair[1], rest) ELSE concat(pair[2], rest, ']') END, kind FROM (SELECT *, unnest([0, 1]) AS j FROM o WHERE kind = 'pair'))""")
+def ratio_tokens(tokens):
+    """Words as notes written with ratios, in runs of up to seven lines, as tokens that the vocabulary has."""
+    written = F.element_at(F.array(*(F.lit(x) for x in _WRITTEN)), ((F.floor(F.col("line_no") / 7) + F.col("spine")) % 8 + 1).cast("int"))
+    d = F.col("dur")
+    token = F.when(F.col("kind") == "bar", "=").when(d % 5 == 0, ".").when(d % 5 == 1, "4g").otherwise(F.concat(written, F.when(d % 2 == 0, "c").otherwise("r")))
+    rows = tokens.select("doc_id", "line_no", "spine", token.alias("token"), (F.col("kind") == "bar").alias("is_bar"))
+    return Y.without_ratios(rows).select("doc_id", "spine", "line_no", "sub", "token", "kind")
+
+
+@query("manifest", sql="SELECT stem, 0.5::DOUBLE + ('0x' || substr(md5(concat(stem, '|rubato|0')), 1, 13))::BIGINT / 4503599627370496::DOUBLE AS rubato, ('0x' || substr(md5(concat(stem, '|jitter|0')), 1, 13))::BIGINT / 4503599627370496::DOUBLE AS jitter FROM manifest")
 def drawn_settings(manifest):
-    """Strengths of each document's version, uniform by hash; rows-only."""
+    """Strengths of each document's version, uniform by digest."""
     return E.drawn(manifest.select("stem"), "stem", {"rubato": (0.5, 1.5), "jitter": (0.0, 1.0)})
 
 

@@ -206,6 +206,16 @@ def round_trip_summary(spark, d):
     return pieces.agg(F.count("*").alias("n"), F.count_if("known").alias("n_known"), F.count_if("same").alias("n_same"))
 
 
+def text_folder(spark, d):
+    """Texts written as files in folders by source, scanned again line by line; by source the lines, those that are not
+    control lines, and the letters of the longest."""
+    documents = view(spark, d, "documents")
+    path = S.shared_path(spark, "texts")
+    documents.select("source", "text").write.partitionBy("source").option("maxRecordsPerFile", 64).text(path)
+    found = S.text_lines(spark, path, ".txt").withColumn("source", F.regexp_extract("path", "/source=([^/]*)/", 1))
+    return found.groupBy("source").agg(F.count("*").alias("n_lines"), F.count_if(~T.is_control(F.col("line"))).alias("n_data"), F.max(F.length("line")).cast("long").alias("longest"))
+
+
 def name_list(spark, d):
     """Names written as a list with a comment, read again and left out of the manifest."""
     manifest = view(spark, d, "manifest")
@@ -215,9 +225,10 @@ def name_list(spark, d):
     return P.among(manifest.select("stem"), "stem", exclude=P.listed(S.read_names(spark, path)).withColumnRenamed("name", "stem"))
 
 
-query.queries |= {f.__name__: f for f in (vocabulary, unknown_tokens, encoded_documents, round_trip_summary, name_list)}
+query.queries |= {f.__name__: f for f in (vocabulary, unknown_tokens, encoded_documents, round_trip_summary, text_folder, name_list)}
 query.sql |= {
     "round_trip_summary": duckdb("kern", then=f"SELECT count(*) AS n, count(*) FILTER (WHERE known) AS n_known, count(*) FILTER (WHERE known) AS n_same FROM (SELECT p.doc_id, bool_and(v.id IS NOT NULL) AS known FROM {_PARTS} p LEFT JOIN {_VOCABULARY} v USING (token) GROUP BY p.doc_id)"),
+    "text_folder": "SELECT source, count(*) AS n_lines, count(*) FILTER (WHERE NOT regexp_matches(line, '^[=*!]')) AS n_data, max(length(line)) AS longest FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) GROUP BY source",
     "name_list": duckdb("manifest", then="SELECT stem FROM manifest WHERE doc_id % 11 <> 0"),
     "vocabulary": duckdb("kern", then=f"SELECT v.token, v.id, v.kind, coalesce(n, 0) AS n FROM {_VOCABULARY} v LEFT JOIN (SELECT token, count(*) AS n FROM {_PARTS} GROUP BY token) c USING (token)"),
     "unknown_tokens": duckdb("kern", then=f"SELECT token, count(*) AS n FROM {_PARTS} WHERE token NOT IN (SELECT token FROM {_VOCABULARY}) GROUP BY token"),

@@ -49,7 +49,7 @@ def melodic_motion(notes):
 
 @query("notes", sql=f"""SELECT piece_id, note_idx, round(greatest(-1, least(1, 0.03::DOUBLE * (pitch - 60))) + (1 - d * d) + 0.5::DOUBLE * log2(rel), 6) AS db FROM (SELECT *, CASE WHEN place < 0.6::DOUBLE THEN (0.6::DOUBLE - place) / 0.6::DOUBLE ELSE (place - 0.6::DOUBLE) / 0.4::DOUBLE END AS d FROM (
     SELECT *, dur_ms / avg(dur_ms) OVER (PARTITION BY piece_id ORDER BY onset_ms, note_idx ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS rel, CASE WHEN pe - ps < 2000 THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, (onset_ms - ps) / (pe - ps))) END AS place
-    FROM (SELECT *, min(onset_ms) OVER p AS ps, max(onset_ms + dur_ms) OVER p AS pe FROM notes WINDOW p AS (PARTITION BY piece_id, phrase_id))))""")
+    FROM (SELECT *, min(onset_ms) OVER p AS ps, max(onset_ms + dur_ms) OVER p AS pe, count(*) OVER ch > 1 AND row_number() OVER (PARTITION BY piece_id, onset_ms ORDER BY pitch DESC, note_idx) = 1 AS top FROM notes WINDOW p AS (PARTITION BY piece_id, phrase_id))))""")
 def velocity_effects(notes):
     rows = N.phrase_positions(N.features(notes))
     return rows.select("piece_id", "note_idx", r(N.velocity_db(F.lit(1.0), F.col("phrase_place"), F.col("relative")), "db", 6))
@@ -153,9 +153,21 @@ def mordent_notes(notes):
     return N.mordents(notes.where("staccato"))
 
 
-@query("notes", sql=f"SELECT piece_id, note_idx, k, onset_ms + k * 125 AS onset_ms, CASE WHEN k % 2 = 0 THEN pitch ELSE other END AS pitch FROM (SELECT *, CAST(unnest(range(0, greatest(1, dur_ms // 125))) AS INTEGER) AS k FROM (SELECT *, coalesce(lead(pitch) OVER w, pitch) AS other FROM notes {W}))")
+@query("notes", sql=f"""WITH p AS (SELECT piece_id, note_idx, onset_ms, pitch, lead(onset_ms) OVER w + lead(dur_ms) OVER w AS end_ms, CASE WHEN note_idx % 3 = 0 THEN pitch ELSE lead(pitch) OVER w END AS other, (velocity + lead(velocity) OVER w) / 2 AS v, note_idx // 2 % 5 AS slashes FROM notes {W}),
+    s AS (SELECT *, pitch = other AS one, (end_ms - onset_ms)::DOUBLE AS total, 1000::DOUBLE / CASE WHEN pitch = other THEN CASE slashes WHEN 1 THEN 6 WHEN 3 THEN 10 ELSE 8 END ELSE CASE slashes WHEN 1 THEN 8 WHEN 3 THEN 14 ELSE 11 END END AS step FROM p WHERE note_idx % 2 = 0 AND end_ms IS NOT NULL),
+    h AS (SELECT *, CAST(unnest(range(0, n)) AS INTEGER) AS hit FROM (SELECT *, greatest(4, floor(total / step)::BIGINT) AS n FROM s)),
+    o AS (SELECT *, step * (hit + CASE hit WHEN 0 THEN 0::DOUBLE WHEN 1 THEN 0.08::DOUBLE ELSE 0.12::DOUBLE END) AS off FROM h)
+    SELECT piece_id, note_idx, hit, round(onset_ms + off, 6) AS onset_ms, round(least(step * CASE hit WHEN 0 THEN 1.08::DOUBLE WHEN 1 THEN 1.04::DOUBLE ELSE 1 END, total - off) * CASE WHEN one THEN 0.85::DOUBLE ELSE 0.95::DOUBLE END, 6) AS dur_ms, CASE WHEN hit % 2 = 0 THEN pitch ELSE other END AS pitch,
+      CAST(floor(greatest(1, least(127, v))) AS INTEGER) AS velocity, round((greatest(0::DOUBLE, least(1::DOUBLE, 1 - 0.6::DOUBLE * pow(2 * hit::DOUBLE / (n - 1) - 1.2::DOUBLE, 2))) - 0.5::DOUBLE) * 2, 6) AS decibels FROM o WHERE off < total""".join(("SELECT * FROM (", ")")))
 def tremolo_notes(notes):
-    return N.tremolos(notes)
+    """Every second note with the next one as a tremolo, or alone, with no to four slashes."""
+    after = lambda c: F.lead(c).over(N.in_order())
+    i = F.col("note_idx")
+    pairs = notes.withColumns({
+        "end_ms": after("onset_ms") + after("dur_ms"), "other": F.when(i % 3 == 0, F.col("pitch")).otherwise(after("pitch")), "v": (F.col("velocity") + after("velocity")) / 2, "slashes": F.floor(i / 2) % 5,
+    }).where("note_idx % 2 = 0 and end_ms is not null").select("piece_id", "note_idx", "onset_ms", "end_ms", "pitch", "other", F.col("v").alias("velocity"), "slashes")
+    found = N.tremolos(pairs)
+    return found.select("piece_id", "note_idx", "hit", r("onset_ms", "onset_ms", 6), r("dur_ms", "dur_ms", 6), "pitch", "velocity", r("decibels", "decibels", 6))
 
 
 @query("notes", sql=f"SELECT piece_id, note_idx, onset_ms + taken AS main_onset_ms, dur_ms - taken AS main_dur_ms, CASE WHEN after THEN before END AS grace_pitch, taken AS grace_dur_ms FROM (SELECT *, CASE WHEN after THEN least(80, dur_ms // 2) ELSE 0 END AS taken FROM (SELECT *, lag(pitch) OVER w AS before, coalesce(lag(staccato) OVER w, false) AS after FROM notes {W}))")
@@ -195,14 +207,14 @@ def velocity_decibels(notes):
 
 
 _K = ", ".join(f"k_{e.name}" for e in E.EFFECTS)
-_STRENGTHS = ", ".join("('{}', {})".format(p, ", ".join(f"{float(given.get(e.name, 1.0))}::DOUBLE" for e in E.EFFECTS)) for p, given in E.PRESETS.items())
+_STRENGTHS = ", ".join("('{}', {})".format(p, ", ".join(f"{E.strength(given, e.name)}::DOUBLE" for e in E.EFFECTS)) for p, given in E.PRESETS.items())
 _MARKS = ("staccato", "legato", "tenuto", "accent", "marcato")
 _MARK = "CASE note_idx % 7 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(_MARKS)) + " END"
 
 
 @query("notes", "directions", sql=f"""WITH s AS (SELECT * FROM (VALUES {_STRENGTHS}) AS v(preset, {_K})),
     f AS (SELECT *, {_MARK} AS mark, dur_ms / avg(dur_ms) OVER (PARTITION BY piece_id ORDER BY onset_ms, note_idx ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS rel, coalesce(lag(pitch) OVER w = pitch, false) AS repeated, pitch - lag(pitch) OVER w AS a, lead(pitch) OVER w - pitch AS b,
-      min(onset_ms) OVER p AS ps, max(onset_ms + dur_ms) OVER p AS pe FROM notes WINDOW w AS (PARTITION BY piece_id ORDER BY onset_ms, note_idx), p AS (PARTITION BY piece_id, phrase_id)),
+      min(onset_ms) OVER p AS ps, max(onset_ms + dur_ms) OVER p AS pe, count(*) OVER ch > 1 AND row_number() OVER (PARTITION BY piece_id, onset_ms ORDER BY pitch DESC, note_idx) = 1 AS top FROM notes WINDOW w AS (PARTITION BY piece_id ORDER BY onset_ms, note_idx), p AS (PARTITION BY piece_id, phrase_id), ch AS (PARTITION BY piece_id, onset_ms)),
     h AS (SELECT n.piece_id, n.note_idx, (any_value(n.onset_ms) - min(d.start_ms)) / 1500 AS hairpin FROM notes n JOIN directions d ON n.piece_id = d.piece_id AND n.onset_ms >= d.start_ms AND n.onset_ms < d.end_ms GROUP BY ALL),
     c AS (SELECT x.piece_id, x.note_idx, count(*) FILTER (WHERE abs(x.pitch - y.pitch) % 12 IN (1, 2, 6, 10, 11)) AS n FROM notes x JOIN notes y ON x.piece_id = y.piece_id AND x.note_idx <> y.note_idx AND x.onset_ms >= y.onset_ms - 10 AND x.onset_ms <= y.onset_ms + y.dur_ms + 10 GROUP BY ALL),
     g AS (SELECT f.*, coalesce(h.hairpin, 0::DOUBLE) AS hairpin, CASE WHEN pe - ps < 2000 THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, (onset_ms - ps) / (pe - ps))) END AS p,
@@ -211,9 +223,9 @@ _MARK = "CASE note_idx % 7 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enume
     d AS (SELECT g.*, CASE WHEN p < 0.6::DOUBLE THEN (0.6::DOUBLE - p) / 0.6::DOUBLE ELSE (p - 0.6::DOUBLE) / 0.4::DOUBLE END AS away FROM g),
     e AS (SELECT s.preset, d.*, greatest(-1::DOUBLE, least(1::DOUBLE, 0.03::DOUBLE * k_high_loud * (pitch - 60))) + k_phrase_arch * (1 - away * away) + 0.5::DOUBLE * k_duration_contrast * log2(rel) + 2 * k_melodic_charge * charge + 3 * k_crescendo * hairpin
         + CASE mark WHEN 'tenuto' THEN k_tenuto WHEN 'accent' THEN 1.5::DOUBLE * k_accent * least(1::DOUBLE, dur_ms / 500) WHEN 'marcato' THEN 5 * k_marcato ELSE 0 END AS db,
-      -k_rubato * least(1.5::DOUBLE, pow(100 / 120, 2)) * CASE WHEN p < 0.6::DOUBLE THEN -0.1::DOUBLE + 0.2::DOUBLE * p / 0.6::DOUBLE ELSE 0.1::DOUBLE - 0.25::DOUBLE * (p - 0.6::DOUBLE) / 0.4::DOUBLE END * 250 - 0.1::DOUBLE * k_crescendo * hairpin * 500 AS own,
+      -k_rubato * least(1.5::DOUBLE, pow(100 / 120, 2)) * CASE WHEN p < 0.6::DOUBLE THEN -0.1::DOUBLE + 0.2::DOUBLE * p / 0.6::DOUBLE ELSE 0.1::DOUBLE - 0.25::DOUBLE * (p - 0.6::DOUBLE) / 0.4::DOUBLE END * 250 - 0.1::DOUBLE * k_crescendo * hairpin * 500 + CASE mark WHEN 'accent' THEN 20 * k_agogic + k_accent_delay WHEN 'tenuto' THEN 15 * k_articulation_tempo WHEN 'legato' THEN 5 * k_articulation_tempo ELSE 0 END - CASE WHEN top THEN 25 * k_chord_lead ELSE 0 END AS own,
       CASE WHEN onset_ms = ps AND phrase_id > 0 THEN 20 * k_punctuation ELSE 0 END AS step,
-      dur_ms * CASE WHEN onset_ms + dur_ms = pe THEN 1 - 0.15::DOUBLE * k_punctuation ELSE 1 END * CASE WHEN repeated THEN 1 - 0.1::DOUBLE * k_repetition ELSE 1 END * CASE mark WHEN 'staccato' THEN 1 - 0.25::DOUBLE * k_staccato WHEN 'legato' THEN 1 + least(30 * k_legato, 0.1::DOUBLE * dur_ms) / dur_ms
+      dur_ms * CASE WHEN has_fermata THEN 1 + k_fermata ELSE 1 END * CASE WHEN onset_ms + dur_ms = pe THEN 1 - 0.15::DOUBLE * k_punctuation ELSE 1 END * CASE WHEN repeated THEN 1 - 0.1::DOUBLE * k_repetition ELSE 1 END * CASE mark WHEN 'staccato' THEN 1 - 0.25::DOUBLE * k_staccato WHEN 'legato' THEN 1 + least(30 * k_legato, 0.1::DOUBLE * dur_ms) / dur_ms
         WHEN 'tenuto' THEN 1 + 0.05::DOUBLE * k_tenuto WHEN 'marcato' THEN 1 - 0.05::DOUBLE * k_marcato ELSE 1 END AS dur FROM d CROSS JOIN s),
     o AS (SELECT *, row_number() OVER (PARTITION BY preset, piece_id, onset_ms ORDER BY note_idx) AS nth FROM e)
     SELECT preset, piece_id, note_idx, round(db, 6) AS decibels, round(own + sum(CASE WHEN nth = 1 THEN step ELSE 0 END) OVER (PARTITION BY preset, piece_id ORDER BY onset_ms), 6) AS shift_ms, round(CASE WHEN dur < 50 THEN 50 ELSE dur END, 6) AS dur_ms FROM o""".join(("SELECT * FROM (", ")")))

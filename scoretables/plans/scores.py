@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scoretables.functions import tokens as T
@@ -207,6 +208,16 @@ def token_factors(kern):
     return kern.select("piece_id", "note_idx", F.array_join(T.factors(F.col("token")), " ").alias("parts"))
 
 
+# Marks after a note, and ties, keep two notes together; beams do not.
+@query("kern", sql="""WITH n AS (SELECT piece_id, note_idx, replace(replace(token, 'L', ''), 'J', '') AS a, lead(replace(replace(token, 'L', ''), 'J', '')) OVER (PARTITION BY piece_id ORDER BY note_idx) AS b, token FROM kern)
+    SELECT piece_id, note_idx, CASE WHEN NOT regexp_matches(a, '[A-Ga-gr#n-]$') OR b LIKE '[%' THEN concat(a, b) ELSE concat(a, ' ', b) END AS notes FROM n WHERE b IS NOT NULL""".join(("SELECT * FROM (", ")")))
+def joined_notes(kern):
+    """Every two notes written as one word, told apart again."""
+    after = F.lead("token").over(Window.partitionBy("piece_id").orderBy("note_idx"))
+    rows = kern.withColumn("after", after).where("after is not null")
+    return rows.select("piece_id", "note_idx", F.array_join(T.split_notes(F.concat("token", "after")), " ").alias("notes"))
+
+
 @query("lines", sql=r"SELECT doc_id, line_no, concat('=', line_no, chr(9), '=') AS line FROM lines WHERE kind = 'bar'")
 def plain_barlines(lines):
     marked = F.concat(F.lit("="), F.col("line_no").cast("string"), F.lit(":|!|:\t=!|"))
@@ -254,16 +265,31 @@ def _score(lines):
     return lines.select("doc_id", "line_no", line.alias("line"))
 
 
-_FIRST = {"meter": r"^\*M[0-9]", "key": r"^\*k\[", "split": r"^\*\^", "bar": "^=", "hint": "^!", "chord": "^[^*!=].* "}
+def _headed(lines):
+    """Header lines of all kinds, some twice, some indented, between numbered and plain barlines, splits and notes."""
+    i = (7 * F.col("line_no") + F.length("line")) % 13
+    n = F.col("line_no").cast("string")
+    kinds = [F.concat(F.lit("*M"), n, F.lit("/4\t*M3/4")), F.concat(F.lit("*k[f#]\t*"), n), F.concat(F.lit("*clefG2\t*"), n), F.concat(F.lit("*staff2\t*"), n), F.concat(F.lit("*Ipiano\t*"), n), F.concat(F.lit("*MM"), n), F.concat(F.lit("="), n, F.lit("\t=")), F.lit("=="),
+             F.lit("*^\t*"), F.lit("**kern"), F.concat(F.lit("  *clefF4\t*"), n), F.concat(F.lit("*MM"), n, F.lit("/2")), F.lit("4c\t*M9/8")]
+    text = kinds[-1]
+    for k, own in enumerate(kinds[:-1]):
+        text = F.when(i == k, own).otherwise(text)
+    return lines.select("doc_id", "line_no", text.alias("line"))
+
 
+_T = "chr(9)"
+_HEADED = f"""(SELECT doc_id, line_no, CASE (7 * line_no + length(line)) % 13 WHEN 0 THEN concat('*M', line_no, '/4', {_T}, '*M3/4') WHEN 1 THEN concat('*k[f#]', {_T}, '*', line_no) WHEN 2 THEN concat('*clefG2', {_T}, '*', line_no) WHEN 3 THEN concat('*staff2', {_T}, '*', line_no)
+    WHEN 4 THEN concat('*Ipiano', {_T}, '*', line_no) WHEN 5 THEN concat('*MM', line_no) WHEN 6 THEN concat('=', line_no, {_T}, '=') WHEN 7 THEN '==' WHEN 8 THEN concat('*^', {_T}, '*') WHEN 9 THEN '**kern' WHEN 10 THEN concat('  *clefF4', {_T}, '*', line_no) WHEN 11 THEN concat('*MM', line_no, '/2') ELSE concat('4c', {_T}, '*M9/8') END AS line FROM lines)"""
+_KINDS = {"key_sig": r"^\*k\[", "clef": r"^\*clef", "staff": r"^\*staff", "instrument": r"^\*I"}
 
-@query("lines", sql="SELECT doc_id, " + ", ".join(f"arg_min(line, line_no) FILTER (WHERE regexp_matches(line, '{p}')) AS first_{k}" for k, p in _FIRST.items()) + f", min(TRY_CAST(regexp_extract(line, '^=([0-9]+)', 1) AS BIGINT)) FILTER (WHERE line LIKE '=%') AS first_measure FROM {_SCORE} GROUP BY doc_id")
+
+# A tempo with a slash is taken for a meter where the document has had none yet.
+@query("lines", sql=f"""SELECT * FROM (WITH f AS (SELECT *, string_split(trim(line, concat(' ', chr(9), chr(10), chr(13))), {_T})[1] AS field FROM {_HEADED}), m AS (SELECT *, coalesce(count(*) FILTER (WHERE field LIKE '*M%/%') OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS meters FROM f)
+    SELECT doc_id, arg_min(line, line_no) FILTER (WHERE field LIKE '*M%/%') AS time_sig, """ + ", ".join(f"arg_min(line, line_no) FILTER (WHERE regexp_matches(field, '{p}')) AS {k}" for k, p in _KINDS.items()) + """, arg_min(line, line_no) FILTER (WHERE field LIKE '*MM%' AND (field NOT LIKE '%/%' OR meters > 0)) AS tempo,
+    arg_min(TRY_CAST(regexp_extract(field, '^=([0-9]+)', 1) AS BIGINT), line_no) FILTER (WHERE regexp_matches(field, '^=[0-9]')) AS first_measure FROM m GROUP BY doc_id)""")
 def score_metadata(lines):
-    """The first line of six kinds in every document, and its first measure number."""
-    rows = _score(lines)
-    found = S.header(rows, {f"first_{k}": F.col("line").rlike(p) for k, p in _FIRST.items()})
-    number = rows.where(F.col("line").startswith("=")).groupBy("doc_id").agg(F.min_by(F.regexp_extract("line", "^=([0-9]+)", 1).cast("long"), "line_no").alias("first_measure"))
-    return found.join(number, "doc_id", "left")
+    """Meter, key, clef, staff, instrument and tempo lines of every document, and its first measure number."""
+    return S.metadata(_headed(lines))
 
 
 _METERS = ", ".join(f"'{m}'" for m in K.METERS)
@@ -306,9 +332,9 @@ def carried_meter(lines):
 
 
 @query("tokens", sql="""SELECT doc_id, spine, line_no, dur, group_no, in_group FROM (SELECT *, rk // 3 AS group_no, CAST(rk % 3 AS INTEGER) AS in_group, ct // 3 AS n_groups FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, spine, island, dur ORDER BY line_no) - 1 AS rk, count(*) OVER (PARTITION BY doc_id, spine, island, dur) AS ct
-    FROM (SELECT *, count(*) FILTER (WHERE kind = 'bar' OR dur > 9) OVER (PARTITION BY doc_id, spine ORDER BY line_no) AS island FROM tokens WHERE spine < 4) WHERE dur IN (2, 3, 5) AND kind <> 'bar')) WHERE group_no < n_groups""")
+    FROM (SELECT *, count(*) FILTER (WHERE kind = 'bar' OR dur > 9) OVER (PARTITION BY doc_id, spine ORDER BY line_no) AS island FROM tokens) WHERE dur IN (2, 3, 5) AND kind <> 'bar')) WHERE group_no < n_groups""")
 def complete_tuplets(tokens):
-    found = K.complete_tuplets(tokens.where("spine < 4"), 3, F.col("dur").isin(2, 3, 5) & (F.col("kind") != "bar"), (F.col("kind") == "bar") | (F.col("dur") > 9))
+    found = K.complete_tuplets(tokens, 3, F.col("dur").isin(2, 3, 5) & (F.col("kind") != "bar"), (F.col("kind") == "bar") | (F.col("dur") > 9))
     return found.select("doc_id", "spine", "line_no", "dur", F.col("group_no").cast("long").alias("group_no"), F.col("in_group").cast("int").alias("in_group"))
 
 
@@ -374,6 +400,24 @@ def measure_map(lines):
     return R.measure_map(_order(lines), _sections(lines), lines)
 
 
+# Of every three documents one has fewer places in its map than measures, one more, and one has no map.
+@query("measures", sql="""WITH m AS (SELECT doc_id, m_idx, measure, count(*) OVER (PARTITION BY doc_id) AS n FROM measures), t AS (SELECT doc_id, m_idx AS pos, measure * 10 AS original, CASE WHEN m_idx % 2 = 0 THEN 'A' ELSE 'B' END AS section FROM m WHERE doc_id % 3 = 1 OR doc_id % 3 = 0 AND m_idx < n - 2)
+    SELECT m.doc_id, m.m_idx AS pos, m.measure, CASE WHEN m.doc_id % 3 = 2 OR h.doc_id IS NULL THEN m.measure ELSE t.original END AS padded, CASE WHEN m.doc_id % 3 = 2 OR h.doc_id IS NULL THEN m.measure ELSE coalesce(t.original, 10 * (h.last + m.measure - m.m_idx)) END AS inherited,
+      coalesce(t.section, '') AS section, coalesce(t.section, CASE WHEN h.last % 2 = 0 THEN 'A' WHEN h.last IS NOT NULL THEN 'B' ELSE '' END) AS inherited_section
+    FROM m LEFT JOIN t ON t.doc_id = m.doc_id AND t.pos = m.m_idx LEFT JOIN (SELECT doc_id, max(pos) AS last FROM t GROUP BY doc_id) h ON h.doc_id = m.doc_id""".join(("SELECT * FROM (", ")")))
+def aligned_measures(measures):
+    """Measures of the expanded scores with where they come from, place by place."""
+    n = F.count("*").over(Window.partitionBy("doc_id"))
+    i = F.col("doc_id") % 3
+    rows = measures.withColumn("n", n)
+    beyond = rows.where((i == 1) & (F.col("m_idx") == F.col("n") - 1)).withColumns({"m_idx": F.col("n"), "measure": F.col("measure") + 1})
+    kept = rows.where((i == 1) | ((i == 0) & (F.col("m_idx") < F.col("n") - 2))).unionByName(beyond)
+    order = kept.select("doc_id", F.col("m_idx").alias("pos"), (F.col("measure") * 10).alias("original"), F.when(F.col("m_idx") % 2 == 0, "A").otherwise("B").alias("section"))
+    own = measures.select("doc_id", F.col("m_idx").alias("pos"), "measure")
+    padded, inherited = R.aligned(order, own), R.aligned(order, own, inherit=True)
+    return padded.withColumnRenamed("original", "padded").join(inherited.select("doc_id", "pos", F.col("original").alias("inherited"), F.col("section").alias("inherited_section")), ["doc_id", "pos"])
+
+
 @query("lines", sql="SELECT doc_id, order_pos::INTEGER AS order_pos, section, CASE section WHEN 'B1' THEN 'first' WHEN 'B2' THEN 'second' END AS ending FROM (" + _ORDER + ")")
 def section_endings(lines):
     return R.endings(_order(lines)).select("doc_id", "order_pos", "section", "ending")

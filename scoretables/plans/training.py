@@ -154,6 +154,15 @@ def prediction_lookup(pages):
     return P.ranked_lookup(wanted, files, [(both, both), (one, one)])
 
 
+@query("pages", sql="""WITH w AS (SELECT DISTINCT substr(url, 9 + page_id % 5, 1 + page_id % 9) AS wanted FROM pages WHERE page_id % 4 = 0 AND length(url) > 20), f AS (SELECT url AS path FROM pages WHERE page_id % 3 <> 0 AND url IS NOT NULL)
+    SELECT w.wanted, min(f.path) AS path FROM w LEFT JOIN f ON contains(f.path, w.wanted) GROUP BY w.wanted""".join(("SELECT * FROM (", ")")))
+def path_search(pages):
+    """The first path that contains each of many pieces of names."""
+    piece = F.substr("url", (9 + F.col("page_id") % 5).cast("int"), (1 + F.col("page_id") % 9).cast("int"))
+    wanted = pages.where("page_id % 4 = 0 and length(url) > 20").select(piece.alias("wanted")).distinct()
+    return P.containing(wanted, pages.where("page_id % 3 <> 0 and url is not null").select(F.col("url").alias("path")))
+
+
 @query("manifest", sql="SELECT stem, CAST(1 AS INTEGER) AS j, split_part(stem, '_', 1) AS \"left\", split_part(stem, '_', 2) AS \"right\" FROM manifest")
 def split_points(manifest):
     return P.split_points(manifest.select("stem"), "stem").select("stem", "j", "left", "right")
@@ -313,9 +322,9 @@ def guidance_measures(tokens):
     return tokens.withColumn("m_idx", F.least(bars, F.lit(2)).cast("long")).where("kind = 'data'").select("doc_id", "line_no", "spine", "m_idx")
 
 
-@query("manifest")
+@query("manifest", sql="SELECT stem, n_frames, CAST(power AS BIGINT) AS power FROM (SELECT *, doc_id % 300 + 1 AS d FROM manifest ORDER BY md5(concat(stem, '|0')), stem LIMIT 100) JOIN (SELECT d, arg_min(p, {'c': abs(p - d) * (128 // p), 'p': p}) AS power FROM (SELECT unnest(range(1, 301)) AS d) CROSS JOIN (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128]) AS p) GROUP BY d) USING (d)")
 def audit_sample(manifest):
-    """A fixed sample for an audit; rows-only."""
+    """A fixed sample for an audit, each with the plain duration nearest to a number."""
     return P.sampled(manifest, "stem", 100).select("stem", "n_frames", T.nearest_power(F.col("doc_id") % 300 + 1).alias("power"))
 
 
