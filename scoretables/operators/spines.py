@@ -1,53 +1,69 @@
 """Spine state: which column of a score line belongs to which spine, through splits, joins and ends, and where cues are.
 
-The state runs from line to line of a document, so a document is a group of ``applyInPandas``. Only documents that
-have such lines come here; all others have their columns as spines.
+Only lines that change the state pass through Python, a document's at a time; all others look up the state that the last
+of these left. Documents without such lines have their columns as spines.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoretables.functions import tokens as T
 
 OPERATORS = ("*^", "*v", "*-", "*+", "*cue", "*Xcue")
-_COLUMNS = "doc_id long, line_no long, column long, spine long, token string, cue boolean"
 
 
-def _fitted(states: list[tuple[int, bool]] | None, n: int) -> list[tuple[int, bool]]:
-    """The state of ``n`` columns: new ones at the start, cut or with the last one repeated where a line is of another width."""
-    if states is None:
-        return [(i, False) for i in range(n)]
-    return [*states, *[states[-1] if states else (0, False)] * n][:n]
+def _state(spines: list[int] | None, cues: list[bool], least: float, width: int) -> list[tuple[int, bool]]:
+    """The state of ``width`` columns, of which only the first ``least`` are told apart; the last of these is repeated."""
+    if spines is None:
+        return [(int(min(c, least - 1)), False) for c in range(width)]
+    if not spines:
+        return [(0, False)] * width
+    at = [int(min(c, least - 1, len(spines) - 1)) for c in range(width)]
+    return [(spines[i], cues[i]) for i in at]
 
 
-def _scan(rows: pd.DataFrame) -> pd.DataFrame:
-    out, states = [], None
-    for doc, line, fields in rows.sort_values("line_no")[["doc_id", "line_no", "fields"]].itertuples(index=False):
-        states = _fitted(states, len(fields))
-        out += [(doc, line, column, spine, field, cue) for column, ((spine, cue), field) in enumerate(zip(states, fields, strict=True))]
+def _after(rows: pd.DataFrame) -> pd.DataFrame:
+    out: list[tuple] = []
+    spines: list[int] | None = None
+    cues: list[bool] = []
+    for doc, turn, least, fields in rows.sort_values("turn")[["doc_id", "turn", "least", "fields"]].itertuples(index=False):
         following: list[tuple[int, bool]] = []
         joining = False
-        for (spine, cue), field in zip(states, fields, strict=True):
+        for (spine, cue), field in zip(_state(spines, cues, float("inf") if pd.isna(least) else least, len(fields)), fields, strict=True):
             if field == "*v" and joining:
                 continue
             joining = field == "*v"
             state = (spine, field == "*cue" or (cue and field != "*Xcue"))
             following += [] if field == "*-" else [state, state] if field == "*^" else [state]
-        states = following
-    return pd.DataFrame(out, columns=["doc_id", "line_no", "column", "spine", "token", "cue"])
+        spines, cues = [s for s, _ in following], [c for _, c in following]
+        out.append((doc, turn + 1, spines, cues))
+    return pd.DataFrame(out, columns=["doc_id", "turn", "spines", "cues"])
 
 
 def assigned(lines: DataFrame) -> DataFrame:
-    """``lines``: doc_id, line_no, fields (array). Per field its ``column``, ``spine``, ``token`` and whether it is in a ``cue``."""
-    moves = F.exists("fields", lambda x: x.isin(*OPERATORS))
-    busy = lines.where(moves).select("doc_id").distinct()
-    plain = lines.join(busy, "doc_id", "left_anti").select("doc_id", "line_no", F.posexplode("fields").alias("column", "token"))
+    """``lines``: doc_id, line_no, fields (array). Per field its ``column``, ``spine``, ``token`` and whether it is in a ``cue``.
+
+    A line with fewer columns than the state cuts it; in one with more the last state is repeated. So of the columns only
+    as many are told apart as every line since the last change has had.
+    """
+    lines = lines.select("doc_id", "line_no", "fields", F.exists("fields", lambda x: x.isin(*OPERATORS)).alias("moves"))
+    busy = lines.where("moves").select("doc_id").distinct()
+    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines.join(busy, "doc_id", "left_semi").withColumn("turn", F.coalesce(F.count_if("moves").over(before), F.lit(0)))
+    since = Window.partitionBy("doc_id", "turn").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("least", F.min(F.size("fields")).over(since))
+    kind = lines.schema["doc_id"].dataType.simpleString()
+    after = rows.where("moves").groupBy("doc_id").applyInPandas(_after, f"doc_id {kind}, turn long, spines array<long>, cues array<boolean>")
+    known = rows.join(after, ["doc_id", "turn"], "left").select("doc_id", "line_no", "least", "spines", "cues", F.posexplode("fields").alias("column", "token"))
+    at = F.least(F.col("column"), F.coalesce(F.col("least"), F.lit(1 << 30)) - 1, F.coalesce(F.size("spines") - 1, F.lit(1 << 30)))
+    spine = F.when(F.col("spines").isNull(), at.cast("long")).otherwise(F.coalesce(F.get("spines", at), F.lit(0)))
     column = F.col("column").cast("long")
-    scanned = lines.join(busy, "doc_id", "left_semi").groupBy("doc_id").applyInPandas(_scan, _COLUMNS)
-    return plain.select("doc_id", "line_no", column.alias("column"), column.alias("spine"), "token", F.lit(False).alias("cue")).unionByName(scanned)
+    known = known.select("doc_id", "line_no", column.alias("column"), spine.alias("spine"), "token", F.coalesce(F.get("cues", at), F.lit(False)).alias("cue"))
+    plain = lines.join(busy, "doc_id", "left_anti").select("doc_id", "line_no", F.posexplode("fields").alias("column", "token"))
+    return known.unionByName(plain.select("doc_id", "line_no", column.alias("column"), column.alias("spine"), "token", F.lit(False).alias("cue")))
 
 
 def without_cues(lines: DataFrame) -> DataFrame:

@@ -222,3 +222,29 @@ def test_rescaled_regions_reflow(spark):
         start = next(i for i, x in enumerate(found[d]) if x == lines[inside[0] - 1]) + 1
         printed = [x for x in found[d][start:] if x[0] not in "*!="][: len({t for t, _ in onsets})]
         assert [[k for k, token in enumerate(x.split("\t")) if token != "."] for x in printed] == [[k for s, k in onsets if s == t] for t in sorted({t for t, _ in onsets})]
+
+
+def test_columns_of_lines_of_any_width(spark):
+    """Spines and cues by a loop that keeps the state of every line, also where lines are wider or narrower than it."""
+    from scoretables.operators import spines
+
+    rng = random.Random(4)
+    lines, want = [], {}
+    for doc in range(8):
+        state = None
+        for n in range(50):
+            row = [rng.choice(["4c"] * 12 + ["*^", "*v", "*v", "*-", "*cue", "*Xcue", "*"] * (rng.random() < 0.3)) for _ in range(rng.randint(1, 5))]
+            lines.append((doc, n, row))
+            state = [(i, False) for i in range(len(row))] if state is None else [*state, *[state[-1] if state else (0, False)] * len(row)][: len(row)]
+            want |= {(doc, n, c): s for c, s in enumerate(state)}
+            following, joining = [], False
+            for (spine, cue), field in zip(state, row, strict=True):
+                if field == "*v" and joining:
+                    continue
+                joining = field == "*v"
+                own = (spine, field == "*cue" or cue and field != "*Xcue")
+                following += [] if field == "*-" else [own, own] if field == "*^" else [own]
+            state = following
+    busy = {d for d, _, row in lines if set(row) & set(spines.OPERATORS)}
+    found = {(r.doc_id, r.line_no, r.column): (r.spine, r.cue) for r in spines.assigned(spark.createDataFrame(lines, "doc_id long, line_no long, fields array<string>")).collect()}
+    assert found == {k: s if k[0] in busy else (k[2], False) for k, s in want.items()}
