@@ -15,6 +15,10 @@ JOINT, PITCHED = r"(?<=[A-Ga-gr#\-n])(?=[0-9])", "[A-Ga-gr]"
 REST_POSITION = r"([0-9]+\.*r)[A-Ga-gy]+"
 NATURAL = "([A-Ga-g])n(?=[^A-Ga-g]|$)"
 NATURAL_SHARP, NATURAL_FLAT = "n#|#n", "n-|-n"
+#: A duration after opening marks, one written with a ratio, a clef with editorial marks, the order of sections.
+DURATION, RATIO, CLEF, SECTIONS = r"^[\[({]*([0-9]+\.?)", "[0-9]+%[0-9]+", r"([FGC][0-9])[xy]+$", r"\*>\[([^\]]+)\]"
+#: Comments about what is shown only; a cue's opening marks and its length.
+SHOWN, CUE_OPENING, CUE_LENGTH = (":vis=", ":stem="), r"^[\[({<>]+", r"^([0-9]+\.?(?:%[0-9]+)?)"
 #: Semitones of each letter.
 SEMITONES = {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}
 #: Double accidentals and their plain equals: letters first, then the accidental that is left.
@@ -178,7 +182,7 @@ def plain_barline(line: Column) -> Column:
 
 def expansion_order(text: Column) -> Column:
     """Section names in playback order, or null."""
-    inside = F.regexp_extract(text, r"\*>\[([^\]]+)\]", 1)
+    inside = F.regexp_extract(text, SECTIONS, 1)
     return F.when(inside != "", F.transform(F.split(inside, ","), lambda x: F.trim(x)))
 
 
@@ -190,8 +194,8 @@ def key_name(signature: Column) -> Column:
 
 def cue_rest(token: Column) -> Column:
     """A cue note as a rest of its duration (of a chord its first note's); grace notes as grace rests."""
-    first = F.regexp_replace(F.get(F.split(token, " +"), F.lit(0)), r"^[\[({<>]+", "")
-    duration = F.regexp_extract(first, r"^([0-9]+\.?(?:%[0-9]+)?)", 1)
+    first = F.regexp_replace(F.get(F.split(token, " +"), F.lit(0)), CUE_OPENING, "")
+    duration = F.regexp_extract(first, CUE_LENGTH, 1)
     after = F.substr(first, F.length(duration) + 1)
     rest = F.concat(duration, F.when(F.lower(after).contains("q"), F.lit("qr")).otherwise(F.lit("r")))
     return F.when(F.coalesce(token, F.lit("")).isin("", ".") | (duration == ""), token).otherwise(rest)
@@ -199,8 +203,8 @@ def cue_rest(token: Column) -> Column:
 
 def clean_control(token: Column) -> Column:
     """Clefs without editorial marks; comments on visible length or stem direction emptied; other tokens as they are."""
-    clef = F.regexp_replace(token, r"([FGC][0-9])[xy]+$", "$1")
-    hint = token.startswith("!") & (token.contains(":vis=") | token.contains(":stem="))
+    clef = F.regexp_replace(token, CLEF, "$1")
+    hint = token.startswith("!") & (token.contains(SHOWN[0]) | token.contains(SHOWN[1]))
     return F.when(hint, "!").when(token.startswith("*clef"), clef).otherwise(token)
 
 

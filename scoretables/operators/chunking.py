@@ -78,6 +78,19 @@ def measures_in(chunks: DataFrame, measures: DataFrame, width: int = 10_000) ->
     return met.groupBy("doc_id", "chunk_idx").agg(F.min("m_idx").alias("first_m"), F.max("m_idx").alias("last_m"))
 
 
+def chunk_tokens(chunks: DataFrame, measures: DataFrame, tokens: DataFrame, width: int = 10_000) -> DataFrame:
+    """Chunks [start, end) with ``n_tokens``: those of all lines of the measures that they overlap. Sums up to each measure
+    are made once, so a chunk looks up two of them."""
+    per_line = tokens.groupBy("doc_id", "line_no").agg(F.count("*").alias("n"))
+    own = measures.withColumn("line_no", F.explode(F.sequence("line_start", "line_end"))).join(per_line, ["doc_id", "line_no"], "left").groupBy("doc_id", "m_idx").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("doc_id").orderBy("m_idx"))
+    sums = own.select("doc_id", "m_idx", (upto - F.col("n")).alias("before"), upto.alias("upto"))
+    met = measures_in(chunks, measures, width)
+    first, last = sums.select("doc_id", F.col("m_idx").alias("first_m"), "before"), sums.select("doc_id", F.col("m_idx").alias("last_m"), "upto")
+    found = met.join(first, ["doc_id", "first_m"]).join(last, ["doc_id", "last_m"]).select("doc_id", "chunk_idx", (F.col("upto") - F.col("before")).alias("n_tokens"))
+    return chunks.join(found, ["doc_id", "chunk_idx"], "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
+
+
 def window_lines(windows: DataFrame, measures: DataFrame) -> DataFrame:
     """Line range of each window by measure number; of measures with one number the last counts; else no row."""
     last = measures.groupBy("doc_id", "measure").agg(F.max_by(F.struct("line_start", "line_end"), "m_idx").alias("at"))

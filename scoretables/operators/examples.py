@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoretables.functions import tokens as T
+
 # By notes of a complete group, its durations and the plain durations that take their place.
 TUPLETS = {
     5: {5: 6, 10: 12, 80: 96, 160: 96},
@@ -97,7 +99,7 @@ def dotted_pairs(tokens: DataFrame) -> DataFrame:
 
 def has_ratio(text: Column) -> Column:
     """Whether a token is written with a ratio (``X%Y``), which the vocabulary has no name for."""
-    return text.rlike("[0-9]+%[0-9]+")
+    return text.rlike(T.RATIO)
 
 
 def ratio(text: Column) -> Column:

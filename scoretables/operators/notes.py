@@ -165,6 +165,32 @@ def pedal_events(changes: DataFrame, lift_ms: int = 30, press_ms: int = 20) -> D
     return rows.select("piece_id", F.explode(events).alias("e")).select("piece_id", "e.at_ms", "e.event")
 
 
+def pedalling(notes: DataFrame, changes: DataFrame, measure_ms: int = 2000, below: int = 48, lift_ms: int = 30, press_ms: int = 20, beat_ms: float = 500.0) -> DataFrame:
+    """All pedal events of each piece: ``at_ms`` and ``depth``, 0 for a lift.
+
+    The pedal is lifted before and pressed after each change (``onset_ms``), deeper where the notes up to the next change
+    are louder. Measures whose notes are all at or above ``below`` begin with a change at which it is lifted, if it is
+    down, and not pressed; so do changes inside them. It is lifted at the end of the last note.
+    """
+    measure = lambda t: F.floor(t / measure_ms)
+    high = notes.groupBy("piece_id", measure(F.col("onset_ms")).alias("measure")).agg(F.min("pitch").alias("lowest")).where(F.col("lowest") >= below).select("piece_id", "measure")
+    begins = high.join(changes.select("piece_id").distinct(), "piece_id", "left_semi").select("piece_id", (F.col("measure") * measure_ms).alias("onset_ms"))
+    points = changes.select("piece_id", "onset_ms").unionByName(begins).distinct()
+    order = Window.partitionBy("piece_id").orderBy("onset_ms")
+    regions = points.withColumn("region", F.row_number().over(order).cast("long"))
+    loud = region_velocities(notes, points)
+    # Notes before the first change count for it.
+    loud = loud.groupBy("piece_id", F.greatest("region", F.lit(1)).cast("long").alias("region")).agg((F.sum(F.col("velocity") * F.col("n")) / F.sum("n")).alias("velocity"))
+    rows = regions.join(loud, ["piece_id", "region"], "left").withColumn("measure", measure(F.col("onset_ms"))).join(high.withColumn("no_bass", F.lit(True)), ["piece_id", "measure"], "left")
+    rows = rows.withColumn("no_bass", F.coalesce("no_bass", F.lit(False))).withColumn("is_down", F.coalesce(F.lag(~F.col("no_bass")).over(order), F.lit(False)))
+    event = lambda t, depth: F.struct(t.cast("long").alias("at_ms"), depth.cast("int").alias("depth"))
+    up = event(F.greatest(F.lit(0).cast("long"), F.col("onset_ms") - lift_ms), F.lit(0))
+    down = event(F.col("onset_ms") + press_ms, pedal_depth(F.coalesce("velocity", F.lit(80.0)), F.lit(beat_ms)))
+    events = F.array_compact(F.array(F.when(F.col("is_down"), up), F.when(~F.col("no_bass"), down)))
+    end = notes.join(changes.select("piece_id").distinct(), "piece_id", "left_semi").groupBy("piece_id").agg(F.max_by(F.col("onset_ms") + F.col("dur_ms"), F.struct("onset_ms", "note_idx")).cast("long").alias("at_ms"))
+    return rows.select("piece_id", F.explode(events).alias("e")).select("piece_id", "e.at_ms", "e.depth").unionByName(end.select("piece_id", "at_ms", F.lit(0).alias("depth")))
+
+
 def trills(notes: DataFrame, note_ms: int = 100, interval: int = 2) -> DataFrame:
     """Alternating notes that fill each note: ceil((dur - half) / length) of them, from the written pitch."""
     n = F.greatest(F.lit(1), F.ceil((F.col("dur_ms") - note_ms / 2) / note_ms)).cast("int")

@@ -93,8 +93,8 @@ def _positions(line: DataFrame) -> DataFrame:
 
 def unknown_durations(tokens: DataFrame) -> DataFrame:
     """Counts of durations that the vocabulary lacks, most frequent first, of tokens that are no ratios (``X%Y``)."""
-    duration = F.regexp_extract("token", r"^[\[({]*([0-9]+\.?)", 1)
-    rows = tokens.where(~F.col("token").rlike("[0-9]+%[0-9]+") & ~T.is_control(F.col("token"))).select(duration.alias("duration"))
+    duration = F.regexp_extract("token", T.DURATION, 1)
+    rows = tokens.where(~F.col("token").rlike(T.RATIO) & ~T.is_control(F.col("token"))).select(duration.alias("duration"))
     return rows.where((F.col("duration") != "") & ~F.col("duration").isin(*DURATIONS)).groupBy("duration").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "duration")
 
 

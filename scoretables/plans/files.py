@@ -227,7 +227,7 @@ def name_list(spark, d):
 
 query.queries |= {f.__name__: f for f in (vocabulary, unknown_tokens, encoded_documents, round_trip_summary, text_folder, name_list)}
 query.sql |= {
-    "round_trip_summary": duckdb("kern", then=f"SELECT count(*) AS n, count(*) FILTER (WHERE known) AS n_known, count(*) FILTER (WHERE known) AS n_same FROM (SELECT p.doc_id, bool_and(v.id IS NOT NULL) AS known FROM {_PARTS} p LEFT JOIN {_VOCABULARY} v USING (token) GROUP BY p.doc_id)"),
+    "round_trip_summary": duckdb("kern", then=f"SELECT count(*) AS n, count(*) FILTER (WHERE known) AS n_known, count(*) FILTER (WHERE same) AS n_same FROM (SELECT p.doc_id, bool_and(v.id IS NOT NULL) AS known, bool_and(coalesce(b.token = p.token, false)) AS same FROM {_PARTS} p LEFT JOIN {_VOCABULARY} v USING (token) LEFT JOIN {_VOCABULARY} b ON b.id = v.id GROUP BY p.doc_id)"),
     "text_folder": "SELECT source, count(*) AS n_lines, count(*) FILTER (WHERE NOT regexp_matches(line, '^[=*!]')) AS n_data, max(length(line)) AS longest FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) GROUP BY source",
     "name_list": duckdb("manifest", then="SELECT stem FROM manifest WHERE doc_id % 11 <> 0"),
     "vocabulary": duckdb("kern", then=f"SELECT v.token, v.id, v.kind, coalesce(n, 0) AS n FROM {_VOCABULARY} v LEFT JOIN (SELECT token, count(*) AS n FROM {_PARTS} GROUP BY token) c USING (token)"),

@@ -142,6 +142,20 @@ def pedal_plan(notes):
     return N.pedal_events(N.thinned(N.harmony_changes(N.buckets(notes)).select("piece_id", "onset_ms")))
 
 
+# Notes are first moved up by two octaves in every third measure, so that some have no bass.
+@query("notes", sql=f"""SELECT * FROM (WITH RECURSIVE moved AS (SELECT * REPLACE (CASE WHEN onset_ms // 2000 % 3 = 1 THEN pitch + 24 ELSE pitch END AS pitch) FROM notes), {_thinned(_CHANGES.replace('FROM notes', 'FROM moved'), 150)},
+    high AS (SELECT piece_id, onset_ms // 2000 AS m FROM moved GROUP BY ALL HAVING min(pitch) >= 48), p AS (SELECT DISTINCT piece_id, onset_ms AS t FROM kept UNION SELECT piece_id, m * 2000 FROM high),
+    r AS (SELECT p.*, row_number() OVER w AS region, lead(t) OVER w AS after, h.m IS NOT NULL AS no_bass FROM p LEFT JOIN high h ON h.piece_id = p.piece_id AND h.m = p.t // 2000 WINDOW w AS (PARTITION BY p.piece_id ORDER BY t)),
+    v AS (SELECT r.*, coalesce(lag(NOT no_bass) OVER (PARTITION BY r.piece_id ORDER BY t), false) AS is_down, coalesce(a.v, 80) AS v FROM r LEFT JOIN (SELECT r.piece_id, r.region, avg(n.velocity) AS v FROM r JOIN moved n ON n.piece_id = r.piece_id AND (n.onset_ms >= r.t OR r.region = 1) AND (n.onset_ms < r.after OR r.after IS NULL) GROUP BY ALL) a ON a.piece_id = r.piece_id AND a.region = r.region)
+    SELECT piece_id, greatest(0, t - 30) AS at_ms, 0 AS depth FROM v WHERE is_down
+    UNION ALL SELECT piece_id, t + 20, CAST(greatest(40, least(127, floor(50 + greatest(0::DOUBLE, least(1::DOUBLE, (v - 40) / 70)) * least(1::DOUBLE, 500::DOUBLE / 750) * 60 + 1e-9::DOUBLE))) AS INTEGER) FROM v WHERE NOT no_bass
+    UNION ALL SELECT piece_id, arg_max(onset_ms + dur_ms, {{'o': onset_ms, 'i': note_idx}}), 0 FROM moved GROUP BY piece_id)""")
+def pedalling(notes):
+    """Pedal events at all changes, with depth by loudness and none in measures without a bass."""
+    moved = notes.withColumn("pitch", F.when(F.floor(F.col("onset_ms") / 2000) % 3 == 1, F.col("pitch") + 24).otherwise(F.col("pitch")))
+    return N.pedalling(moved, N.thinned(N.harmony_changes(N.buckets(moved)).select("piece_id", "onset_ms")))
+
+
 @query("notes", sql="SELECT piece_id, note_idx, k, onset_ms + k * 100 AS onset_ms, pitch + CASE WHEN k % 2 = 1 THEN 2 ELSE 0 END AS pitch FROM (SELECT *, CAST(unnest(range(0, greatest(1, ceil((dur_ms - 50) / 100)::BIGINT))) AS INTEGER) AS k FROM notes WHERE has_fermata)")
 def trill_notes(notes):
     return N.trills(notes.where("has_fermata"))

@@ -204,12 +204,14 @@ def chunk_measures(manifest, measures):
 _DENSE = _CHUNKS.format(c=24000, s=12000, m=12000)
 
 
-@query("manifest", sql=f"""WITH c AS (SELECT *, (doc_id * 7 + chunk_idx * 13) % 100 AS n_tokens FROM {_DENSE}), d AS (SELECT doc_id, chunk_idx, start_frame, end_frame - start_frame AS n, unnest(range(0, (end_frame - start_frame) // 6000 + 1)) AS k FROM c WHERE n_tokens > 60)
-    SELECT doc_id, chunk_idx, 0::BIGINT AS part, start_frame, end_frame FROM c WHERE n_tokens <= 60 UNION ALL SELECT doc_id, chunk_idx, k, start_frame + k * 6000, start_frame + least(k * 6000 + 12000, n) FROM d WHERE k * 6000 + 6000 <= n AND (k = 0 OR (k - 1) * 6000 + 12000 < n)""".join(("SELECT * FROM (", ")")))
-def dense_chunks(manifest):
-    """Chunks over the token budget cut into shorter ones; here every chunk's number of tokens follows from its keys."""
-    chunks = C.frame_chunks(manifest).select("doc_id", "chunk_idx", "start_frame", "end_frame", ((F.col("doc_id") * 7 + F.col("chunk_idx") * 13) % 100).alias("n_tokens"))
-    return C.with_dense_split(chunks, 60).select("doc_id", "chunk_idx", "part", "start_frame", "end_frame")
+@query("manifest", "measures", "tokens", sql=f"""SELECT * FROM (WITH l AS (SELECT doc_id, line_no, count(*) AS n FROM tokens GROUP BY ALL), c AS (SELECT c.doc_id, c.chunk_idx, c.start_frame, c.end_frame, coalesce(sum(l.n), 0) AS n_tokens
+      FROM {_DENSE} c LEFT JOIN measures m ON m.doc_id = c.doc_id AND m.end_ms > c.start_frame // 10 AND m.start_ms < c.end_frame // 10 LEFT JOIN l ON l.doc_id = m.doc_id AND l.line_no = m.line_start GROUP BY ALL),
+    d AS (SELECT doc_id, chunk_idx, start_frame, end_frame - start_frame AS n, unnest(range(0, (end_frame - start_frame) // 6000 + 1)) AS k FROM c WHERE n_tokens > 360)
+    SELECT doc_id, chunk_idx, 0::BIGINT AS part, start_frame, end_frame FROM c WHERE n_tokens <= 360 UNION ALL SELECT doc_id, chunk_idx, k, start_frame + k * 6000, start_frame + least(k * 6000 + 12000, n) FROM d WHERE k * 6000 + 6000 <= n AND (k = 0 OR (k - 1) * 6000 + 12000 < n))""")
+def dense_chunks(manifest, measures, tokens):
+    """Chunks with more tokens in their measures than the budget, cut into shorter ones."""
+    chunks = C.frame_chunks(manifest).select("doc_id", "chunk_idx", "start_frame", "end_frame").withColumns({"start": F.floor(F.col("start_frame") / 10), "end": F.floor(F.col("end_frame") / 10)})
+    return C.with_dense_split(C.chunk_tokens(chunks, measures, tokens, 1000), 360).select("doc_id", "chunk_idx", "part", "start_frame", "end_frame")
 
 
 @query("measures", "tokens", sql="""SELECT doc_id, chunk_idx, coalesce(bool_or(has_oov), false) AS has_oov FROM (SELECT doc_id, m_idx // 3 AS chunk_idx, line_start AS line_no FROM measures) JOIN (SELECT doc_id, line_no, bool_or(dur > 14) AS has_oov FROM tokens GROUP BY ALL) USING (doc_id, line_no) GROUP BY ALL""")
