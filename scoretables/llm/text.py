@@ -27,6 +27,9 @@ ALNUM = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 #: Everything but blank, tab, line feed, vertical tab, form feed and carriage return.
 NON_SPACE = ~byte_class((0x20, 0x20), (0x09, 0x0D))
 
+#: Bytes whose words are hashed at a time, about: sums and powers take some 30 bytes for each.
+PIECE = 1 << 20
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
@@ -95,13 +98,19 @@ class Words:
         self.starts = np.flatnonzero(first)
         self.ends = np.flatnonzero(last) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
-        self._sums: np.ndarray | None = None
 
     def hashes(self, first: int | None = None) -> np.ndarray:
-        """A 64-bit hash of each word, or of its ``first`` bytes."""
-        if self._sums is None:
-            self._sums = prefix_sums(self.data)
-        return span_hashes(self._sums, self.starts, self.ends if first is None else np.minimum(self.ends, self.starts + first))
+        """A 64-bit hash of each word, or of its ``first`` bytes; a piece of the words at a time."""
+        ends = self.ends if first is None else np.minimum(self.ends, self.starts + first)
+        out = np.empty(len(self.starts), np.uint64)
+        at = 0
+        while at < len(out):
+            base = self.starts[at]
+            to = max(at + 1, int(np.searchsorted(self.ends, base + PIECE, "right")))
+            part = slice(at, to)
+            out[part] = span_hashes(prefix_sums(self.data[base : self.ends[to - 1]]), self.starts[part] - base, ends[part] - base)
+            at = to
+        return out
 
     def rows(self) -> np.ndarray:
         """The row of each word."""

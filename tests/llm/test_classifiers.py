@@ -239,6 +239,23 @@ def test_toxicity_scores_against_loops():
     assert (again.ids == texts.ids).all() and (again.bounds == texts.bounds).all()
 
 
+def test_maxima_run_on_from_piece_to_piece(monkeypatch):
+    rng = np.random.default_rng(5)
+    bodies = [" ".join(rng.choice([f"w{i}" for i in range(50)], n)) for n in (1, 40, 0, 7, 200, 3)]
+    net, texts = toxicity.Network(), toxicity.Texts.of(pa.array(bodies))
+    whole = net.maxima(texts.ids, texts.bounds[:-1])[-1]
+    for piece in (1, 2, 3, 16, 57, 10_000):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        assert np.allclose(net.tops(texts.ids, texts.bounds[:-1]), whole, atol=1e-5)
+
+
+def test_stretched_scores_keep_their_order():
+    raw = np.linspace(0, 1, 201)
+    for low, cut, high in ((0.2, 0.3, 0.6), (0.2, 0.2, 0.6), (0.2, 0.6, 0.6), (0.4, 0.4, 0.4), (1e-6, 1e-6, 1 - 1e-6)):
+        got = toxicity.stretched(raw, low, np.full(201, cut), high)
+        assert (np.diff(got) >= 0).all() and got[0] >= 0 and got[-1] <= 1 and ((got >= 0.5) == (raw >= cut)).all()
+
+
 def test_toxicity_gradients_match_differences():
     rng = np.random.default_rng(1)
     texts = toxicity.Texts.of(pa.array([" ".join(rng.choice(["aa", "bb", "cc", "dd"], 40)), "aa", ""]))

@@ -31,6 +31,16 @@ def test_sliced_arrays_and_starts_of_words():
     assert starts[0] == starts[2] != starts[1]
 
 
+def test_hashes_are_the_same_in_pieces(monkeypatch):
+    column = pa.array(["a bb ccc dddd", None, "e" * 50 + " f", "", "a ccc"])
+    found = text.Words(column, text.ALNUM)
+    whole, starts = found.hashes().tolist(), found.hashes(3).tolist()
+    for piece in (1, 4, 7, 60):
+        monkeypatch.setattr(text, "PIECE", piece)
+        assert found.hashes().tolist() == whole and found.hashes(3).tolist() == starts
+    assert text.Words(pa.array([""]), text.ALNUM).hashes().tolist() == []
+
+
 def test_shingles_of_short_sequences():
     h = np.array([1, 2, 3], np.uint64)
     assert len(text.shingle_hashes(h, 2)) == 2 and len(text.shingle_hashes(h, 5)) == 1 and len(text.shingle_hashes(h[:0], 2)) == 0
