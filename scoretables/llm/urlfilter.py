@@ -23,8 +23,6 @@ LISTED_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com")
 WORDS, HASHES, BITS_PER_URL = 8, 6, 12
 #: 2^17 blocks of 64 bytes: 8 MB. A longer list makes more false positives, which the exact join removes.
 MAX_BLOCKS = 1 << 17
-#: Parts of each listed url in the exact join, so that a url with very many pages is spread over as many tasks.
-SALTS = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -90,10 +88,9 @@ def judged(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col
     for i in range(WORDS):
         passes = passes & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(F.col("masks")[i]) == F.col("masks")[i])
     probed = probed.select("id", "host", "path", "found", F.when(passes & F.col("canonical").isNotNull(), F.col("canonical")).alias("canonical"))
-    salted = exact.select("canonical", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("listed"))
-    # Rows that did not pass have no canonical url; they are spread by id, and match nothing.
-    probed = probed.withColumn("key", F.coalesce("canonical", F.concat(F.lit("\n"), F.coalesce(F.col("id").cast("string"), F.lit(""))))).withColumn("salt", F.pmod(F.xxhash64("id", "path"), F.lit(SALTS)).cast("int"))
-    out = probed.join(salted.withColumnRenamed("canonical", "key"), ["key", "salt"], "left")
+    # Only possible hits meet the list. A url with very many pages is split by the adaptive skew join.
+    hits = probed.where("canonical is not null").join(exact.withColumn("listed", F.lit(True)), "canonical", "left")
+    out = hits.select("id", "host", "path", "found", "listed").unionByName(probed.where("canonical is null").select("id", "host", "path", "found", F.lit(None).cast("boolean").alias("listed")))
     verdict = F.coalesce("found.verdict", F.when(F.col("listed"), "block").otherwise("allow"))
     return out.select("id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), F.when(F.col("found").isNull(), F.coalesce("listed", F.lit(False))).alias("listed"))
 
