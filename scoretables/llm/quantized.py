@@ -17,7 +17,7 @@ LIMIT = 1 << 48
 _WIDTHS = (2, 4, 8)
 
 
-def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Components of all rows one after the other, where each row begins and ends, and which rows are lists of finite numbers."""
     at = column.offsets.to_numpy().astype(np.int64)
     flat = column.values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # a null component becomes NaN
@@ -59,7 +59,7 @@ def quantized(vectors: DataFrame, id_col: str, vector_col: str, label_col: str |
 
     def run(batches):
         for batch in batches:
-            flat, at, good = _ragged(batch.column("vector"))
+            flat, at, good = ragged(batch.column("vector"))
             sizes = np.diff(at)
             x = np.empty(len(sizes), object)
             for size in np.unique(sizes[good]):

@@ -2,11 +2,12 @@
 
 Equal vectors of a label are one class and take part once, with their number as weight. Unit vectors are rotated so
 that leading dimensions hold most of the variance. Cosine of at least t means a distance of at most sqrt(2 - 2t), so
-also along each axis: a grid of that width over the leading dimensions leaves only adjacent cells to compare. Cells
-are cut into tiles of about TILE rows, and tiles whose boxes over BOX dimensions are further apart are left out before
-any rows are joined. Components of float columns travel as float32, which is what they are. For two tiles, products are accumulated over leading dimensions first; what the
-others can still add is at most the product of the suffix norms, and rows that cannot reach the threshold are dropped
-after each step. What is left is decided by the cosine of the original vectors in double precision.
+also along each axis: a grid of that width over the leading dimensions (more of them, the more rows there are) leaves
+only adjacent cells to compare. Cells are cut into tiles of about TILE rows, and tiles whose boxes over BOX dimensions
+are further apart are left out before any rows are joined. Components of float columns travel as float32, which is what
+they are. For two tiles, products are accumulated over leading dimensions first; what the others can still add is at
+most the product of the suffix norms, and rows that cannot reach the threshold are dropped after each step. What is left
+is decided by the cosine of the original vectors in double precision.
 
 A pair of tiles gives each of its rows a number of links and a link to the smallest id of its group there, so the work
 within a group of many near copies is shared by tiles and no pair is ever emitted.
@@ -23,34 +24,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoretables.llm import graph, tables
+from scoretables.llm import graph, quantized, tables
 
 #: Rows of a tile, on average. A tile travels to every tile that it is compared with, so large ones are moved less.
 TILE = 1024
 #: Tasks over which the rows of a cell are spread while it is cut into tiles.
 SALTS = 32
-#: Leading dimensions that make the grid, and those of the boxes by which pairs of tiles are ruled out.
-GRID, BOX = 3, 8
+#: Leading dimensions that make the grid, at most, and those of the boxes by which pairs of tiles are ruled out.
+GRID, BOX = 4, 8
 #: Vectors, at most, to which the rotation is fitted. It orders the work and has no part in the result.
 FIT = 20_000
 _STEPS = (4, 8, 16, 32)
 
 
 def rotation(classes: DataFrame) -> dict[int, np.ndarray]:
-    """For each length of vector the principal axes of a bounded sample of unit vectors, by falling variance."""
+    """For each length of vector the principal axes of a bounded sample of unit vectors, by falling variance.
+
+    Tasks add up products of their vectors; the driver gets one matrix for each length and no vector.
+    """
     sample = tables.bounded_sample(classes.select("rep", "embedding"), [F.col("rep")], FIT)
-    by_size: dict[int, list] = {}
-    for r in sample.toLocalIterator():
-        by_size.setdefault(len(r.embedding), []).append(r.embedding)
+
+    def moments(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            flat, at, _ = quantized.ragged(batch.column("embedding"))
+            for size in np.unique(np.diff(at)).tolist():
+                x = flat[at[:-1][np.diff(at) == size][:, None] + np.arange(size)]
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                total[size] = total.get(size, 0) + x.T @ x
+        for size, m in total.items():
+            i, j = np.indices(m.shape).reshape(2, -1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m.size, size, np.int32)), pa.array(i), pa.array(j), pa.array(m.ravel())], names=["size", "i", "j", "v"])
+
+    found = sample.select("embedding").mapInArrow(moments, "size int, i int, j int, v double").groupBy("size", "i", "j").agg(F.sum("v").alias("v")).toArrow()
+    sizes, i, j, v = (found.column(c).to_numpy() for c in ("size", "i", "j", "v"))
     out = {}
-    for size, rows in by_size.items():
-        x = np.array(rows, np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        _, axes = np.linalg.eigh(x.T @ x)
-        out[size] = np.ascontiguousarray(axes[:, ::-1])
+    for size in np.unique(sizes).tolist():
+        own, m = sizes == size, np.empty((size, size))
+        m[i[own], j[own]] = v[own]
+        out[size] = np.ascontiguousarray(np.linalg.eigh((m + m.T) / 2)[1][:, ::-1])
     return out
 
 
+def grid_dimensions(classes: DataFrame) -> int:
+    """So many leading dimensions make the grid that three cells along each leave a tile of rows to a cell of the fullest label."""
+    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    return int(np.clip(np.log(max(most / TILE, 1)) / np.log(3), 1, GRID))
+
+
 def _turned(x: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
     y = x / np.linalg.norm(x, axis=1, keepdims=True)
     return y @ axes[x.shape[1]] if x.shape[1] in axes else y
@@ -60,7 +81,7 @@ def _kind(classes: DataFrame) -> type:
     return np.float32 if classes.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64
 
 
-def _placed(classes: DataFrame, axes: dict[int, np.ndarray], width: float) -> DataFrame:
+def _placed(classes: DataFrame, axes: dict[int, np.ndarray], width: float, dimensions: int) -> DataFrame:
     """Classes with ``size`` (length of the vector), grid ``cell``, ``lead`` (BOX turned components) and ``vec`` (the components as bytes)."""
     held, kind = classes.sparkSession.sparkContext.broadcast(axes), _kind(classes)
 
@@ -76,7 +97,7 @@ def _placed(classes: DataFrame, axes: dict[int, np.ndarray], width: float) -> Da
                 x = flat[at[rows][:, None] + np.arange(size)].astype(kind)
                 turned = _turned(x.astype(np.float64), held.value)
                 turned = np.pad(turned[:, :BOX], ((0, 0), (0, max(0, BOX - size))))
-                grid, lead = np.floor(turned[:, :GRID] / width).astype(int).tolist(), turned.tolist()
+                grid, lead = np.floor(turned[:, :dimensions] / width).astype(int).tolist(), turned.tolist()
                 for i, row in enumerate(rows):
                     cells[row], leads[row], vecs[row] = grid[i], lead[i], x[i].tobytes()
             own = [pa.array(sizes, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array(leads, pa.list_(pa.float64())), pa.array(vecs, pa.binary())]
@@ -132,7 +153,7 @@ def _compared(pairs: DataFrame, axes: dict[int, np.ndarray], threshold: float, k
     return pairs.mapInArrow(run, "rep long, links long, root long")
 
 
-def tile_pairs(placed: DataFrame, width: float) -> DataFrame:
+def tile_pairs(placed: DataFrame, width: float, dimensions: int) -> DataFrame:
     """Pairs of tiles of adjacent cells, each once: ``same``, ``left`` and ``right`` (arrays of the tiles' rows)."""
     where = ["label", "size", "cell"]
     parts = tables.scratch(placed.groupBy(*where).agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")), "cells")
@@ -144,7 +165,7 @@ def tile_pairs(placed: DataFrame, width: float) -> DataFrame:
     box = (F.array(*(f(F.col("lead")[i]) for i in range(BOX))).alias(name) for name, f in (("low", F.min), ("high", F.max)))
     tiles = tables.scratch(tiles.groupBy(*where, "part").agg(F.collect_list(packed).alias("rows"), *box), "tiles")
     known = tiles.select(*where, "part", "low", "high")
-    steps = F.array(*(F.array(*(F.lit(x) for x in step)) for step in np.ndindex(*(3,) * GRID)))
+    steps = F.array(*(F.array(*(F.lit(x) for x in step)) for step in np.ndindex(*(3,) * dimensions)))
     left = known.select("label", "size", F.col("cell").alias("cell1"), F.col("part").alias("part1"), F.col("low").alias("low1"), F.col("high").alias("high1"), F.explode(steps).alias("step"))
     left = left.select("label", "size", "cell1", "part1", "low1", "high1", F.zip_with("cell1", "step", lambda c, s: c + s - 1).alias("cell2"))
     right = known.select("label", "size", F.col("cell").alias("cell2"), F.col("part").alias("part2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
@@ -170,8 +191,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     classes = tables.scratch(usable.groupBy("label", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
     axes = rotation(classes)
     width = float(np.sqrt(2 - 2 * threshold)) + 1e-9
-    placed = tables.scratch(_placed(classes, axes, width), "placed")
-    found = tables.scratch(_compared(tile_pairs(placed, width), axes, threshold, _kind(classes)), "found")
+    dimensions = grid_dimensions(classes)
+    placed = tables.scratch(_placed(classes, axes, width, dimensions), "placed")
+    found = tables.scratch(_compared(tile_pairs(placed, width, dimensions), axes, threshold, _kind(classes)), "found")
     roots = graph.connected(found, "rep", "root")
     links = tables.scratch(found.groupBy("rep").agg(F.sum("links").alias("links")), "counts")
 
