@@ -43,6 +43,33 @@ def test_url_rules_and_list(spark):
     assert urlfilter.judged(pages.where("false"), listed).count() == 0
 
 
+def test_only_possible_hits_are_joined(spark, tmp_path):
+    """The exact join reads what passed the filter, whether or not the list is small enough to broadcast."""
+    pages = spark.range(5000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id"), F.lit(".org/p")).alias("url"))
+    listed = pages.where("page_id % 500 = 0").select("url")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = urlfilter.judged(pages, listed)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        rows = found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Union" in plan and {r.id for r in rows if r.verdict == "block"} == set(range(0, 5000, 500)) and len(rows) == 5000
+
+
+def test_long_parts_are_encoded_but_not_held(monkeypatch):
+    encoder, library = packing.Encoder(PATH), Tokenizer.from_file(PATH)
+    rng = np.random.default_rng(0)
+    parts = ["".join(rng.choice(list("aZ09+/"), n)) for n in (10, 64, 65, 3000)]
+    body = " ".join(["start", *parts, "end", *parts])
+    want = np.array(library.encode(body, add_special_tokens=False).ids, "<u4").tobytes()
+    assert encoder.encode([body, body]) == [want, want]
+    assert set(encoder.known) == {parts[0], parts[1], "end"}
+    unbroken = "".join(rng.choice(list("aZ09+/"), 200_000))
+    assert encoder.encode([unbroken])[0] == np.array(library.encode(unbroken, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     listed = spark.range(2000).select(F.concat(F.lit("h/"), F.col("id")).alias("canonical"))
     blocks = 1 << (2000 * urlfilter.BITS_PER_URL // 512).bit_length()
