@@ -266,9 +266,10 @@ def collapsed(fanned: DataFrame) -> DataFrame:
 
 
 def jitter(notes: DataFrame, seed: int = 0, deviation_ms: float = 5.0) -> DataFrame:
-    """Normal jitter shared by equal onsets, drawn by hash (Box-Muller) and so the same in any partitioning."""
-    unit = lambda salt: (F.pmod(F.xxhash64("piece_id", "onset_ms", F.lit(seed), F.lit(salt)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    return notes.withColumn("jitter_ms", deviation_ms * F.sqrt(-2 * F.ln(unit(0))) * F.cos(2 * 3.141592653589793 * unit(1)))
+    """Normal jitter shared by equal onsets, drawn from a digest (Box-Muller) and so the same in any partitioning."""
+    digest = F.md5(F.concat_ws("|", F.col("piece_id").cast("string"), F.col("onset_ms").cast("string"), F.lit(str(seed))))
+    unit = lambda start: (F.conv(F.substring(digest, start, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
+    return notes.withColumn("jitter_ms", deviation_ms * F.sqrt(-2 * F.ln(unit(1))) * F.cos(2 * 3.141592653589793 * unit(14)))
 
 
 def pedal_depth(velocity: Column, beat_ms: Column) -> Column:

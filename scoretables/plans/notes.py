@@ -195,10 +195,13 @@ def collapsed_ornaments(notes):
     return N.collapsed(fanned)
 
 
-@query("notes")
+_UNIT = "((('0x' || substr(digest, {}, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)"
+
+
+@query("notes", sql=f"SELECT piece_id, note_idx, onset_ms, round(5::DOUBLE * sqrt(-2 * ln({_UNIT.format(1)})) * cos(2 * 3.141592653589793::DOUBLE * {_UNIT.format(14)}), 6) AS jitter_ms FROM (SELECT *, md5(concat(piece_id, '|', onset_ms, '|0')) AS digest FROM notes)")
 def onset_jitter(notes):
-    """Hash-drawn normal jitter; rows-only, its moments and sharing are tested."""
-    return N.jitter(notes).select("piece_id", "note_idx", "onset_ms", "jitter_ms")
+    """Normal jitter of onsets, drawn from digests."""
+    return N.jitter(notes).select("piece_id", "note_idx", "onset_ms", r("jitter_ms", "jitter_ms", 6))
 
 
 @query("notes", sql="SELECT piece_id, note_idx, CAST(greatest(40, least(127, floor(50 + greatest(0.0::DOUBLE, least(1.0::DOUBLE, (velocity - 40) / 70)) * least(1.0::DOUBLE, dur_ms / 750) * 60 + 1e-9::DOUBLE))) AS INTEGER) AS depth FROM notes")
