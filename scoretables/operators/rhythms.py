@@ -18,6 +18,10 @@ TRIPLETS = ("3", "6", "12", "24", "48", "96")
 OTHERS = ("20", "40", "112", "176")
 #: What a note of 1/44 becomes, and what all others are compared with first.
 SHORTEST, SHORTEST_AS = "176", (1, 44)
+#: Durations that the vocabulary lacks and that come in groups: cadenzas, nines, thirteens, seventeens, nineteens, stray ones.
+GROUPED = ("42", "21", "66", "58", "82", "62", "54", "46", "9", "18", "36", "72", "13", "26", "52", "104", "17", "34", "68", "19", "38", "76", "5", "7", "10", "11", "14", "22", "23", "28")
+#: Notes of a group that is solved, at most.
+LARGEST_GROUP = 30
 #: How a ratio is written.
 RATIO = r"([0-9]+)%([0-9]+)"
 
@@ -107,6 +111,41 @@ def solved(runs: DataFrame) -> DataFrame:
     return rows.select(*runs.columns, "kind", names.alias("names"), F.when(F.col("kind") == "pair", F.col("pair")).alias("pair"))
 
 
+def group_solutions(groups: DataFrame) -> DataFrame:
+    """Groups of ``n`` notes of 1 / ``d`` as ``n_long`` notes of ``long`` and ``n_short`` of ``short``, the neighbours of 1 / d
+    among all durations, that take the same time; null where no numbers do, or a group has more than LARGEST_GROUP notes."""
+    d, n = F.col("d"), F.col("n")
+    longer = F.array_sort(F.filter(_options(), lambda o: o["parts"] * d >= PARTS), lambda a, b: F.when(a["parts"] < b["parts"], -1).when(a["parts"] > b["parts"], 1).otherwise(0))
+    shorter = F.array_sort(F.filter(_options(), lambda o: o["parts"] * d <= PARTS), lambda a, b: F.when(a["parts"] > b["parts"], -1).when(a["parts"] < b["parts"], 1).otherwise(0))
+    rows = groups.withColumns({"_l": F.get(longer, F.lit(0)), "_s": F.get(shorter, F.lit(0))})
+    over, under = n * (PARTS - F.col("_s.parts") * d), d * (F.col("_l.parts") - F.col("_s.parts"))
+    count = F.when(under == 0, n).when(over % F.nullif(under, F.lit(0)) == 0, F.floor(over / F.nullif(under, F.lit(0))))
+    rows = rows.withColumn("_x", F.when(count.between(0, n) & (n <= LARGEST_GROUP), count))
+    known = lambda c: F.when(F.col("_x").isNotNull(), c)
+    return rows.withColumns({"long": known(F.col("_l.name")), "short": known(F.col("_s.name")), "n_long": F.col("_x"), "n_short": n - F.col("_x")}).drop("_l", "_s", "_x")
+
+
+def without_unknown_groups(tokens: DataFrame) -> DataFrame:
+    """Tokens of durations of GROUPED, in runs of one duration in a spine, as evenly spread mixtures of durations that the
+    vocabulary has: ``doc_id``, ``spine``, ``line_no``, ``token``, ``exact``. Runs without a solution keep their tokens.
+
+    Null tokens and tokens that begin with no number are passed over; a barline or another duration ends a run.
+    """
+    order = Window.partitionBy("doc_id", "spine").orderBy("line_no")
+    head, number = r"^([\[({]*)[0-9]+", F.regexp_extract("token", r"^[\[({]*([0-9]+)", 1)
+    rows = tokens.withColumn("number", F.when(~F.col("is_bar"), number)).where("is_bar or number <> ''")
+    begins = F.coalesce(F.lag("number").over(order) != F.col("number"), F.lit(True))
+    rows = rows.withColumn("run", F.count_if(begins).over(order)).where(F.col("number").isin(*GROUPED))
+    own = Window.partitionBy("doc_id", "spine", "run")
+    rows = rows.withColumns({"at": F.row_number().over(own.orderBy("line_no")) - 1, "n": F.count("*").over(own), "d": F.col("number").cast("long")})
+    answers = group_solutions(rows.select("d", "n").distinct())
+    names = F.transform(spread(F.col("n_long"), F.col("n_short")), lambda is_long: F.when(is_long, F.col("long")).otherwise(F.col("short")))
+    rows = rows.join(answers.withColumn("names", F.when(F.col("n_long").isNotNull(), names)), ["d", "n"])
+    renamed = F.concat(F.regexp_extract("token", head, 1), F.get("names", F.col("at")), F.regexp_replace("token", head, ""))
+    exact = F.col("names").isNotNull()
+    return rows.select("doc_id", "spine", "line_no", F.when(exact, renamed).otherwise(F.col("token")).alias("token"), exact.alias("exact"))
+
+
 def ratio_runs(tokens: DataFrame) -> DataFrame:
     """Tokens with ratios, with their ``x``, ``y``, the number ``run`` of their run in the spine, their place ``at`` in it
     and its length ``n``. Null tokens are passed over; a barline, another token or another ratio ends a run.

@@ -165,16 +165,3 @@ def complete_tuplets(tokens: DataFrame, size: int | Column, is_tuplet: Column, r
     own = Window.partitionBy("doc_id", "spine", "island", "dur")
     rank, count = F.row_number().over(own.orderBy("line_no")) - 1, F.count("*").over(own)
     return rows.withColumns({"group_no": F.floor(rank / size), "n_groups": F.floor(count / size), "in_group": rank % size}).where("group_no < n_groups")
-
-
-def quantized_groups(groups: DataFrame, powers: tuple[int, ...] = (1, 2, 4, 8, 16, 32, 64, 128)) -> DataFrame:
-    """For groups of ``n`` notes of duration 1 / ``d``: how many long and short notes of neighbouring plain durations
-    fill the same time exactly; without an exact answer the single nearest duration. Whole-number arithmetic."""
-    d, n = F.col("d"), F.col("n")
-    pairs = F.array(*(F.struct(F.lit(a).cast("long").alias("long"), F.lit(b).cast("long").alias("short")) for a, b in zip(powers[:-1], powers[1:], strict=True)))
-    # n / d = x / long + (n - x) / short, so x = long * n * (short - d) / (d * (short - long)).
-    solved = F.transform(pairs, lambda p: F.struct(p["long"].alias("long"), p["short"].alias("short"), (p["long"] * n * (p["short"] - d)).alias("over"), (d * (p["short"] - p["long"])).alias("under")))
-    exact = F.filter(solved, lambda s: (s["over"] % s["under"] == 0) & (s["over"] >= 0) & (s["over"] <= n * s["under"]))
-    first = F.get(exact, F.lit(0))
-    x = (first["over"] / first["under"]).cast("long")
-    return groups.withColumns({"long": F.coalesce(first["long"], T.nearest_power(d)), "short": first["short"], "n_long": F.coalesce(x, n), "n_short": F.coalesce(n - x, F.lit(0)), "exact": first.isNotNull()})

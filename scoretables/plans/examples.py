@@ -9,7 +9,7 @@ from scoretables.operators import examples as E
 from scoretables.operators import notes as N
 from scoretables.operators import rhythms as Y
 from scoretables.operators import tokens as K
-from scoretables.plans.registry import Family
+from scoretables.plans.registry import SPREAD, Family
 
 query = Family()
 
@@ -133,12 +133,7 @@ def ratio_durations(notes):
     return notes.select("piece_id", "note_idx", E.has_ratio(text).alias("has_ratio"), E.ratio(text).alias("r")).select("piece_id", "note_idx", "has_ratio", "r.*")
 
 
-# Letter by letter, with the error and the number placed so far, as the rule has it.
-_SPREAD = """(SELECT n, k, least(k, n - k) AS few, 0 AS step, 0::BIGINT AS error, 0 AS placed, '' AS marks FROM pairs UNION ALL
-    SELECT n, k, few, step + 1, CASE WHEN error + few >= n - placed THEN error + few - n ELSE error + few END, CASE WHEN error + few >= n - placed THEN placed + 1 ELSE placed END, concat(marks, CASE WHEN (error + few >= n - placed) = (k <= n - k) THEN 'L' ELSE 'S' END) FROM spread WHERE step < n)"""
-
-
-@query("notes", sql=f"""SELECT * FROM (WITH RECURSIVE pairs AS (SELECT DISTINCT note_idx % 24 + 1 AS n, pitch % (note_idx % 24 + 2) AS k FROM notes), spread AS {_SPREAD}
+@query("notes", sql=f"""SELECT * FROM (WITH RECURSIVE pairs AS (SELECT DISTINCT note_idx % 24 + 1 AS n, pitch % (note_idx % 24 + 2) AS k FROM notes), spread AS {SPREAD}
     SELECT n, k, CASE WHEN k = 0 THEN repeat('S', n) WHEN k = n THEN repeat('L', n) ELSE marks END AS places FROM spread WHERE step = n)""")
 def even_distribution(notes):
     """k long notes among n, as letters."""
@@ -168,7 +163,7 @@ _BY_LENGTH = ", ".join(f"('{name}', {a * Y.PARTS // b}, {i})" for i, (name, a, b
     g AS (SELECT *, count(*) FILTER (WHERE begins) OVER (PARTITION BY doc_id, spine ORDER BY line_no) AS run FROM b),
     m AS (SELECT *, count(*) OVER (PARTITION BY doc_id, spine, run) AS n, row_number() OVER (PARTITION BY doc_id, spine, run ORDER BY line_no) AS at FROM g WHERE x IS NOT NULL),
     q AS (SELECT DISTINCT x, y, n FROM m), c AS (SELECT x, y, n, max(grid) FILTER (WHERE grid * y <= x) AS l, min(grid) FILTER (WHERE grid * y >= x) AS s FROM q CROSS JOIN (SELECT unnest({Y.GRID}) AS grid) GROUP BY ALL),
-    d AS (SELECT *, CASE WHEN l <> s AND n * l * (y * s - x) % (x * (s - l)) = 0 THEN n * l * (y * s - x) // (x * (s - l)) END AS a FROM c), pairs AS (SELECT DISTINCT n, a AS k FROM d WHERE a BETWEEN 0 AND n), spread AS {_SPREAD},
+    d AS (SELECT *, CASE WHEN l <> s AND n * l * (y * s - x) % (x * (s - l)) = 0 THEN n * l * (y * s - x) // (x * (s - l)) END AS a FROM c), pairs AS (SELECT DISTINCT n, a AS k FROM d WHERE a BETWEEN 0 AND n), spread AS {SPREAD},
     v AS (SELECT * FROM (VALUES {_BY_LENGTH}) AS t(name, parts, i)),
     two AS (SELECT x, y, 1 AS n, arg_min([u.name, w.name], {{'d': abs(u.parts - w.parts), 'f': -u.parts}}) AS pair FROM (SELECT DISTINCT x, y FROM q WHERE n = 1) JOIN v u ON u.i > 0 JOIN v w ON w.i > 0 AND (u.parts + w.parts) * x = y * {Y.PARTS} GROUP BY x, y),
     near AS (SELECT x, y, arg_min(name, {{'c': abs(y * {Y.PARTS} - parts * x), 'i': i}}) AS lossy FROM (SELECT DISTINCT x, y FROM q) CROSS JOIN v GROUP BY x, y),

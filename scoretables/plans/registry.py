@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from scoretables.sources.standins import duckdb, view
 
 
+#: SQL of an even spread of k long among n notes (of a table ``pairs``), letter by letter, with the error and the number
+#: placed so far, as the rule has it; the body of a recursive table ``spread``.
+SPREAD = """(SELECT n, k, least(k, n - k) AS few, 0 AS step, 0::BIGINT AS error, 0 AS placed, '' AS marks FROM pairs UNION ALL
+    SELECT n, k, few, step + 1, CASE WHEN error + few >= n - placed THEN error + few - n ELSE error + few END, CASE WHEN error + few >= n - placed THEN placed + 1 ELSE placed END, concat(marks, CASE WHEN (error + few >= n - placed) = (k <= n - k) THEN 'L' ELSE 'S' END) FROM spread WHERE step < n)"""
+
+
 class Family:
     """Queries of one family: ``queries`` and ``sql`` by name."""
 

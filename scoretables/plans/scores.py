@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from scoretables.functions import tokens as T
 from scoretables.operators import repeats as R
+from scoretables.operators import rhythms as Y
 from scoretables.operators import segments as S
 from scoretables.operators import tokens as K
-from scoretables.plans.registry import Family
+from scoretables.plans.registry import SPREAD, Family
 
 query = Family()
 @query("lines", sql="""WITH z AS (SELECT *, max(CASE WHEN kind = 'bar' AND length(line) % 7 = 0 THEN line_no END) OVER (PARTITION BY doc_id) AS final FROM lines), b AS (SELECT *, CASE WHEN kind = 'bar' AND line_no % 3 = 0 THEN line_no END AS number, count(*) FILTER (WHERE kind = 'bar') OVER (PARTITION BY doc_id ORDER BY line_no) AS bar FROM z WHERE final IS NULL OR line_no < final),
@@ -338,15 +339,36 @@ def complete_tuplets(tokens):
     return found.select("doc_id", "spine", "line_no", "dur", F.col("group_no").cast("long").alias("group_no"), F.col("in_group").cast("int").alias("in_group"))
 
 
-_PAIRS = ", ".join(f"({2**i}, {2 ** (i + 1)})" for i in range(7))
+_VALUES = ", ".join(f"('{name}', {a * Y.PARTS // b})" for name, a, b in Y.values())
+#: ``l``, ``s`` and ``x`` of each ``d`` and ``n`` of a table ``q``: the neighbouring durations and how many are long.
+_SOLVED = f"""v AS (SELECT * FROM (VALUES {_VALUES}) AS t(name, parts)), br AS (SELECT d, n, min(parts) FILTER (WHERE parts * d >= {Y.PARTS}) AS lp, max(parts) FILTER (WHERE parts * d <= {Y.PARTS}) AS sp FROM q CROSS JOIN v GROUP BY d, n),
+    x AS (SELECT d, n, lp, sp, CASE WHEN n > {Y.LARGEST_GROUP} THEN NULL WHEN lp = sp THEN n WHEN n * ({Y.PARTS} - sp * d) % (d * (lp - sp)) = 0 THEN n * ({Y.PARTS} - sp * d) // (d * (lp - sp)) END AS x FROM br),
+    solved AS (SELECT x.d, x.n, l.name AS l, s.name AS s, CASE WHEN x.x BETWEEN 0 AND x.n THEN x.x END AS x FROM x LEFT JOIN v l ON l.parts = x.lp LEFT JOIN v s ON s.parts = x.sp)"""
 
 
-@query("notes", sql=f"""WITH g AS (SELECT DISTINCT dur_ms % 128 + 1 AS d, note_idx % 12 + 1 AS n FROM notes), x AS (SELECT g.d, g.n, p.l, p.s, l * n * (s - d) AS over_, d * (s - l) AS under FROM g CROSS JOIN (VALUES {_PAIRS}) AS p(l, s)),
-    e AS (SELECT d, n, min({{'l': l, 's': s, 'x': over_ // under}}) AS b FROM x WHERE over_ % under = 0 AND over_ >= 0 AND over_ <= n * under GROUP BY d, n)
-    SELECT g.d, g.n, coalesce(b.x, g.n) AS n_long, coalesce(g.n - b.x, 0) AS n_short, b IS NOT NULL AS exact FROM g LEFT JOIN e USING (d, n)""".join(("SELECT * FROM (", ")")))
+@query("notes", sql=f"""SELECT * FROM (WITH q AS (SELECT DISTINCT dur_ms % 128 + 1 AS d, note_idx % 32 + 1 AS n FROM notes), {_SOLVED} SELECT d, n, CASE WHEN x IS NOT NULL THEN l END AS long, CASE WHEN x IS NOT NULL THEN s END AS short, x AS n_long, n - x AS n_short FROM solved)""")
 def quantized_groups(notes):
-    groups = notes.select((F.col("dur_ms") % 128 + 1).alias("d"), (F.col("note_idx") % 12 + 1).alias("n")).distinct()
-    return K.quantized_groups(groups).select("d", "n", "n_long", "n_short", "exact")
+    """Groups of equal notes as long and short ones of the vocabulary, where these can take the same time."""
+    groups = notes.select((F.col("dur_ms") % 128 + 1).alias("d"), (F.col("note_idx") % 32 + 1).alias("n")).distinct()
+    return Y.group_solutions(groups).select("d", "n", "long", "short", "n_long", "n_short")
+
+
+_GROUPS = ("42", "9", "5", "21", "4", "8", "7", "36")
+
+
+@query("tokens", sql=f"""SELECT * FROM (WITH RECURSIVE r AS (SELECT doc_id, spine, line_no, kind, CASE WHEN kind = 'bar' THEN '=' WHEN dur % 6 = 0 THEN '.' WHEN dur % 6 = 1 THEN 'q' ELSE concat('[', {list(_GROUPS)}[(line_no // 9 + spine) % 8 + 1], 'c') END AS token FROM tokens),
+    e AS (SELECT *, CASE WHEN kind <> 'bar' THEN regexp_extract(token, '^[\[({{]*([0-9]+)', 1) END AS number FROM r), f AS (SELECT *, coalesce(lag(number) OVER (PARTITION BY doc_id, spine ORDER BY line_no) <> number, true) AS begins FROM e WHERE kind = 'bar' OR number <> ''),
+    g AS (SELECT *, count(*) FILTER (WHERE begins) OVER (PARTITION BY doc_id, spine ORDER BY line_no) AS run FROM f),
+    m AS (SELECT *, CAST(number AS BIGINT) AS d, count(*) OVER (PARTITION BY doc_id, spine, run) AS n, row_number() OVER (PARTITION BY doc_id, spine, run ORDER BY line_no) AS at FROM g WHERE number IN {Y.GROUPED}),
+    q AS (SELECT DISTINCT d, n FROM m), {_SOLVED}, pairs AS (SELECT DISTINCT n, x AS k FROM solved WHERE x IS NOT NULL), spread AS {SPREAD}
+    SELECT m.doc_id, m.spine, m.line_no, CASE WHEN x IS NULL THEN token ELSE concat('[', CASE substr(marks, m.at, 1) WHEN 'L' THEN l ELSE s END, 'c') END AS token, x IS NOT NULL AS exact
+    FROM m JOIN solved ON solved.d = m.d AND solved.n = m.n LEFT JOIN spread ON spread.n = m.n AND spread.k = solved.x AND spread.step = m.n)""")
+def group_tokens(tokens):
+    """Words as notes of durations that the vocabulary lacks, in runs of up to nine lines, as mixtures of those it has."""
+    written = F.element_at(F.array(*(F.lit(x) for x in _GROUPS)), ((F.floor(F.col("line_no") / 9) + F.col("spine")) % 8 + 1).cast("int"))
+    d = F.col("dur") % 6
+    token = F.when(F.col("kind") == "bar", "=").when(d == 0, ".").when(d == 1, "q").otherwise(F.concat(F.lit("["), written, F.lit("c")))
+    return Y.without_unknown_groups(tokens.select("doc_id", "line_no", "spine", token.alias("token"), (F.col("kind") == "bar").alias("is_bar")))
 
 
 @query("conversations", sql="SELECT conv_id AS doc_id, turn AS order_pos, role AS section, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS INTEGER) AS occurrence, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) > 1 AS is_repeat FROM conversations")

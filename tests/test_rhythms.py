@@ -123,3 +123,34 @@ def test_runs_keep_their_time(spark):
                     run.append((line, ratio, token))
             flush()
     assert found == want
+
+
+def mixture(d, n):
+    """(long, short, count of long) by fractions, or None."""
+    longer, shorter = [m for m in NAMES if size(m) >= Fraction(1, d)], [m for m in NAMES if size(m) <= Fraction(1, d)]
+    if not longer or not shorter or n > R.LARGEST_GROUP:
+        return None
+    a, b = min(longer, key=size), max(shorter, key=size)
+    x = Fraction(n) if a == b else (Fraction(n, d) - n * size(b)) / (size(a) - size(b))
+    return (a, b, int(x)) if x.denominator == 1 and 0 <= x <= n else None
+
+
+def test_group_solutions(spark):
+    cases = [(d, n) for d in range(1, 180) for n in (*range(1, 13), 18, 30, 31)]
+    found = {(r.d, r.n): r.long and (r.long, r.short, r.n_long) for r in R.group_solutions(spark.createDataFrame(cases, "d long, n long")).collect()}
+    assert found == {c: mixture(*c) for c in cases}
+    assert all(v is None or v[2] * size(v[0]) + (n - v[2]) * size(v[1]) == Fraction(n, d) for (d, n), v in found.items())
+
+
+def test_groups_in_scores(spark):
+    lines = ["42c", "[42d]", ".", "q", "42r", "=", "42c", "9e", "9f", "4g", "9a", "9b", "9c", "9d", "9e", "9f", "9g", "9a", "9b"]
+    rows = [(1, i, 0, t, t == "=") for i, t in enumerate(lines)]
+    found = {r.line_no: (r.token, r.exact) for r in R.without_unknown_groups(spark.createDataFrame(rows, "doc_id long, line_no long, spine long, token string, is_bar boolean")).collect()}
+    want = {}
+    for run in ([0, 1, 4], [6], [7, 8], list(range(10, 19))):
+        number = "".join(c for c in lines[run[0]].lstrip("[") if c.isdigit())
+        answer = mixture(int(number), len(run))
+        letters = even(answer[2], len(run) - answer[2]) if answer else ""
+        for k, i in enumerate(run):
+            want[i] = (lines[i].replace(number, answer[0] if letters[k] == "L" else answer[1], 1), True) if answer else (lines[i], False)
+    assert found == want and {e for _, e in found.values()} == {True, False}
