@@ -41,11 +41,16 @@ WINDOW = 64
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Rows of a block, blocks of a block of blocks, and rounds of a block, whose sums are added up together.
 BLOCK_BITS, FAR_BITS, ROUNDS = 10, 10, 4096
+#: Letters of a part of a text that is held in memory, at most.
+LONGEST = 64
 #: White space other than the blank, as any of the libraries understands it.
 _SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f"
 _WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+_FORMATS = [struct.Struct(f"<{n}I") for n in range(32)]
+
+
 def single_blanks(body: str) -> bool:
     """Whether every blank stands between two characters that are not white space, and no wide space occurs."""
     if body[0] == " " or body[-1] == " " or "  " in body:
@@ -90,7 +95,8 @@ class Encoder:
 
     The tokenizer splits a text before any blank that stands between two other characters, so such parts are encoded
     one by one, each with its blank, and found again the next time. A text with other white space around a blank is
-    encoded whole. Of ``most`` parts held the later half is forgotten. Texts that hold an added token, and files whose
+    encoded whole. Parts of more than LONGEST letters are not held, and of ``most`` parts held the later half is
+    forgotten, so the memory takes at most some 150 MB. Texts that hold an added token, and files whose
     rules fast_encoding() does not cover, are left to the tokenizers library.
     """
 
@@ -108,8 +114,12 @@ class Encoder:
     def _whole(self, body: str) -> bytes:
         if self.fast is None or any(t in body for t in self.added):
             return np.array(self.library.encode(body, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._plain(body)
+
+    def _plain(self, body: str) -> bytes:
+        """Ids of a text without added tokens."""
         ids = self.fast.encode_ordinary(body)
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _FORMATS[len(ids)].pack(*ids) if len(ids) < len(_FORMATS) else struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -124,7 +134,9 @@ class Encoder:
                 for i, x in enumerate(found):
                     if x is None:
                         part = parts[i]
-                        found[i] = known[part] = self._whole(" " + part)
+                        found[i] = ids = known.get(part) or self._plain(" " + part)
+                        if len(part) <= LONGEST:
+                            known[part] = ids
                 if len(known) > self.most:
                     # Frequent parts were met first; the later half makes room.
                     known = self.known = dict(itertools.islice(known.items(), self.most // 2))
