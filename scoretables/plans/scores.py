@@ -357,7 +357,7 @@ _GROUPS = ("42", "9", "5", "21", "4", "8", "7", "36")
 
 
 @query("tokens", sql=f"""SELECT * FROM (WITH RECURSIVE r AS (SELECT doc_id, spine, line_no, kind, CASE WHEN kind = 'bar' THEN '=' WHEN dur % 6 = 0 THEN '.' WHEN dur % 6 = 1 THEN 'q' ELSE concat('[', {list(_GROUPS)}[(line_no // 9 + spine) % 8 + 1], 'c') END AS token FROM tokens),
-    e AS (SELECT *, CASE WHEN kind <> 'bar' THEN regexp_extract(token, '^[\[({{]*([0-9]+)', 1) END AS number FROM r), f AS (SELECT *, coalesce(lag(number) OVER (PARTITION BY doc_id, spine ORDER BY line_no) <> number, true) AS begins FROM e WHERE kind = 'bar' OR number <> ''),
+    e AS (SELECT *, CASE WHEN kind <> 'bar' THEN regexp_extract(token, '^[\\[({{]*([0-9]+)', 1) END AS number FROM r), f AS (SELECT *, coalesce(lag(number) OVER (PARTITION BY doc_id, spine ORDER BY line_no) <> number, true) AS begins FROM e WHERE kind = 'bar' OR number <> ''),
     g AS (SELECT *, count(*) FILTER (WHERE begins) OVER (PARTITION BY doc_id, spine ORDER BY line_no) AS run FROM f),
     m AS (SELECT *, CAST(number AS BIGINT) AS d, count(*) OVER (PARTITION BY doc_id, spine, run) AS n, row_number() OVER (PARTITION BY doc_id, spine, run ORDER BY line_no) AS at FROM g WHERE number IN {Y.GROUPED}),
     q AS (SELECT DISTINCT d, n FROM m), {_SOLVED}, pairs AS (SELECT DISTINCT n, x AS k FROM solved WHERE x IS NOT NULL), spread AS {SPREAD}
