@@ -167,7 +167,7 @@ def success_by_equal_bins(results):
 @query("results")
 def bootstrap_bands(results):
     """Resampled 95 % bands of success by position bin; rows-only, held against its invariants in the tests."""
-    binned = bands.equal_bins(results, "chunk_index", 10, "system").withColumns({"success": summaries.succeeded().cast("double"), "id": F.xxhash64("system", "task_id")})
+    binned = bands.equal_bins(results, "chunk_index", 10, "system").withColumn("success", summaries.succeeded().cast("double"))
     return bands.bootstrap(binned, "success", "system", "bin")
 
 

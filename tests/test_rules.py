@@ -70,6 +70,19 @@ def test_resamples(spark):
     assert abs(r.low - at(0.025)) < 1e-12 and abs(r.high - at(0.975)) < 1e-12
 
 
+def test_bands_of_many_rows(spark):
+    """A million rows and a thousand resamples: a row for each draw would take minutes."""
+    import time
+
+    df = spark.range(1_000_000).select(F.lit("a").alias("g"), (F.col("id") % 4 == 0).cast("int").alias("v"))
+    width = 2 * 1.96 * math.sqrt(0.25 * 0.75 / 1_000_000)
+    for f in (bands.bootstrap, bands.resampled):
+        began = time.time()
+        r = f(df, "v", "g").first()
+        assert (r.n, r.mean) == (1_000_000, 0.25) and r.low < r.mean < r.high and abs((r.high - r.low) / width - 1) < 0.1, f
+        assert time.time() - began < 45, f
+
+
 def test_drawn_values_fill_their_ranges(spark):
     rows = examples.drawn(spark.range(2000).select(F.col("id").cast("string").alias("stem")), "stem", {"a": (0.5, 1.5), "b": (-1.0, 0.0)}).collect()
     for name, low in (("a", 0.5), ("b", -1.0)):
