@@ -1,8 +1,8 @@
 """Typed spine state of score lines: which type each column has, clocks of split spines, rescaled regions.
 
-``lines`` are ``doc_id``, ``line_no`` and ``line``, fields between tabs. Only lines that change the state (declarations,
-splits, joins, ends) pass through Python, a document's at a time; every other line finds the state left by the last of
-these before it in one ordered pass, and its fields are filtered or rewritten as array expressions.
+``lines`` are ``doc_id``, ``line_no`` and ``line``, fields between tabs. Only the fields of lines that change the state
+(declarations, splits, joins, ends) are read in Python, in ordered passes over documents; fields of all other lines are
+filtered or rewritten as array expressions.
 """
 
 from __future__ import annotations
@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections import defaultdict
 from fractions import Fraction
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoretables.functions import tokens as T
+from scoretables.operators import passes as P
 
 _MOVES = ("*^", "*v", "*-")
 
@@ -52,24 +52,26 @@ def moved(state: list, row: list[str], joined=lambda group: group[0]) -> list:
     return out
 
 
-def _types_after(rows: pd.DataFrame) -> pd.DataFrame:
-    state, out = [], []
-    for doc, line_no, row in rows.sort_values("line_no")[["doc_id", "line_no", "fields"]].itertuples(index=False):
-        row = list(row)
-        state = row if row[0].startswith("**") else moved(state, row)
-        out.append((doc, line_no, state))
-    return pd.DataFrame(out, columns=["doc_id", "line_no", "after"])
+def _types():
+    """A pass over a document's lines: the types before each, from the fields of those that change them."""
+    state = None
+
+    def step(row):
+        nonlocal state
+        before = state
+        if row is not None:
+            state = row if row[0].startswith("**") else moved(state or [], row)
+        return (before,)
+
+    return step
 
 
 def typed(lines: DataFrame) -> DataFrame:
     """Lines with ``types``: the type of each of their columns; null before a declaration and for lines of one column."""
     declares = F.col("line").startswith("**") & F.col("line").contains("\t")
-    kind = lines.schema["doc_id"].dataType.simpleString()
-    changes = lines.where(declares | _is_move()).select("doc_id", "line_no", fields().alias("fields"))
-    after = changes.groupBy("doc_id").applyInPandas(_types_after, f"doc_id {kind}, line_no long, after array<string>")
-    both = lines.join(after, ["doc_id", "line_no"], "left")
-    state = F.when(declares, fields()).otherwise(F.last("after", ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, -1)))
-    return both.withColumn("types", F.when(F.col("line").contains("\t"), state)).drop("after")
+    rows = lines.withColumn("turn", F.when(F.col("doc_id").isNotNull() & (declares | _is_move()), fields()))
+    both = P.scanned(rows, ["turn"], {"before": "array<string>"}, _types)
+    return both.withColumn("types", F.when(F.col("line").contains("\t"), F.when(declares, fields()).otherwise(F.col("before")))).drop("turn", "before")
 
 
 def only_types(lines: DataFrame, *keep: str) -> DataFrame:
@@ -98,12 +100,11 @@ def _fraction(d) -> Fraction | None:
     return None if d is None else Fraction(int(d["num"]), int(d["den"]))
 
 
-def _lags(rows: pd.DataFrame) -> pd.DataFrame:
+def _lags(rows: list[tuple]) -> list[tuple]:
     """For each line before which columns fall behind others of their family, by how much: 64ths of a quarter note."""
     out = []
     clocks, family, split, families = [Fraction(0)] * 2, [0, 1], False, 2
-    for doc, line_no, kind, row, lengths in rows.sort_values("line_no")[["doc_id", "line_no", "kind", "fields", "lengths"]].itertuples(index=False):
-        row = list(row)
+    for line_no, kind, row, lengths in rows:
         if kind == "move":
             width = max(len(row), len(clocks))
             clocks, family = [*clocks, *[Fraction(0)] * width][:width], [*family, *range(len(family), width)][:width]
@@ -125,11 +126,11 @@ def _lags(rows: pd.DataFrame) -> pd.DataFrame:
                 for j in columns:
                     clocks[j] = front
             if behind:
-                out.append((doc, line_no, [int(behind[j] * 64) if j in behind else None for j in range(len(clocks))]))
+                out.append((line_no, [int(behind[j] * 64) if j in behind else None for j in range(len(clocks))]))
         if kind == "data":
             for j, step in enumerate(steps):
                 clocks[j] += step or 0
-    return pd.DataFrame(out, columns=["doc_id", "line_no", "behind"])
+    return out
 
 
 def caught_up(lines: DataFrame) -> DataFrame:
@@ -139,11 +140,10 @@ def caught_up(lines: DataFrame) -> DataFrame:
     begin notes. A join makes a family of its own, at the latest clock. Only documents with splits take part.
     """
     kind = F.when(F.col("line").contains("\t") & (F.col("line").contains("*^") | F.col("line").contains("*v")), "move").when(F.col("line").startswith("="), "bar").when(is_data(), "data")
-    doc = lines.schema["doc_id"].dataType.simpleString()
     split = lines.where(F.col("line").contains("*^")).select("doc_id").distinct()
     lengths = F.transform(fields(), duration)
     rows = lines.join(split, "doc_id", "left_semi").withColumn("kind", kind).where("kind is not null").select("doc_id", "line_no", "kind", fields().alias("fields"), F.when(F.col("kind") == "data", lengths).otherwise(F.array()).alias("lengths"))
-    found = rows.groupBy("doc_id").applyInPandas(_lags, f"doc_id {doc}, line_no long, behind array<long>")
+    found = P.grouped(rows, ["doc_id"], ["line_no"], {"line_no": "long", "behind": "array<long>"}, _lags)
     # Less than a 64th of a quarter is still a rest, the shortest.
     rest = lambda n: F.when(n.isNull(), ".").when(n == 0, "64r").otherwise(T.rests(n))
     added = found.select("doc_id", "line_no", F.lit(0).alias("sub"), F.array_join(F.transform("behind", rest), "\t").alias("line"))
@@ -159,26 +159,25 @@ def divided(token: Column, factor: Column) -> Column:
     return F.array_join(F.transform(F.split(token, " "), part), " ")
 
 
-def _slots(rows: pd.DataFrame) -> pd.DataFrame:
+def _slots(rows: list[tuple]) -> list[tuple]:
     """The place of every note of a region among the region's distinct onsets. Clocks of columns start behind what they played since the barline."""
     clocks: dict[int, Fraction] = defaultdict(Fraction)
     onsets = []
-    for inside, line_no, column, length in rows.sort_values(["line_no", "column"])[["inside", "line_no", "column", "length"]].itertuples(index=False):
+    for line_no, inside, column, length in rows:
         if inside:
             onsets.append((clocks[column], line_no, column))
         clocks[column] += _fraction(length) or 0
     place = {t: i for i, t in enumerate(sorted({t for t, _, _ in onsets}))}
-    doc, region = rows["doc_id"].iloc[0], rows["region"].iloc[0]
-    return pd.DataFrame([(doc, region, n, c, place[t], len(place)) for t, n, c in onsets], columns=["doc_id", "region", "line_no", "column", "slot", "slots"])
+    return [(n, c, place[t], len(place)) for t, n, c in onsets]
 
 
-def _scales_after(rows: pd.DataFrame) -> pd.DataFrame:
+def _scales_after(rows: list[tuple]) -> list[tuple]:
     """After each line with marks: the factor of every column, the region's number (0: none) and whether it goes on."""
     out: list[tuple] = []
     factors: dict[int, int] = {}
     cues: set[int] = set()
     region, left_alone = 0, set()
-    for doc, line_no, row in rows.sort_values("line_no")[["doc_id", "line_no", "fields"]].itertuples(index=False):
+    for line_no, row in rows:
         before = bool(factors)
         for column, token in enumerate(row):
             name, _, number = token.partition(":")
@@ -190,9 +189,8 @@ def _scales_after(rows: pd.DataFrame) -> pd.DataFrame:
         region += bool(factors) and not before
         if cues & set(factors):
             left_alone.add(region)
-        out.append((doc, line_no, region if before or factors else 0, bool(factors), [factors.get(c) for c in range(max(factors, default=-1) + 1)]))
-    out = [(d, n, 0, False, []) if r in left_alone else (d, n, r, on, f) for d, n, r, on, f in out]
-    return pd.DataFrame(out, columns=["doc_id", "line_no", "region", "on", "factors"])
+        out.append((line_no, region if before or factors else 0, bool(factors), [factors.get(c) for c in range(max(factors, default=-1) + 1)]))
+    return [(n, 0, False, []) if r in left_alone else (n, r, on, f) for n, r, on, f in out]
 
 
 def regions(lines: DataFrame) -> DataFrame:
@@ -201,9 +199,8 @@ def regions(lines: DataFrame) -> DataFrame:
     A region is a stretch of lines in which some column has a factor over 1, from the line that opens it to the one that
     ends it, or the document's end. Regions in which such a column is a cue are none: their length is not heard.
     """
-    doc = lines.schema["doc_id"].dataType.simpleString()
     marks = lines.where(F.col("line").rlike(r"^\*(?!\*)") & F.exists(fields(), lambda x: x.rlike(r"^\*(rscale:[0-9]+|cue|Xcue)$")))
-    state = marks.select("doc_id", "line_no", fields().alias("fields")).groupBy("doc_id").applyInPandas(_scales_after, f"doc_id {doc}, line_no long, region long, on boolean, factors array<int>")
+    state = P.grouped(marks.select("doc_id", "line_no", fields().alias("fields")), ["doc_id"], ["line_no"], {"line_no": "long", "region": "long", "on": "boolean", "factors": "array<int>"}, _scales_after)
     own = F.struct("region", "on", "factors")
     both = lines.join(state.select("doc_id", "line_no", own.alias("own")), ["doc_id", "line_no"], "left").withColumn("state", F.last("own", ignorenulls=True).over(_order()))
     inside = F.col("state.on") | (F.col("own.region") > 0)
@@ -226,8 +223,7 @@ def reflowed(lines: DataFrame) -> DataFrame:
     notes = played.unionByName(own).select("doc_id", "region", "line_no", "inside", "width", "factors", F.posexplode(fields()).alias("column", "token")).where("token not in ('', '.') and column < width")
     factor = F.when(F.col("inside"), F.get("factors", F.col("column")))
     notes = notes.withColumn("token", F.when(factor > 1, divided(F.col("token"), factor)).otherwise(F.col("token"))).withColumn("length", duration(F.col("token")))
-    doc = lines.schema["doc_id"].dataType.simpleString()
-    slots = notes.select("doc_id", "region", "line_no", "inside", "column", "length").groupBy("doc_id", "region").applyInPandas(_slots, f"doc_id {doc}, region long, line_no long, column int, slot long, slots long")
+    slots = P.grouped(notes.select("doc_id", "region", "line_no", "inside", "column", "length"), ["doc_id", "region"], ["line_no", "column"], {"line_no": "long", "column": "int", "slot": "long", "slots": "long"}, _slots)
     sounding = notes.where("inside").join(slots, ["doc_id", "region", "line_no", "column"]).groupBy("doc_id", "region", "slot", "column", "slots").agg(F.max_by("token", "line_no").alias("token"))
     line = sounding.groupBy("doc_id", "region", "slot").agg(F.map_from_entries(F.collect_list(F.struct("column", "token"))).alias("row"))
     line = line.join(spans.select("doc_id", "region", "start", "width"), ["doc_id", "region"])
