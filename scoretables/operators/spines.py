@@ -1,46 +1,56 @@
 """Spine state: which column of a score line belongs to which spine, through splits, joins and ends, and where cues are.
 
-Only lines that change the state pass through Python, a document's at a time; all others look up the state that the last
-of these left. Documents without such lines have their columns as spines.
+One ordered pass over each document; of lines that do not change the state only the width is read. Documents without such
+lines have their columns as spines.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoretables.functions import tokens as T
+from scoretables.operators import passes as P
 
 OPERATORS = ("*^", "*v", "*-", "*+", "*cue", "*Xcue")
 
 
-def _state(spines: list[int] | None, cues: list[bool], least: float, width: int) -> list[tuple[int, bool]]:
-    """The state of ``width`` columns, of which only the first ``least`` are told apart; the last of these is repeated."""
-    if spines is None:
-        return [(int(min(c, least - 1)), False) for c in range(width)]
-    if not spines:
-        return [(0, False)] * width
-    at = [int(min(c, least - 1, len(spines) - 1)) for c in range(width)]
-    return [(spines[i], cues[i]) for i in at]
-
-
-def _after(rows: pd.DataFrame) -> pd.DataFrame:
-    out: list[tuple] = []
+def _columns():
+    """A pass over a document's lines: spine and cue of each of their columns, from the fields of those that change them."""
     spines: list[int] | None = None
     cues: list[bool] = []
-    for doc, turn, least, fields in rows.sort_values("turn")[["doc_id", "turn", "least", "fields"]].itertuples(index=False):
-        following: list[tuple[int, bool]] = []
-        joining = False
-        for (spine, cue), field in zip(_state(spines, cues, float("inf") if pd.isna(least) else least, len(fields)), fields, strict=True):
-            if field == "*v" and joining:
-                continue
-            joining = field == "*v"
-            state = (spine, field == "*cue" or (cue and field != "*Xcue"))
-            following += [] if field == "*-" else [state, state] if field == "*^" else [state]
-        spines, cues = [s for s, _ in following], [c for _, c in following]
-        out.append((doc, turn + 1, spines, cues))
-    return pd.DataFrame(out, columns=["doc_id", "turn", "spines", "cues"])
+    least = None
+
+    def step(width, moves, busy):
+        nonlocal spines, cues, least
+        # A line with fewer columns than the state has cut it; in one with more the last column that is told apart is repeated.
+        known = width if least is None else min(least, width)
+        if not busy:
+            found, in_cue = list(range(width)), [False] * width
+        elif spines is None:
+            found, in_cue = [*range(known), *[known - 1] * (width - known)], [False] * width
+        elif not spines:
+            found, in_cue = [0] * width, [False] * width
+        else:
+            known = min(known, len(spines))
+            found = spines[:known] + [spines[known - 1]] * (width - known)
+            in_cue = cues[:known] + [cues[known - 1]] * (width - known)
+        least = width if least is None else min(least, width)
+        if moves is not None:
+            spines, cues, least = [], [], None
+            joining = False
+            for spine, cue, field in zip(found, in_cue, moves, strict=True):
+                if field == "*v" and joining:
+                    continue
+                joining = field == "*v"
+                if field == "*-":
+                    continue
+                copies = 2 if field == "*^" else 1
+                spines += [spine] * copies
+                cues += [field == "*cue" or (cue and field != "*Xcue")] * copies
+        return found, in_cue
+
+    return step
 
 
 def assigned(lines: DataFrame) -> DataFrame:
@@ -49,21 +59,14 @@ def assigned(lines: DataFrame) -> DataFrame:
     A line with fewer columns than the state cuts it; in one with more the last state is repeated. So of the columns only
     as many are told apart as every line since the last change has had.
     """
-    lines = lines.select("doc_id", "line_no", "fields", F.exists("fields", lambda x: x.isin(*OPERATORS)).alias("moves"))
-    busy = lines.where("moves").select("doc_id").distinct()
-    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = lines.join(busy, "doc_id", "left_semi").withColumn("turn", F.coalesce(F.count_if("moves").over(before), F.lit(0)))
-    since = Window.partitionBy("doc_id", "turn").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("least", F.min(F.size("fields")).over(since))
-    kind = lines.schema["doc_id"].dataType.simpleString()
-    after = rows.where("moves").groupBy("doc_id").applyInPandas(_after, f"doc_id {kind}, turn long, spines array<long>, cues array<boolean>")
-    known = rows.join(after, ["doc_id", "turn"], "left").select("doc_id", "line_no", "least", "spines", "cues", F.posexplode("fields").alias("column", "token"))
-    at = F.least(F.col("column"), F.coalesce(F.col("least"), F.lit(1 << 30)) - 1, F.coalesce(F.size("spines") - 1, F.lit(1 << 30)))
-    spine = F.when(F.col("spines").isNull(), at.cast("long")).otherwise(F.coalesce(F.get("spines", at), F.lit(0)))
-    column = F.col("column").cast("long")
-    known = known.select("doc_id", "line_no", column.alias("column"), spine.alias("spine"), "token", F.coalesce(F.get("cues", at), F.lit(False)).alias("cue"))
-    plain = lines.join(busy, "doc_id", "left_anti").select("doc_id", "line_no", F.posexplode("fields").alias("column", "token"))
-    return known.unionByName(plain.select("doc_id", "line_no", column.alias("column"), column.alias("spine"), "token", F.lit(False).alias("cue")))
+    lines = lines.where("fields is not null")
+    moves = F.exists("fields", lambda x: x.isin(*OPERATORS)) & F.col("doc_id").isNotNull()
+    rows = lines.select("doc_id", "line_no", "fields", F.when(moves, F.col("fields")).alias("moves"), F.size("fields").alias("width"))
+    whole = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.repartition("doc_id").withColumn("busy", F.max(F.col("moves").isNotNull()).over(whole))
+    found = P.scanned(rows, ["width", "moves", "busy"], {"spines": "array<long>", "cues": "array<boolean>"}, _columns)
+    each = found.select("doc_id", "line_no", F.posexplode(F.arrays_zip("fields", "spines", "cues")).alias("column", "own"))
+    return each.select("doc_id", "line_no", F.col("column").cast("long").alias("column"), F.col("own.spines").alias("spine"), F.col("own.fields").alias("token"), F.col("own.cues").alias("cue"))
 
 
 def without_cues(lines: DataFrame) -> DataFrame:

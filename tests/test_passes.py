@@ -5,7 +5,7 @@ import pytest
 from scoretables import catalogue
 from scoretables.operators import passes
 
-NAMES = ("note_columns", "lagging_rests", "rescaled_regions")
+NAMES = ("spine_columns", "cue_passages", "note_columns", "lagging_rests", "rescaled_regions")
 
 
 @pytest.mark.parametrize("name", NAMES)
