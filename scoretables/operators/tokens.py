@@ -130,7 +130,13 @@ def encoded(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
 def sequence(tokens: DataFrame) -> DataFrame:
     """Tokens with separators, in order: ``<coc>`` between spines, ``<nl>`` before a data line that follows one, ``<bar>``
     for barlines, ``<sos>`` and ``<eos>`` around each document. Long form: doc_id, pos, token."""
-    lines = tokens.groupBy("doc_id", "line_no", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("spine", "token"))), lambda x: x["token"]).alias("parts")).where(F.col("kind").isin("data", "bar"))
+    rows = tokens.where(F.col("kind").isin("data", "bar")).groupBy("doc_id", "line_no", "kind")
+    return sequence_of_lines(rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("spine", "token"))), lambda x: x["token"]).alias("parts")))
+
+
+def sequence_of_lines(lines: DataFrame) -> DataFrame:
+    """The same of lines (doc_id, line_no, kind) that have their tokens in order in ``parts``, of which none is moved alone."""
+    lines = lines.where(F.col("kind").isin("data", "bar"))
     after = F.lag("kind").over(Window.partitionBy("doc_id").orderBy("line_no"))
     data = F.flatten(F.transform("parts", lambda p, i: F.when(i == 0, F.array(p)).otherwise(F.array(F.lit("<coc>"), p))))
     data = F.when(after == "data", F.concat(F.array(F.lit("<nl>")), data)).otherwise(data)
@@ -156,6 +162,12 @@ def shortest(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("doc_id", "line_no").agg(F.min_by(F.struct("dur", "spine", "token"), F.struct("dur", "spine")).alias("m")).select("doc_id", "line_no", "m.dur", "m.token")
 
 
+def shortest_of_lines(lines: DataFrame) -> DataFrame:
+    """The same of lines (doc_id, line_no) with an array ``parts`` of structs (dur, spine, token): a token a line is moved."""
+    own = lines.select("doc_id", "line_no", F.array_min("parts").alias("m")).where("m is not null")
+    return shortest(own.select("doc_id", "line_no", "m.dur", "m.spine", "m.token"))
+
+
 def complete_tuplets(tokens: DataFrame, size: int | Column, is_tuplet: Column, resets: Column) -> DataFrame:
     """Tuplet tokens in complete runs of ``size`` of one duration in a spine. Anything that resets begins a new run."""
     order = Window.partitionBy("doc_id", "spine").orderBy("line_no")

@@ -22,13 +22,13 @@ class Family:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.sql: dict[str, str] = {}
 
-    def __call__(self, *views: str, sql: str | None = None):
-        """Register a function of the named views (or tables). ``sql`` may use the views' names."""
+    def __call__(self, *views: str, sql: str | None = None, reads: tuple[str, ...] = ()):
+        """Register a function of the named views (or tables). ``sql`` may use the views' names, and those of ``reads``."""
 
         def add(f):
             self.queries[f.__name__] = lambda spark, d: f(*(view(spark, d, v) for v in views))
             if sql:
-                self.sql[f.__name__] = duckdb(*views, then=sql)
+                self.sql[f.__name__] = duckdb(*views, *reads, then=sql)
             return f
 
         return add

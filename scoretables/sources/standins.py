@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RESULTS = """
 SELECT concat('sys', s.s) AS system,
@@ -98,6 +99,17 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **frames)
 
 
+def parts(lines: DataFrame) -> DataFrame:
+    """Lines with the rows that ``tokens`` has of them as an array of structs (dur, spine, token)."""
+    token = lambda w, i: F.struct(F.length(w).cast("long").alias("dur"), i.cast("long").alias("spine"), w.alias("token"))
+    return lines.select("doc_id", "line_no", "kind", F.transform(F.split("line", " "), token).alias("parts"))
+
+
+def tokens_by_document(lines: DataFrame) -> DataFrame:
+    """The view ``tokens`` of lines that are dealt out by document first: counts and ranks within documents then move no token."""
+    return lines.sparkSession.sql(TOKENS["spark"].replace("FROM lines", "FROM {lines}"), lines=lines.repartition("doc_id"))
+
+
 def duckdb(*names: str, then: str) -> str:
     """SQL for the oracle: the views as common table expressions, followed by ``then``."""
     parts = []

@@ -25,3 +25,22 @@ def test_groups_of_null_and_other_keys(spark):
     found = passes.grouped(df, ["doc_id"], ["line_no"], {"n": "long", "all": "array<string>"}, lambda rows: [(len(rows), [t for _, t in rows])])
     assert {(r.doc_id, r.n, tuple(r["all"])) for r in found.collect()} == {(None, 2, ("a", "b")), ("x", 2, ("c", "d")), ("y", 1, ("e",))}
     assert passes.grouped(df.where("t = 'z'"), ["doc_id"], ["line_no"], {"n": "long"}, lambda rows: [(len(rows),)]).count() == 0
+
+
+def test_tokens_of_lines_are_not_moved_one_by_one(spark, sf):
+    from scoretables.operators import tokens
+    from scoretables.sources import standins
+
+    def plan(name):
+        return catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+    for name in ("shortest_per_line", "rhythm_targets", "compact_targets"):
+        # Only documents are taken apart before the shuffle, into lines.
+        assert "split(line" not in "".join(x for x in plan(name).splitlines() if "Generate" in x), name
+    assert plan("token_frequencies").count("Exchange hashpartitioning(doc_id") == 1 and plan("token_frequencies").count("Exchange ") == 1
+    assert plan("token_sequences").count("Exchange ") == 1
+
+    lines, exploded = standins.view(spark, sf, "lines"), standins.view(spark, sf, "tokens")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(tokens.shortest_of_lines(standins.parts(lines))) == rows(tokens.shortest(exploded))
+    assert rows(standins.tokens_by_document(lines)) == rows(exploded)
