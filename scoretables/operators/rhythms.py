@@ -7,7 +7,9 @@ comes in a row) is solved once and joined to its tokens.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,35 +82,60 @@ def nearest(num: Column, den: Column) -> Column:
     return _first_least(_options(), lambda o: F.abs(num * PARTS - o["parts"] * den))
 
 
+def _spread(n_long: int, n_short: int) -> list[bool]:
+    """The same as ``spread``, of numbers."""
+    few, all_, error, placed, at = min(n_long, n_short), n_long + n_short, 0, 0, []
+    if few == 0:
+        return [n_short == 0] * all_
+    for _ in range(all_):
+        error += few
+        comes = error >= all_ - placed
+        error, placed = error - all_ * comes, placed + comes
+        at.append(comes == (n_long <= n_short))
+    return at
+
+
+_ORDERED = sorted(((name, p * PARTS // q) for name, p, q in values()), key=lambda v: -v[1])
+_NEAR = [(SHORTEST, SHORTEST_AS[0] * PARTS // SHORTEST_AS[1]), *_ORDERED]
+
+
+def _solution(x: int, y: int, n: int) -> tuple[str, list[str] | None, list[str] | None]:
+    """Kind, names and pair of a run."""
+    if y == 3 and x in (4, 8, 16, 32, 64, 128):
+        return "dotted", [f"{x // 2}."] * n, None
+    # 1 / g against y / x: the least of the longer or equal ones, the greatest of the shorter or equal.
+    longer, shorter = max((g for g in GRID if g * y <= x), default=None), min((g for g in GRID if g * y >= x), default=None)
+    if longer is not None and shorter is not None:
+        if longer == shorter:
+            return "same", [str(longer)] * n, None
+        # n y / x = a / longer + (n - a) / shorter.
+        a, rest = divmod(n * longer * (y * shorter - x), x * (shorter - longer))
+        if rest == 0 and 0 <= a <= n:
+            return "mixed", [str(longer if is_long else shorter) for is_long in _spread(a, n - a)], None
+    if n == 1:
+        # Both of a pair are durations; of pairs with the sum the one with the least difference, the longer one first.
+        pairs = [(abs(p - q), -p, [u, v]) for u, p in _ORDERED for v, q in _ORDERED if (p + q) * x == y * PARTS]
+        if pairs:
+            return "pair", None, min(pairs)[2]
+    return "nearest", [min(_NEAR, key=lambda v: abs(y * PARTS - v[1] * x))[0]] * n, None
+
+
 def solved(runs: DataFrame) -> DataFrame:
     """For each run of ``n`` notes of ``x%y`` (y / x of a whole note each) ``names``, one for each note, or ``pair``, two
     for the one note. ``kind`` says how: ``dotted`` (exact by name), ``same``, ``mixed`` (exact in sum), ``pair``, ``nearest``.
+
+    Runs are distinct problems, as few as the ratios and lengths that occur; a problem is solved by plain Python, as its
+    cases as one expression take the planner longer than the job.
     """
-    x, y, n = F.col("x"), F.col("y"), F.col("n")
-    dotted = F.when((y == 3) & x.isin(4, 8, 16, 32, 64, 128), F.concat(F.floor(x / 2).cast("string"), F.lit(".")))
-    number = lambda c: c.cast("string")
-    grid = F.array(*(F.lit(g).cast("long") for g in GRID))
-    # 1 / g against y / x: the least of the longer or equal ones, the greatest of the shorter or equal.
-    longer = F.array_max(F.filter(grid, lambda g: g * y <= x))
-    shorter = F.array_min(F.filter(grid, lambda g: g * y >= x))
-    # n y / x = a / longer + (n - a) / shorter.
-    over, under = n * longer * (y * shorter - x), x * (shorter - longer)
-    a = F.when((under != 0) & (over % F.nullif(under, F.lit(0)) == 0), F.floor(over / F.nullif(under, F.lit(0))))
-    mixed = F.when(a.between(0, n), F.transform(spread(a, n - a), lambda is_long: F.when(is_long, number(longer)).otherwise(number(shorter))))
-    whole = y * PARTS
-    by_length = sorted(values(), key=lambda v: -v[1] * PARTS // v[2])
-    ordered = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(p * PARTS // q).cast("long").alias("parts")) for name, p, q in by_length))
-    # Both of a pair are durations; of pairs with the sum the one with the least difference, the longer one first.
-    pairs = F.flatten(F.transform(ordered, lambda u: F.transform(F.filter(ordered, lambda v: (u["parts"] + v["parts"]) * x == whole), lambda v: F.struct(F.abs(u["parts"] - v["parts"]).alias("uneven"), (-u["parts"]).alias("first"), F.array(u["name"], v["name"]).alias("names")))))
-    pair = F.array_min(pairs)["names"]
-    near = F.concat(F.array(F.struct(F.lit(SHORTEST).alias("name"), F.lit(SHORTEST_AS[0] * PARTS // SHORTEST_AS[1]).cast("long").alias("parts"))), ordered)
-    lossy = _first_least(near, lambda o: F.abs(whole - o["parts"] * x))
-    rows = runs.withColumns({"dotted": dotted, "longer": longer, "shorter": shorter, "mixed": F.when(longer != shorter, mixed), "pair": F.when(n == 1, pair), "lossy": lossy})
-    kind = F.when(F.col("dotted").isNotNull(), "dotted").when(F.col("longer") == F.col("shorter"), "same").when(F.col("mixed").isNotNull(), "mixed").when(F.col("pair").isNotNull(), "pair").otherwise("nearest")
-    rows = rows.withColumn("kind", kind)
-    every = lambda name: F.array_repeat(name, n.cast("int"))
-    names = F.when(F.col("kind") == "dotted", every(F.col("dotted"))).when(F.col("kind") == "same", every(number(F.col("longer")))).when(F.col("kind") == "mixed", F.col("mixed")).when(F.col("kind") == "nearest", every(F.col("lossy")))
-    return rows.select(*runs.columns, "kind", names.alias("names"), F.when(F.col("kind") == "pair", F.col("pair")).alias("pair"))
+
+    def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_solution(*run) for run in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n")), strict=True)]
+            made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.list_(pa.string()), pa.list_(pa.string())))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "kind", "names", "pair"])
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema)
+    return runs.mapInArrow(solve, f"{own}, kind string, names array<string>, pair array<string>")
 
 
 def group_solutions(groups: DataFrame) -> DataFrame:

@@ -44,3 +44,12 @@ def test_tokens_of_lines_are_not_moved_one_by_one(spark, sf):
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(tokens.shortest_of_lines(standins.parts(lines))) == rows(tokens.shortest(exploded))
     assert rows(standins.tokens_by_document(lines)) == rows(exploded)
+
+
+def test_ratios_are_planned_quickly(spark, sf):
+    """The expression of all cases had the planner at work for half a minute, on any table."""
+    import time
+
+    began = time.time()
+    catalogue.QUERIES["ratio_tokens"](spark, sf)._jdf.queryExecution().executedPlan()
+    assert time.time() - began < 15
