@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -174,6 +178,74 @@ def split_notes(token: Column) -> Column:
     return F.when(F.size(notes) > 0, notes).otherwise(F.array(clear))
 
 
+#: The end as Java's "$" has it, also before a last line terminator.
+_END = r"(?=(?:\r\n|[\n\r\x85\u2028\u2029])?\Z)"
+_OPENING, _CLOSING, _LAST_BEAMS = re.compile(r"[\[({]+"), re.compile(r"[\])}]+" + _END), re.compile("[LJKk]+" + _END)
+_GRACE, _NUMBER, _PITCH = re.compile("[qQP]"), re.compile(r"[0-9]+\.?"), re.compile(r"(?:([A-G])\1*|([a-g])\2*)[#\-n]*|r")
+_BEAMS, _JOINT, _PITCHED = re.compile(BEAMS), re.compile(JOINT), re.compile(PITCHED)
+_SHARP_FLAT, _FLAT_SHARP = re.compile("[^-]*#.*-"), re.compile("[^#]*-.*#")
+#: Distinct fields whose tokens a task remembers.
+_REMEMBERED = 1 << 15
+
+
+def _factors(token: str) -> list[str]:
+    """The same as ``factors``, of a string."""
+    if token in ("", "."):
+        return ["."]
+    opening = _OPENING.match(token)
+    opening = opening[0] if opening else ""
+    rest = _LAST_BEAMS.sub("", token[len(opening) :])
+    grace = _GRACE.search(rest)
+    rest = _GRACE.sub("", rest)
+    pitches = []
+    for found in _PITCH.finditer(rest):
+        p = found[0].replace("n", "")
+        p = p.replace("-", "") if _SHARP_FLAT.match(p) else p.replace("#", "") if _FLAT_SHARP.match(p) else p
+        pitches.append(p)
+    duration, closing = _NUMBER.search(rest), _CLOSING.search(rest)
+    duration = [duration[0]] if duration else []
+    out = list(opening)
+    for i, p in enumerate(pitches):
+        out += [*duration, grace[0], p] if grace and i == 0 else [*duration, p]
+    if duration and not pitches:
+        out += [*duration, "r"]
+    return out + list(closing[0] if closing else "")
+
+
+def _split_notes(token: str) -> list[str]:
+    """The same as ``split_notes``, of a string."""
+    clear = _BEAMS.sub("", token)
+    return [x for x in _JOINT.split(clear) if _PITCHED.search(x)] or [clear]
+
+
+@functools.lru_cache(_REMEMBERED)
+def _field_tokens(field: str) -> str:
+    return " ".join(x for chord_note in field.split(" ") if chord_note for note in _split_notes(chord_note) for x in _factors(note))
+
+
+@functools.lru_cache(_REMEMBERED)
+def _next_field_tokens(field: str) -> str:
+    return f" <coc> {_field_tokens(field)}".rstrip(" ")
+
+
+def _line_tokens(line: str) -> str:
+    first, *others = line.split("\t")
+    return (_field_tokens(first) + "".join(map(_next_field_tokens, others))).lstrip(" ")
+
+
+def _lines_tokens(lines: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else _line_tokens(x) for x in lines.to_pylist()], pa.string())
+
+
+def line_tokens(line: Column) -> Column:
+    """The factors of all notes of a score line's fields, with ``<coc>`` between fields and a blank between tokens.
+
+    Fields repeat, and a field is taken apart once for as long as it is remembered: as expressions inside expressions the
+    factors of a note are evaluated over and over.
+    """
+    return F.arrow_udf(_lines_tokens, "string")(line)
+
+
 def plain_barline(line: Column) -> Column:
     """A barline's fields without repeat marks; other lines as they are."""
     fields = F.transform(F.split(line, "\t"), lambda x: F.when(x.startswith("="), F.regexp_replace(x, r"[:|!]+", "")).otherwise(x))

@@ -50,31 +50,42 @@ def schema_tokens(meter: Column, key: Column) -> Column:
     return F.concat(of_meter, of_key)
 
 
-def score_sequence(lines: DataFrame) -> DataFrame:
-    """The token sequence of score lines (doc_id, line_no, line with fields between tabs), with ``doc_id``, ``pos``, ``token``.
+def score_lines(lines: DataFrame) -> DataFrame:
+    """The tokens of score lines (doc_id, line_no, line with fields between tabs), with blanks between them in ``text``.
 
     Notes give their factors, ``<coc>`` stands between fields, ``<nl>`` before a data line (or a line of splits and
-    joins) that follows another one, ``<bar>`` and the meter and key in force for a barline, ``<sos>`` and ``<eos>``
-    around a document. Splits and joins are ``<split>``, ``<merge>`` and ``<*>``. Meter and key are the last given
-    before the bar; a bar before any has none.
+    joins) that follows another one, ``<bar>`` and the meter and key in force for a barline. Splits and joins are
+    ``<split>``, ``<merge>`` and ``<*>``. Meter and key are the last given before the bar; a bar before any has none.
     """
     fields = F.split(F.col("text"), "\t")
     one = lambda pattern: F.get(F.filter(fields, lambda x: x.rlike(pattern)), F.lit(0))
-    rows = lines.select("doc_id", "line_no", F.regexp_replace("line", r"^\s+|\s+$", "").alias("text")).where("text <> '' and not startswith(text, '!')")
-    control = F.col("text").startswith("*")
-    rows = rows.withColumns({"meter": F.when(control, one(r"^\*M.*/")), "key": F.when(control, one(r"^\*k\[")), "is_bar": F.col("text").startswith("=")})
+    rows = lines.select("doc_id", "line_no", F.regexp_replace("line", r"^\s+|\s+$", "").alias("text"))
+    # Lines without tokens are dropped after the windows only: a condition that is pushed down makes every line twice.
+    control, is_bar, silent = F.col("text").startswith("*"), F.col("text").startswith("="), F.coalesce(F.col("text"), F.lit("")).rlike("^(!|$)")
+    move = F.array_join(F.transform(fields, lambda x: F.when(x == "*^", "<split>").when(x == "*v", "<merge>").otherwise("<*>")), " <coc> ")
+    notes = T.line_tokens(F.when(~control & ~is_bar & ~silent, F.col("text")))
+    rows = rows.select("doc_id", "line_no", is_bar.alias("is_bar"), F.when(control, one(r"^\*M.*/")).alias("meter"), F.when(control, one(r"^\*k\[")).alias("key"), (~silent & (~control | F.exists(fields, lambda x: x.isin("*^", "*v")))).alias("stays"), F.when(control, move).otherwise(notes).alias("text"))
     order = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(order) for c in ("meter", "key")})
-    moves = F.exists(fields, lambda x: x.isin("*^", "*v"))
-    kept = rows.where(~control | moves)
-    move = F.transform(fields, lambda x: F.array(F.when(x == "*^", "<split>").when(x == "*v", "<merge>").otherwise("<*>")))
-    notes = F.transform(fields, lambda x: F.flatten(F.transform(F.flatten(F.transform(F.filter(F.split(x, " +"), lambda n: n != ""), T.split_notes)), T.factors)))
-    joined = F.flatten(F.transform(F.when(control, move).otherwise(notes), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.array(F.lit("<coc>")), p))))
+    kept = rows.withColumns({c: F.last(c, ignorenulls=True).over(order) for c in ("meter", "key")}).where("stays")
+    bar = F.array_join(F.concat(F.array(F.lit("<bar>")), schema_tokens(F.col("meter"), F.col("key"))), " ")
     follows = F.lag(~F.col("is_bar")).over(order)
-    data = F.when(follows, F.concat(F.array(F.lit("<nl>")), joined)).otherwise(joined)
-    bar = F.concat(F.array(F.lit("<bar>")), schema_tokens(F.col("meter"), F.col("key")))
-    line = kept.select("doc_id", "line_no", F.when(F.col("is_bar"), bar).otherwise(data).alias("parts"))
-    return _positions(line)
+    data = F.when(follows, F.rtrim(F.concat(F.lit("<nl> "), "text"))).otherwise(F.col("text"))
+    return kept.select("doc_id", "line_no", F.when(F.col("is_bar"), bar).otherwise(data).alias("text"))
+
+
+def score_sequence(lines: DataFrame) -> DataFrame:
+    """The token sequence of score lines, with ``<sos>`` and ``<eos>`` around a document: ``doc_id``, ``pos``, ``token``."""
+    parts = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", " "))
+    return _positions(score_lines(lines).select("doc_id", "line_no", parts.alias("parts")))
+
+
+def score_bodies(lines: DataFrame) -> DataFrame:
+    """The same in one ``body`` a document, with blanks between its ``n_tokens`` tokens; no token is moved alone."""
+    text = F.col("text")
+    size = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1)
+    own = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), lambda x: x != "")
+    body = F.array_join(F.concat(F.array(F.lit("<sos>")), own, F.array(F.lit("<eos>"))), " ")
+    return score_lines(lines).groupBy("doc_id").agg((F.sum(size) + 2).alias("n_tokens"), body.alias("body"))
 
 
 def _positions(line: DataFrame) -> DataFrame:

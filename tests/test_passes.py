@@ -53,3 +53,32 @@ def test_ratios_are_planned_quickly(spark, sf):
     began = time.time()
     catalogue.QUERIES["ratio_tokens"](spark, sf)._jdf.queryExecution().executedPlan()
     assert time.time() - began < 15
+
+
+def test_score_sequences_take_fields_apart_outside_of_expressions(spark, sf):
+    """Nested expressions took the factors of a note several times over, and tokens were put in order one by one."""
+    from pyspark.sql import functions as F
+
+    from scoretables.operators import tokens
+
+    plan = catalogue.QUERIES["score_sequences"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "([A-G])" not in plan and plan.count("Generate posexplode") == 1 and plan.count("Exchange ") == 1
+    text = [(1, 1, "**a\t**b"), (1, 2, "4c# 4e\t[8.G\t"), (1, 3, "!x"), (1, 4, "x\t4c\tx"), (1, 5, "x"), (1, 6, ""), (1, 7, "=1"), (1, 8, None), (1, 9, "*^\t*"), (2, 1, "x"), (None, 1, "2r"), (3, 1, "*a")]
+    lines = spark.createDataFrame(text, "doc_id long, line_no long, line string")
+    whole = tokens.score_sequence(lines).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("all"))
+    want = {r.doc_id: (len(r["all"]), " ".join(r["all"])) for r in whole.collect()}
+    assert {r.doc_id: (r.n_tokens, r.body) for r in tokens.score_bodies(lines).collect()} == want
+    assert want[1][1] == "<sos> 4 c# 4 e <coc> [ 8. G <nl> <coc> 4 c <coc> <nl> <bar> <split> <coc> <*> <eos>" and want[2] == (2, "<sos> <eos>") and set(want) == {None, 1, 2}
+
+
+def test_factors_of_strings_equal_the_expressions(spark):
+    import random
+
+    from scoretables.functions import tokens as T
+
+    rng = random.Random(3)
+    made = ["", ".", "4c\r", "8cLL\r", "4cL ", "[4c]\x85", "qq", "16", "[4", "4r]", "é4c", "4c#-n", "4c-#"]
+    made += ["".join(rng.choices("0124.[](){}_qQPrabcgCDG##--nLJkK ~/é\r", k=rng.randint(1, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([(x,) for x in made], "t string")
+    for r in df.select("t", T.factors(df.t).alias("f"), T.split_notes(df.t).alias("s")).collect():
+        assert (T._factors(r.t), T._split_notes(r.t)) == (r.f, r.s), r.t
