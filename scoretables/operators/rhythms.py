@@ -156,7 +156,9 @@ def without_unknown_groups(tokens: DataFrame) -> DataFrame:
     """Tokens of durations of GROUPED, in runs of one duration in a spine, as evenly spread mixtures of durations that the
     vocabulary has: ``doc_id``, ``spine``, ``line_no``, ``token``, ``exact``. Runs without a solution keep their tokens.
 
-    Null tokens and tokens that begin with no number are passed over; a barline or another duration ends a run.
+    Null tokens and tokens that begin with no number are passed over; a barline or another duration ends a run. All
+    problems that can have a solution are known beforehand (durations of GROUPED, up to LARGEST_GROUP notes), so that
+    tokens are gone through once; tokens that are dealt out by document are not moved.
     """
     order = Window.partitionBy("doc_id", "spine").orderBy("line_no")
     head, number = r"^([\[({]*)[0-9]+", F.regexp_extract("token", r"^[\[({]*([0-9]+)", 1)
@@ -164,10 +166,11 @@ def without_unknown_groups(tokens: DataFrame) -> DataFrame:
     begins = F.coalesce(F.lag("number").over(order) != F.col("number"), F.lit(True))
     rows = rows.withColumn("run", F.count_if(begins).over(order)).where(F.col("number").isin(*GROUPED))
     own = Window.partitionBy("doc_id", "spine", "run")
-    rows = rows.withColumns({"at": F.row_number().over(own.orderBy("line_no")) - 1, "n": F.count("*").over(own), "d": F.col("number").cast("long")})
-    answers = group_solutions(rows.select("d", "n").distinct())
+    rows = rows.withColumns({"at": F.row_number().over(own.orderBy("line_no")) - 1, "n": F.count("*").over(own)})
+    problems = tokens.sparkSession.createDataFrame([(d, int(d), n) for d in GROUPED for n in range(1, LARGEST_GROUP + 1)], "number string, d long, n long")
     names = F.transform(spread(F.col("n_long"), F.col("n_short")), lambda is_long: F.when(is_long, F.col("long")).otherwise(F.col("short")))
-    rows = rows.join(answers.withColumn("names", F.when(F.col("n_long").isNotNull(), names)), ["d", "n"])
+    answers = group_solutions(problems).where("n_long is not null").select("number", "n", names.alias("names"))
+    rows = rows.join(F.broadcast(answers), ["number", "n"], "left")
     renamed = F.concat(F.regexp_extract("token", head, 1), F.get("names", F.col("at")), F.regexp_replace("token", head, ""))
     exact = F.col("names").isNotNull()
     return rows.select("doc_id", "spine", "line_no", F.when(exact, renamed).otherwise(F.col("token")).alias("token"), exact.alias("exact"))

@@ -82,3 +82,10 @@ def test_factors_of_strings_equal_the_expressions(spark):
     df = spark.createDataFrame([(x,) for x in made], "t string")
     for r in df.select("t", T.factors(df.t).alias("f"), T.split_notes(df.t).alias("s")).collect():
         assert (T._factors(r.t), T._split_notes(r.t)) == (r.f, r.s), r.t
+
+
+def test_groups_go_through_tokens_once_and_move_lines_only(spark, sf):
+    """Distinct problems were looked for in a second run over all tokens, which were moved by spine."""
+    plan = catalogue.QUERIES["group_tokens"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning(doc_id") == plan.count("Exchange hashpartitioning") == 1
+    assert "SortMergeJoin" not in plan
