@@ -4,22 +4,23 @@ Every word has hashed embeddings side by side: of the whole word and of its firs
 forms that are too rare to be learned one by one. Filters of several widths run over them, each is pooled by its
 maximum over the whole text, and the rectified maxima go to a logistic layer. Everything starts from noise.
 
-Rows set apart from training choose the threshold of each language (as identified from the text by a model the caller
-gives) that balances misses and false alarms; scores are stretched so that this threshold becomes 0.5. A language
-with fewer than ENOUGH rows of either label takes the threshold of all. Languages are told only for texts whose score
-lies between the least and the greatest threshold. Maxima run on from piece to piece of a long text.
-
-The model learns from at most about FIT rows of either label and FIT_BYTES of text, whole texts; everything is scored.
-Texts become bucket numbers where they lie; one task trains on those of the sample, and only the trained network
-comes to the driver. Defined results: null and empty texts have one word of padding and are scored like others;
-repeated rows are scored each; of several labels of a document the largest counts; without rows of both labels every
-score is the share of label 1 (0 if there is none). An empty table gives an empty result.
+Rows set apart from training (a quarter, by a hash of their key) choose the threshold of each language (as identified
+from the text by a model the caller gives) that balances misses and false alarms; scores are stretched so that this
+threshold becomes 0.5. A language with fewer than ENOUGH rows of either label takes the threshold of all. Languages are
+told only for texts whose score lies between the least and the greatest threshold. Maxima run on from piece to piece of
+a long text.
+
+The model learns from all labelled rows: three quarters train, a quarter is counted for the thresholds. Texts become
+bucket numbers where they lie and are dealt into shards of about SHARD_BYTES. In each of ROUNDS rounds every shard goes
+on from the same network through its next rows; what the shards changed is added up by blocks of parameters and averaged,
+each parameter over the shards that moved it. Only the network and counts of scores come to the driver. Defined results:
+null and empty texts have one word of padding and are scored like others; repeated rows are scored each; of several
+labels of a document the largest counts; without rows of both labels every score is the share of label 1 (0 if there is
+none). An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +33,14 @@ STARTS = (None, 4)
 #: Bucket numbers fit into 16 bits.
 BUCKETS, SIZE = 1 << 15, 8
 WIDTHS, FILTERS = (1, 2, 3), 8
-FIT, FIT_BYTES = 2_000, 16 << 20
-STEPS, BATCH, RATE = 800, 64, 0.1
+#: Bytes of bucket numbers that are trained on at a time, and rounds of averaging.
+SHARD_BYTES, ROUNDS = 16 << 20, 8
+#: A shard takes so many steps in all, and more if its rows would not be met EPOCHS times.
+STEPS, EPOCHS, BATCH, RATE = 800, 3, 64, 0.1
+#: Parameters whose changes make a row.
+BLOCK = 1 << 13
+#: Scores are counted in cells of 1 / CELLS of a logit.
+CELLS = 64
 #: Where Adagrad's sums of squared gradients start: small, so that first steps are long.
 SEEN = 1e-6
 ENOUGH = 20
@@ -86,6 +93,22 @@ class Network:
         self.out, self.out_bias = rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), np.zeros(1, np.float32)
         self.seen = {id(p): np.full_like(p, SEEN) for p in (self.embed, *self.filters, *self.bias, self.out, self.out_bias)}
 
+    def _parameters(self) -> list[np.ndarray]:
+        return [self.embed, *self.filters, *self.bias, self.out, self.out_bias]
+
+    def vectors(self) -> tuple[np.ndarray, np.ndarray]:
+        """All parameters, and the sums of squared gradients of each, one after the other."""
+        own = self._parameters()
+        return np.concatenate([p.ravel() for p in own]), np.concatenate([self.seen[id(p)].ravel() for p in own])
+
+    @classmethod
+    def of(cls, values: np.ndarray, seen: np.ndarray) -> Network:
+        made, at = cls(), 0
+        for p in made._parameters():
+            p[...], made.seen[id(p)][...] = (x[at : at + p.size].reshape(p.shape) for x in (values, seen))
+            at += p.size
+        return made
+
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "seen"}
 
@@ -201,82 +224,156 @@ def stretched(raw: np.ndarray, low: float, cut: np.ndarray, high: float) -> np.n
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     """The middle of the gap that leaves the fewest errors, each label's errors weighted by its rows."""
     order = np.argsort(p, kind="stable")
-    p, y = p[order], y[order]
-    misses = np.concatenate([[0], np.cumsum(y)]) / max(y.sum(), 1)
-    alarms = 1 - np.concatenate([[0], np.cumsum(1 - y)]) / max((1 - y).sum(), 1)
+    return _cut(p[order], p[order], 1 - y[order], y[order])
+
+
+def _cut(low: np.ndarray, high: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> float:
+    """The same of cells in order, with their least and greatest score and their rows of either label."""
+    misses = np.concatenate([[0], np.cumsum(n1)]) / max(n1.sum(), 1)
+    alarms = 1 - np.concatenate([[0], np.cumsum(n0)]) / max(n0.sum(), 1)
     cost = misses + alarms
-    edges = np.concatenate([[0.0], p, [1.0]])
-    middle = (edges[:-1] + edges[1:]) / 2
+    below, above = np.concatenate([[0.0], high]), np.concatenate([low, [1.0]])
     best = np.flatnonzero(cost <= cost.min() + 1e-12)
-    return float(np.clip(middle[best[np.argmax((edges[1:] - edges[:-1])[best])]], 1e-6, 1 - 1e-6))
-
-
-def trained(texts: Texts, y: np.ndarray, names: np.ndarray) -> tuple[Network, dict[str | None, float]]:
-    """The network, and the thresholds from the rows that it did not learn from. ``names``: each row's language or None."""
-    rng = np.random.default_rng(SEED)
-    held = rng.random(len(y)) < 0.25
-    train, test = np.flatnonzero(~held), np.flatnonzero(held)
-    network = Network()
-    by_label = [train[y[train] == k] for k in (0, 1)]
-    for step in range(STEPS if min(map(len, by_label)) else 0):
-        pick = np.concatenate([rng.choice(w, BATCH // 2) for w in by_label])
-        network.step(*texts.take(pick), y[pick], RATE / (1 + 4 * step / STEPS))
-    p = np.concatenate([network.score(*texts.take(test[i : i + 64])) for i in range(0, len(test), 64)]) if len(test) else np.zeros(0)
-    y, names = y[test], names[test]
-    thresholds: dict[str | None, float] = {None: _threshold(p, y) if len(set(y.tolist())) == 2 else 0.5}
-    for name in set(names.tolist()) - {None}:
-        own = names == name
-        if min((y[own] == 1).sum(), (y[own] == 0).sum()) >= ENOUGH:
-            thresholds[name] = _threshold(p[own], y[own])
-    return network, thresholds
-
-
-def _train_rows(batches):
-    """In one task: the pickled network and thresholds from the sample's bucket numbers, in the order of their keys."""
-    rows = pa.Table.from_batches(list(batches))
-    if not len(rows):
-        return
-    rows = rows.sort_by([("key", "ascending"), ("ids", "ascending")])
-    y = rows.column("y").to_numpy().astype(np.float32)
-    if len(np.unique(y)) < 2:
-        made = None, float(y[0])
-    else:
-        made = trained(Texts.unpacked(rows.column("ids").to_pylist()), y, np.array(rows.column("lang").to_pylist(), object))
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], names=["made"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, languages: langid.Model | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bound: int = FIT, most_bytes: int = FIT_BYTES) -> Model:
-    """``docs`` and ``labels`` hold only rows to learn from."""
+    widest = best[np.argmax((above - below)[best])]
+    return float(np.clip((below[widest] + above[widest]) / 2, 1e-6, 1 - 1e-6))
+
+
+def _learn(network: Network, texts: Texts, y: np.ndarray, shard: int, turn: int) -> None:
+    """A round's steps on a shard. Of either label half a batch, in shuffled order and over again: all rows are met."""
+    rng = np.random.default_rng([SEED, shard])
+    by_label = [w for w in (np.flatnonzero(y == k) for k in (0, 1)) if len(w)]
+    half = BATCH // 2
+    total = max(STEPS, EPOCHS * -(-max(map(len, by_label)) // half))
+    order = [np.concatenate([rng.permutation(w) for _ in range(-(-total * half // len(w)))]) for w in by_label]
+    for step in range(total * turn // ROUNDS, total * (turn + 1) // ROUNDS):
+        pick = np.concatenate([w[step * half : (step + 1) * half] for w in order])
+        network.step(*texts.take(pick), y[pick], RATE / (1 + 4 * step / total))
+
+
+def _round(held, turn: int):
+    """mapInArrow over rows sorted by shard: blocks of what the task's shards change of the network, of its sums of
+    squared gradients, and of how many shards moved each parameter."""
+
+    def run(batches):
+        values, seen = held.value
+        total = np.zeros((3, len(values)), np.float32)
+
+        def train(shard: int, ids: list[bytes], y: list[int]) -> None:
+            network = Network.of(values, seen)
+            _learn(network, Texts.unpacked(ids), np.array(y, np.float32), shard, turn)
+            new, squares = network.vectors()
+            for own, more in zip(total, (new - values, squares - seen, squares != seen), strict=True):
+                own += more
+
+        of, ids, y, size = None, [], [], 0
+        for batch in tables.slices(batches, "ids"):
+            for shard, label, own in zip(*(batch.column(c).to_pylist() for c in ("shard", "y", "ids")), strict=True):
+                if ids and (shard != of or size > 2 * SHARD_BYTES):
+                    train(of, ids, y)
+                    ids, y, size = [], [], 0
+                of, size = shard, size + len(own)
+                ids.append(own)
+                y.append(label)
+        if ids:
+            train(of, ids, y)
+            at = range(0, len(values), BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK for i in at], pa.int32()), pa.array([total[:, i : i + BLOCK].tobytes() for i in at], pa.binary())], names=["block", "change"])
+
+    return run
+
+
+def _summed(batches):
+    """In one task of many: the sum of each block's rows, double inside."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, change in zip(batch.column("block").to_pylist(), batch.column("change"), strict=True):
+            own = np.frombuffer(change.as_buffer(), np.float32).astype(float)
+            sums[block] = sums[block] + own if block in sums else own
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "change"])
+
+
+def trained(rows: DataFrame) -> Network:
+    """The network of all rows of ``shard``, ``y`` and ``ids``, which are sorted by shard."""
+    spark = rows.sparkSession
+    values, seen = Network().vectors()
+    for turn in range(ROUNDS):
+        held = spark.sparkContext.broadcast((values, seen))
+        parts = rows.mapInArrow(_round(held, turn), "block int, change binary").repartition(32, "block")
+        found = parts.mapInArrow(_summed, "block int, change binary").toArrow().sort_by("block")
+        held.destroy()
+        if not len(found):
+            break
+        change, squares, moved = np.concatenate([np.frombuffer(x, float).reshape(3, -1) for x in found.column("change").to_pylist()], axis=1)
+        values = (values + change / np.maximum(moved, 1)).astype(np.float32)
+        seen = (seen + squares / np.maximum(moved, 1)).astype(np.float32)
+    return Network.of(values, seen)
+
+
+def thresholds(rows: DataFrame, network: Network) -> dict[str | None, float]:
+    """Thresholds of all ``rows`` (y, lang, ids), by exact counts of the scores in cells."""
+    held = rows.sparkSession.sparkContext.broadcast(network)
+
+    def work(batches):
+        own = held.value
+        for batch in tables.slices(batches, "ids"):
+            texts = Texts.unpacked(batch.column("ids").to_pylist())
+            p = own.score(texts.ids, texts.bounds[:-1])
+            cell = np.floor(CELLS * np.clip(np.log(np.maximum(p, 1e-30) / np.maximum(1 - p, 1e-30)), -32, 32)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("y").cast(pa.int32()), pa.array(cell), pa.array(p)], names=["lang", "y", "cell", "p"])
+
+    cells = rows.mapInArrow(work, "lang string, y int, cell int, p double").groupBy("lang", "cell")
+    found = cells.agg(F.min("p").alias("low"), F.max("p").alias("high"), F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1")).collect()
+    held.destroy()
+
+    def cut(names, enough):
+        by_cell: dict[int, list[float]] = {}
+        for r in found:
+            if r.lang in names:
+                low, high, n0, n1 = by_cell.get(r.cell, (1.0, 0.0, 0, 0))
+                by_cell[r.cell] = [min(low, r.low), max(high, r.high), n0 + r.n0, n1 + r.n1]
+        columns = np.array([by_cell[c] for c in sorted(by_cell)], float).reshape(-1, 4).T
+        return _cut(*columns) if min(columns[2].sum(), columns[3].sum()) >= enough else None
+
+    names = {r.lang for r in found}
+    out = {name: cut({name}, ENOUGH) for name in names - {None}}
+    return {None: 0.5 if (of_all := cut(names, 1)) is None else of_all} | {k: v for k, v in out.items() if v is not None}
+
+
+def fit(docs: DataFrame, labels: DataFrame, languages: langid.Model | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Model:
+    """``docs`` and ``labels`` hold only rows to learn from; all of them are learned from."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.max(label_col).alias("y"))
     total = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
         return Model(None, float(max(total, default=0)), languages, {None: 0.5})
-    parts = [tables.bounded_sample(known.where(F.col("y") == y), [F.col("key")], bound) for y in sorted(total)]
-    # About two times `bound` rows of two numbers, so small enough to broadcast at any size of the input.
-    sample = F.broadcast(parts[0].unionByName(parts[1]))
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body")).join(sample, "key")
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body")).join(known, "key")
+    rows = rows.withColumn("test", F.pmod(F.xxhash64(F.lit(SEED), F.col("key").cast("string")), F.lit(4)) == 0)
     held = docs.sparkSession.sparkContext.broadcast(languages)
 
     def make():
         own = held.value
 
         def work(batch):
-            lang = own.names(batch.column("body"))[0] if own else pa.nulls(batch.num_rows, pa.string())
-            return {"key": batch.column("key"), "y": batch.column("y"), "lang": lang, "ids": pa.array(Texts.of(batch.column("body")).packed(), pa.binary())}
+            body, test = batch.column("body"), batch.column("test").to_numpy(zero_copy_only=False)
+            lang = np.full(batch.num_rows, None, object)
+            if own and test.any():
+                lang[test] = own.names(body.filter(batch.column("test")))[0].to_pylist()
+            return {"key": batch.column("key"), "y": batch.column("y"), "test": batch.column("test"), "lang": pa.array(lang, pa.string()), "ids": pa.array(Texts.of(body).packed(), pa.binary())}
 
         return work
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    ids = tables.scratch(tables.map_text(rows.select("key", "y", "body"), f"key {kinds['key']}, y {kinds['y']}, lang string, ids binary", make, "body"), "toxic")
+    ids = tables.scratch(tables.map_text(rows.select("key", "y", "test", "body"), f"key {kinds['key']}, y {kinds['y']}, test boolean, lang string, ids binary", make, "body"), "toxic")
     held.destroy()
-    size = ids.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("n")).first().n
-    if size > most_bytes:
-        ids = ids.where(F.pmod(F.xxhash64("key", "ids"), F.lit(1 << 30)) < int(most_bytes / size * (1 << 30)))
-    found = ids.coalesce(1).mapInArrow(_train_rows, "made binary").collect()
-    network, rest = pickle.loads(found[0].made) if found else (None, 0.0)
-    if network is None:
-        return Model(None, rest, languages, {None: 0.5})
-    return Model(network, 0.0, languages, rest)
+    sizes = {r.y: r.n for r in ids.where("not test").groupBy("y").agg(F.sum(F.octet_length("ids")).alias("n")).collect()}
+    if len(sizes) < 2:
+        shares = ids.agg(F.avg("y").alias("share"), F.min("y").alias("low"), F.max("y").alias("high")).first()
+        return Model(None, float(shares.share or 0.0) if shares.low != shares.high else float(shares.low or 0.0), languages, {None: 0.5})
+    shards = max(1, -(-sum(sizes.values()) // shard_bytes))
+    dealt = ids.where("not test").withColumn("shard", F.pmod(F.xxhash64("key", "ids"), F.lit(shards)).cast("int")).select("shard", "key", "y", "ids")
+    dealt = tables.scratch(dealt.repartition(min(shards, 1 << 12), "shard").sortWithinPartitions("shard", "key", "ids"), "toxic-shards")
+    network = trained(dealt.select("shard", "y", "ids"))
+    return Model(network, 0.0, languages, thresholds(ids.where("test").select("y", "lang", "ids"), network))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

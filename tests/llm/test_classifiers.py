@@ -298,3 +298,31 @@ def test_held_out_accuracy_of_the_registered_queries(spark):
         found = [r for r in queries.QUERIES[name](spark, d).collect() if r.held_out and rows[r.doc_id][column] is not None]
         hits = [(r.lang_pred if column == "lang" else r.predicted) == rows[r.doc_id][column] for r in found]
         assert len(hits) > 40 and np.mean(hits) >= least, (name, np.mean(hits))
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """Training took a sample of the rows; here shards of a few rows must all be met and give one network."""
+    monkeypatch.setattr(toxicity, "STEPS", 80)
+    rows = labelled_texts(240)
+    docs = spark.createDataFrame([(r[0], r[1].replace("###", "")) for r in rows], "doc_id long, text string")
+    labels = labels_of(spark, rows)
+    met = []
+    trained, thresholds = toxicity.trained, toxicity.thresholds
+    monkeypatch.setattr(toxicity, "trained", lambda df: met.extend(map(tuple, df.collect())) or trained(df))
+    monkeypatch.setattr(toxicity, "thresholds", lambda df, n: met.extend((-1, *r) for r in df.select("y", "ids").collect()) or thresholds(df, n))
+    model = toxicity.fit(docs, labels, shard_bytes=8_000)
+    assert len(met) == 240 and len({m[0] for m in met}) > 3 and sum(m[1] for m in met) == 60
+    held = docs.where("doc_id % 4 < 2")
+    got = {r.row.doc_id: r.score for r in toxicity.score(held, model).collect()}
+    assert np.mean([(got[r[0]] >= 0.5) == (r[3] == 1) for r in rows if r[0] in got]) > 0.9
+
+    texts, y = toxicity.Texts.of(pa.array([r[1] for r in rows])), np.array([r[3] for r in rows], np.float32)
+    seen = set()
+
+    class Watch:
+        def step(self, ids, starts, labels, rate):
+            seen.update(b.tobytes() for b in np.split(ids, starts[1:], axis=1))
+
+    for turn in range(toxicity.ROUNDS):
+        toxicity._learn(Watch(), texts, y, 0, turn)
+    assert seen == {x for x in texts.packed()}
