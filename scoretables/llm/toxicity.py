@@ -23,10 +23,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoretables.llm import langid, tables, text
+from scoretables.llm import langid, tables, text, urlfilter
 
 #: Bytes of a word that each of its embeddings is hashed from; None: all.
 STARTS = (None, 4)
@@ -340,13 +340,23 @@ def thresholds(rows: DataFrame, network: Network) -> dict[str | None, float]:
     return {None: 0.5 if (of_all := cut(names, 1)) is None else of_all} | {k: v for k, v in out.items() if v is not None}
 
 
+def _common_key(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with ``key`` in the type that holds the keys of either, so that equal keys have equal hashes."""
+    kind = docs.select("key").union(labels.select("key")).schema["key"].dataType
+    return docs.withColumn("key", F.col("key").cast(kind)), labels.withColumn("key", F.col("key").cast(kind))
+
+
 def fit(docs: DataFrame, labels: DataFrame, languages: langid.Model | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Model:
     """``docs`` and ``labels`` hold only rows to learn from; all of them are learned from."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.max(label_col).alias("y"))
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body")).where("key is not null")
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(label_col).alias("y"))
+    rows, known = _common_key(rows, known)
+    known = tables.scratch(known.groupBy("key").agg(F.max("y").alias("y")), "toxic-labels")
     total = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
         return Model(None, float(max(total, default=0)), languages, {None: 0.5})
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body")).join(known, "key")
+    # Texts of rows without a label would be most of a join; a filter passes them over where they lie, at every size.
+    rows = urlfilter.passing(rows, known, sum(total.values()), "key")
     rows = rows.withColumn("test", F.pmod(F.xxhash64(F.lit(SEED), F.col("key").cast("string")), F.lit(4)) == 0)
     held = docs.sparkSession.sparkContext.broadcast(languages)
 
@@ -358,22 +368,28 @@ def fit(docs: DataFrame, labels: DataFrame, languages: langid.Model | None = Non
             lang = np.full(batch.num_rows, None, object)
             if own and test.any():
                 lang[test] = own.names(body.filter(batch.column("test")))[0].to_pylist()
-            return {"key": batch.column("key"), "y": batch.column("y"), "test": batch.column("test"), "lang": pa.array(lang, pa.string()), "ids": pa.array(Texts.of(body).packed(), pa.binary())}
+            ids = Texts.of(body).packed()
+            return {"key": batch.column("key"), "test": batch.column("test"), "lang": pa.array(lang, pa.string()), "size": pa.array(map(len, ids), pa.int64()), "ids": pa.array(ids, pa.binary())}
 
         return work
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    ids = tables.scratch(tables.map_text(rows.select("key", "y", "test", "body"), f"key {kinds['key']}, y {kinds['y']}, test boolean, lang string, ids binary", make, "body"), "toxic")
+    kind = rows.schema["key"].dataType.simpleString()
+    ids = tables.scratch(tables.map_text(rows.select("key", "test", "body"), f"key {kind}, test boolean, lang string, size long, ids binary", make, "body"), "toxic")
     held.destroy()
-    sizes = {r.y: r.n for r in ids.where("not test").groupBy("y").agg(F.sum(F.octet_length("ids")).alias("n")).collect()}
+    # Keys alone: what the filter let through without a label has none here.
+    found = ids.select("key", "test", "size").join(known, "key").groupBy("test", "y").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()
+    sizes = {r.y: r.size for r in found if not r.test}
     if len(sizes) < 2:
-        shares = ids.agg(F.avg("y").alias("share"), F.min("y").alias("low"), F.max("y").alias("high")).first()
-        return Model(None, float(shares.share or 0.0) if shares.low != shares.high else float(shares.low or 0.0), languages, {None: 0.5})
+        n = sum(r.n for r in found)
+        return Model(None, sum(r.n * r.y for r in found) / n if n else 0.0, languages, {None: 0.5})
     shards = max(1, -(-sum(sizes.values()) // shard_bytes))
-    dealt = ids.where("not test").withColumn("shard", F.pmod(F.xxhash64("key", "ids"), F.lit(shards)).cast("int")).select("shard", "key", "y", "ids")
-    dealt = tables.scratch(dealt.repartition(min(shards, 1 << 12), "shard").sortWithinPartitions("shard", "key", "ids"), "toxic-shards")
-    network = trained(dealt.select("shard", "y", "ids"))
-    return Model(network, 0.0, languages, thresholds(ids.where("test").select("y", "lang", "ids"), network))
+    # Bucket numbers meet their label on the way to their shard, the one time that they are moved.
+    both = ids.select("key", "test", "lang", F.lit(None).cast("int").alias("y"), "ids").unionByName(known.select("key", F.col("y").cast("int").alias("y")), allowMissingColumns=True)
+    both = both.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).repartition(min(shards, 1 << 12), "shard").sortWithinPartitions("shard", "key", "ids")
+    dealt = both.withColumn("y", F.max("y").over(Window.partitionBy("shard", "key"))).where("ids is not null and y is not null")
+    dealt = tables.scratch(dealt, "toxic-shards")
+    network = trained(dealt.where("not test").select("shard", "y", "ids"))
+    return Model(network, 0.0, languages, thresholds(dealt.where("test").select("y", "lang", "ids"), network))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -326,3 +326,34 @@ def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
     for turn in range(toxicity.ROUNDS):
         toxicity._learn(Watch(), texts, y, 0, turn)
     assert seen == {x for x in texts.packed()}
+
+
+def test_toxicity_moves_no_text_to_the_labels(spark, monkeypatch):
+    """Labels too many to be broadcast were joined by a shuffle of all texts; now few texts without a label become bucket
+    numbers, and these are moved once, to their shards. Keys of two types, null and repeated keys stay right."""
+    monkeypatch.setattr(toxicity, "STEPS", 80)
+    rows = labelled_texts(240)
+    spare = [(i, "without a label " * 20) for i in range(1000, 4000)] + ODD + [(rows[4][0], "another text")]
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows] + spare, "doc_id long, text string")
+    labels = labels_of(spark, [*rows, (rows[5][0], 0, 1, 0)]).withColumn("doc_id", F.col("doc_id").cast("int"))
+    written = {}
+    scratch = tables.scratch
+
+    def spy(df, name, **options):
+        written[name] = df._jdf.queryExecution().executedPlan().toString(), (out := scratch(df, name, **options))
+        return out
+
+    monkeypatch.setattr(tables, "scratch", spy)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        model = toxicity.fit(docs, labels, shard_bytes=8_000)
+        plan, ids = written["toxic"]
+        assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        plan, dealt = written["toxic-shards"]
+        assert plan.count("hashpartitioning") == 1
+        assert ids.count() < 241 + 300
+        got = sorted((r.key, r.y) for r in dealt.collect())
+        assert got == sorted([(r[0], r[3]) for r in rows] + [(rows[4][0], rows[4][3])])
+        assert dealt.select("shard").distinct().count() > 2 and model.network is not None
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
