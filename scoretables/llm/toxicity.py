@@ -376,8 +376,8 @@ def fit(docs: DataFrame, labels: DataFrame, languages: langid.Model | None = Non
     kind = rows.schema["key"].dataType.simpleString()
     ids = tables.scratch(tables.map_text(rows.select("key", "test", "body"), f"key {kind}, test boolean, lang string, size long, ids binary", make, "body"), "toxic")
     held.destroy()
-    # Keys alone: what the filter let through without a label has none here.
-    found = ids.select("key", "test", "size").join(known, "key").groupBy("test", "y").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()
+    # Keys alone, and not broadcast where they happen to be few: what the filter let through without a label has none here.
+    found = ids.select("key", "test", "size").join(known.hint("merge"), "key").groupBy("test", "y").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()
     sizes = {r.y: r.size for r in found if not r.test}
     if len(sizes) < 2:
         n = sum(r.n for r in found)
