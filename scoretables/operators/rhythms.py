@@ -1,15 +1,19 @@
 """Durations that the vocabulary has no name for, as ones it has: even spreads, nearest values, runs written with ratios.
 
 All arithmetic is in whole numbers. Values are fractions of a whole note. A distinct problem (a ratio and how often it
-comes in a row) is solved once and joined to its tokens.
+comes in a row) is solved once for a slice of a partition.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -176,31 +180,159 @@ def without_unknown_groups(tokens: DataFrame) -> DataFrame:
     return rows.select("doc_id", "spine", "line_no", F.when(exact, renamed).otherwise(F.col("token")).alias("token"), exact.alias("exact"))
 
 
-def ratio_runs(tokens: DataFrame) -> DataFrame:
-    """Tokens with ratios, with their ``x``, ``y``, the number ``run`` of their run in the spine, their place ``at`` in it
-    and its length ``n``. Null tokens are passed over; a barline, another token or another ratio ends a run.
+#: Tokens of a slice of a partition that is rewritten at once; lines are not cut.
+_SLICE = 250_000
+_KINDS = ("dotted", "same", "mixed", "pair", "nearest")
+#: What a ratio becomes: a name, or the first or second of a pair.
+_NAMED = {(name, place): i for i, (name, place) in enumerate((name, place) for name, _, _ in values() for place in (None, 0, 1))}
+_HEAD, _ANYWHERE = re.compile(r"^[\[({]*[0-9]+%[0-9]+\.?"), re.compile(r"[0-9]+%[0-9]+\.?")
+_known = functools.lru_cache(maxsize=4_096)(_solution)
 
-    ``tokens``: doc_id, line_no, spine, token and ``is_bar``.
+
+def _ratio(token: str | None) -> tuple[int, int] | str | None:
+    """The ratio of a token, else ``other`` for what ends a run, else nothing for what is passed over."""
+    if token is None or token in (".", ""):
+        return None
+    found = re.search(RATIO, token)
+    # Numbers that are no longs are none.
+    x, y = (int(d or "0") if len(d := digits.lstrip("0")) < 20 else 0 for digits in found.groups()) if found else (0, 0)
+    return (x, y) if 0 < x < 1 << 63 and 0 < y < 1 << 63 else "other"
+
+
+def _renamed(token: str, name: str, place: int | None) -> str:
+    if place is None:
+        return _ANYWHERE.sub(name, token)
+    rest = _HEAD.sub("", token)
+    tie = "" if rest.startswith("r") else "[]"[place]
+    return name + rest + tie if place else tie + name + rest
+
+
+def _entries(x: int, y: int, n: int) -> tuple[int, list[int]]:
+    """Number of the kind of a run's solution, and of what its ratios become: one a note, for a pair two for the note."""
+    kind, names, pair = (_known if n <= LARGEST_GROUP else _solution)(x, y, n)
+    return _KINDS.index(kind), [_NAMED[name, None] for name in names] if pair is None else [_NAMED[name, i] for i, name in enumerate(pair)]
+
+
+def _distinct(keys: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of some whole numbers, and each one's place among these."""
+    if below > 1 << 22:
+        return np.unique(keys, return_inverse=True)
+    occurs = np.zeros(below, bool)
+    occurs[keys] = True
+    return np.flatnonzero(occurs), (np.cumsum(occurs) - 1)[keys]
+
+
+def _read(lines: pa.RecordBatch) -> tuple[list, list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens and ratios; by token its line, its place there, its number and that of its ratio (0: ends a run, -1: is passed over)."""
+    parts, bar = lines.column("parts"), lines.column("is_bar")
+    sizes = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    tokens = parts.flatten().dictionary_encode(null_encoding="encode")
+    code, texts = tokens.indices.to_numpy(zero_copy_only=False).astype(np.int64), tokens.dictionary.to_pylist()
+    ratios: dict[tuple[int, int] | str | None, int] = {None: -1, "other": 0}
+    ratio = np.array([ratios.setdefault(r, len(ratios) - 1) for r in map(_ratio, texts)], dtype=np.int64)[code]
+    ends, is_data = (pc.fill_null(x, False).to_numpy(zero_copy_only=False)[row] for x in (bar, pc.invert(bar)))
+    return texts, list(ratios), row, at, code, np.where(ends | ((ratio > 0) & ~is_data), 0, ratio)
+
+
+def _rewritten(lines: pa.RecordBatch, last: bool) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """Tokens of the runs that end in these lines, and those of runs that may go on, as lines of one token each.
+
+    Lines come by document and in order. A run may go on if it is the last of its spine in the last document.
     """
-    order = Window.partitionBy("doc_id", "spine").orderBy("line_no")
-    x, y = (F.regexp_extract("token", RATIO, i).try_cast("long") for i in (1, 2))
-    rows = tokens.where("is_bar or token not in ('.', '')").withColumns({"x": F.when(~F.col("is_bar"), x), "y": F.when(~F.col("is_bar"), y)})
-    before = F.lag(F.struct("x", "y")).over(order)
-    begins = F.coalesce(before["x"] != F.col("x"), F.lit(True)) | F.coalesce(before["y"] != F.col("y"), F.lit(True))
-    rows = rows.withColumn("run", F.count_if(begins).over(order)).where("x is not null and y is not null and x > 0 and y > 0")
-    own = Window.partitionBy("doc_id", "spine", "run")
-    return rows.withColumns({"at": F.row_number().over(own.orderBy("line_no")) - 1, "n": F.count("*").over(own)})
+    texts, ratios, row, at, code, ratio = _read(lines)
+    own, first = lines.column("doc_id"), lines.column("first")
+    doc = own.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    doc = np.cumsum(np.diff(doc, prepend=doc[:1]) != 0)
+    spine = pc.fill_null(first, -1).to_numpy(zero_copy_only=False).astype(np.int64)[row] + at
+
+    kept = np.flatnonzero(ratio >= 0)
+    # Small keys are sorted by radix.
+    keys = [k.astype(np.uint16) if len(k) and 0 <= k.min() and k.max() < 1 << 16 else k for k in (spine[kept], doc[row[kept]])]
+    order = kept[np.lexsort(keys)]
+    row, at, code, ratio, spine = row[order], at[order], code[order], ratio[order], spine[order]
+    changes = np.ones(len(row), bool)
+    changes[1:] = (np.diff(spine) != 0) | (np.diff(doc[row]) != 0)
+    begins = changes | (ratio == 0)
+    begins[1:] |= np.diff(ratio) != 0
+    starts = np.flatnonzero(begins)
+    n, ratio = np.diff(starts, append=len(row)), ratio[starts]
+    goes_on = np.zeros(len(starts), bool)
+    if not last and len(starts):
+        goes_on = (ratio > 0) & np.append(changes[starts[1:]], True) & (doc[row[starts]] == doc[-1])
+    done = (ratio > 0) & ~goes_on
+
+    def taken(tokens: np.ndarray) -> list[pa.Array]:
+        where = pa.array(row[tokens])
+        return [own.take(where), lines.column("line_no").take(where), pc.add(first.take(where), pa.array(at[tokens]).cast(first.type))]
+
+    tokens = np.flatnonzero(np.repeat(goes_on, n))
+    docs, line_nos, spines = taken(tokens)
+    open_runs = [docs, line_nos, pa.array([False] * len(tokens), pa.bool_()), spines, pa.array([[texts[c]] for c in code[tokens]], lines.schema.field("parts").type)]
+
+    length, most = n[done], int(n.max(initial=0)) + 1
+    found, problem = _distinct(ratio[done] * most + length, len(ratios) * most)
+    solutions = [_entries(*ratios[p // most + 1], p % most) for p in found.tolist()]
+    kind, size = np.array([(k, len(entries)) for k, entries in solutions], dtype=np.int64).reshape(-1, 2).T
+    entry, before = np.array([e for _, entries in solutions for e in entries], dtype=np.int64), np.cumsum(size) - size
+    # A pair is two rows of its one note.
+    tokens, problem = np.flatnonzero(np.repeat(done, n)), np.repeat(problem, length)
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(length) - length, length)
+    copies = 1 + (kind[problem] == _KINDS.index("pair"))
+    tokens, problem, place = (np.repeat(x, copies) for x in (tokens, problem, place))
+    sub = np.arange(len(tokens)) - np.repeat(np.cumsum(copies) - copies, copies)
+    # Of a token and what its ratio becomes few pairs occur; each is written once.
+    found, text = _distinct(code[tokens] * len(_NAMED) + entry[before[problem] + place + sub], len(texts) * len(_NAMED))
+    named = list(_NAMED)
+    written = pa.array([_renamed(texts[p // len(_NAMED)], *named[p % len(_NAMED)]) for p in found.tolist()], pa.string())
+    docs, line_nos, spines = taken(tokens)
+    out = [docs, spines, line_nos, pa.array(sub, pa.int32()), written.take(pa.array(text)), pa.array(_KINDS).take(pa.array(kind[problem]))]
+    return pa.RecordBatch.from_arrays(out, names=["doc_id", "spine", "line_no", "sub", "token", "kind"]), pa.RecordBatch.from_arrays(open_runs, schema=lines.schema)
+
+
+def _slices(lines: pa.RecordBatch, tokens: int = _SLICE) -> Iterator[pa.RecordBatch]:
+    """Lines in slices of as many tokens at most, or of one line."""
+    total, at = np.cumsum(pc.fill_null(pc.list_value_length(lines.column("parts")), 0).to_numpy(zero_copy_only=False)), 0
+    while at < lines.num_rows:
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + tokens, "right")))
+        yield lines.slice(at, end - at)
+        at = end
+
+
+def _without_ratios(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    still_open = new = 0
+    for batch in batches:
+        for lines in _slices(batch):
+            held.append(lines)
+            new += lines.num_rows
+            # Runs that stay open are gone through again only with as many new lines.
+            if new >= still_open:
+                made, runs = _rewritten(pa.concat_batches(held), last=False)
+                held, still_open, new = [runs], runs.num_rows, 0
+                yield made
+    if held:
+        yield _rewritten(pa.concat_batches(held), last=True)[0]
+
+
+def without_ratios_of_lines(lines: DataFrame, parts: Column, is_bar: Column, first: Column) -> DataFrame:
+    """Tokens written with ratios as tokens of the vocabulary: ``doc_id``, ``spine``, ``line_no``, ``sub`` (1: of an added
+    line after it), ``token``, ``kind``. A run keeps its time unless its ``kind`` is ``nearest``.
+
+    ``lines``: doc_id, line_no and what the other columns are made of once lines are dealt out by document: the line's
+    tokens, whether it is a barline and the spine of the first token. The others are of the spines after it.
+
+    A run is of tokens of one ratio in a spine. Null tokens, empty ones and ``.`` are passed over; a barline, another token
+    or another ratio ends it. Lines are gone through once where they lie, a slice of a partition at a time, of which only
+    runs that may go on are kept; no token is moved or joined.
+    """
+    rows = lines.repartition("doc_id").sortWithinPartitions("doc_id", "line_no")
+    rows = rows.select("doc_id", "line_no", is_bar.alias("is_bar"), first.alias("first"), parts.alias("parts"))
+    doc_id, line_no, spine = (rows.schema[c].dataType.simpleString() for c in ("doc_id", "line_no", "first"))
+    return rows.mapInArrow(_without_ratios, f"doc_id {doc_id}, spine {spine}, line_no {line_no}, sub int, token string, kind string")
 
 
 def without_ratios(tokens: DataFrame) -> DataFrame:
-    """Tokens written with ratios as tokens of the vocabulary: ``doc_id``, ``spine``, ``line_no``, ``sub`` (1: of an added
-    line after it), ``token``, ``kind``. A run keeps its time unless its ``kind`` is ``nearest``."""
-    rows = ratio_runs(tokens)
-    answers = solved(rows.select("x", "y", F.col("n").cast("long").alias("n")).distinct())
-    rows = rows.join(answers, ["x", "y", "n"])
-    renamed = lambda name: F.regexp_replace("token", F.lit(r"[0-9]+%[0-9]+\.?"), name)
-    rest = F.regexp_replace("token", r"^[\[({]*[0-9]+%[0-9]+\.?", "")
-    tie = lambda mark: F.when(rest.startswith("r"), "").otherwise(mark)
-    two = F.array(F.concat(tie("["), F.get("pair", F.lit(0)), rest), F.concat(F.get("pair", F.lit(1)), rest, tie("]")))
-    out = F.when(F.col("kind") == "pair", two).otherwise(F.array(renamed(F.get("names", F.col("at")))))
-    return rows.select("doc_id", "spine", "line_no", F.posexplode(out).alias("sub", "token"), "kind")
+    """The same of single tokens: doc_id, line_no, spine, token and ``is_bar``."""
+    return without_ratios_of_lines(tokens, F.array("token"), F.col("is_bar"), F.col("spine"))

@@ -89,3 +89,71 @@ def test_groups_go_through_tokens_once_and_move_lines_only(spark, sf):
     plan = catalogue.QUERIES["group_tokens"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning(doc_id") == plan.count("Exchange hashpartitioning") == 1
     assert "SortMergeJoin" not in plan
+
+
+def test_ratios_go_through_lines_once_and_move_no_token(spark, sf):
+    """Words were moved one by one, twice, and joined to the few problems that all of them share."""
+    plan = catalogue.QUERIES["ratio_tokens"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == plan.count("Exchange ") == plan.count("Exchange hashpartitioning(doc_id") == 1
+    assert "Join" not in plan and "Window" not in plan and "split(line" not in "".join(x for x in plan.splitlines() if "Generate" in x)
+
+
+def test_runs_of_ratios_go_on_from_slice_to_slice(spark):
+    """Against loops, cut anywhere; with nulls, empty tokens, numbers that are no longs, uneven lines and long runs."""
+    import random
+    import re
+
+    import pyarrow as pa
+
+    from scoretables.operators import rhythms as Y
+
+    rng = random.Random(5)
+    words = ["8%3c", "[8%3c", "8%3r", "8%3.c 8%3e", "56%3c", "44%1c", "9%2r", "9%2c", "0%3c", "8%0c", "8%99999999999999999999c", "008%3c", "9%" + "1" * 5000, "4g", ".", "", None, "8%9{c", "({9%2e", "16%2c"]
+    rows = []
+    for doc in (None, 1, 2, 3, 4):
+        for line_no in range(90 if doc == 4 else rng.choice([3, 40])):
+            bar = rng.choice([None, *[False] * 20, True])
+            rows.append((doc, line_no, bar, 0, rng.choices(words if doc != 4 else ["56%3c"] * 99 + words, k=rng.choice([0, 1, 3, 70_000 if (doc, line_no) == (2, 1) else 6]))))
+    rows.append((5, 0, False, 0, None))
+    types = [("doc_id", pa.int64()), ("line_no", pa.int64()), ("is_bar", pa.bool_()), ("first", pa.int64()), ("parts", pa.list_(pa.string()))]
+    whole = pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), types, strict=True)], schema=pa.schema(types))
+
+    runs, now = [], {}
+    for doc, line_no, bar, _, parts in rows:
+        for spine, token in enumerate(parts or ()):
+            if not bar and token in (None, ".", ""):
+                continue
+            x, y = re.search("([0-9]+)%([0-9]{1,25})", token or "").groups() if bar is False and "%" in token else ("0", "0")
+            ratio = (int(x), int(y)) if 0 < int(x) < 1 << 63 and 0 < int(y) < 1 << 63 else None
+            if ratio is None:
+                now.pop((doc, spine), None)
+            else:
+                if now.get((doc, spine), (None,))[0] != ratio:
+                    now[doc, spine] = (ratio, [])
+                    runs.append(now[doc, spine])
+                now[doc, spine][1].append((doc, spine, line_no, token))
+    want = []
+    for ratio, run in runs:
+        kind, names, pair = Y._solution(*ratio, len(run))
+        for i, (*key, token) in enumerate(run):
+            if pair:
+                rest = re.sub(r"^[\[({]*[0-9]+%[0-9]+\.?", "", token)
+                tied = ("", "") if rest.startswith("r") else ("[", "]")
+                want += [(*key, 0, tied[0] + pair[0] + rest, kind), (*key, 1, pair[1] + rest + tied[1], kind)]
+            else:
+                want.append((*key, 0, re.sub(r"[0-9]+%[0-9]+\.?", names[i], token), kind))
+    want.sort(key=repr)
+    assert {k for *_, k in want} == {"dotted", "same", "mixed", "pair", "nearest"} and max(len(run) for _, run in runs) > 8
+    for lines, tokens in ((whole.num_rows, 250_000), (whole.num_rows, 5), (7, 250_000), (1, 1)):
+        pieces = (piece for i in range(0, whole.num_rows, lines) for piece in Y._slices(whole.slice(i, lines), tokens))
+        found = [tuple(r.values()) for made in Y._without_ratios(pieces) for r in made.to_pylist()]
+        assert sorted(found, key=repr) == want, (lines, tokens)
+
+    kinds = "doc_id long, line_no long, spine long, token string, is_bar boolean"
+    few = [(d, n, s, t, b) for d, n, b, _, parts in rows for s, t in enumerate(parts or ()) if s < 6]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = [tuple(r) for r in Y.without_ratios(spark.createDataFrame(few, kinds)).select("doc_id", "spine", "line_no", "sub", "token", "kind").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(found, key=repr) == [r for r in want if r[1] < 6]
